@@ -136,3 +136,8 @@ def clean_characters(characters, category) -> Column:
 def clean_person_name(c) -> Column:
     """Stars, parentheses and quote variants in names become an apostrophe."""
     return F.regexp_replace(col_(c), "[*\\(\\)\"’´¨]", "'")
+
+
+def at(arr, i) -> Column:
+    """1-based element (negative from the end); null when out of range."""
+    return F.try_element_at(col_(arr), i if isinstance(i, Column) else F.lit(i))

@@ -222,3 +222,16 @@ ESCAPE_CHARS = r'([\]\[\(\)\?\*\+\.\$])'
 
 # Punctuation words that start a new sentence part.
 PART_SEPARATORS = (',', ':', ';')
+
+# Name parsing cascade: (selection test, extraction pattern, group names).
+# A rule takes the names its test selects (prefix match; or an exact blank
+# count) that no earlier rule accepted.
+NAME_RULES = (
+    (("match", r".* '.*' .*"), r"(?P<firstName>.+) '(?P<aliasName>.+)' (?P<lastName>.+)",
+     ("firstName", "aliasName", "lastName")),
+    (("match", r".+ ([dD][eai] |[dD]el |[vV][ao]n )"), r"(?P<firstName>.+) (?P<lastName>([dD][eai] |[dD]el |[vV][ao]n ).*)",
+     ("firstName", "lastName")),
+    (("match", r".* .* .*\."), r"(?P<firstName>.+) (?P<lastName>.+ .+\.)", ("firstName", "lastName")),
+    (("blanks", 2), r"(?P<firstName>.+) (?P<middleName>.+) (?P<lastName>.+)", ("firstName", "middleName", "lastName")),
+    (("blanks", 1), r"(?P<firstName>.+) (?P<lastName>.+)", ("firstName", "lastName")),
+)

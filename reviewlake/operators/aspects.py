@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from reviewlake.functions.columns import at
 from pyspark.sql.window import Window as W
 
 from reviewlake.config import LIMITS
@@ -157,12 +159,12 @@ def import_annotations(annotations: DataFrame, terms_with_category: DataFrame, a
     verified = 1; rows already in ``existing`` (same 5-part key) are skipped (S14).
     """
     z = annotations.select("id", F.explode(F.arrays_zip("aspect", "label")).alias("z"))
-    z = z.where(F.element_at("z.label", 3) != "candidate").select(
+    z = z.where(at("z.label", 3) != "candidate").select(
         F.col("id").alias("sentence_id"),
-        F.element_at("z.label", 3).alias("polarity"),
-        F.element_at("z.aspect", 3).alias("aspect_term"),
-        F.element_at("z.aspect", 4).alias("context"),
-        F.element_at("z.aspect", 5).cast("int").alias("ordinal"))
+        at("z.label", 3).alias("polarity"),
+        at("z.aspect", 3).alias("aspect_term"),
+        at("z.aspect", 4).alias("context"),
+        at("z.aspect", 5).cast("int").alias("ordinal"))
     st = sorted_terms_literal(terms_with_category)
     z = z.withColumn("category", F.explode(aspect_categories(F.col("context"), st)))
     rows = z.join(F.broadcast(aspects.withColumnRenamed("id", "aspect_id")), "category").select(

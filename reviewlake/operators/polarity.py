@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.functions.columns import polarity_bin, polarity_label, round_half_up
+from reviewlake.functions.columns import at, polarity_bin, polarity_label, round_half_up
 from reviewlake.plans.strategy import broadcast_if_small, literal_bound
 
 BOOST_FACTORS = (1.0, 0.95, 0.9)
@@ -74,12 +74,12 @@ def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
             lambda x: x.isNotNull())), F.lit(0)))
 
     def prev(i, j):
-        return F.when(i - j >= 0, F.element_at(F.col("__low"), i - j + 1))
+        return F.when(i - j >= 0, at(F.col("__low"), i - j + 1))
 
     def boost(i):
         total = F.lit(0.0)
         for j, f in enumerate(BOOST_FACTORS, start=1):
-            total = total + F.coalesce(F.element_at(bmap, F.coalesce(prev(i, j), F.lit(""))), F.lit(0.0)) * f
+            total = total + F.coalesce(at(bmap, F.coalesce(prev(i, j), F.lit(""))), F.lit(0.0)) * f
         return total
 
     def negcount(i):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reviewlake import config
 from reviewlake.functions import rules as R
-from reviewlake.functions.columns import col_
+from reviewlake.functions.columns import at, col_
 from reviewlake.functions.regex import (gated_pass, java_pattern, java_replacement, nfkc_strip,
                                         replace, ungated_chain)
 from reviewlake.plans.strategy import grouped_prefix_sum
@@ -148,7 +148,7 @@ def _glue(out: Column, pieces: Column) -> Column:
     nonempty = F.filter(pieces, lambda s: s != "")
 
     def add(acc, s):
-        last = F.element_at(acc, -1)
+        last = at(acc, -1)
         sep = F.when(F.substring(last, -1, 1).isin(".", ",", ":", ";", "!", "?"), F.lit(" ")).otherwise(F.lit(", "))
         glued = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, sep, s)))
         return F.when((F.size(acc) == 0) | s.rlike("^[A-Z]"), F.concat(acc, F.array(s))).otherwise(glued)
@@ -176,15 +176,15 @@ def repair_sentences(c) -> Column:
         paren_list = (~op) & s.rlike(r" \d\) ") & ~s.rlike(r"\(.* \d\) ")
         paren_parts = F.split(s, r" \d\) ")
         has = F.size(out) > 0
-        last = F.element_at(out, -1)
+        last = at(out, -1)
         init_out = F.slice(out, 1, F.size(out) - 1)
         punct = has & (s.startswith("'s ") | s.rlike(r"^['\"]?[\.,:;!\?\)]"))
         one_word = (~s.contains(" ")) & s.rlike(r"\p{L}")
         too_long = F.length(s) > maxlen
         long_parts = F.transform(F.split(s, r"[\.;](?=[ a-dfh-zA-Z])"), lambda p: F.concat(F.trim(p), F.lit(".")))
         # sentence text used by the trailing parenthesis test (the last list piece for list branches)
-        tail = (F.when(numbered, F.element_at(num_parts, -1))
-                .when(paren_list, F.element_at(paren_parts, -1)).otherwise(s))
+        tail = (F.when(numbered, at(num_parts, -1))
+                .when(paren_list, at(paren_parts, -1)).otherwise(s))
         new_out = (F.when(numbered, _glue(out, num_parts))
                    .when(paren_list, _glue(out, paren_parts))
                    .when(punct, F.concat(init_out, F.array(F.concat(last, s))))

@@ -62,3 +62,197 @@ def q_spans(p: Pipeline) -> DataFrame:
 def q_aspect_polarity(p: Pipeline) -> DataFrame:
     return p.sentence_aspect.select("sentence_id", "review_id", "aspect_id", "category", "aspect_term", "ordinal",
                                     "sentiment_term", "polarity", "verified")
+
+
+# -- catalogue (S2-S7, J1-J3, P1-P6, A1, A2, U, O2) ---------------------------------
+
+@register("title_filter", """SELECT tconst, titleType, primaryTitle, isAdult, startYear, runtimeMinutes
+ FROM ox_tsplit""")
+def q_title_filter(p):
+    from reviewlake.operators.catalogue import filter_titles
+    return filter_titles(p.fx.fx_title).select("tconst", "titleType", "primaryTitle", "isAdult", "startYear",
+                                               "runtimeMinutes")
+
+
+@register("genre_split", """SELECT tconst, gl[1] AS genre_0, gl[2] AS genre_1, gl[3] AS genre_2 FROM ox_tsplit""")
+def q_genre_split(p):
+    from reviewlake.operators.catalogue import filter_titles, split_genres
+    t = split_genres(filter_titles(p.fx.fx_title))
+    return t.select("tconst", *[F.get(F.col("genre_list"), i).alias(f"genre_{i}") for i in range(3)])
+
+
+@register("rating_filter", "SELECT tconst, averageRating, numVotes FROM ox_rating_f")
+def q_rating_filter(p):
+    from reviewlake.operators.catalogue import filter_ratings
+    return rounded(filter_ratings(p.fx.fx_rating).select("tconst", "averageRating", "numVotes"))
+
+
+@register("titles_join_ratings", """SELECT id, titleType, primaryTitle, originalTitle, isAdult, startYear,
+ runtimeMinutes, averageRating, numVotes FROM ox_tj""")
+def q_titles_join(p):
+    from reviewlake.operators.catalogue import filter_ratings, filter_titles, titles_join_ratings
+    return rounded(titles_join_ratings(filter_titles(p.fx.fx_title), filter_ratings(p.fx.fx_rating)))
+
+
+@register("title_genres", "SELECT title_id, genre_id FROM ox_title_genres")
+def q_title_genres(p):
+    return p.title_genres
+
+
+@register("subtitles", "SELECT id, primaryTitle, subtitle FROM ox_title")
+def q_subtitles(p):
+    return p.titles.select("id", "primaryTitle", "subtitle")
+
+
+@register("titles", "SELECT id, primaryTitle, startYear FROM ox_title")
+def q_titles(p):
+    from reviewlake.operators.catalogue import titles_projection
+    return titles_projection(p.titles)
+
+
+@register("genre_flag", "SELECT title_id, genre_flag FROM ox_flag")
+def q_genre_flag(p):
+    from reviewlake.operators.catalogue import genre_flags
+    return genre_flags(p.title_genres)
+
+
+@register("genre_filter", """SELECT id, title_id, genre_flag FROM ox_review
+ WHERE (genre_flag & (CAST(1 AS BIGINT) << 8)) != 0""")
+def q_genre_filter(p):
+    from reviewlake.functions.columns import has_genre
+    return p.reviews.where(has_genre("genre_flag", 8)).select("id", "title_id", "genre_flag")
+
+
+@register("title_picker", """SELECT DISTINCT t.id, t.primaryTitle || ' (' || CAST(t.startYear AS VARCHAR) || ')' AS title
+ FROM ox_title t JOIN ox_title_genres g ON g.title_id = t.id WHERE g.genre_id = 5""")
+def q_title_picker(p):
+    from reviewlake.operators.catalogue import titles_for_selection
+    return titles_for_selection(p.titles, p.title_genres, genre_id=5)
+
+
+@register("genres_for_title", """SELECT g.title_id, d.displayName FROM ox_title_genres g
+ JOIN fx_genre d ON d.id = g.genre_id""")
+def q_genres_for_title(p):
+    from reviewlake.operators.catalogue import genres_for_title
+    return genres_for_title(p.title_genres, p.fx.fx_genre)
+
+
+@register("genre_dim", "SELECT id, displayName FROM fx_genre")
+def q_genre_dim(p):
+    from reviewlake.operators.dims import genre_dim
+    return genre_dim(p.spark)
+
+
+@register("aspect_dim", "SELECT id, category FROM fx_aspect")
+def q_aspect_dim(p):
+    from reviewlake.operators.dims import aspect_dim
+    return aspect_dim(p.spark)
+
+
+@register("principals_semi", "SELECT tconst, nconst, category, characters FROM ox_principal_f")
+def q_principals(p):
+    return p.principals.select("tconst", "nconst", "category", "characters")
+
+
+@register("characters_clean", """SELECT DISTINCT c0 AS raw, characters FROM ox_principal_f""")
+def q_characters(p):
+    from reviewlake.functions.columns import clean_characters, trim_chars
+    from reviewlake.operators.catalogue import filter_principals  # noqa: F401
+    raw = p.fx.fx_principal.join(p.titles.select(F.col("id").alias("tconst")), "tconst", "left_semi")
+    return raw.select(trim_chars("characters", '][""').alias("raw"),
+                      clean_characters("characters", "category").alias("characters")).distinct()
+
+
+@register("names_semi", "SELECT nconst, primaryName FROM ox_name_f")
+def q_names(p):
+    from reviewlake.operators.catalogue import filter_names
+    return filter_names(p.fx.fx_name, p.principals).select("nconst", "primaryName")
+
+
+@register("import_counts", """SELECT CAST(count(*) AS BIGINT) AS total,
+ CAST(count(*) FILTER (WHERE title_id IN (SELECT id FROM ox_title)) AS BIGINT) AS imported FROM fx_review""")
+def q_import_counts(p):
+    from reviewlake.operators.catalogue import import_counts
+    return import_counts(p.fx.fx_review, p.titles)
+
+
+@register("reviews_imported", "SELECT id, title_id, rating, usage, genre_flag FROM ox_review")
+def q_reviews(p):
+    return p.reviews.select("id", "title_id", "rating", "usage", "genre_flag")
+
+
+# -- names (N1-N8, P14, P15, J5) ---------------------------------------------------
+
+@register("parse_names", """SELECT id, primaryName, firstName, middleName, lastName0 AS lastName, aliasName,
+ noAliasName, processed FROM ox_post""")
+def q_parse_names(p):
+    from reviewlake.operators.names import parse_names, post_parse
+    return post_parse(parse_names(p.names)).select("id", "primaryName", "firstName", "middleName", "lastName",
+                                                   "aliasName", "noAliasName", "processed")
+
+
+@register("last_name_fix", "SELECT id, lastName FROM ox_people0")
+def q_last_name_fix(p):
+    from reviewlake.operators.names import preprocess_names
+    return preprocess_names(p.names).select("id", "lastName")
+
+
+@register("flag_ambiguous", "SELECT id, ambiguous FROM ox_people")
+def q_flag_names(p):
+    return p.people.select("id", "ambiguous")
+
+
+@register("flag_short", """SELECT title_id, name_id, category, character, ambiguous FROM ox_people_principals""")
+def q_flag_principals(p):
+    return p.people_principals.select("title_id", "name_id", "category", "character", "ambiguous")
+
+
+@register("flag_titles", "SELECT id, ambiguous_title, ambiguous_subtitle FROM ox_title_flagged")
+def q_flag_titles(p):
+    return p.titles_flagged.select("id", "ambiguous_title", "ambiguous_subtitle")
+
+
+# -- metadata dictionary (U1-U4, N9-N14, J9, O1, O4) -------------------------------------
+
+@register("title_spellings", "SELECT title_id, category, mdType, strSearch, strReplace, ambiguous FROM ox_md_titles")
+def q_title_spellings(p):
+    from reviewlake.operators.metadata import title_spellings
+    return title_spellings(p.titles_flagged)
+
+
+@register("name_branches", "SELECT title_id, category, mdType, strSearch, strReplace, ambiguous FROM ox_md_names")
+def q_name_branches(p):
+    from reviewlake.operators.metadata import name_branches
+    return name_branches(p.people_principals, p.people)
+
+
+@register("metadata_dictionary", """SELECT title_id, category, mdType, strSearch, strReplace, ambiguous, conflicts,
+ strSearchEscaped, lenSearch FROM ox_metadata""")
+def q_metadata(p):
+    return p.metadata.select("title_id", "category", "mdType", "strSearch", "strReplace", "ambiguous", "conflicts",
+                             "strSearchEscaped", "lenSearch")
+
+
+@register("metadata_conflicts", """SELECT DISTINCT title_id, strSearch FROM ox_metadata WHERE conflicts""")
+def q_conflicts(p):
+    return p.metadata.where("conflicts").select("title_id", "strSearch").distinct()
+
+
+@register("metadata_growth", """SELECT title_id, category, mdType, strSearch, strReplace, ambiguous FROM ox_md_paren
+ UNION ALL SELECT title_id, category, mdType, strSearch, strReplace, ambiguous FROM ox_md_the""")
+def q_growth(p):
+    from reviewlake.functions import rules as R
+    from reviewlake.functions.regex import gated_pass
+    from reviewlake.operators import metadata as M
+    md = M.title_spellings(p.titles_flagged).unionByName(M.name_branches(p.people_principals, p.people))
+    md = gated_pass(md, "strSearch", R.METADATA_REWRITES)
+    paren = M._paren_split(md)
+    return paren.unionByName(M._without_the(md.unionByName(paren)))
+
+
+@register("first_replacement", """SELECT title_id, strSearch, strReplace FROM (SELECT *, row_number() OVER
+ (PARTITION BY title_id, strSearch ORDER BY CASE WHEN category = 'WORK_OF_ART' THEN 0 ELSE 1 END, strReplace, mdType) AS r
+ FROM ox_metadata) x WHERE r = 1""")
+def q_first_replacement(p):
+    from reviewlake.operators.metadata import first_replacement
+    return first_replacement(p.metadata).select("title_id", "strSearch", "strReplace")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from reviewlake.operators import aspects as asp
 from reviewlake.operators import catalogue as cat
+from reviewlake.operators import metadata as md
+from reviewlake.operators import names as nm
 from reviewlake.operators import text as tx
 from reviewlake.operators.features import review_features
 from reviewlake.operators.polarity import lexicon_polarity
@@ -57,6 +59,23 @@ class Pipeline:
     def imdb_principals(self) -> DataFrame:
         return self._people[1]
 
+    @cached_property
+    def people(self) -> DataFrame:
+        """imdb_name after parsing (N1-N7), capitalisation (P15) and ambiguity."""
+        return cat.flag_names_ambiguous(nm.preprocess_names(self.names), self.fx.fx_ambiguous)
+
+    @cached_property
+    def people_principals(self) -> DataFrame:
+        return cat.flag_principals_ambiguous(self.imdb_principals, self.fx.fx_ambiguous)
+
+    @cached_property
+    def titles_flagged(self) -> DataFrame:
+        return cat.flag_titles_ambiguous(self.titles, self.fx.fx_ambiguous)
+
+    @cached_property
+    def metadata(self) -> DataFrame:
+        return md.metadata_dictionary(self.titles_flagged, self.people_principals, self.people)
+
     # -- reviews and sentences --------------------------------------------------
     @cached_property
     def reviews(self) -> DataFrame:
