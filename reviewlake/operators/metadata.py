@@ -68,32 +68,64 @@ def name_branches(principals: DataFrame, names: DataFrame) -> DataFrame:
     return e.select("title_id", F.lit("PERSON").alias("category"), "e.*").distinct()
 
 
-def _paren_split(md: DataFrame) -> DataFrame:
-    """N11: 'A (B)' titles also as 'A' and 'B' (strip, leading 'or', trailing ' or')."""
-    sel = md.where(F.col("strSearch").endswith(")") & (F.col("mdType") == "title"))
-    parts = F.split(F.col("strSearch"), "\\(")
-    sel = sel.where(F.size(parts) == 2).withColumn("strSearch", F.explode(parts))
-    s = F.btrim(F.col("strSearch"), F.lit(" )"))
-    s = F.when(s.startswith("or"), F.substring(s, 3, 1 << 30)).otherwise(s)
-    s = F.when(s.endswith(" or"), F.substring(s, F.lit(1), F.length(s) - 3)).otherwise(s)
-    s = F.btrim(s, F.lit(", "))
-    return sel.withColumn("strSearch", s).withColumn("ambiguous", ~F.col("strSearch").contains(" "))
-
-
-def _without_the(md: DataFrame) -> DataFrame:
-    """Entries starting 'The ' also without it."""
-    sel = md.where(F.col("strSearch").startswith("The "))
-    return sel.withColumn("strSearch", F.substring("strSearch", 5, 1 << 30)) \
-        .withColumn("ambiguous", ~F.col("strSearch").contains(" "))
-
-
-def _character_parts(md: DataFrame) -> DataFrame:
-    """N13 + J9: words of multi-word character names that equal a title string
-    of the same title (semi-join on (title_id, strSearch))."""
-    ch = md.where((F.col("mdType") == "character") & F.col("strSearch").contains(" ")) \
-        .withColumn("strSearch", F.explode(F.split("strSearch", " ")))
-    titles = md.where(F.col("category") == "WORK_OF_ART").select("title_id", "strSearch").distinct()
-    return ch.join(titles, ["title_id", "strSearch"], "left_semi")
+def _paren_parts(search: Column) -> Column:
+    """N11 pieces of 'A (B)': stripped of ' )', leading 'or', trailing ' or', ', '."""
+    def clean(x):
+        s = F.btrim(x, F.lit(" )"))
+        s = F.when(s.startswith("or"), F.substring(s, 3, 1 << 30)).otherwise(s)
+        s = F.when(s.endswith(" or"), F.substring(s, F.lit(1), F.length(s) - 3)).otherwise(s)
+        return F.btrim(s, F.lit(", "))
+    return F.transform(F.split(search, "\\("), clean)
+
+
+def _with_paren_split(md: DataFrame) -> DataFrame:
+    """Titles 'A (B)' are kept and also added as 'A' and 'B' (one word -> ambiguous)."""
+    s = F.col("strSearch")
+    applies = s.endswith(")") & (F.col("mdType") == "title") & (F.size(F.split(s, "\\(")) == 2)
+    me = F.struct(s.alias("s"), F.col("ambiguous").alias("a"))
+    extra = F.transform(_paren_parts(s), lambda x: F.struct(x.alias("s"), (~x.contains(" ")).alias("a")))
+    opts = F.when(applies, F.concat(F.array(me), extra)).otherwise(F.array(me))
+    cols = [c for c in md.columns if c not in ("strSearch", "ambiguous")]
+    return md.select(*cols, F.explode(opts).alias("__o")) \
+        .select(*cols, F.col("__o.s").alias("strSearch"), F.col("__o.a").alias("ambiguous"))
+
+
+def _with_without_the(md: DataFrame) -> DataFrame:
+    """Entries starting 'The ' are kept and also added without it."""
+    s = F.col("strSearch")
+    me = F.struct(s.alias("s"), F.col("ambiguous").alias("a"))
+    cut = F.substring(s, 5, 1 << 30)
+    opts = F.when(s.startswith("The "), F.array(me, F.struct(cut.alias("s"), (~cut.contains(" ")).alias("a")))) \
+        .otherwise(F.array(me))
+    cols = [c for c in md.columns if c not in ("strSearch", "ambiguous")]
+    return md.select(*cols, F.explode(opts).alias("__o")) \
+        .select(*cols, F.col("__o.s").alias("strSearch"), F.col("__o.a").alias("ambiguous"))
+
+
+def _per_title(md: DataFrame, include_first_names: bool) -> DataFrame:
+    """N13 + N14 on each title's entry array (bounded by the title's principals):
+    character words equal to a title string are added (J9); an entry conflicts
+    when its string is both a title string and a non-title string."""
+    e = F.struct("category", "mdType", "strSearch", "strReplace", "ambiguous")
+    g = md.groupBy("title_id").agg(F.collect_list(e).alias("E"))
+    titles = F.array_distinct(F.transform(F.filter("E", lambda x: x["category"] == "WORK_OF_ART"),
+                                          lambda x: x["strSearch"]))
+    g = g.withColumn("T", titles)
+    chars = F.flatten(F.transform(
+        F.filter("E", lambda x: (x["mdType"] == "character") & x["strSearch"].contains(" ")),
+        lambda x: F.transform(F.filter(F.split(x["strSearch"], " "), lambda w: F.array_contains(F.col("T"), w)),
+                              lambda w: F.struct(x["category"].alias("category"), x["mdType"].alias("mdType"),
+                                                 w.alias("strSearch"), x["strReplace"].alias("strReplace"),
+                                                 x["ambiguous"].alias("ambiguous")))))
+    g = g.withColumn("E", F.concat("E", chars))
+    g = g.withColumn("P", F.array_distinct(F.transform(F.filter("E", lambda x: x["category"] != "WORK_OF_ART"),
+                                                       lambda x: x["strSearch"])))
+    out = g.select("title_id", "T", "P", F.explode("E").alias("x")).select("title_id", "T", "P", "x.*")
+    out = out.withColumn("conflicts", F.array_contains("T", F.col("strSearch")) & F.array_contains("P", F.col("strSearch")))
+    out = out.drop("T", "P")
+    if not include_first_names:
+        out = out.where(F.col("mdType") != "firstName")
+    return out
 
 
 def metadata_dictionary(titles: DataFrame, principals: DataFrame, names: DataFrame,
@@ -101,18 +133,14 @@ def metadata_dictionary(titles: DataFrame, principals: DataFrame, names: DataFra
     """One row per dictionary entry of every title.
 
     Columns: title_id, category, mdType, strSearch, strReplace, ambiguous,
-    conflicts, strSearchEscaped, lenSearch.
+    conflicts, strSearchEscaped, lenSearch. Linear plan: U3 union, one gated
+    regex pass (N10), two row-local explodes (N11, N12), one shuffle on
+    title_id for the per-title set logic (N13, N14).
     """
     md = title_spellings(titles).unionByName(name_branches(principals, names))          # U3
     md = gated_pass(md, "strSearch", R.METADATA_REWRITES)                                # N10
-    md = md.unionByName(_paren_split(md))                                                # N11 (U4)
-    md = md.unionByName(_without_the(md))                                                # N12
-    md = md.unionByName(_character_parts(md))                                            # N13
-    w = W.partitionBy("title_id", "strSearch")                                           # N14
-    is_title = (F.col("category") == "WORK_OF_ART").cast("int")
-    md = md.withColumn("conflicts", (F.max(is_title).over(w) == 1) & (F.min(is_title).over(w) == 0))
-    if not include_first_names:
-        md = md.where(F.col("mdType") != "firstName")
+    md = _with_without_the(_with_paren_split(md))                                         # N11, N12
+    md = _per_title(md, include_first_names)                                             # N13, N14
     return md.withColumn("strSearchEscaped", escape_for_regex(F.col("strSearch"), R.ESCAPE_CHARS)) \
         .withColumn("lenSearch", F.length("strSearch"))
 

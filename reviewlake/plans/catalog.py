@@ -238,16 +238,14 @@ def q_conflicts(p):
     return p.metadata.where("conflicts").select("title_id", "strSearch").distinct()
 
 
-@register("metadata_growth", """SELECT title_id, category, mdType, strSearch, strReplace, ambiguous FROM ox_md_paren
- UNION ALL SELECT title_id, category, mdType, strSearch, strReplace, ambiguous FROM ox_md_the""")
+@register("metadata_growth", """SELECT title_id, category, mdType, strSearch, strReplace, ambiguous FROM ox_md3""")
 def q_growth(p):
     from reviewlake.functions import rules as R
     from reviewlake.functions.regex import gated_pass
     from reviewlake.operators import metadata as M
     md = M.title_spellings(p.titles_flagged).unionByName(M.name_branches(p.people_principals, p.people))
     md = gated_pass(md, "strSearch", R.METADATA_REWRITES)
-    paren = M._paren_split(md)
-    return paren.unionByName(M._without_the(md.unionByName(paren)))
+    return M._with_without_the(M._with_paren_split(md))
 
 
 @register("first_replacement", """SELECT title_id, strSearch, strReplace FROM (SELECT *, row_number() OVER
