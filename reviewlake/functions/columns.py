@@ -61,7 +61,8 @@ def round_half_up(c, digits: int) -> Column:
     scale = float(10 ** digits)
     # snap to 1e-9 first so that sums taken in a different order agree on ties
     snapped = F.floor(F.abs(x) * 1e9 + 0.5) / 1e9
-    return F.signum(x) * F.floor(snapped * scale + 0.5) / scale
+    # "+ 0.0" turns -0.0 into 0.0 (equal values must hash equal)
+    return F.signum(x) * F.floor(snapped * scale + 0.5) / scale + 0.0
 
 
 def substring_from(c, pos: int) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake import config
-from reviewlake.functions.columns import binary_class, has_genre, label_score, rating_class, star_bucket
+from reviewlake.functions.columns import (binary_class, has_genre, label_score, rating_class, round_half_up,
+                                          star_bucket)
 
 
 def feature_names(aspect_categories: list[str]) -> tuple[list[str], list[str], list[str]]:
@@ -114,7 +115,8 @@ def aspect_ratings(sentences: DataFrame, sentence_aspect: DataFrame) -> DataFram
         .withColumn("polarity", F.coalesce("polarity", F.lit("none")))
     g = j.groupBy("review_id", "category").agg(
         F.avg("polComp").alias("compound"), F.avg(label_score("polarity")).alias("polarity_value"))
-    return g.withColumn("rating", star_bucket("polarity_value"))
+    # bucket the mean snapped to 1e-9, so that means equal to a bin edge land on the edge
+    return g.withColumn("rating", star_bucket(round_half_up("polarity_value", 9)))
 
 
 def score_features(reviews: DataFrame, sentences: DataFrame, sentence_aspect: DataFrame,

@@ -254,3 +254,280 @@ def q_growth(p):
 def q_first_replacement(p):
     from reviewlake.operators.metadata import first_replacement
     return first_replacement(p.metadata).select("title_id", "strSearch", "strReplace")
+
+
+# -- selection (P7-P13, A11, O3) ---------------------------------------------------
+
+_G8 = "(genre_flag & (CAST(1 AS BIGINT) << 8)) != 0"
+
+
+@register("reviews_for_title", "SELECT id, title_id FROM ox_review WHERE coalesce(usage, '') <> 'exclude'")
+def q_reviews_for_title(p):
+    from reviewlake.operators.selection import reviews_for_title
+    return reviews_for_title(p.reviews).select("id", "title_id")
+
+
+@register("review_backlog", "SELECT id, title_id FROM ox_review")
+def q_backlog(p):
+    from reviewlake.operators.selection import reviews_to_preprocess
+    return reviews_to_preprocess(p.reviews.withColumn("normalizedText", F.lit(None).cast("string"))) \
+        .select("id", "title_id")
+
+
+@register("distinct_backlog", "SELECT DISTINCT title_id FROM ox_review")
+def q_distinct_backlog(p):
+    from reviewlake.operators.selection import distinct_backlog_titles
+    return distinct_backlog_titles(p.reviews)
+
+
+@register("sentence_page", f"""SELECT id, sentence AS text FROM ox_sentence
+ WHERE review_id IN (SELECT id FROM ox_review WHERE {_G8}) ORDER BY id LIMIT 7500""")
+def q_sentence_page(p):
+    from reviewlake.operators.selection import sentences_to_predict
+    return sentences_to_predict(p.sentences.withColumn("analyzed", F.lit(0)), p.reviews, genre_id=8)
+
+
+@register("mark_analyzed", f"""SELECT id, CASE WHEN id IN (SELECT id FROM ox_sentence
+ WHERE review_id IN (SELECT id FROM ox_review WHERE {_G8}) ORDER BY id LIMIT 1000) THEN 1 ELSE 0 END AS analyzed
+ FROM ox_sentence""")
+def q_mark_analyzed(p):
+    from reviewlake.operators.selection import mark_analyzed, sentences_to_predict
+    s = p.sentences.withColumn("analyzed", F.lit(0))
+    page = sentences_to_predict(s, p.reviews, genre_id=8, chunk=1000)
+    return mark_analyzed(s, page).select("id", "analyzed")
+
+
+@register("reset_predictions", f"""SELECT sentence_id, aspect_id, aspect_term, ordinal, verified FROM ox_sa
+ WHERE NOT (verified = 0 AND sentence_id IN (SELECT s.id FROM ox_sentence s JOIN ox_review r ON r.id = s.review_id
+ WHERE {_G8.replace('genre_flag', 'r.genre_flag')}))""")
+def q_reset(p):
+    from reviewlake.operators.selection import reset_predictions
+    _, sa = reset_predictions(p.polarity, p.sentence_aspect, p.reviews, genre_id=8)
+    return sa.select("sentence_id", "aspect_id", "aspect_term", "ordinal", "verified")
+
+
+@register("filter_reviews", O.features_select("AND r.usage = 'train' AND r.rating IN (1, 2, 9, 10)"))
+def q_filter_reviews(p):
+    return rounded(p.features(usage="train", ratings=[1, 2, 9, 10]))
+
+
+@register("aspect_terms", """SELECT DISTINCT w.aspect_id, a.category, w.term FROM fx_term w
+ JOIN fx_aspect a ON a.id = w.aspect_id""")
+def q_aspect_terms(p):
+    return p.terms
+
+
+@register("term_match", """SELECT DISTINCT s.id AS sentence_id, w.aspect_id, lower(w.term) AS term FROM ox_sentence s
+ JOIN fx_term w ON lower(s.sentence) LIKE '% ' || lower(w.term) || ' %'""")
+def q_term_match(p):
+    from reviewlake.operators.aspects import term_matches
+    return term_matches(p.sentences, p.fx.fx_term).distinct()
+
+
+@register("aspect_categories", "SELECT context, category FROM ox_cat")
+def q_aspect_categories(p):
+    from reviewlake.operators.aspects import aspect_categories, sorted_terms_literal
+    ctx = p.spans.select("context").distinct()
+    return ctx.select("context", F.explode(aspect_categories("context", sorted_terms_literal(p.terms))).alias("category"))
+
+
+@register("polarity_bin", f"""SELECT id, {O._BIN.format(c='polComp')} AS polarity_bin,
+ {O._LABEL.format(b=O._BIN.format(c='polComp'))} AS polarity FROM ox_polarity""")
+def q_polarity_bin(p):
+    from reviewlake.operators.polarity import with_polarity_bin
+    return with_polarity_bin(p.polarity, "polComp").select("id", "polarity_bin", "polarity")
+
+
+# -- aggregations (A3, A4, A6-A9, A12) ------------------------------------------------
+
+@register("label_counts", """SELECT aspect_id, CAST(count(*) AS BIGINT) AS n FROM ox_sa
+ WHERE verified = 1 AND aspect_id IS NOT NULL GROUP BY aspect_id""")
+def q_label_counts(p):
+    from reviewlake.operators.aspects import label_counts
+    return label_counts(p.sentence_aspect)
+
+
+@register("distinct_polarity", """SELECT aspect_id, CAST(count(DISTINCT polarity) AS BIGINT) AS n_polarity FROM ox_sa
+ WHERE verified = 1 GROUP BY aspect_id""")
+def q_distinct_polarity(p):
+    from reviewlake.operators.aspects import distinct_polarity
+    return distinct_polarity(p.sentence_aspect)
+
+
+@register("targets", """SELECT id, CAST((rating + 1) // 2 AS INTEGER) AS class,
+ CASE WHEN rating > 6 THEN 1 ELSE 0 END AS binary_class FROM ox_review""")
+def q_targets(p):
+    from reviewlake.functions.columns import binary_class, rating_class
+    return p.reviews.select("id", rating_class("rating").alias("class"), binary_class("rating").alias("binary_class"))
+
+
+_SCORE = ("CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in
+                                 __import__("reviewlake.config", fromlist=["x"]).POLARITY_SCORES.items()) + " END")
+
+
+@register("aspect_ratings", f"""SELECT review_id, category, {O.rhu('avg(polComp)')} AS compound,
+ {O.rhu('avg(sc)')} AS polarity_value,
+ CASE WHEN avg(sc) IS NULL OR {O.rhu('avg(sc)', 9)} < -1 THEN NULL WHEN {O.rhu('avg(sc)', 9)} <= -0.6 THEN 1
+   WHEN {O.rhu('avg(sc)', 9)} <= -0.2 THEN 2 WHEN {O.rhu('avg(sc)', 9)} <= 0.2 THEN 3
+   WHEN {O.rhu('avg(sc)', 9)} <= 0.6 THEN 4 WHEN {O.rhu('avg(sc)', 9)} <= 1.0 THEN 5 END AS rating
+ FROM (SELECT s.review_id, s.polComp, coalesce(sa.category, 'None') AS category,
+   {_SCORE.format(c="coalesce(sa.polarity, 'none')")} AS sc
+   FROM ox_polarity s LEFT JOIN ox_sa sa ON sa.sentence_id = s.id AND sa.verified = 0) x
+ GROUP BY review_id, category""")
+def q_aspect_ratings(p):
+    from reviewlake.operators.features import aspect_ratings
+    sa = p.sentence_aspect.where(F.col("verified") == 0)
+    return rounded(aspect_ratings(p.polarity, sa))
+
+
+@register("score_features", """SELECT f.* REPLACE (m.mm AS mean_review_polarity) FROM (""" + O.features_select()
+          + f""") f JOIN (SELECT review_id, {O.rhu('avg(polComp)')} AS mm FROM ox_polarity GROUP BY review_id) m
+ ON m.review_id = f.id""")
+def q_score_features(p):
+    from reviewlake.operators.features import score_features
+    return rounded(score_features(p.reviews, p.polarity, p.sentence_aspect, p.fx.fx_aspect, p.fx.fx_genre,
+                                  p.title_genres))
+
+
+def _empty_features_sql() -> str:
+    from reviewlake.operators.features import empty_features, feature_names
+    cats = ["Other", "Audio", "Effects", "Scene", "Story", "Direction", "Cast", "Message", "Emotion",
+            "Comparison", "General", "Overall", "Audience"]
+    flags, counts, means = feature_names(cats)
+    cols = flags + ["mean_review_polarity"] + counts + means
+    fill = empty_features(cols)
+    sel = ", ".join(f"coalesce(f.{c}, {fill[c]}) AS {c}" for c in cols)
+    return f"SELECT r.id, {sel} FROM ox_review r LEFT JOIN ({O.features_select()}) f ON f.id = r.id"
+
+
+@register("empty_features", _empty_features_sql())
+def q_empty_features(p):
+    from reviewlake.operators.features import empty_features
+    f = p.features().drop("class", "binary_class")
+    cols = [c for c in f.columns if c != "id"]
+    out = p.reviews.select("id").join(f, "id", "left").na.fill(empty_features(cols))
+    return rounded(out)
+
+
+@register("evaluate", f"""WITH pr AS (SELECT binary_class AS y, CASE WHEN mean_review_polarity > 0 THEN 1 ELSE 0 END AS p
+ FROM ({O.features_select()}) f),
+ c AS (SELECT y, p, CAST(count(*) AS DOUBLE) AS n FROM pr GROUP BY y, p),
+ t AS (SELECT y, sum(n) AS t_k, sum(CASE WHEN y = p THEN n ELSE 0 END) AS c_k FROM c GROUP BY y),
+ q AS (SELECT p AS y, sum(n) AS p_k FROM c GROUP BY p),
+ k AS (SELECT coalesce(t.y, q.y) AS y, coalesce(t_k, 0) AS t_k, coalesce(c_k, 0) AS c_k, coalesce(p_k, 0) AS p_k
+   FROM t FULL JOIN q ON t.y = q.y),
+ m AS (SELECT avg(CASE WHEN t_k > 0 THEN c_k / t_k END) AS ba, sum(c_k) AS c, sum(t_k) AS s, sum(p_k * t_k) AS pt,
+   sum(p_k * p_k) AS pp, sum(t_k * t_k) AS tt FROM k)
+ SELECT {O.rhu('ba')} AS balanced_accuracy,
+ {O.rhu("CASE WHEN sqrt((s * s - pp) * (s * s - tt)) = 0 THEN 0.0 ELSE (c * s - pt) / sqrt((s * s - pp) * (s * s - tt)) END")} AS mcc
+ FROM m""")
+def q_evaluate(p):
+    from reviewlake.operators.features import evaluate
+    f = p.features()
+    pred = f.select(F.col("binary_class").alias("label"),
+                    F.when(F.col("mean_review_polarity") > 0, 1).otherwise(0).alias("prediction"))
+    return rounded(evaluate(pred))
+
+
+# -- annotations (M7, J4, S12) ----------------------------------------------------------
+
+def _annotations(p):
+    from reviewlake.operators.polarity import lexicon_polarity, with_polarity_bin
+    from reviewlake.sources.io import annotation_tasks
+    sp = p.spans.withColumn("__sid", F.concat_ws(":", "sentence_id", "start", "end"))
+    pol = with_polarity_bin(lexicon_polarity(sp, "__sid", "context", p.fx.fx_lexicon, keep=list(p.spans.columns)))
+    s = p.sentences.join(p.reviews.select(F.col("id").alias("review_id"), "rating"), "review_id")
+    tasks = annotation_tasks(pol, s)
+    labels = pol.select("sentence_id", F.struct("start", "end", "span", "context", "ordinal", "polarity").alias("a")) \
+        .groupBy("sentence_id").agg(F.sort_array(F.collect_list("a")).alias("A"))
+    labels = labels.select(F.col("sentence_id").alias("id"), F.transform("A", lambda a: F.array(
+        a["start"].cast("string"), a["end"].cast("string"),
+        F.when(a["ordinal"] == 0, a["polarity"]).otherwise(F.lit("candidate")))).alias("label2"))
+    return tasks.join(labels, "id").drop("label").withColumnRenamed("label2", "label")
+
+
+_GOLD_SQL = """SELECT DISTINCT s.sentence_id, a.id AS aspect_id, s.span AS aspect_term, s.ordinal, '' AS sentiment_term,
+ {label} AS polarity, 1 AS verified
+ FROM ox_span s JOIN oxc_pol p ON p.sid = concat_ws(':', s.sentence_id, s.start, s."end")
+ JOIN ox_cat c ON c.context = s.context JOIN fx_aspect a ON a.category = c.category WHERE s.ordinal = 0"""
+
+
+@register("import_annotations", _GOLD_SQL.format(label=O._LABEL.format(b=O._BIN.format(c="p.compound"))))
+def q_import_annotations(p):
+    from reviewlake.operators.aspects import import_annotations
+    return import_annotations(_annotations(p), p.terms, p.fx.fx_aspect)
+
+
+@register("anti_new_labels", "SELECT * FROM (" + _GOLD_SQL.format(
+    label=O._LABEL.format(b=O._BIN.format(c="p.compound"))) + """) g WHERE NOT EXISTS (SELECT 1 FROM ox_sa e
+ WHERE e.verified = 1 AND e.sentence_id = g.sentence_id AND e.aspect_id = g.aspect_id AND e.aspect_term = g.aspect_term
+ AND e.ordinal = g.ordinal)""")
+def q_anti_new(p):
+    from reviewlake.operators.aspects import import_annotations
+    existing = p.sentence_aspect.where(F.col("verified") == 1)
+    return import_annotations(_annotations(p), p.terms, p.fx.fx_aspect, existing=existing)
+
+
+# -- sampling (W1, W3, W4, W7) --------------------------------------------------------
+
+_W1 = f"""WITH t AS (SELECT DISTINCT s.id, w.aspect_id, {O._BIN.format(c='s.polComp')} AS polarity
+ FROM ox_polarity s JOIN fx_term w ON lower(s.sentence) LIKE '% ' || lower(w.term) || ' %'),
+ k AS (SELECT DISTINCT id FROM (SELECT id, DENSE_RANK() OVER (PARTITION BY aspect_id, polarity ORDER BY id) AS n
+   FROM t) x WHERE n < 42)
+ SELECT s.id, s.sentence AS text, r.rating FROM k JOIN ox_polarity s ON s.id = k.id JOIN ox_review r ON r.id = s.review_id"""
+
+
+@register("sample_sentences", _W1)
+def q_sample(p):
+    from reviewlake.operators.sampling import sample_sentences
+    return sample_sentences(p.polarity, p.reviews, p.fx.fx_term)
+
+
+@register("split_tag", f"""WITH ids AS ({_W1}), r AS (SELECT id, DENSE_RANK() OVER (ORDER BY id) AS nr FROM
+ (SELECT DISTINCT id FROM ids) d)
+ SELECT id, CAST(nr AS BIGINT) AS nr, CASE WHEN nr < (SELECT max(nr) FROM r) * 0.85 THEN 'train' ELSE 'eval' END AS dataset
+ FROM r""")
+def q_split_tag(p):
+    from reviewlake.operators.sampling import sample_sentences, split_tag
+    return split_tag(sample_sentences(p.polarity, p.reviews, p.fx.fx_term))
+
+
+@register("downsample", f"""SELECT id, class FROM (SELECT id, class, row_number() OVER (PARTITION BY class ORDER BY id) - 1
+ AS k FROM ({O.features_select()}) f) x WHERE k <= (SELECT min(c) FROM (SELECT count(*) AS c FROM ({O.features_select()}) g
+ GROUP BY class) y)""")
+def q_downsample(p):
+    from reviewlake.operators.sampling import downsample
+    return downsample(p.features(), "class").select("id", "class")
+
+
+@register("shuffled_train", "SELECT id FROM ox_review WHERE usage = 'train'")
+def q_shuffled(p):
+    from reviewlake.operators.sampling import shuffled
+    return shuffled(p.reviews.where(F.col("usage") == "train").select("id"))
+
+
+@register("absa_dataset")
+def q_absa(p):
+    from reviewlake.operators.sampling import absa_dataset
+    return absa_dataset(p.polarity, p.sentence_aspect, p.reviews, genre_id=8)
+
+
+@register("training_set")
+def q_training_set(p):
+    from reviewlake.functions.columns import polarity_label
+    from reviewlake.operators.sampling import absa_dataset, training_set
+    absa = absa_dataset(p.polarity, p.sentence_aspect, p.reviews, genre_id=8)
+    # rating phrases derived from the review ratings ("7/10" labelled by the star bucket)
+    phrases = p.reviews.select(
+        F.lit(11).alias("aspect_id"), F.concat(F.lit("Overall: "), F.col("rating").cast("string"), F.lit("/10")).alias("text"),
+        F.lit("Overall").alias("span"),
+        polarity_label(F.least(F.greatest(F.ceil(F.col("rating") / 2), F.lit(1)), F.lit(5))).alias("label"),
+        F.lit(0).alias("ordinal"),
+        F.when(F.col("usage") == "test", "eval").otherwise("train").alias("dataset")).distinct()
+    return training_set(absa, phrases)
+
+
+@register("random_review")
+def q_random_review(p):
+    from reviewlake.operators.selection import sample_review
+    return sample_review(p.reviews)
