@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from reviewlake import config
 from reviewlake.operators.sampling import downsample
+from reviewlake.session import cut_lineage
 
 META = ("id", "class", "binary_class")
 
@@ -34,9 +35,16 @@ def _estimator(label: str, reg: float, max_iter: int):
 
 
 def training_frame(features: DataFrame, label: str) -> DataFrame:
-    """W4 down-sampling by the label, then label as double."""
+    """W4 down-sampling by the label, label as a 0-based double (classes
+    1..5 become 0..4 for one-vs-rest), materialised once: the optimiser
+    passes over it many times and must not recompute the feature pipeline."""
     d = downsample(features, label, order="id")
-    return d.withColumn("label", F.col(label).cast("double"))
+    offset = 0 if label == "binary_class" else 1
+    return cut_lineage(d.withColumn("label", (F.col(label) - offset).cast("double")))
+
+
+def label_offset(label: str) -> int:
+    return 0 if label == "binary_class" else 1
 
 
 def train_review_classifier(features: DataFrame, label: str = "class", C: float = 1.0,
@@ -70,9 +78,9 @@ def tune(features: DataFrame, label: str = "class", Cs=config.C_GRID, folds: int
     return Cs[best], scores
 
 
-def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """Apply a fitted (or loaded) pipeline."""
-    return model.transform(features)
+def predict(model: PipelineModel, features: DataFrame, label: str = "binary_class") -> DataFrame:
+    """Apply a fitted (or loaded) pipeline; prediction in the label's own scale."""
+    return model.transform(features).withColumn("prediction", F.col("prediction") + float(label_offset(label)))
 
 
 def train_label_head(embeddings: DataFrame, label: str = "label", vector: str = "embedding",

@@ -48,11 +48,13 @@ def absa_dataset(sentences: DataFrame, sentence_aspect: DataFrame, reviews: Data
     max rank × train_split. aspect_id is carried (trap H12). Each step is
     checkpointed into the shared checkpoint folder to cut lineage.
     """
-    gold = sentence_aspect.where(F.col("verified") == 1)
+    # the inputs are read by every step: materialise them once (reliable checkpoint)
+    gold = cut_lineage(sentence_aspect.where(F.col("verified") == 1)
+                       .select("sentence_id", "aspect_id", "aspect_term", "ordinal", "polarity"))
     order = [r.aspect_id for r in gold.where(F.col("aspect_id").isNotNull()).groupBy("aspect_id")
              .agg(F.count(F.lit(1)).alias("n")).orderBy("n", "aspect_id").collect()]
     in_genre = reviews.where(has_genre("genre_flag", genre_id)).select(F.col("id").alias("review_id"))
-    s_g = sentences.join(in_genre, "review_id", "left_semi").select("id", "sentence")
+    s_g = cut_lineage(sentences.join(in_genre, "review_id", "left_semi").select("id", "sentence"))
     dataset = None
     for a in order:
         have = 0 if dataset is None else dataset.where(F.col("aspect_id") == a).count()

@@ -531,3 +531,344 @@ def q_training_set(p):
 def q_random_review(p):
     from reviewlake.operators.selection import sample_review
     return sample_review(p.reviews)
+
+
+# -- text (X1-X16, W5, P17) -----------------------------------------------------------
+
+def _normalized(p):
+    from reviewlake.operators.text import normalize_text
+    from reviewlake.plans.strategy import balance_for_cpu
+    r = balance_for_cpu(p.reviews.select("id", "title_id", "originalText"), "id")
+    return normalize_text(r, "originalText")
+
+
+@register("normalize_full")
+def q_normalize_full(p):
+    return _normalized(p).select("id", "normalizedText")
+
+
+def _safe_pass_rules():
+    """Pass-3 rules without look-around (DuckDB's RE2 rejects look-around)."""
+    from reviewlake.functions import rules as R
+    return [(a, b) for a, b in R.NORMALIZE_PASS_3 if "(?=" not in a and "(?!" not in a and "(?<" not in a]
+
+
+def _normalize_safe_sql():
+    last = O._gated_sql("ox_review", "originalText", _safe_pass_rules(), "oxn3")
+    return f"SELECT id, originalText AS normalizedText FROM {last}"
+
+
+@register("normalize_safe", _normalize_safe_sql())
+def q_normalize_safe(p):
+    from reviewlake.functions.regex import gated_pass
+    d = gated_pass(p.reviews.select("id", "originalText"), "originalText", _safe_pass_rules())
+    return d.select("id", F.col("originalText").alias("normalizedText"))
+
+
+def _dictionary_join(p, text_df):
+    """Reviews + their title's dictionary (one row per title, salted join on
+    title_id so a title with a large share of reviews spreads over tasks)."""
+    from reviewlake.operators.metadata import dictionary_arrays
+    from reviewlake.plans.strategy import salted_join
+    d = dictionary_arrays(p.metadata)
+    j = salted_join(text_df, d, "title_id", how="left", salt_by="id")
+    return j.withColumn("entries", F.coalesce("entries", F.array().cast(d.schema["entries"].dataType))) \
+        .withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+
+
+@register("replace_metadata")
+def q_replace_metadata(p):
+    from reviewlake.operators.text import replace_metadata
+    j = _dictionary_join(p, _normalized(p))
+    return replace_metadata(j, "normalizedText", "entries", "words", out="replacedText").select("id", "replacedText")
+
+
+@register("abbreviations")
+def q_abbreviations(p):
+    from reviewlake.operators.text import replace_metadata
+    j = _dictionary_join(p, _normalized(p))
+    j = j.withColumn("entries", F.array().cast(j.schema["entries"].dataType))
+    return replace_metadata(j.withColumn("entries", F.col("entries")), "normalizedText", "entries", "words",
+                            out="replacedText").select("id", "replacedText")
+
+
+@register("conflict_fallback")
+def q_conflict_fallback(p):
+    from reviewlake.operators.text import conflict_fallback
+    j = _dictionary_join(p, _normalized(p))
+    return conflict_fallback(j, "normalizedText", "entries", out="fallbackText").select("id", "fallbackText")
+
+
+@register("sentence_repair")
+def q_sentence_repair(p):
+    from reviewlake.operators.text import repair_sentences, split_sentences
+    n = _normalized(p)
+    return n.select("id", F.posexplode(repair_sentences(split_sentences("normalizedText"))).alias("pos", "sentence"))
+
+
+def preprocess(p, reviews):
+    """Normalise -> replace -> split -> repair -> tokens -> clean-up ->
+    rating phrase -> polarity, as one job over all titles."""
+    from reviewlake.operators import text as tx
+    from reviewlake.operators.polarity import lexicon_polarity
+    from reviewlake.plans.strategy import balance_for_cpu
+    r = balance_for_cpu(reviews.select("id", "title_id", "originalText"), "id")
+    n = tx.normalize_text(r, "originalText")
+    j = _dictionary_join(p, n)
+    j = tx.replace_metadata(j, "normalizedText", "entries", "words", out="replacedText")
+    s = j.select(F.col("id").alias("review_id"), "title_id",
+                 F.posexplode(tx.repair_sentences(tx.split_sentences("replacedText"))).alias("pos", "raw"))
+    s = s.withColumn("sentence", tx.sentence_from_tokens(tx.tokens("raw"))).where(tx.keep_sentence("sentence"))
+    s = s.withColumn("sentence", tx.add_aspect_term(tx.sentence_case("sentence")))
+    s = tx.assign_sentence_ids(s.drop("raw"), start=1)
+    return lexicon_polarity(s, "id", "sentence", p.fx.fx_lexicon, keep=["review_id", "title_id", "sentence"])
+
+
+@register("preprocess_all")
+def q_preprocess_all(p):
+    return rounded(preprocess(p, p.reviews))
+
+
+_TOK = "'([A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\n\\r\\f])( ?)'"
+
+
+@register("tokens", f"""SELECT id AS sentence_id, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos,
+ unnest(w) AS word, unnest(b) AS ws FROM (SELECT id, regexp_extract_all(sentence, {_TOK}, 1) AS w,
+ regexp_extract_all(sentence, {_TOK}, 2) AS b FROM ox_sentence) x""")
+def q_tokens(p):
+    from reviewlake.operators.text import tokens
+    t = p.sentences.select(F.col("id").alias("sentence_id"), F.posexplode(tokens("sentence")).alias("pos", "t"))
+    return t.select("sentence_id", "pos", "t.word", "t.ws")
+
+
+@register("sentence_parts", f"""SELECT sentence_id, pos, word, CAST(sum(CASE WHEN word IN (',', ':', ';') THEN 1 ELSE 0 END)
+ OVER (PARTITION BY title_id ORDER BY sentence_id, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+ AS sentencePart FROM (SELECT s.id AS sentence_id, r.title_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word
+ FROM (SELECT id, review_id, regexp_extract_all(sentence, {_TOK}, 1) AS w FROM ox_sentence) s
+ JOIN ox_review r ON r.id = s.review_id) x""")
+def q_sentence_parts(p):
+    from reviewlake.operators.text import sentence_parts, tokens
+    s = p.sentences.join(p.reviews.select(F.col("id").alias("review_id"), "title_id"), "review_id")
+    t = s.select(F.col("id").alias("sentence_id"), "title_id", F.posexplode(tokens("sentence")).alias("pos", "t"))
+    t = t.select("sentence_id", "title_id", "pos", F.col("t.word").alias("word"))
+    return sentence_parts(t).select("sentence_id", "pos", "word", "sentencePart")
+
+
+@register("sentence_case", """SELECT id, upper(substr(sentence, 1, 1)) || substr(sentence, 2) AS sentence FROM ox_sentence
+ WHERE sentence NOT IN ('', '.', '(', 'another person')""")
+def q_sentence_case(p):
+    from reviewlake.operators.text import keep_sentence, sentence_case
+    return p.sentences.where(keep_sentence("sentence")).select("id", sentence_case("sentence").alias("sentence"))
+
+
+def _rating_phrase_sql():
+    from reviewlake.functions import rules as R
+    rp = R.RATING_PHRASE.replace("'", "''")
+    pre = R.RATING_PREFIX.replace("'", "''")
+    return f"""SELECT id, CASE WHEN regexp_full_match(t, '{rp}', 'i')
+ THEN 'Overall: ' || regexp_replace(regexp_replace(t, '{pre}', '', 'gi'), 'stars', '', 'gi') ELSE t END AS sentence
+ FROM (SELECT id, CASE WHEN id % 2 = 0 THEN CAST(rating AS VARCHAR) || '/10' ELSE 'My rating: '
+   || CAST(rating AS VARCHAR) || ' out of 10 stars.' END AS t FROM ox_review
+   UNION ALL SELECT id, sentence AS t FROM ox_sentence) x"""
+
+
+@register("rating_phrase", _rating_phrase_sql())
+def q_rating_phrase(p):
+    from reviewlake.operators.text import add_aspect_term
+    phr = p.reviews.select("id", F.when(F.col("id") % 2 == 0, F.concat(F.col("rating").cast("string"), F.lit("/10")))
+                           .otherwise(F.concat(F.lit("My rating: "), F.col("rating").cast("string"),
+                                               F.lit(" out of 10 stars."))).alias("t"))
+    s = phr.unionByName(p.sentences.select("id", F.col("sentence").alias("t")))
+    return s.select("id", add_aspect_term("t").alias("sentence"))
+
+
+# -- learning (M6, M8-M10, A10, O5) ---------------------------------------------------
+
+@register("train_binary")
+def q_train_binary(p):
+    from reviewlake.operators.learn import predict, train_review_classifier
+    from reviewlake.session import cut_lineage
+    f = cut_lineage(p.features())
+    m = train_review_classifier(f, "binary_class", C=1.0, max_iter=20)
+    return predict(m, f, "binary_class").select("id", "binary_class", F.col("prediction").cast("int").alias("prediction"))
+
+
+@register("train_multi")
+def q_train_multi(p):
+    from reviewlake.operators.learn import predict, train_review_classifier
+    from reviewlake.session import cut_lineage
+    f = cut_lineage(p.features())
+    m = train_review_classifier(f, "class", C=1.0, max_iter=10)
+    return predict(m, f, "class").select("id", "class", F.col("prediction").cast("int").alias("prediction"))
+
+
+@register("tune")
+def q_tune(p):
+    from reviewlake.operators.learn import tune
+    from reviewlake.session import cut_lineage
+    best, scores = tune(cut_lineage(p.features()), "binary_class", folds=2, max_iter=10)
+    from reviewlake import config
+    rows = [(float(c), float(s), float(c) == float(best)) for c, s in zip(config.C_GRID, scores)]
+    return p.spark.createDataFrame(rows, "C double, mean_score double, best boolean")
+
+
+@register("label_head")
+def q_label_head(p):
+    from reviewlake.operators.features import evaluate
+    from reviewlake.operators.learn import train_label_head
+    _, pred = train_label_head(p.fx.embeddings, max_iter=30)
+    return evaluate(pred.select("label", "prediction"))
+
+
+@register("predict")
+def q_predict(p):
+    from pyspark.ml import PipelineModel
+    from reviewlake.operators.learn import predict, train_review_classifier
+    from reviewlake.streaming.increments import scratch
+    from reviewlake.session import cut_lineage
+    f = cut_lineage(p.features())
+    path = scratch(p.spark, "model")
+    train_review_classifier(f, "binary_class", max_iter=10).write().overwrite().save(path)
+    return predict(PipelineModel.load(path), f).select("id", F.col("prediction").cast("int").alias("prediction"))
+
+
+@register("overall_rating")
+def q_overall(p):
+    from reviewlake.operators.features import aspect_ratings, overall_rating
+    from reviewlake.operators.learn import predict, train_review_classifier
+    from reviewlake.session import cut_lineage
+    f = cut_lineage(p.features())
+    pred = predict(train_review_classifier(f, "class", max_iter=10), f, "class").select(F.col("id").alias("review_id"),
+                                                                              "prediction")
+    ar = aspect_ratings(p.polarity, p.sentence_aspect.where(F.col("verified") == 0))
+    return overall_rating(ar, pred).select("review_id", "overall")
+
+
+# -- streaming (T1-T4) ---------------------------------------------------------------
+
+def _staged_reviews(p, name):
+    from reviewlake.streaming.increments import scratch, stage_files
+    return stage_files(p.reviews.select("id", "title_id", "originalText", "rating", "usage", "genre_flag"),
+                       scratch(p.spark, name), files=4)
+
+
+@register("stream_preprocess")
+def q_stream_preprocess(p):
+    """Review files arrive; each micro-batch is preprocessed."""
+    from reviewlake.streaming.increments import scratch, stream_preprocess
+    src = _staged_reviews(p, "reviews-in")
+    out = stream_preprocess(p.spark, src, scratch(p.spark, "sentences-out"), lambda b: preprocess(p, b))
+    return rounded(out.drop("batch"))
+
+
+@register("stream_predict")
+def q_stream_predict(p):
+    """Sentence files arrive; aspects are predicted per chunk, insert-ignore by key."""
+    from reviewlake.operators.aspects import aspect_polarity, aspect_spans
+    from reviewlake.streaming.increments import scratch, stage_files, stream_predict
+    src = stage_files(p.sentences, scratch(p.spark, "sentences-in"), files=4)
+
+    def predict_fn(batch):
+        spans = aspect_spans(batch, p.fx.fx_term, keep=["review_id"])
+        return aspect_polarity(spans, p.fx.fx_lexicon, p.terms, p.fx.fx_aspect).withColumn("verified", F.lit(0))
+
+    keys = ["sentence_id", "aspect_id", "aspect_term", "ordinal", "verified"]
+    return stream_predict(p.spark, src, scratch(p.spark, "aspects-out"), predict_fn, keys)
+
+
+@register("stream_dedupe")
+def q_stream_dedupe(p):
+    """Labels arrive twice (same rows in two files); streaming dropDuplicates keeps one."""
+    from reviewlake.streaming.increments import scratch, stream_dedupe
+    keys = ["sentence_id", "aspect_id", "aspect_term", "ordinal", "verified"]
+    rows = p.sentence_aspect.select(*keys, "polarity")
+    src = scratch(p.spark, "labels-in")
+    rows.write.mode("overwrite").parquet(src + "/a")
+    rows.write.mode("overwrite").parquet(src + "/b")
+    return stream_dedupe(p.spark, src + "/*", scratch(p.spark, "labels-out"), keys)
+
+
+@register("chunked_ingest", """SELECT t.id AS tconst, count(*) AS n FROM ox_title t JOIN ox_principal_f p ON p.tconst = t.id
+ GROUP BY t.id""")
+def q_chunked_ingest(p):
+    """T4: no chunk loop — one partitioned read with the filters pushed into the scan."""
+    return p.titles.select(F.col("id").alias("tconst")).join(p.principals, "tconst").groupBy("tconst") \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- sources and sinks (S1, S8-S13, S17) ----------------------------------------------
+
+@register("html_reviews")
+def q_html_reviews(p):
+    """Review texts from stored pages (page headline + article body)."""
+    from reviewlake.sources.io import extract_reviews_from_html
+    return extract_reviews_from_html(p.fx.pages, title=("h1", None), body=("article", None), rating=None)
+
+
+@register("io_roundtrip", "SELECT id, title_id, rating, usage FROM ox_review")
+def q_io_roundtrip(p):
+    """Write the imported reviews as CSV, the catalogue as TSV,
+    annotation tasks as JSONL and features as TSV + params; read all back."""
+    from reviewlake.sources import io
+    from reviewlake.streaming.increments import scratch
+    base = scratch(p.spark, "io")
+    r = p.reviews.select("title_id", F.col("originalText").alias("text"), "rating", "usage", "id")
+    r.write.mode("overwrite").option("header", True).option("multiLine", True).option("escape", '"').csv(base + "/reviews")
+    back = io.read_reviews(p.spark, base + "/reviews")
+    t = p.fx.fx_title
+    t.write.mode("overwrite").option("sep", "\t").option("header", True).option("nullValue", "\\N").csv(base + "/titles")
+    titles = io.read_titles(p.spark, base + "/titles")
+    assert titles.count() == t.count()
+    io.write_features(p.features(), base + "/features", {"binary C:": 1.0, "multi-class C:": 1.0})
+    assert io.read_features(p.spark, base + "/features").count() == p.features().count()
+    return back.select(F.col("id").cast("long").alias("id"), "title_id", "rating", "usage")
+
+
+# -- table maintenance (S14-S16, S19, S20) ---------------------------------------------
+
+@register("insert_ignore", """SELECT sentence_id, aspect_id, aspect_term, ordinal, verified FROM ox_sa WHERE verified = 1
+ UNION ALL SELECT sentence_id, aspect_id, aspect_term, ordinal, verified FROM ox_sa i WHERE NOT EXISTS
+ (SELECT 1 FROM ox_sa t WHERE t.verified = 1 AND t.sentence_id = i.sentence_id AND t.aspect_id = i.aspect_id
+  AND t.aspect_term = i.aspect_term AND t.ordinal = i.ordinal AND t.verified = i.verified)""")
+def q_insert_ignore(p):
+    from reviewlake.operators.upsert import insert_ignore
+    keys = ["sentence_id", "aspect_id", "aspect_term", "ordinal", "verified"]
+    sa = p.sentence_aspect.select(*keys)
+    return insert_ignore(sa.where(F.col("verified") == 1), sa, keys, order_by=keys)
+
+
+@register("update_from", """SELECT r.id, coalesce(u.t, r.originalText) AS normalizedText FROM ox_review r LEFT JOIN
+ (SELECT review_id, string_agg(sentence, ' ' ORDER BY pos) AS t FROM ox_sentence GROUP BY review_id) u
+ ON u.review_id = r.id""")
+def q_update_from(p):
+    from reviewlake.operators.upsert import update_from
+    s = p.sentences.groupBy("review_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("a"))
+    u = s.select(F.col("review_id").alias("id"), F.array_join(F.transform("a", lambda x: x["sentence"]), " ")
+                 .alias("normalizedText"))
+    t = p.reviews.select("id", F.col("originalText").alias("normalizedText"))
+    return update_from(t, u, ["id"], ["normalizedText"])
+
+
+@register("delete_cascade", """SELECT s.id FROM ox_sentence s JOIN ox_review r ON r.id = s.review_id
+ WHERE coalesce(r.usage, '') <> 'exclude'""")
+def q_delete_cascade(p):
+    from reviewlake.operators.upsert import delete_cascade
+    _, (children,) = delete_cascade(p.reviews, F.col("usage") == "exclude", [(p.sentences, "review_id")])
+    return children.select("id")
+
+
+@register("write_sentences", """SELECT id, CASE WHEN id IN (SELECT review_id FROM ox_sentence) THEN 1 ELSE 0 END
+ AS tokenized FROM ox_review""")
+def q_write_sentences(p):
+    from reviewlake.operators.upsert import flag_tokenized, write_sentences
+    from reviewlake.streaming.increments import scratch
+    path = scratch(p.spark, "review_sentence")
+    write_sentences(p.sentences, path)
+    return flag_tokenized(p.reviews, p.spark.read.parquet(path)).select("id", "tokenized")
+
+
+@register("refresh_people", "SELECT id FROM ox_title")
+def q_refresh_people(p):
+    from reviewlake.operators.upsert import refresh_people
+    old = p.titles.where(F.col("startYear") < 2010)
+    return refresh_people(old, p.titles).select("id")
