@@ -63,7 +63,7 @@ def read_labeled_dirs(spark: SparkSession, root: str) -> DataFrame:
     title id from the URL on line rank(n) of the folder's URL list; line
     breaks ``<br /><br />`` become newlines. Ranks use the skew-safe prefix sum.
     """
-    files = spark.read.option("wholetext", True).text(f"{root}/*/*/*.txt") \
+    files = spark.read.text(f"{root}/*/*/*.txt", wholetext=True) \
         .select(F.col("value"), F.col("_metadata.file_path").alias("path"))
     m = r".*/([^/]+)/(neg|pos)/(\d+)_(\d+)\.txt$"
     f = files.select(F.regexp_extract("path", m, 1).alias("usage"), F.regexp_extract("path", m, 2).alias("pol"),
@@ -72,7 +72,7 @@ def read_labeled_dirs(spark: SparkSession, root: str) -> DataFrame:
                      F.replace(F.col("value"), F.lit("<br /><br />"), F.lit("\n")).alias("text"))
     f = grouped_prefix_sum(f.withColumn("__one", F.lit(1)), ["usage", "pol"], "n", "__one", "line",
                            inclusive=False).drop("__one")
-    urls = spark.read.option("wholetext", True).text(f"{root}/*/urls_*.txt") \
+    urls = spark.read.text(f"{root}/*/urls_*.txt", wholetext=True) \
         .select(F.col("value"), F.col("_metadata.file_path").alias("path"))
     u = urls.select(F.regexp_extract("path", r".*/([^/]+)/urls_(neg|pos)\.txt$", 1).alias("usage"),
                     F.regexp_extract("path", r".*/([^/]+)/urls_(neg|pos)\.txt$", 2).alias("pol"),
