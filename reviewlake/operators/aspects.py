@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from reviewlake.config import LIMITS
 from reviewlake.operators.polarity import lexicon_polarity, with_polarity_bin
-from reviewlake.plans.strategy import broadcast_if_small, literal_bound
+from reviewlake.plans.strategy import balance_for_cpu, broadcast_if_small, literal_bound
 
 CONTEXT_WORDS = 3
 
@@ -58,17 +58,23 @@ def term_matches(sentences: DataFrame, terms: DataFrame, id_col: str = "id",
                  text_col: str = "sentence") -> DataFrame:
     """(sentence id, aspect_id, term) for every term found as
     ``lower(sentence) LIKE '% ' || lower(term) || ' %'`` (blank on both sides;
-    a term found twice gives one row, trap H3)."""
+    a term found twice gives one row, trap H3).
+
+    Per-row arrays are projected as columns and carried along, so Catalyst
+    does not inline them into the lambdas (which would recompute them per
+    array element)."""
     t = terms.select("aspect_id", F.lower("term").alias("term")).distinct()
     k = _max_words(t)
-    pieces = F.split(F.lower(F.col(text_col)), " ")
-    grams = F.transform(_grams(pieces, k, interior=True), lambda g: g["text"])
+    sentences = balance_for_cpu(sentences, id_col)
+    d = sentences.select(F.col(id_col).alias("sentence_id"), F.split(F.lower(F.col(text_col)), " ").alias("__p"))
+    d = d.select("sentence_id", "__p", F.transform(_grams(F.col("__p"), k, interior=True), lambda g: g["text"])
+                 .alias("__grams"))
     lit_terms = _term_list(t)
     if lit_terms is not None:
-        found = F.array_intersect(grams, F.array(*[F.lit(x) for x in lit_terms]))
-        hits = sentences.select(F.col(id_col).alias("sentence_id"), F.explode(found).alias("term"))
+        found = F.array_intersect(F.col("__grams"), F.array(*[F.lit(x) for x in lit_terms]))
+        hits = d.select("sentence_id", F.explode(found).alias("term"))
     else:
-        hits = sentences.select(F.col(id_col).alias("sentence_id"), F.explode(F.array_distinct(grams)).alias("term"))
+        hits = d.select("sentence_id", F.explode(F.array_distinct("__grams")).alias("term"))
     return hits.join(broadcast_if_small(t), "term").select("sentence_id", "aspect_id", "term")
 
 
@@ -82,14 +88,17 @@ def aspect_spans(sentences: DataFrame, terms: DataFrame, id_col: str = "id",
     k = _max_words(terms)
     lit_terms = _term_list(t)
     keep = keep or []
+    sentences = balance_for_cpu(sentences, id_col)
     d = sentences.select(F.col(id_col).alias("sentence_id"), F.split(F.col(text_col), " ").alias("__p"), *keep)
-    grams = _grams(F.col("__p"), k, interior=False)
+    # per-row arrays as carried columns (never inlined into the lambdas below)
+    d = d.select("*", _grams(F.col("__p"), k, interior=False).alias("__grams"))
     if lit_terms is not None:
-        found = F.array_intersect(F.transform(grams, lambda g: F.lower(g["text"])),
-                                  F.array(*[F.lit(x) for x in lit_terms]))
-        d = d.withColumn("__g", F.explode(F.filter(grams, lambda g: F.array_contains(found, F.lower(g["text"])))))
+        d = d.select("*", F.array_intersect(F.transform("__grams", lambda g: F.lower(g["text"])),
+                                            F.array(*[F.lit(x) for x in lit_terms])).alias("__found"))
+        d = d.select("sentence_id", "__p", "__found", *keep, F.explode(F.filter(
+            "__grams", lambda g: F.array_contains(F.col("__found"), F.lower(g["text"])))).alias("__g"))
     else:
-        d = d.withColumn("__g", F.explode(grams)).join(
+        d = d.select("sentence_id", "__p", *keep, F.explode("__grams").alias("__g")).join(
             broadcast_if_small(t), F.lower(F.col("__g.text")) == F.col("term"), "left_semi")
     p = F.col("__p")
     i, kk = F.col("__g.i"), F.col("__g.k")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.columns import at, polarity_bin, polarity_label, round_half_up
-from reviewlake.plans.strategy import broadcast_if_small, literal_bound
+from reviewlake.plans.strategy import balance_for_cpu, broadcast_if_small, literal_bound
 
 BOOST_FACTORS = (1.0, 0.95, 0.9)
 N_SCALAR = -0.74
@@ -63,6 +63,7 @@ def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
 
     text = F.col(text_col)
     toks = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), 0)
+    df = balance_for_cpu(df, id_col)
     d = df.select(F.col(id_col).alias("__id"), text.alias("__t"), toks.alias("__tok"), *keep)
     low = F.transform("__tok", lambda t: F.lower(t))
     n = F.size("__tok")
@@ -100,7 +101,9 @@ def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
     ex = F.least(F.length(t_) - F.length(F.replace(t_, F.lit("!"), F.lit(""))), F.lit(4)) * EXCL_INCR
     qm = F.length(t_) - F.length(F.replace(t_, F.lit("?"), F.lit("")))
     qamp = F.when(qm > 1, F.when(qm <= 3, qm * QM_INCR).otherwise(QM_MAX)).otherwise(0.0)
-    d = d.select("__id", (ex + qamp).alias("__punct"), F.explode_outer(mods).alias("m"), *keep)
+    # helper arrays are carried through the explode so they are computed once per sentence
+    d = d.select("__id", (ex + qamp).alias("__punct"), "__low", "__capdiff", "__but",
+                 F.explode_outer(mods).alias("m"), *keep).drop("__low", "__capdiff", "__but")
 
     d = d.join(valences, F.col("m.w") == F.col("word"), "left")
     v0 = F.coalesce(F.col("v0"), F.lit(0.0))

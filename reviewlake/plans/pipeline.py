@@ -21,65 +21,84 @@ from reviewlake.operators import text as tx
 from reviewlake.operators.features import review_features
 from reviewlake.operators.polarity import lexicon_polarity
 from reviewlake.plans.strategy import balance_for_cpu
+from reviewlake.session import cut_lineage
 from reviewlake.sources.fixtures import Fixtures
 
 
+STAGES = ("titles", "title_genres", "principals", "names", "imdb_principals", "people", "people_principals",
+          "titles_flagged", "metadata", "reviews", "sentences", "polarity", "spans", "sentence_aspect")
+
+
 class Pipeline:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """``materialize=True`` writes each stage once (reliable checkpoint into
+    the shared checkpoint folder), like the tables the original pipeline
+    stores; queries then read the stage tables instead of recomputing the
+    lineage. ``materialize=False`` keeps everything as one lazy plan."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.fx = Fixtures(spark, sf_dir)
+        self.materialize = materialize
+
+    def _stage(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(df) if self.materialize else df
+
+    def build(self) -> None:
+        """Run every stage job (the batch ETL)."""
+        for name in STAGES:
+            getattr(self, name)
 
     # -- catalogue -------------------------------------------------------------
     @cached_property
     def _titles(self):
         return cat.import_titles(self.fx.fx_title, self.fx.fx_rating, self.fx.fx_genre)
 
-    @property
+    @cached_property
     def titles(self) -> DataFrame:
-        return self._titles[0]
+        return self._stage(self._titles[0])
 
-    @property
+    @cached_property
     def title_genres(self) -> DataFrame:
-        return self._titles[1]
+        return self._stage(self._titles[1])
 
     @cached_property
     def principals(self) -> DataFrame:
-        return cat.filter_principals(self.fx.fx_principal, self.titles)
+        return self._stage(cat.filter_principals(self.fx.fx_principal, self.titles))
 
     @cached_property
     def _people(self):
         names = cat.filter_names(self.fx.fx_name, self.principals)
         return cat.import_people(self.principals, names)
 
-    @property
+    @cached_property
     def names(self) -> DataFrame:
-        return self._people[0]
+        return self._stage(self._people[0])
 
-    @property
+    @cached_property
     def imdb_principals(self) -> DataFrame:
-        return self._people[1]
+        return self._stage(self._people[1])
 
     @cached_property
     def people(self) -> DataFrame:
         """imdb_name after parsing (N1-N7), capitalisation (P15) and ambiguity."""
-        return cat.flag_names_ambiguous(nm.preprocess_names(self.names), self.fx.fx_ambiguous)
+        return self._stage(cat.flag_names_ambiguous(nm.preprocess_names(self.names), self.fx.fx_ambiguous))
 
     @cached_property
     def people_principals(self) -> DataFrame:
-        return cat.flag_principals_ambiguous(self.imdb_principals, self.fx.fx_ambiguous)
+        return self._stage(cat.flag_principals_ambiguous(self.imdb_principals, self.fx.fx_ambiguous))
 
     @cached_property
     def titles_flagged(self) -> DataFrame:
-        return cat.flag_titles_ambiguous(self.titles, self.fx.fx_ambiguous)
+        return self._stage(cat.flag_titles_ambiguous(self.titles, self.fx.fx_ambiguous))
 
     @cached_property
     def metadata(self) -> DataFrame:
-        return md.metadata_dictionary(self.titles_flagged, self.people_principals, self.people)
+        return self._stage(md.metadata_dictionary(self.titles_flagged, self.people_principals, self.people))
 
     # -- reviews and sentences --------------------------------------------------
     @cached_property
     def reviews(self) -> DataFrame:
-        return cat.import_reviews(self.fx.fx_review, self.titles, self.title_genres)
+        return self._stage(cat.import_reviews(self.fx.fx_review, self.titles, self.title_genres))
 
     @cached_property
     def sentences(self) -> DataFrame:
@@ -87,15 +106,15 @@ class Pipeline:
         r = balance_for_cpu(self.reviews.select("id", "originalText"), "id")
         parts = r.select(F.col("id").alias("review_id"), tx.split_sentences("originalText").alias("parts"))
         s = parts.select("review_id", F.posexplode("parts").alias("pos", "sentence"))
-        return tx.assign_sentence_ids(s).select("id", "review_id", "pos", "sentence")
+        return self._stage(tx.assign_sentence_ids(s).select("id", "review_id", "pos", "sentence"))
 
     @cached_property
     def polarity(self) -> DataFrame:
         """fx_polarity: sentence scores (M1); all sentences analysed."""
         p = lexicon_polarity(self.sentences, "id", "sentence", self.fx.fx_lexicon, keep=["review_id", "sentence"])
-        return p.select("id", "review_id", "sentence", F.col("neu").alias("polNeu"),
-                        F.col("neg").alias("polNeg"), F.col("pos").alias("polPos"),
-                        F.col("compound").alias("polComp"), F.lit(1).alias("analyzed"))
+        return self._stage(p.select("id", "review_id", "sentence", F.col("neu").alias("polNeu"),
+                                    F.col("neg").alias("polNeg"), F.col("pos").alias("polPos"),
+                                    F.col("compound").alias("polComp"), F.lit(1).alias("analyzed")))
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -104,14 +123,14 @@ class Pipeline:
     @cached_property
     def spans(self) -> DataFrame:
         """fx_span: dictionary spans (M4) with ordinal (W6) and context."""
-        return asp.aspect_spans(self.sentences, self.fx.fx_term, keep=["review_id"])
+        return self._stage(asp.aspect_spans(self.sentences, self.fx.fx_term, keep=["review_id"]))
 
     @cached_property
     def sentence_aspect(self) -> DataFrame:
         """fx_sentence_aspect: predicted rows (M5); verified = 1 where the
         sentence id is divisible by 3 (fixture stand-in for gold labels)."""
         rows = asp.aspect_polarity(self.spans, self.fx.fx_lexicon, self.terms, self.fx.fx_aspect)
-        return rows.withColumn("verified", F.when(F.col("sentence_id") % 3 == 0, 1).otherwise(0))
+        return self._stage(rows.withColumn("verified", F.when(F.col("sentence_id") % 3 == 0, 1).otherwise(0)))
 
     def features(self, **filters) -> DataFrame:
         return review_features(self.reviews, self.polarity, self.sentence_aspect, self.fx.fx_aspect,

@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # joins on (review_id, sentence_id) may reuse hash partitioning on review_id
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

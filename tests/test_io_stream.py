@@ -68,3 +68,19 @@ def test_stream_preprocess_equals_batch(spark):
 
     out = stream_preprocess(spark, src, scratch(spark, "pp-out"), fn).drop("batch")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, fn(df).collect()))
+
+
+def test_terms_csv_with_bom(spark, tmp_path):
+    p = tmp_path / "terms.csv"
+    p.write_bytes("\ufeffaspect_id,POS,term\r\n1,n,audio\r\n6,n,actor\r\n6,n,actor\r\n".encode("utf-8"))
+    df = io.read_terms(spark, str(p))
+    assert [tuple(r) for r in df.collect()] == [(1, "n", "audio"), (6, "n", "actor"), (6, "n", "actor")]
+
+
+def test_write_annotation_tasks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "The plot.", 7, [["4", "8", "plot", "the plot.", "0"]], [["4", "8", "candidate"]])],
+                               io.ANNOTATION_SCHEMA)
+    out = str(tmp_path / "tasks")
+    io.write_annotation_tasks(df, out)
+    back = io.read_annotations(spark, out)
+    assert [tuple(r) for r in back.collect()] == [tuple(r) for r in df.collect()]
