@@ -608,19 +608,29 @@ def q_sentence_repair(p):
 
 def preprocess(p, reviews):
     """Normalise -> replace -> split -> repair -> tokens -> clean-up ->
-    rating phrase -> polarity, as one job over all titles."""
+    rating phrase -> polarity, as one job over all titles.
+
+    The cleaned sentence array of each review is written once (reliable
+    checkpoint) before ids are assigned: the dense-id prefix sum reads the
+    per-review counts and the rows, and must not run the regex chain twice.
+    """
     from reviewlake.operators import text as tx
     from reviewlake.operators.polarity import lexicon_polarity
     from reviewlake.plans.strategy import balance_for_cpu
+    from reviewlake.session import cut_lineage
     r = balance_for_cpu(reviews.select("id", "title_id", "originalText"), "id")
     n = tx.normalize_text(r, "originalText")
     j = _dictionary_join(p, n)
     j = tx.replace_metadata(j, "normalizedText", "entries", "words", out="replacedText")
-    s = j.select(F.col("id").alias("review_id"), "title_id",
-                 F.posexplode(tx.repair_sentences(tx.split_sentences("replacedText"))).alias("pos", "raw"))
-    s = s.withColumn("sentence", tx.sentence_from_tokens(tx.tokens("raw"))).where(tx.keep_sentence("sentence"))
-    s = s.withColumn("sentence", tx.add_aspect_term(tx.sentence_case("sentence")))
-    s = tx.assign_sentence_ids(s.drop("raw"), start=1)
+    j = j.select(F.col("id").alias("review_id"), "title_id",
+                 tx.repair_sentences(tx.split_sentences("replacedText")).alias("raw"))
+    j = j.select("review_id", "title_id", F.transform("raw", lambda x: tx.sentence_from_tokens(tx.tokens(x)))
+                 .alias("joined"))
+    j = j.select("review_id", "title_id", F.transform(F.filter("joined", tx.keep_sentence),
+                                                      lambda x: tx.add_aspect_term(tx.sentence_case(x))).alias("sents"))
+    j = cut_lineage(j)
+    s = j.select("review_id", "title_id", F.posexplode("sents").alias("pos", "sentence"))
+    s = tx.assign_sentence_ids(s, start=1)
     return lexicon_polarity(s, "id", "sentence", p.fx.fx_lexicon, keep=["review_id", "title_id", "sentence"])
 
 
