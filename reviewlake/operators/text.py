@@ -216,15 +216,26 @@ def tokens(c) -> Column:
     return F.arrays_zip(words.alias("word"), blanks.alias("ws"))
 
 
+# Words at least one of which every REPETITIONS_2 rule requires (derived from the rules).
+REPETITION_2_WORDS = ("another", "director", "writer", "act", "10 ", "the character", "other persons",
+                      "other features", "the the")
+
+
 def sentence_from_tokens(toks) -> Column:
     """Join tokens (word + blank, empty words dropped), collapse blanks,
     repetition clean-up (REPETITIONS_2, case-insensitive, bounded)."""
     joined = F.array_join(F.transform(F.filter(col_(toks), lambda t: t["word"] != ""),
                                       lambda t: F.concat(t["word"], t["ws"])), "")
     s = _collapse(joined)
+    chain = s
     for p, r in R.REPETITIONS_2:
-        s = _collapse(replace(s, _bounded(p), r, ignore_case=True))
-    return _collapse(s)
+        chain = _collapse(replace(chain, _bounded(p), r, ignore_case=True))
+    # every rule needs one of these words (any case); other sentences only get the blank collapse
+    folded = F.translate(F.lower(s), "\u017f\u212a", "sk")
+    gate = F.lit(False)
+    for w in REPETITION_2_WORDS:
+        gate = gate | folded.contains(w)
+    return _collapse(F.when(gate, chain).otherwise(s))
 
 
 def keep_sentence(c) -> Column:
