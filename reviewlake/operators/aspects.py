@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from reviewlake.functions.columns import at
 from pyspark.sql.window import Window as W
 
-from reviewlake.config import LIMITS
 from reviewlake.operators.polarity import lexicon_polarity, with_polarity_bin
 from reviewlake.plans.strategy import balance_for_cpu, broadcast_if_small, literal_bound
 

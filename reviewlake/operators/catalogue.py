@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.config import TitleFilter
-from reviewlake.functions.columns import (bit, clean_characters, clean_person_name, glob_has_letter,
-                                          short_or_symbolic, trim_chars)
-from reviewlake.plans.strategy import broadcast_if_small, salted_join
+from reviewlake.functions.columns import bit, clean_characters, clean_person_name, short_or_symbolic, trim_chars
+from reviewlake.plans.strategy import broadcast_if_small
 
 
 def filter_titles(titles: DataFrame, f: TitleFilter = TitleFilter()) -> DataFrame:
@@ -182,5 +181,3 @@ def flag_titles_ambiguous(titles: DataFrame, ambiguous: DataFrame) -> DataFrame:
     return t.withColumn("ambiguous_title", amb_t.cast("int")) \
         .withColumn("ambiguous_subtitle", amb_s.cast("int")).drop("__ht", "__hs")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["glob_has_letter", "salted_join"]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from reviewlake import config
 from reviewlake.functions.columns import has_genre
-from reviewlake.plans.strategy import broadcast_if_small
 
 
 def reviews_for_title(reviews: DataFrame, title_id: str | None = None) -> DataFrame:

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from reviewlake import config
 from reviewlake.functions import rules as R
 from reviewlake.functions.columns import at, col_
-from reviewlake.functions.regex import (gated_pass, java_pattern, java_replacement, nfkc_strip,
-                                        replace, ungated_chain)
+from reviewlake.functions.regex import gated_pass, java_pattern, nfkc_strip, replace
 from reviewlake.plans.strategy import grouped_prefix_sum
 
 SEP = "\u0001"
@@ -51,7 +50,7 @@ def _collapse(c: Column) -> Column:
     return F.regexp_replace(c, "  +", " ")
 
 
-def _apply_entry(acc: Column, e: Column, fallback_only: bool = False) -> Column:
+def _apply_entry(acc: Column, e: Column) -> Column:
     """Replace one dictionary entry in ``acc`` (quotes, parentheses for people,
     then the bounded form; case-sensitive iff the escaped search has no blank)."""
     esc = e["strSearchEscaped"]

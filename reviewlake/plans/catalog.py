@@ -157,7 +157,6 @@ def q_principals(p):
 @register("characters_clean", """SELECT DISTINCT c0 AS raw, characters FROM ox_principal_f""")
 def q_characters(p):
     from reviewlake.functions.columns import clean_characters, trim_chars
-    from reviewlake.operators.catalogue import filter_principals  # noqa: F401
     raw = p.fx.fx_principal.join(p.titles.select(F.col("id").alias("tconst")), "tconst", "left_semi")
     return raw.select(trim_chars("characters", '][""').alias("raw"),
                       clean_characters("characters", "category").alias("characters")).distinct()
