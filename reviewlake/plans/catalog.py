@@ -881,3 +881,20 @@ def q_refresh_people(p):
     from reviewlake.operators.upsert import refresh_people
     old = p.titles.where(F.col("startYear") < 2010)
     return refresh_people(old, p.titles).select("id")
+
+
+# -- ids and per-context categories (P17, J7) -------------------------------------------
+
+@register("sentence_ids", "SELECT id, review_id, pos FROM ox_sentence")
+def q_sentence_ids(p):
+    """Dense sentence ids continuing from 1 in (review_id, pos) order."""
+    return p.sentences.select("id", "review_id", F.col("pos").cast("int").alias("pos"))
+
+
+@register("span_categories", """SELECT s.sentence_id, s.start, s."end", c.category FROM ox_span s
+ JOIN ox_cat c ON c.context = s.context""")
+def q_span_categories(p):
+    """Categories computed once per distinct context window, joined back to the spans."""
+    from reviewlake.operators.aspects import context_categories_distinct, sorted_terms_literal
+    j = context_categories_distinct(p.spans, sorted_terms_literal(p.terms))
+    return j.select("sentence_id", "start", "end", F.explode("categories").alias("category"))
