@@ -79,20 +79,25 @@ def replace_with_dictionary(text: Column, entries: Column) -> Column:
         .otherwise(_collapse(acc)))
 
 
-def replace_metadata(df: DataFrame, text: str, entries: str, words: str, out: str | None = None) -> DataFrame:
+def replace_metadata(df: DataFrame, text: str, entries: str, words: str, out: str | None = None,
+                     titled: Column | None = None) -> DataFrame:
     """X7-X9 over a DataFrame carrying the title dictionary as an array column.
 
     ``words`` is the array of upper-cased words of all search strings of the
     title (including skipped entries); an abbreviation is only rewritten when
-    it is not one of them (X9).
+    it is not one of them (X9). The repetition and abbreviation rules run for
+    every review that has a title (``titled``; default: a non-null
+    ``title_id``), also when the title's dictionary is empty.
     """
     out = out or text
+    if titled is None:
+        titled = F.col("title_id").isNotNull() if "title_id" in df.columns else F.size(F.col(entries)) > 0
     d = df.withColumn(out, F.when(F.size(F.col(entries)) > 0,
                                   replace_with_dictionary(F.col(text), F.col(entries)))
                       .otherwise(F.col(text)))
     # Repetitions, ungated, case-insensitive, inside the word bounds; blanks collapsed after each.
     c = F.col(out)
-    has_dict = F.size(F.col(entries)) > 0
+    has_dict = titled
     rep = c
     for p, r in R.REPETITIONS_1:
         rep = _collapse(replace(rep, _bounded(p), r, ignore_case=True))
