@@ -53,15 +53,34 @@ def ungated_chain(c: Column, rules, ignore_case: bool = False, wrap=None) -> Col
     return c
 
 
-def gated_pass(df: DataFrame, column: str, rules, ignore_case: bool = False) -> DataFrame:
-    """One pandas-style gated pass over ``column`` (see module docstring)."""
+NON_ASCII = object()
+
+
+def _prefilter(start: Column, needs) -> Column:
+    """Necessary condition for a match: the text holds one of ``needs``
+    (literal substrings, or NON_ASCII = some multi-byte character). Byte-level
+    tests on the UTF-8 value, no decoding and no regex scan."""
+    cond = F.lit(False)
+    for n in needs:
+        cond = cond | ((F.length(start) != F.octet_length(start)) if n is NON_ASCII else start.contains(n))
+    return cond
+
+
+def gated_pass(df: DataFrame, column: str, rules, ignore_case: bool = False, prefilters: dict | None = None) -> DataFrame:
+    """One pandas-style gated pass over ``column`` (see module docstring).
+
+    ``prefilters`` maps a rule pattern to literals of which every match
+    contains at least one; the regex gate then only runs on texts that have
+    one (exact: the prefilter is a necessary condition of the gate)."""
     start = f"__{column}_start"
     out = df.withColumn(start, F.col(column))
     for p, r in rules:
         jp, jr = java_pattern(p, ignore_case), java_replacement(r)
+        gate = F.col(start).rlike(jp)
+        if prefilters and p in prefilters:
+            gate = _prefilter(F.col(start), prefilters[p]) & gate
         out = out.withColumn(
-            column,
-            F.when(F.col(start).rlike(jp), F.regexp_replace(F.col(column), jp, jr)).otherwise(F.col(column)))
+            column, F.when(gate, F.regexp_replace(F.col(column), jp, jr)).otherwise(F.col(column)))
     return out.drop(start)
 
 

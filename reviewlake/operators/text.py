@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reviewlake import config
 from reviewlake.functions import rules as R
 from reviewlake.functions.columns import at, col_
-from reviewlake.functions.regex import gated_pass, java_pattern, nfkc_strip, replace
+from reviewlake.functions.regex import NON_ASCII, gated_pass, java_pattern, nfkc_strip, replace
 from reviewlake.plans.strategy import grouped_prefix_sum
 
 SEP = "\u0001"
@@ -28,11 +28,26 @@ def collapse_spaced_initials(c) -> Column:
     return F.regexp_replace(col_(c), java_pattern(_SPACED_INITIAL_BLANK), "")
 
 
+def _normalize_prefilters() -> dict:
+    """Literals every match of the costliest normalisation rules must contain
+    (derived from the patterns; each is a necessary condition)."""
+    p1, p2 = R.NORMALIZE_PASS_1, R.NORMALIZE_PASS_2
+    nl = ("\n",)
+    out = {p1[0][0]: ("://", "www."), p1[1][0]: (".com", ".net", ".htm"), p1[2][0]: ("#", "@"),
+           p1[18][0]: (NON_ASCII,), p1[29][0]: (NON_ASCII,), p1[30][0]: ("''", "`", NON_ASCII),
+           p1[31][0]: (NON_ASCII,), p2[0][0]: ("_", "~", "{", "}", ">", "<", NON_ASCII), p2[1][0]: nl,
+           p2[2][0]: ("@",)}
+    for i in range(3, 8):
+        out[p1[i][0]] = nl
+    return out
+
+
 def normalize_text(df: DataFrame, src: str, out: str = "normalizedText") -> DataFrame:
     """Spaced initials, four gated regex passes, NFKC + strip."""
     d = df.withColumn(out, collapse_spaced_initials(src))
+    pre = _normalize_prefilters()
     for rules in R.NORMALIZE_PASSES:
-        d = gated_pass(d, out, rules)
+        d = gated_pass(d, out, rules, prefilters=pre)
     return d.withColumn(out, nfkc_strip(F.col(out)))
 
 
