@@ -7,8 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality, warc
-from .common import table
+from . import chat_format, packing, quality, tokens, warc
+from .common import table, written
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file that the queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = written(packing.token_counts(table(spark, sf_dir, "documents"), tokenizer_path()), "token-counts")
+    return packing.pack(counts)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +45,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_quality_rules, op9_chat_format, op10_warc)
+    f.__name__: f for f in (op2_token_ids, op3_packing, op8_quality_rules, op9_chat_format, op10_warc)
 }
