@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality, tokens, warc
+from . import chat_format, decontaminate, packing, pii, quality, tokens, warc
 from .common import table, written
 
 
@@ -18,6 +18,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,5 +54,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_ids, op3_packing, op5_decontaminate, op8_quality_rules, op9_chat_format, op10_warc)
+    f.__name__: f for f in (op1_pii, op2_token_ids, op3_packing, op5_decontaminate, op8_quality_rules, op9_chat_format, op10_warc)
 }
