@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, pii, quality, tokens, warc
+from . import chat_format, decontaminate, packing, pii, quality, tokens, toxicity, warc
 from .common import table, written
 
 
@@ -32,6 +32,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(counts)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,5 +59,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_token_ids, op3_packing, op5_decontaminate, op8_quality_rules, op9_chat_format, op10_warc)
+    f.__name__: f for f in (op1_pii, op2_token_ids, op3_packing, op4_toxicity, op5_decontaminate, op8_quality_rules, op9_chat_format, op10_warc)
 }
