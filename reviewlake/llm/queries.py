@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, ngram_join, packing, pii, quality, tokens, toxicity, warc
+from . import chat_format, decontaminate, ngram_join, packing, pii, quality, suffix_dedup, tokens, toxicity, warc
 from .common import table, written
 
 
@@ -45,6 +45,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents")).drop("sid")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
@@ -63,5 +67,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_token_ids, op3_packing, op4_toxicity, op5_decontaminate, op6_ngram_join, op8_quality_rules, op9_chat_format, op10_warc)
+    f.__name__: f for f in (op1_pii, op2_token_ids, op3_packing, op4_toxicity, op5_decontaminate, op6_ngram_join, op7_suffix_dedup, op8_quality_rules, op9_chat_format, op10_warc)
 }
