@@ -1,0 +1,40 @@
+"""The pipeline's stages against plain versions, each on its own input."""
+
+import corpus_pipeline as cp
+from reviewlake.llm import decontaminate, ngram_join, quality
+from reviewlake.llm.common import table, written
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, tokenizer):
+    docs = table(spark, SF, "documents")
+    columns = docs.columns
+    kinds = [8, 6, 5, 1, 3]
+    assert len(cp.STAGES) == len(kinds)
+    for n, (name, stage) in enumerate(cp.STAGES):
+        before = {r.doc_id: r for r in docs.collect()}
+        out = written(stage(spark, docs, SF), "test-stage")
+        if n < 4:
+            assert out.columns == columns, name
+        after = {r.doc_id: r for r in out.collect()}
+        if n == 0:
+            assert set(after) == {i for i, r in before.items() if quality.judge(r.text, quality.LineRules())[0][6]}
+        elif n == 1:
+            from test_search import brute_links
+            rows = [(i, r.text) for i, r in before.items()]
+            assert set(after) == {c for _, c, _ in brute_links(rows)}
+            assert all(after[i] == before[i] for i in after)
+        elif n == 2:
+            items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
+            held = [b" ".join(decontaminate.words_of(t)) for _, t in items if len(decontaminate.words_of(t)) > 4]
+            leaky = {i for i, r in before.items() if any(b" " + h + b" " in b" " + b" ".join(decontaminate.words_of(r.text)) + b" " for h in held)}
+            assert set(after) == set(before) - leaky
+        elif n == 3:
+            from test_models import plain
+            assert set(after) == set(before) and not any(plain(r.text) for r in after.values())
+            assert all(r.n_chars == len(r.text) for r in after.values())
+        docs = out
+    total = sum(r.n_tokens for r in docs.collect())
+    assert cp.run(spark, SF).agg({"n_tokens": "sum"}).first()[0] == total
+    assert ngram_join.Join().threshold == 0.8
