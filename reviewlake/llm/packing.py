@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of, written
-from .tokens import WordEncoder
+from .tokens import word_encoder
 
 MAX_LEN, N_BUCKETS, TOKEN_BUDGET = 2048, 8, 65_536
 
@@ -35,9 +35,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, n_tokens) of whole texts, the end id included."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = word_encoder(tokenizer_path)
         for b in batches:
-            encoder = encoder or WordEncoder(tokenizer_path)
             n = [encoder.count(t.as_py()) + 1 for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 

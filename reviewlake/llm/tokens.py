@@ -32,6 +32,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 from unicodedata import is_normalized
 
@@ -66,6 +67,25 @@ def pieces(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield data[at:]
 
 
+#: Byte-level vocabularies write a byte as the Latin-1 character of its number
+#: where that is printable, the others, in order, as the characters from 256 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = dict(zip(sorted(set(range(256)) - PRINTABLE), range(256, 512), strict=False))
+
+
+class Numbers(dict):
+    """Numbers words as they are first looked up; ``new`` are those not encoded yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """Whole-text ids by looking up each word; about ``most`` words are kept.
 
@@ -78,38 +98,38 @@ class WordEncoder:
 
     SYMBOL = re.compile(rb"([A-Za-z0-9])([.,!?%&$*#])")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share an executor's cores already
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        #: The same merges for words that normalizer and pre-tokenizer leave whole.
-        self.merges = Tokenizer(self.tokenizer.model)
-        self.merges.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Its merges alone, for words that normalizer and pre-tokenizer leave whole.
+        self.merge = self.tokenizer.model.tokenize
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = Numbers()
         self.lens, self.offs, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), \
             np.zeros(1 << 18, np.uint32), 0
 
     def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8") for w in words]
-        whole = [t.isalpha() and t == t.lower() and is_normalized("NFC", t) for t in texts]
-        plain = self.merges.encode_batch_fast([t for t, ok in zip(texts, whole, strict=True) if ok])
-        other = self.tokenizer.encode_batch_fast([t for t, ok in zip(texts, whole, strict=True) if not ok],
-                                                 add_special_tokens=False)
-        words = [w for w, ok in zip(words, whole, strict=True) if ok] + \
-            [w for w, ok in zip(words, whole, strict=True) if not ok]
-        ids = [e.ids for e in (*plain, *other)]
+        """Encode the words that the table has numbered last."""
+        ids, other = [], []
+        for w in words:
+            t = w.decode("utf-8")
+            if t.isalpha() and t == t.lower() and is_normalized("NFC", t):
+                ids.append([x.id for x in self.merge(t if t.isascii() else w.decode("latin-1").translate(BYTE_CHARS))])
+            else:
+                ids.append(None)
+                other.append(t)
+        encoded = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False))
+        ids = [next(encoded).ids if x is None else x for x in ids]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = len(self.number), int(lens.sum())
+        n, total = len(self.number) - len(words), int(lens.sum())
         while len(self.lens) < n + len(ids):
             self.lens, self.offs = (np.concatenate([a, np.zeros_like(a)]) for a in (self.lens, self.offs))
         while len(self.pool) < self.used + total:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.number.update(zip(words, range(n, n + len(words)), strict=True))
         self.lens[n:n + len(ids)] = lens
         self.offs[n:n + len(ids)] = self.used + np.cumsum(lens) - lens
         self.pool[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
@@ -120,13 +140,14 @@ class WordEncoder:
         text = self.SYMBOL.sub(rb"\1 \2", text)
         if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
             text = text.lower()
+        if len(self.number) > self.most:
+            self.clear()
         words = text.split()
-        if new := set(words).difference(self.number):
-            if len(self.number) > self.most:
-                self.clear()
-                new = set(words)
-            self._learn(list(new))
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if self.number.new:
+            self._learn(self.number.new)
+            self.number.new = []
+        return found
 
     def count(self, text: str) -> int:
         total = 0
@@ -146,6 +167,12 @@ class WordEncoder:
         return self.pool[np.repeat(self.offs[numbers] - ends + lens, lens) + np.arange(total)]
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """A worker's encoder: its table of words serves one task after another."""
+    return WordEncoder(path)
+
+
 WIDTHS = np.ceil(np.log2(np.arange(1 << 16) + 1.0)).astype(np.uint8)
 
 
@@ -267,7 +294,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str) -> DataFrame:
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 if out is None:
-                    encoder = WordEncoder(tokenizer_path)
+                    encoder = word_encoder(tokenizer_path)
                     fs, base = open_fs(folder)
                     fs.create_dir(base, recursive=True)
                     path = f"{base}/ids-{uuid.uuid4().hex}.s8b"
