@@ -45,8 +45,10 @@ def absa_dataset(sentences: DataFrame, sentence_aspect: DataFrame, reviews: Data
     polarity the first quota-1 sentences by id are taken (not yet picked, of
     the genre); all gold rows of the picked sentences are returned, tagged
     'train' when their rank among the picked sentences is below
-    max rank × train_split. aspect_id is carried (trap H12). Each step is
-    checkpointed into the shared checkpoint folder to cut lineage.
+    max rank × train_split. The rows returned are distinct without the aspect
+    (a sentence's label counts once); the aspect is only carried between steps
+    for the quota (trap H12). Each step is checkpointed into the shared
+    checkpoint folder to cut lineage.
     """
     # the inputs are read by every step: materialise them once (reliable checkpoint)
     gold = cut_lineage(sentence_aspect.where(F.col("verified") == 1)
@@ -79,7 +81,10 @@ def absa_dataset(sentences: DataFrame, sentence_aspect: DataFrame, reviews: Data
             "aspect_id").distinct()
         dataset = rows if dataset is None else dataset.unionByName(rows)
         dataset = cut_lineage(dataset)
-    return dataset
+    if dataset is None:
+        schema = "id long, text string, span string, label string, ordinal int, dataset string"
+        return sentences.sparkSession.createDataFrame([], schema)
+    return dataset.drop("aspect_id").distinct()
 
 
 def split_tag(ids: DataFrame, train_split: float = config.TRAIN_SPLIT) -> DataFrame:
@@ -92,10 +97,12 @@ def split_tag(ids: DataFrame, train_split: float = config.TRAIN_SPLIT) -> DataFr
 
 def downsample(df: DataFrame, label: str, order: str = "id") -> DataFrame:
     """Keep rows whose 0-based position within their class is ≤ the
-    smallest class size (so min+1 rows of larger classes, trap H11)."""
-    m = df.groupBy(label).count().agg(F.min("count").alias("m")).first().m
-    w = W.partitionBy(label).orderBy(order)
-    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= m + 1).drop("__n")
+    smallest class size (so min+1 rows of larger classes, trap H11).
+    Positions are prefix sums over blocks of ``order``: a class is never sorted in one task."""
+    m = df.groupBy(label).count().agg(F.min("count").alias("m")).first().m or 0
+    ids = df.select(label, order).withColumn("__one", F.lit(1))
+    place = grouped_prefix_sum(ids, [label], order, "__one", "__n").where(F.col("__n") <= m + 1)
+    return df.join(place.select(label, order), [label, order], "left_semi")
 
 
 def shuffled(df: DataFrame, seed: int = config.SEED, key: str = "id") -> DataFrame:

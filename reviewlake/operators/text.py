@@ -65,10 +65,15 @@ def _collapse(c: Column) -> Column:
     return F.regexp_replace(c, "  +", " ")
 
 
+def _literal_braces(escaped: Column) -> Column:
+    """Braces of a search string for a Java pattern (Python takes them literally)."""
+    return F.regexp_replace(escaped, r"([{}])", r"\\$1")
+
+
 def _apply_entry(acc: Column, e: Column) -> Column:
     """Replace one dictionary entry in ``acc`` (quotes, parentheses for people,
     then the bounded form; case-sensitive iff the escaped search has no blank)."""
-    esc = e["strSearchEscaped"]
+    esc = _literal_braces(e["strSearchEscaped"])
     repl = F.regexp_replace(e["strReplace"], r"([\\$])", r"\\$1")
     quoted = F.regexp_replace(acc, F.concat(F.lit("(?iu)['\"]"), esc, F.lit("['\"]")), repl)
     paren_pat = F.when(e["category"] == "PERSON", F.concat(F.lit("(?iu)\\( ?"), esc, F.lit(" ?\\)"))) \
@@ -128,20 +133,41 @@ def replace_metadata(df: DataFrame, text: str, entries: str, words: str, out: st
     return d
 
 
-def conflict_fallback(df: DataFrame, text: str, entries: str, out: str | None = None) -> DataFrame:
-    """For entries that conflict (title = a name) but are not ambiguous,
-    replace the first entry per search string by its phrase (the model branch
-    that would pick by entity type is not built). Case-insensitive iff the
-    search string holds a blank."""
-    out = out or text
-    cand = F.filter(F.col(entries), lambda e: e["conflicts"] & ~e["ambiguous"])
-
-    def step(acc, e):
-        flags = F.when(e["strSearch"].contains(" "), F.lit("(?iu)")).otherwise(F.lit("(?u)"))
-        pat = F.concat(flags, F.lit(_PREFIX), e["strSearchEscaped"], F.lit(_SUFFIX))
-        return F.regexp_replace(acc, pat, F.regexp_replace(e["strReplace"], r"([\\$])", r"\\$1"))
-
-    return df.withColumn(out, F.aggregate(cand, F.col(text), step))
+def conflict_entries(entries) -> Column:
+    """The first entry of every search string that conflicts or is
+    ambiguous; a string whose first entry is ambiguous is left out."""
+    doubtful = F.filter(col_(entries), lambda e: e["conflicts"] | e["ambiguous"])
+    names = F.transform(doubtful, lambda e: e["strSearch"])
+    first = F.filter(doubtful, lambda e, i: F.array_position(names, e["strSearch"]) == i + 1)
+    return F.filter(first, lambda e: ~e["ambiguous"])
+
+
+def resolve_conflicts(sentences, entries) -> Column:
+    """X13 per sentence, as the fallback without entity types: a search string
+    that occurs (in any case if it holds a blank) is replaced by its phrase; a
+    sentence that changed loses the quotes around the title phrase and gets
+    the X8 rules."""
+    wanted = conflict_entries(entries)
+
+    def step(acc: Column, e: Column) -> Column:
+        blank = e["strSearch"].contains(" ")
+        there = F.when(blank, F.lower(acc).contains(F.lower(e["strSearch"]))).otherwise(acc.contains(e["strSearch"]))
+        pattern = F.concat(F.when(blank, F.lit("(?iu)")).otherwise(F.lit("(?u)")), F.lit(_PREFIX),
+                           _literal_braces(e["strSearchEscaped"]), F.lit(_SUFFIX))
+        phrase = F.regexp_replace(e["strReplace"], r"([\\$])", r"\\$1")
+        return F.when(there, F.regexp_replace(acc, pattern, phrase)).otherwise(acc)
+
+    def tidy(x: Column) -> Column:
+        c = F.regexp_replace(x, "['\"]this movie['\"]", "this movie")
+        for p, r in R.REPETITIONS_1:
+            c = replace(c, _bounded(p), r, ignore_case=True)
+        return _collapse(c)
+
+    def one(sentence: Column) -> Column:
+        new = F.aggregate(wanted, sentence, step)
+        return F.when(new == sentence, sentence).otherwise(tidy(new))
+
+    return F.when(F.size(wanted) == 0, col_(sentences)).otherwise(F.transform(col_(sentences), one))
 
 
 # -- X10-X11: sentences ----------------------------------------------------------

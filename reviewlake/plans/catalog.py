@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from reviewlake.functions.columns import round_half_up
+from reviewlake import config
 from reviewlake.plans import oracle as O
 from reviewlake.plans.pipeline import Pipeline
 
@@ -469,11 +470,13 @@ def q_anti_new(p):
 
 # -- sampling (W1, W3, W4, W7) --------------------------------------------------------
 
-_W1 = f"""WITH t AS (SELECT DISTINCT s.id, w.aspect_id, {O._BIN.format(c='s.polComp')} AS polarity
- FROM ox_polarity s JOIN fx_term w ON lower(s.sentence) LIKE '% ' || lower(w.term) || ' %'),
- k AS (SELECT DISTINCT id FROM (SELECT id, DENSE_RANK() OVER (PARTITION BY aspect_id, polarity ORDER BY id) AS n
-   FROM t) x WHERE n < 42)
- SELECT s.id, s.sentence AS text, r.rating FROM k JOIN ox_polarity s ON s.id = k.id JOIN ox_review r ON r.id = s.review_id"""
+# Per (aspect, bin) the id at which the 41 lowest ids end; ids up to it are taken
+_W1 = f"""WITH found AS (SELECT s.id, w.aspect_id, {O._BIN.format(c='s.polComp')} AS bin FROM ox_polarity s JOIN fx_term w
+  ON contains(lower(s.sentence), ' ' || lower(w.term) || ' ')),
+ ends AS (SELECT aspect_id, bin, coalesce(list_sort(list_distinct(list(id)))[{config.ASPECT_LIMIT - 1}], max(id)) AS last
+  FROM found GROUP BY aspect_id, bin)
+ SELECT s.id, s.sentence AS text, r.rating FROM ox_polarity s JOIN ox_review r ON r.id = s.review_id
+ WHERE s.id IN (SELECT f.id FROM found f JOIN ends e ON e.aspect_id = f.aspect_id AND e.bin = f.bin WHERE f.id <= e.last)"""
 
 
 @register("sample_sentences", _W1)
@@ -505,13 +508,16 @@ def q_shuffled(p):
     return shuffled(p.reviews.where(F.col("usage") == "train").select("id"))
 
 
-@register("absa_dataset")
+@register("absa_dataset", O.ABSA)
 def q_absa(p):
     from reviewlake.operators.sampling import absa_dataset
     return absa_dataset(p.polarity, p.sentence_aspect, p.reviews, genre_id=8)
 
 
-@register("training_set")
+@register("training_set", f"""SELECT id, text, span, label, ordinal, dataset, NULL AS aspect_id FROM ({O.ABSA}) a
+ UNION ALL SELECT DISTINCT NULL, 'Overall: ' || CAST(rating AS VARCHAR) || '/10', 'Overall',
+ {O._LABEL.format(b='least(greatest((rating + 1) // 2, 1), 5)')}, 0,
+ CASE WHEN usage = 'test' THEN 'eval' ELSE 'train' END, 11 FROM ox_review""")
 def q_training_set(p):
     from reviewlake.functions.columns import polarity_label
     from reviewlake.operators.sampling import absa_dataset, training_set
@@ -593,9 +599,11 @@ def q_abbreviations(p):
 
 @register("conflict_fallback")
 def q_conflict_fallback(p):
-    from reviewlake.operators.text import conflict_fallback
-    j = _dictionary_join(p, _normalized(p))
-    return conflict_fallback(j, "normalizedText", "entries", out="fallbackText").select("id", "fallbackText")
+    """X13 on the repaired sentences of every review."""
+    from reviewlake.operators import text as tx
+    j = _dictionary_join(p, _normalized(p)).select("id", "entries", tx.repair_sentences(
+        tx.split_sentences("normalizedText")).alias("raw"))
+    return j.select("id", F.posexplode(tx.resolve_conflicts("raw", "entries")).alias("pos", "sentence"))
 
 
 @register("sentence_repair")
@@ -605,9 +613,10 @@ def q_sentence_repair(p):
     return n.select("id", F.posexplode(repair_sentences(split_sentences("normalizedText"))).alias("pos", "sentence"))
 
 
-def preprocess(p, reviews):
-    """Normalise -> replace -> split -> repair -> tokens -> clean-up ->
-    rating phrase -> polarity, as one job over all titles.
+def preprocess(p, reviews, start: int = 1):
+    """Normalise -> replace -> split -> repair -> conflicts -> tokens ->
+    clean-up -> rating phrase -> polarity, as one job over all titles;
+    sentence ids begin at ``start``.
 
     The cleaned sentence array of each review is written once (reliable
     checkpoint) before ids are assigned: the dense-id prefix sum reads the
@@ -621,15 +630,16 @@ def preprocess(p, reviews):
     n = tx.normalize_text(r, "originalText")
     j = _dictionary_join(p, n)
     j = tx.replace_metadata(j, "normalizedText", "entries", "words", out="replacedText")
-    j = j.select(F.col("id").alias("review_id"), "title_id",
+    j = j.select(F.col("id").alias("review_id"), "title_id", "entries",
                  tx.repair_sentences(tx.split_sentences("replacedText")).alias("raw"))
+    j = j.select("review_id", "title_id", tx.resolve_conflicts("raw", "entries").alias("raw"))
     j = j.select("review_id", "title_id", F.transform("raw", lambda x: tx.sentence_from_tokens(tx.tokens(x)))
                  .alias("joined"))
     j = j.select("review_id", "title_id", F.transform(F.filter("joined", tx.keep_sentence),
                                                       lambda x: tx.add_aspect_term(tx.sentence_case(x))).alias("sents"))
     j = cut_lineage(j)
     s = j.select("review_id", "title_id", F.posexplode("sents").alias("pos", "sentence"))
-    s = tx.assign_sentence_ids(s, start=1)
+    s = tx.assign_sentence_ids(s, start=start)
     return lexicon_polarity(s, "id", "sentence", p.fx.fx_lexicon, keep=["review_id", "title_id", "sentence"])
 
 
@@ -766,7 +776,7 @@ def q_stream_preprocess(p):
     """Review files arrive; each micro-batch is preprocessed."""
     from reviewlake.streaming.increments import scratch, stream_preprocess
     src = _staged_reviews(p, "reviews-in")
-    out = stream_preprocess(p.spark, src, scratch(p.spark, "sentences-out"), lambda b: preprocess(p, b))
+    out = stream_preprocess(p.spark, src, scratch(p.spark, "sentences-out"), lambda b, start: preprocess(p, b, start))
     return rounded(out.drop("batch"))
 
 

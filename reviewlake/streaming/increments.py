@@ -32,40 +32,61 @@ def _run(writer, checkpoint: str):
 
 def stream_batches(spark: SparkSession, src: str, schema, out: str, process, max_files: int = 1,
                    checkpoint: str | None = None) -> None:
-    """Run ``process(batch_df)`` over every new file of ``src``; results go to
-    ``out/batch=<id>`` (overwrite per batch id = idempotent retries)."""
+    """Run ``process(batch_df, batch_id)`` over every new file of ``src``; results
+    go to ``out/batch=<id>`` (overwrite per batch id = idempotent retries)."""
     ckpt = checkpoint or out + "_ckpt"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(src)
+    _run(stream.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, out, process)), ckpt)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        process(batch).write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
-    _run(stream.writeStream.foreachBatch(each), ckpt)
+def write_batch(batch: DataFrame, batch_id: int, out: str, process) -> None:
+    """One micro-batch; also what a retry of the batch runs again."""
+    process(batch, batch_id).write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+
+
+def earlier(spark: SparkSession, out: str, batch_id: int, schema: str) -> DataFrame:
+    """Rows (``schema``) that batches before ``batch_id`` have written: never
+    those of the batch itself, so a retry sees what its first attempt saw."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, batch bigint").option("basePath", out).parquet(out)
+    return rows.where(F.col("batch") < batch_id).drop("batch")
+
+
+def preprocess_batch(spark: SparkSession, out: str, preprocess):
+    """T1 for one batch: sentence ids continue from the greatest id stored by earlier batches."""
+    def process(batch: DataFrame, batch_id: int) -> DataFrame:
+        last = earlier(spark, out, batch_id, "id bigint").agg(F.max("id")).first()[0] or 0
+        return preprocess(batch, last + 1)
+    return process
 
 
 def stream_preprocess(spark: SparkSession, src: str, out: str, preprocess) -> DataFrame:
     """New reviews only — each micro-batch of review files is split into
-    sentences with polarity by ``preprocess`` (a batch function)."""
+    sentences with polarity by ``preprocess(batch, first id)``."""
     schema = spark.read.parquet(src).schema
-    stream_batches(spark, src, schema, out, preprocess)
+    stream_batches(spark, src, schema, out, preprocess_batch(spark, out, preprocess))
     return spark.read.parquet(out)
 
 
+def predict_batch(spark: SparkSession, out: str, predict, keys: list[str]):
+    """T2 for one batch: rows whose key an earlier batch has written are
+    skipped; among equal keys of the batch the least row wins."""
+    def process(batch: DataFrame, batch_id: int) -> DataFrame:
+        rows = predict(batch)
+        rest = [c for c in rows.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(*rows.columns)
+        types = dict(rows.dtypes)
+        done = earlier(spark, out, batch_id, ", ".join(f"{k} {types[k]}" for k in keys))
+        return rows.join(done, keys, "left_anti")
+    return process
+
+
 def stream_predict(spark: SparkSession, src: str, out: str, predict, keys: list[str]) -> DataFrame:
     """Predict aspect rows chunk by chunk; rows already written (same
     key) are skipped, so a re-run after a failure inserts nothing twice."""
     schema = spark.read.parquet(src).schema
-
-    def process(batch: DataFrame) -> DataFrame:
-        rows = predict(batch).dropDuplicates(keys)
-        try:
-            done = spark.read.parquet(out).select(*keys)
-            rows = rows.join(done, keys, "left_anti")
-        except Exception:  # noqa: BLE001 - no output yet
-            pass
-        return rows
-
-    stream_batches(spark, src, schema, out, process)
+    stream_batches(spark, src, schema, out, predict_batch(spark, out, predict, keys))
     return spark.read.parquet(out).drop("batch")
 
 
@@ -82,6 +103,3 @@ def stage_files(df: DataFrame, path: str, files: int = 4, key: str = "id") -> st
     """Write ``df`` as several parquet files (stream input for tests/queries)."""
     df.repartition(files, key).write.mode("overwrite").parquet(path)
     return path
-
-
-__all__ = ["stream_preprocess", "stream_predict", "stream_dedupe", "stage_files", "scratch", "F"]

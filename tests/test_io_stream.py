@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from reviewlake.sources import io
-from reviewlake.streaming.increments import scratch, stage_files, stream_dedupe, stream_preprocess
+from reviewlake.streaming.increments import predict_batch, preprocess_batch, scratch, stream_dedupe, write_batch
 
 
 def test_labeled_dirs(spark, tmp_path):
@@ -57,17 +57,32 @@ def test_stream_dedupe_equals_batch(spark):
     assert sorted(map(tuple, out.collect())) == [(1, "a"), (2, "b")]
 
 
-def test_stream_preprocess_equals_batch(spark):
-    df = spark.createDataFrame([(i, f"Review {i}. It was fine! Next one here.") for i in range(6)],
-                               "id long, text string")
-    src = stage_files(df, scratch(spark, "pp-in"), files=3)
-
-    def fn(b):
-        from reviewlake.operators.text import split_sentences
-        return b.select("id", F.posexplode(split_sentences("text")).alias("pos", "s"))
-
-    out = stream_preprocess(spark, src, scratch(spark, "pp-out"), fn).drop("batch")
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, fn(df).collect()))
+def test_stream_preprocess_equals_batch(spark, pipeline):
+    """The real job: same sentences as in one batch, ids unique across micro-batches."""
+    from reviewlake.plans.catalog import QUERIES
+    cols = ["review_id", "sentence", "compound"]
+    out = QUERIES["stream_preprocess"](pipeline)
+    batch = QUERIES["preprocess_all"](pipeline)
+    assert sorted(map(tuple, out.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
+    ids = [r.id for r in out.select("id").collect()]
+    assert sorted(ids) == list(range(1, len(ids) + 1))
+
+
+def test_retried_batch_changes_nothing(spark):
+    out = scratch(spark, "retry")
+    keys = ["k"]
+    frames = [spark.createDataFrame(r, "k int, v string") for r in ([(1, "a"), (2, "b"), (2, "a")], [(2, "x"), (3, "c")])]
+    step = predict_batch(spark, out, lambda b: b, keys)
+    want = {0: [(1, "a"), (2, "a")], 1: [(3, "c")]}
+    for batch_id in (0, 1, 1, 0, 1):
+        write_batch(frames[batch_id], batch_id, out, step)
+        assert sorted(map(tuple, spark.read.parquet(f"{out}/batch={batch_id}").collect())) == want[batch_id]
+    ids = scratch(spark, "retry-ids")
+    number = preprocess_batch(spark, ids, lambda b, start: b.selectExpr(f"k + {start} - 1 AS id"))
+    one = spark.createDataFrame([(1,), (2,)], "k int")
+    for batch_id in (0, 1, 1):
+        write_batch(one, batch_id, ids, number)
+    assert sorted(r.id for r in spark.read.parquet(ids).collect()) == [1, 2, 3, 4]
 
 
 def test_terms_csv_with_bom(spark, tmp_path):
