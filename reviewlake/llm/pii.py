@@ -454,8 +454,10 @@ def examples(texts: list[str], t: Training) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, t: Training = Training()) -> dict:
     """Weights trained on at most ``t.docs`` documents of at most ``t.chars`` characters."""
+    chosen = (docs.where(F.length("text") <= t.chars).select("doc_id")
+              .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(t.docs))
     rows = (docs.where(F.length("text") <= t.chars).select("doc_id", "text")
-            .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "text").limit(t.docs).collect())
+            .join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").orderBy("doc_id", "text").limit(t.docs).collect())
     x, y = examples([r["text"] for r in rows], t)
     model = Tagger(t.hidden, t.seed)
     model.fit(x.astype(np.intp), y.astype(np.intp), t)

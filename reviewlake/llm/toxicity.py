@@ -21,6 +21,7 @@ without labels of both kinds every score is 0; further columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_windows
 
 @dataclass(frozen=True)
 class Training:
-    docs: int = 6000
+    docs: int = 4000
     chars: int = 20_000
     hidden: int = 12
     attention: int = 12
@@ -81,22 +82,19 @@ class Vocabulary:
 
     def __init__(self):
         self.number: dict[bytes, int] = {}
-        self.word, self.grams, self.sizes = [0], [[0]], [1]
+        self.word, self.flat, self.sizes = array("i", [0]), array("i", [0]), array("i", [1])
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         for w in set(words).difference(self.number):
             self.number[w] = len(self.word)
             self.word.append(word_bucket(w))
-            self.grams.append(g := gram_buckets(w))
+            self.flat.extend(g := gram_buckets(w))
             self.sizes.append(len(g))
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def arrays(self) -> None:
-        self.word = np.array(self.word)
-        self.sizes = np.array(self.sizes)
+        self.word, self.flat, self.sizes = (np.array(a) for a in (self.word, self.flat, self.sizes))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.array([g for own in self.grams for g in own], np.int32)
-        del self.grams
 
     def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word buckets, all gram buckets one after another, and the number of each."""
@@ -221,7 +219,8 @@ class Network:
         square = {k: np.full(len(self.p[k]), 1e-6, np.float32) for k in ("words", "grams")}
         for epoch in range(t.epochs):
             frozen = self.frozen()
-            table = inputs(frozen, *vocabulary.of(np.arange(len(vocabulary.word))))
+            every = np.arange(len(vocabulary.word))
+            table = np.concatenate([inputs(frozen, *vocabulary.of(every[k:k + 10_000])) for k in every[::10_000]])
             table[0] = 0
             if epoch:
                 score = score_windows(frozen, projected(frozen, table), wins)
@@ -367,13 +366,14 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> dict
     labels of both kinds."""
     known = (labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    rows = (docs.where(F.length("text") <= t.chars).select("doc_id", "text").join(known, "doc_id")
-            .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "text").limit(t.docs).collect())
-    y = np.array([r["toxic"] for r in rows], float)
+    chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(t.docs)
+    rows = (docs.where(F.length("text") <= t.chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+            .select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]))
+    y = np.array(rows["toxic"], float)
     if len(set(y.tolist())) < 2:
         return None
     net = Network(t)
-    net.fit([words_of(r["text"]) for r in rows], y)
+    net.fit([words_of(x.as_py()) for x in rows["text"]], y)
     return net.frozen()
 
 
