@@ -28,7 +28,6 @@ for encoding, so their length is not bounded.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -96,7 +95,9 @@ class WordEncoder:
     which compose before it, nor with the opening of a special token).
     """
 
-    SYMBOL = re.compile(rb"([A-Za-z0-9])([.,!?%&$*#])")
+    #: Of a byte: 1 for an ASCII letter or digit, 2 for a symbol, else 0; and its lower case.
+    KIND = np.array([2 if c in b".,!?%&$*#" else int(bytes([c]).isalnum()) for c in range(256)], np.uint8)
+    LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
     def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share an executor's cores already
@@ -137,9 +138,11 @@ class WordEncoder:
 
     def numbers(self, text: bytes) -> np.ndarray:
         """The words' numbers in the table."""
-        text = self.SYMBOL.sub(rb"\1 \2", text)
+        data = np.frombuffer(text, np.uint8)
+        kind = self.KIND[data]
         if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
-            text = text.lower()
+            data = self.LOWER[data]
+        text = np.insert(data, np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1)) + 1, 32).tobytes()
         if len(self.number) > self.most:
             self.clear()
         words = text.split()
@@ -178,6 +181,9 @@ WIDTHS = np.ceil(np.log2(np.arange(1 << 16) + 1.0)).astype(np.uint8)
 
 def bit_widths(v: np.ndarray) -> np.ndarray:
     """Bits that each value needs."""
+    if v.max(initial=0) < len(WIDTHS):
+        return WIDTHS[v]
+    v = v.astype(np.uint64)
     out = WIDTHS[v & np.uint64(0xFFFF)]
     for k in (16, 32, 48):
         high = (v >> np.uint64(k)) & np.uint64(0xFFFF)
@@ -194,14 +200,14 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     width = BLOCK + int(COUNT.max())
-    v = np.zeros((rows, width), np.uint64)
-    flat = np.zeros(rows * BLOCK, np.uint64)
-    flat[:n] = ids
-    v[:, :BLOCK] = flat.reshape(rows, BLOCK)
+    v, widest = np.zeros((rows, width), np.uint64), np.zeros((rows, width), np.uint8)
+    for to, own in ((v, ids), (widest, bit_widths(ids))):
+        to[:n // BLOCK, :BLOCK] = own[:n // BLOCK * BLOCK].reshape(-1, BLOCK)
+        to[-1, :n - (rows - 1) * BLOCK] = own[(rows - 1) * BLOCK:]
     size = np.full(rows, BLOCK)
     size[-1] = n - (rows - 1) * BLOCK
     best = np.zeros((rows, BLOCK), np.int8)
-    widest, reach = bit_widths(v), 1  # widest: the most bits of the next ``reach`` values (none past the block)
+    reach = 1  # widest: the most bits of the next ``reach`` values (none past the block)
     for sel in range(len(SELECTORS) - 1, 0, -1):  # from the fewest values a word to the most: the last that fits wins
         count, bits = SELECTORS[sel]
         while reach < count:
