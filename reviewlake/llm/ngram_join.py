@@ -256,7 +256,7 @@ def exact_counts(key: tuple, members: list[tuple], j: Join) -> list[tuple]:
         cuts = np.searchsorted(column, np.arange(0, column[-1] + 1, step))
         for k, a in enumerate(cuts):
             z = cuts[k + 1] if k + 1 < len(cuts) else len(column)
-            m = np.zeros((len(sets), step), np.float32)
+            m = np.zeros((len(sets), min(step, int(column[-1]) + 1 - k * step)), np.float32)
             m[owner[a:z], column[a:z] - k * step] = 1
             both += m @ m.T
     over, under = j.over
