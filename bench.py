@@ -23,15 +23,16 @@ from reviewlake.plans.catalog import QUERIES  # noqa: E402
 from reviewlake.plans.pipeline import STAGES, Pipeline  # noqa: E402
 from reviewlake.session import build_session  # noqa: E402
 
+# Stage builds (``build_*``) are the headline; the queries after them compute
+# something beyond the stage tables.
 HEADLINE = [
-    "review_features",      # flagship: sentences -> polarity -> spans -> aspect rows -> wide features
-    "lexicon_polarity",     # M1 over every sentence
-    "aspect_polarity",      # M4 + M5 + M3
-    "normalize_full",       # X1-X6: 88 gated regex rules + NFKC on whole texts
-    "preprocess_all",       # X16 end to end
-    "metadata_dictionary",  # N9-N14 for all titles
-    "sample_sentences",     # W1 (top-k per group)
-    "title_genres",         # catalogue import
+    "review_features",         # flagship: joins polarity, spans and aspect rows into wide features
+    "preprocessed_features",   # the flagship on cleaned sentences
+    "normalize_full",          # X1-X6 on whole texts
+    "replace_metadata",        # X7-X9
+    "sample_sentences",        # W1 (top-k per group)
+    "sentence_parts",          # W5
+    "name_branches",           # U2
 ]
 
 

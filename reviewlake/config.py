@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Fixed values that must equal the original pipeline's for equal results.
 # Title import filters (types, adult flag, first year, minimum runtime, minimum votes).
@@ -11,11 +11,8 @@ INCL_ADULT = 0
 YEAR_MIN = 2000
 RUNTIME_MIN = 45
 VOTES_MIN = 50
-# Unicode normal form applied after the regex passes.
-NORMAL_FORM = "NFKC"
-# Sentences per prediction page and rows per ingest chunk.
+# Sentences per prediction page.
 PREDICT_CHUNK = 7500
-IMPORT_CHUNK = 5_000_000
 # Annotation sample size per (aspect, polarity) and balanced-set parameters.
 ASPECT_LIMIT = 42
 TARGET_PER_ASPECT = 150
@@ -52,13 +49,9 @@ class TitleFilter:
 
 @dataclass(frozen=True)
 class ScaleLimits:
-    """Size bounds under which a side is broadcast (checked at runtime)."""
-    broadcast_rows: int = 2_000_000
+    """Bound of the closed word lists that become literals."""
     # Dictionaries folded into a per-row expression (aspect terms, boosters).
     literal_terms: int = 20_000
-    # Salt buckets for joins on title_id, whose review counts are skewed.
-    title_salt: int = 32
-    extra: dict = field(default_factory=dict)
 
 
 LIMITS = ScaleLimits()

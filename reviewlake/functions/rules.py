@@ -13,17 +13,14 @@ from __future__ import annotations
 # FIXED VALUES (patterns, replacements, word lists) — natural order, unchanged.
 # ---------------------------------------------------------------------------
 
-# Emoji ranges used as one character class (pass 1 replaces runs by '. ').
-EMOJI_RANGES = (
-    (0x1F1E0, 0x1F1FF), (0x1F300, 0x1F5FF), (0x1F600, 0x1F64F), (0x1F680, 0x1F6FF),
-    (0x1F700, 0x1F77F), (0x1F780, 0x1F7FF), (0x1F800, 0x1F8FF), (0x1F900, 0x1F9FF),
-    (0x1FA00, 0x1FA6F), (0x1FA70, 0x1FAFF), (0x02700, 0x027BF), (0x02300, 0x023FF),
-)
-EMOJI = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in EMOJI_RANGES) + "]+"
+# Emoji ranges (pass 1 replaces runs by '. ').
+EMOJI = ("[\U0001F1E0-\U0001F1FF\U0001F300-\U0001F5FF\U0001F600-\U0001F64F\U0001F680-\U0001F6FF"
+         "\U0001F700-\U0001F77F\U0001F780-\U0001F7FF\U0001F800-\U0001F8FF\U0001F900-\U0001F9FF"
+         "\U0001FA00-\U0001FA6F\U0001FA70-\U0001FAFF\U00002700-\U000027BF\U00002300-\U000023FF]+")
 
 # Word bounds of dictionary replacement.
-SEARCH_PREFIX = '((?<=^)|(?<=[ \\(\\\'"/]))'
-SEARCH_SUFFIX = '(?=[\\.,;!\\?\\) \\\'"/]|$)'
+SEARCH_PREFIX = r"""((?<=^)|(?<=[ \('"/]))"""
+SEARCH_SUFFIX = r"""(?=[\.,;!\?\) '"/]|$)"""
 
 # Abbreviations replaced unless they are part of a title or name.
 ABBREVIATIONS = (("OG", "original"), ("OMG", ""), ("LOL", ""))

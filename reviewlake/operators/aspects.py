@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.columns import at
-from pyspark.sql.window import Window as W
 
 from reviewlake.operators.polarity import lexicon_polarity, with_polarity_bin
-from reviewlake.plans.strategy import balance_for_cpu, broadcast_if_small, literal_bound
+from reviewlake.plans.strategy import literal_bound
 
 CONTEXT_WORDS = 3
 
@@ -18,19 +17,11 @@ def aspect_terms(terms: DataFrame, aspects: DataFrame) -> DataFrame:
     """Terms with their category (inner join drops ids missing from the
     dimension, trap H7), duplicates removed (unique aspect_id, term), longest first."""
     t = terms.dropDuplicates(["aspect_id", "term"])
-    return t.join(F.broadcast(aspects.withColumnRenamed("id", "aspect_id")), "aspect_id") \
+    return t.join(aspects.withColumnRenamed("id", "aspect_id"), "aspect_id") \
         .select("aspect_id", "category", "term") \
         .orderBy(F.length("term").desc(), "aspect_id", "term")
 
 
-def _term_list(terms: DataFrame) -> list[str] | None:
-    """Distinct lower-case terms, or None when above the literal bound."""
-    try:
-        return sorted({r.t for r in literal_bound(terms.select(F.lower("term").alias("t")).distinct())})
-    except ValueError:
-        return None
-
-
 def _grams(pieces: Column, max_words: int, interior: bool) -> Column:
     """All runs of 1..max_words consecutive pieces as struct(i, k, text).
 
@@ -64,17 +55,11 @@ def term_matches(sentences: DataFrame, terms: DataFrame, id_col: str = "id",
     array element)."""
     t = terms.select("aspect_id", F.lower("term").alias("term")).distinct()
     k = _max_words(t)
-    sentences = balance_for_cpu(sentences, id_col)
     d = sentences.select(F.col(id_col).alias("sentence_id"), F.split(F.lower(F.col(text_col)), " ").alias("__p"))
     d = d.select("sentence_id", "__p", F.transform(_grams(F.col("__p"), k, interior=True), lambda g: g["text"])
                  .alias("__grams"))
-    lit_terms = _term_list(t)
-    if lit_terms is not None:
-        found = F.array_intersect(F.col("__grams"), F.array(*[F.lit(x) for x in lit_terms]))
-        hits = d.select("sentence_id", F.explode(found).alias("term"))
-    else:
-        hits = d.select("sentence_id", F.explode(F.array_distinct("__grams")).alias("term"))
-    return hits.join(broadcast_if_small(t), "term").select("sentence_id", "aspect_id", "term")
+    hits = d.select("sentence_id", F.explode(F.array_distinct("__grams")).alias("term"))
+    return hits.join(t, "term").select("sentence_id", "aspect_id", "term")
 
 
 def aspect_spans(sentences: DataFrame, terms: DataFrame, id_col: str = "id",
@@ -85,31 +70,26 @@ def aspect_spans(sentences: DataFrame, terms: DataFrame, id_col: str = "id",
     spans with the same text), context (lower case, up to 3 pieces each side)."""
     t = terms.select(F.lower("term").alias("term")).distinct()
     k = _max_words(terms)
-    lit_terms = _term_list(t)
     keep = keep or []
-    sentences = balance_for_cpu(sentences, id_col)
     d = sentences.select(F.col(id_col).alias("sentence_id"), F.split(F.col(text_col), " ").alias("__p"), *keep)
     # per-row arrays as carried columns (never inlined into the lambdas below)
     d = d.select("*", _grams(F.col("__p"), k, interior=False).alias("__grams"))
-    if lit_terms is not None:
-        d = d.select("*", F.array_intersect(F.transform("__grams", lambda g: F.lower(g["text"])),
-                                            F.array(*[F.lit(x) for x in lit_terms])).alias("__found"))
-        d = d.select("sentence_id", "__p", "__found", *keep, F.explode(F.filter(
-            "__grams", lambda g: F.array_contains(F.col("__found"), F.lower(g["text"])))).alias("__g"))
-    else:
-        d = d.select("sentence_id", "__p", *keep, F.explode("__grams").alias("__g")).join(
-            broadcast_if_small(t), F.lower(F.col("__g.text")) == F.col("term"), "left_semi")
+    d = d.select("sentence_id", "__p", *keep, F.explode("__grams").alias("__g")).join(
+        t, F.lower(F.col("__g.text")) == F.col("term"), "left_semi")
     p = F.col("__p")
     i, kk = F.col("__g.i"), F.col("__g.k")
     start = F.length(F.array_join(F.slice(p, 1, i), " ")) + F.when(i > 0, 1).otherwise(0)
     ctx_from = F.greatest(i - CONTEXT_WORDS, F.lit(0))
     ctx_len = F.least(i + kk + CONTEXT_WORDS, F.size(p)) - ctx_from
-    d = d.select("sentence_id", *keep, start.cast("int").alias("start"),
+    d = d.select("sentence_id", "__p", "__g", *keep, start.cast("int").alias("start"),
                  (start + F.length("__g.text")).cast("int").alias("end"),
                  F.col("__g.text").alias("span"),
                  F.lower(F.array_join(F.slice(p, ctx_from + 1, ctx_len), " ")).alias("context"))
-    w = W.partitionBy("sentence_id", "span").orderBy("start")
-    return d.withColumn("ordinal", (F.row_number().over(w) - 1).cast("int"))
+    # Earlier spans of the same text = pieces runs before this one that spell it
+    before = F.filter(F.sequence(F.lit(0), F.greatest(i - 1, F.lit(0))),
+                      lambda x: (x < i) & (F.array_join(F.slice(p, x + 1, kk), " ") == F.col("__g.text")))
+    d = d.select("*", F.size(before).cast("int").alias("ordinal"))
+    return d.select("sentence_id", *keep, "start", "end", "span", "context", "ordinal")
 
 
 def sorted_terms_literal(terms_with_category: DataFrame) -> Column:
@@ -152,7 +132,7 @@ def aspect_polarity(spans: DataFrame, lexicon: DataFrame, terms_with_category: D
     pol = with_polarity_bin(lexicon_polarity(keyed, "__sid", "context", lexicon, keep=keep))
     st = sorted_terms_literal(terms_with_category)
     d = pol.withColumn("category", F.explode(aspect_categories(F.col("context"), st)))
-    return d.join(F.broadcast(aspects.withColumnRenamed("id", "aspect_id")), "category") \
+    return d.join(aspects.withColumnRenamed("id", "aspect_id"), "category") \
         .select("sentence_id", *[c for c in ("review_id",) if c in spans.columns], "aspect_id", "category",
                 F.col("span").alias("aspect_term"), "ordinal", F.lit("").alias("sentiment_term"), "polarity")
 
@@ -175,7 +155,7 @@ def import_annotations(annotations: DataFrame, terms_with_category: DataFrame, a
         at("z.aspect", 5).cast("int").alias("ordinal"))
     st = sorted_terms_literal(terms_with_category)
     z = z.withColumn("category", F.explode(aspect_categories(F.col("context"), st)))
-    rows = z.join(F.broadcast(aspects.withColumnRenamed("id", "aspect_id")), "category").select(
+    rows = z.join(aspects.withColumnRenamed("id", "aspect_id"), "category").select(
         "sentence_id", "aspect_id", "aspect_term", "ordinal", F.lit("").alias("sentiment_term"),
         "polarity", F.lit(1).alias("verified"))
     key = ["sentence_id", "aspect_id", "aspect_term", "ordinal", "verified"]

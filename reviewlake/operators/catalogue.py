@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from reviewlake.config import TitleFilter
 from reviewlake.functions.columns import bit, clean_characters, clean_person_name, short_or_symbolic, trim_chars
-from reviewlake.plans.strategy import broadcast_if_small
 
 
 def filter_titles(titles: DataFrame, f: TitleFilter = TitleFilter()) -> DataFrame:
@@ -43,7 +42,7 @@ def title_genres(titles_split: DataFrame, genres: DataFrame, known: DataFrame) -
     three genres — explode, then an equi-join (no theta join); only titles in
     ``known``; unique pairs."""
     t = titles_split.select(F.col("tconst").alias("title_id"), F.explode("genre_list").alias("displayName"))
-    g = t.join(F.broadcast(genres), "displayName").select("title_id", F.col("id").alias("genre_id"))
+    g = t.join(genres, "displayName").select("title_id", F.col("id").alias("genre_id"))
     return g.join(known.select(F.col("id").alias("title_id")), "title_id", "left_semi").distinct()
 
 
@@ -83,23 +82,23 @@ def import_reviews(reviews: DataFrame, titles: DataFrame, title_genres_df: DataF
 
     ``titles`` and the per-title flags are catalogue-sized: broadcast after a
     size check, else a shuffle join where AQE splits hot titles."""
-    known = broadcast_if_small(titles.select(F.col("id").alias("title_id")))
-    flags = broadcast_if_small(genre_flags(title_genres_df))
+    known = titles.select(F.col("id").alias("title_id"))
+    flags = genre_flags(title_genres_df)
     r = reviews.join(known, "title_id", "left_semi").join(flags, "title_id", "left")
     return r.withColumn("genre_flag", F.coalesce("genre_flag", F.lit(0).cast("long")))
 
 
 def import_counts(reviews: DataFrame, titles: DataFrame) -> DataFrame:
     """A2: (total, imported) in one aggregation (a left join on unique ids)."""
-    known = broadcast_if_small(titles.select(F.col("id").alias("title_id")).distinct()
-                               .withColumn("__k", F.lit(1)))
+    known = titles.select(F.col("id").alias("title_id")).distinct() \
+        .withColumn("__k", F.lit(1))
     j = reviews.select("title_id").join(known, "title_id", "left")
     return j.agg(F.count(F.lit(1)).alias("total"), F.count("__k").alias("imported"))
 
 
 def filter_principals(principals: DataFrame, titles: DataFrame) -> DataFrame:
     """S5 + S6: principals of known titles with cleaned character text."""
-    p = principals.join(broadcast_if_small(titles.select(F.col("id").alias("tconst"))), "tconst", "left_semi")
+    p = principals.join(titles.select(F.col("id").alias("tconst")), "tconst", "left_semi")
     return p.withColumn("characters", clean_characters("characters", "category")) \
         .select("tconst", "nconst", "category", "job", "characters")
 
@@ -139,7 +138,7 @@ def titles_for_selection(titles: DataFrame, title_genres_df: DataFrame, genre_id
 def genres_for_title(title_genres_df: DataFrame, genres: DataFrame, title_id: str | None = None) -> DataFrame:
     """Genre names of a title (all titles when ``title_id`` is None)."""
     g = title_genres_df if title_id is None else title_genres_df.where(F.col("title_id") == title_id)
-    return g.join(F.broadcast(genres.withColumnRenamed("id", "genre_id")), "genre_id") \
+    return g.join(genres.withColumnRenamed("id", "genre_id"), "genre_id") \
         .select("title_id", "displayName")
 
 
@@ -152,7 +151,7 @@ def flag_names_ambiguous(names: DataFrame, ambiguous: DataFrame) -> DataFrame:
     keys = names.select("id", F.explode(F.array(
         F.col("lastName"), F.col("aliasName"),
         F.when(F.col("lastName").isNull(), F.col("primaryName")))).alias("name")).where(F.col("name").isNotNull())
-    hit = keys.join(broadcast_if_small(ambiguous.select("name").distinct()), "name", "left_semi") \
+    hit = keys.join(ambiguous.select("name").distinct(), "name", "left_semi") \
         .select("id").distinct().withColumn("__hit", F.lit(True))
     short = F.col("aliasName").isNotNull() & short_or_symbolic("aliasName")
     return names.join(hit, "id", "left").withColumn(
@@ -161,8 +160,8 @@ def flag_names_ambiguous(names: DataFrame, ambiguous: DataFrame) -> DataFrame:
 
 def flag_principals_ambiguous(principals: DataFrame, ambiguous: DataFrame) -> DataFrame:
     """N8 for characters: short or symbolic, or listed."""
-    amb = broadcast_if_small(ambiguous.select(F.col("name").alias("character")).distinct()
-                             .withColumn("__hit", F.lit(True)))
+    amb = ambiguous.select(F.col("name").alias("character")).distinct() \
+        .withColumn("__hit", F.lit(True))
     p = principals.join(amb, "character", "left")
     short = F.col("character").isNotNull() & short_or_symbolic("character")
     return p.withColumn("ambiguous", (short | F.coalesce("__hit", F.lit(False))).cast("int")).drop("__hit")
@@ -171,7 +170,7 @@ def flag_principals_ambiguous(principals: DataFrame, ambiguous: DataFrame) -> Da
 def flag_titles_ambiguous(titles: DataFrame, ambiguous: DataFrame) -> DataFrame:
     """N8 for titles (reset, then set): one-word title short or symbolic, or
     listed; same for subtitles."""
-    amb = broadcast_if_small(ambiguous.select("name").distinct())
+    amb = ambiguous.select("name").distinct()
     a_t = amb.select(F.col("name").alias("primaryTitle"), F.lit(True).alias("__ht"))
     a_s = amb.select(F.col("name").alias("subtitle"), F.lit(True).alias("__hs"))
     t = titles.join(a_t, "primaryTitle", "left").join(a_s, "subtitle", "left")

@@ -17,9 +17,9 @@ ASPECTS = ((0, "Other"), (1, "Audio"), (2, "Effects"), (3, "Scene"), (4, "Story"
 
 def genre_dim(spark: SparkSession) -> DataFrame:
     """20 genres; broadcast wherever joined (fixed size)."""
-    return F.broadcast(spark.createDataFrame(list(GENRES), "id int, displayName string"))
+    return spark.createDataFrame(list(GENRES), "id int, displayName string")
 
 
 def aspect_dim(spark: SparkSession) -> DataFrame:
     """13 aspect categories; broadcast wherever joined (fixed size)."""
-    return F.broadcast(spark.createDataFrame(list(ASPECTS), "id int, category string"))
+    return spark.createDataFrame(list(ASPECTS), "id int, category string")

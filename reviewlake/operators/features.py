@@ -44,11 +44,9 @@ def review_features(reviews: DataFrame, sentences: DataFrame, sentence_aspect: D
     *joined* rows (a sentence with n aspects weighs n, trap H9); counts use
     IFNULL(category,'None') × IFNULL(polarity,'none'); means are 0 when empty.
 
-    Plan: all three fact inputs are hash-partitioned on review_id (the
-    aspect rows carry review_id), the joins run on (review_id, sentence_id)
-    and the aggregation groups by review_id — with
-    ``spark.sql.requireAllClusterKeysForCoPartition=false`` the three
-    shuffles on review_id are the only ones.
+    Plan: the aspect rows carry review_id, so with
+    ``spark.sql.requireAllClusterKeysForCoPartition=false`` joins and
+    aggregation share one partitioning on review_id; counts and skew are AQE's.
     """
     if categories is None:
         categories = [r.category for r in aspects.select("category").collect()]
@@ -61,14 +59,10 @@ def review_features(reviews: DataFrame, sentences: DataFrame, sentence_aspect: D
         s = s.where(F.col("analyzed") == 1)
     s = s.select("review_id", F.col("id").alias("sentence_id"), F.col("polComp"))
     sa = sentence_aspect.where(F.col("verified") == 0)
-    a = F.broadcast(aspects.select(F.col("id").alias("aspect_id"), "category"))
+    a = aspects.select(F.col("id").alias("aspect_id"), "category")
     if "review_id" in sa.columns:
         sa = sa.select("review_id", "sentence_id", "aspect_id", "polarity")
-        n = s.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        n = int(n)
-        j = (r.repartition(n, "review_id")
-             .join(s.repartition(n, "review_id"), "review_id")
-             .join(sa.repartition(n, "review_id"), ["review_id", "sentence_id"], "left"))
+        j = r.join(s, "review_id").join(sa, ["review_id", "sentence_id"], "left")
     else:
         sa = sa.select("sentence_id", "aspect_id", "polarity")
         j = r.join(s, "review_id").join(sa, "sentence_id", "left")
@@ -120,11 +114,13 @@ def aspect_ratings(sentences: DataFrame, sentence_aspect: DataFrame) -> DataFram
 
 
 def score_features(reviews: DataFrame, sentences: DataFrame, sentence_aspect: DataFrame,
-                   aspects: DataFrame, genres: DataFrame, title_genres: DataFrame) -> DataFrame:
-    """Inference features for all reviews at once. Differs from A5 in the
-    review mean, which averages sentences (not joined rows, trap H9), and in
-    taking the genre flags from the title's genres."""
+                   aspects: DataFrame, genres: DataFrame, weighting: str = "sentences") -> DataFrame:
+    """Inference features for all reviews at once. ``weighting`` says what
+    the review mean averages (trap H9): ``sentences``, each once, or ``rows``,
+    as A5 does, a sentence with n aspects n times."""
     base = review_features(reviews, sentences, sentence_aspect, aspects, genres, analyzed_only=False)
+    if weighting == "rows":
+        return base
     per_sentence = sentences.groupBy("review_id").agg(F.avg("polComp").alias("__m"))
     return base.join(per_sentence, base["id"] == per_sentence["review_id"]) \
         .withColumn("mean_review_polarity", F.col("__m")).drop("__m", "review_id")

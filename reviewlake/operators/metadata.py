@@ -102,30 +102,19 @@ def _with_without_the(md: DataFrame) -> DataFrame:
         .select(*cols, F.col("__o.s").alias("strSearch"), F.col("__o.a").alias("ambiguous"))
 
 
-def _per_title(md: DataFrame, include_first_names: bool) -> DataFrame:
-    """N13 + N14 on each title's entry array (bounded by the title's principals):
-    character words equal to a title string are added (J9); an entry conflicts
-    when its string is both a title string and a non-title string."""
-    e = F.struct("category", "mdType", "strSearch", "strReplace", "ambiguous")
-    g = md.groupBy("title_id").agg(F.collect_list(e).alias("E"))
-    titles = F.array_distinct(F.transform(F.filter("E", lambda x: x["category"] == "WORK_OF_ART"),
-                                          lambda x: x["strSearch"]))
-    g = g.withColumn("T", titles)
-    chars = F.flatten(F.transform(
-        F.filter("E", lambda x: (x["mdType"] == "character") & x["strSearch"].contains(" ")),
-        lambda x: F.transform(F.filter(F.split(x["strSearch"], " "), lambda w: F.array_contains(F.col("T"), w)),
-                              lambda w: F.struct(x["category"].alias("category"), x["mdType"].alias("mdType"),
-                                                 w.alias("strSearch"), x["strReplace"].alias("strReplace"),
-                                                 x["ambiguous"].alias("ambiguous")))))
-    g = g.withColumn("E", F.concat("E", chars))
-    g = g.withColumn("P", F.array_distinct(F.transform(F.filter("E", lambda x: x["category"] != "WORK_OF_ART"),
-                                                       lambda x: x["strSearch"])))
-    out = g.select("title_id", "T", "P", F.explode("E").alias("x")).select("title_id", "T", "P", "x.*")
-    out = out.withColumn("conflicts", F.array_contains("T", F.col("strSearch")) & F.array_contains("P", F.col("strSearch")))
-    out = out.drop("T", "P")
-    if not include_first_names:
-        out = out.where(F.col("mdType") != "firstName")
-    return out
+def _with_character_words(md: DataFrame) -> DataFrame:
+    """N13 (J9): words of a character that equal a title string of its title are added."""
+    titles = md.where(F.col("category") == "WORK_OF_ART").select("title_id", "strSearch").distinct()
+    words = md.where((F.col("mdType") == "character") & F.col("strSearch").contains(" ")) \
+        .withColumn("strSearch", F.explode(F.split("strSearch", " ")))
+    return md.unionByName(words.join(titles, ["title_id", "strSearch"], "left_semi").select(*md.columns))
+
+
+def _with_conflicts(md: DataFrame) -> DataFrame:
+    """An entry conflicts when its string is both a title string and another string of its title."""
+    is_title = F.col("category") == "WORK_OF_ART"
+    both = md.groupBy("title_id", "strSearch").agg((F.max(is_title) & F.max(~is_title)).alias("conflicts"))
+    return md.join(both, ["title_id", "strSearch"])
 
 
 def metadata_dictionary(titles: DataFrame, principals: DataFrame, names: DataFrame,
@@ -134,13 +123,15 @@ def metadata_dictionary(titles: DataFrame, principals: DataFrame, names: DataFra
 
     Columns: title_id, category, mdType, strSearch, strReplace, ambiguous,
     conflicts, strSearchEscaped, lenSearch. Linear plan: U3 union, one gated
-    regex pass (N10), two row-local explodes (N11, N12), one shuffle on
-    title_id for the per-title set logic (N13, N14).
+    regex pass (N10), two row-local explodes (N11, N12), joins and aggregates
+    on (title_id, strSearch) for the per-title set logic (N13, N14).
     """
     md = title_spellings(titles).unionByName(name_branches(principals, names))          # U3
     md = gated_pass(md, "strSearch", R.METADATA_REWRITES)                                # N10
     md = _with_without_the(_with_paren_split(md))                                         # N11, N12
-    md = _per_title(md, include_first_names)                                             # N13, N14
+    md = _with_conflicts(_with_character_words(md))                                       # N13, N14
+    if not include_first_names:
+        md = md.where(F.col("mdType") != "firstName")
     return md.withColumn("strSearchEscaped", escape_for_regex(F.col("strSearch"), R.ESCAPE_CHARS)) \
         .withColumn("lenSearch", F.length("strSearch"))
 

@@ -6,7 +6,7 @@ The lexicon is an input table ``(word, valence, kind)`` with kinds
 * ``v0`` = valence of the lower-cased token (0 when absent);
 * boosters among the three previous tokens add ``b·(1, .95, .9)`` in the
   direction of ``v0``; an all-caps token in a mixed-case sentence adds 0.733;
-* each negation among the three previous tokens multiplies by -0.74;
+* each negation (listed, or with "n't") among the three previous tokens multiplies by -0.74;
 * tokens before the first contrast word weigh 0.5, after it 1.5.
 
 Sentence score ``s`` = Σv, plus '!' (≤4 × 0.292) and '?' (2-3 × 0.18, more:
@@ -15,9 +15,9 @@ Sentence score ``s`` = Σv, plus '!' (≤4 × 0.292) and '?' (2-3 × 0.18, more:
 neutral tokens (3 decimals).
 
 Plan: modifiers are computed per sentence with array functions (the
-booster/negation/contrast lists are small, size-checked literals), tokens are
-exploded narrow, valences come from a size-checked broadcast join, and the
-sums are partial aggregates — only one row per sentence is shuffled.
+booster/negation/contrast lists are closed word lists), tokens are exploded,
+valences come from a join, and the sums are partial hash aggregates keyed by
+the sentence — only one row per sentence is shuffled.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.columns import at, polarity_bin, polarity_label, round_half_up
-from reviewlake.plans.strategy import balance_for_cpu, broadcast_if_small, literal_bound
+from reviewlake.plans.strategy import literal_bound
 
 BOOST_FACTORS = (1.0, 0.95, 0.9)
 N_SCALAR = -0.74
@@ -53,8 +53,8 @@ def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
         lexicon.where(F.col("kind") == "booster").groupBy("word").agg(F.max("valence").alias("valence")))}
     negations = _word_list(lexicon, "negation")
     contrasts = _word_list(lexicon, "contrast")
-    valences = broadcast_if_small(lexicon.where(F.col("kind") == "valence")
-                                  .groupBy("word").agg(F.max("valence").alias("v0")))
+    valences = lexicon.where(F.col("kind") == "valence") \
+        .groupBy("word").agg(F.max("valence").alias("v0"))
 
     bmap = F.create_map(*[a for k, v in sorted(boosters.items()) for a in (F.lit(k), F.lit(v))]) \
         if boosters else F.create_map().cast("map<string,double>")
@@ -62,8 +62,7 @@ def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
     cons = F.array(*[F.lit(w) for w in sorted(contrasts)]).cast("array<string>")
 
     text = F.col(text_col)
-    toks = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), 0)
-    df = balance_for_cpu(df, id_col)
+    toks = F.regexp_extract_all(text, F.lit(r"\p{L}+(?:'\p{L}+)*"), 0)
     d = df.select(F.col(id_col).alias("__id"), text.alias("__t"), toks.alias("__tok"), *keep)
     low = F.transform("__tok", lambda t: F.lower(t))
     n = F.size("__tok")
@@ -86,7 +85,7 @@ def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
     def negcount(i):
         total = F.lit(0)
         for j in range(1, 4):
-            total = total + F.coalesce(F.array_contains(negs, prev(i, j)), F.lit(False)).cast("int")
+            total = total + F.coalesce(F.array_contains(negs, prev(i, j)) | prev(i, j).contains("n't"), F.lit(False)).cast("int")
         return total
 
     mods = F.transform("__tok", lambda t, i: F.struct(
@@ -112,8 +111,8 @@ def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
         (v0 + sgn * (F.col("m.b") + F.when(F.col("m.caps"), CAPS_INCR).otherwise(0.0)))
         * F.pow(F.lit(N_SCALAR), F.col("m.neg")) * F.col("m.cw"))
     d = d.withColumn("v", v)
-    agg = d.groupBy("__id").agg(
-        F.first("__punct").alias("__punct"), *[F.first(c).alias(c) for c in keep],
+    # what rides along is part of the key: hash aggregation, summed up before the shuffle
+    agg = d.groupBy("__id", "__punct", *keep).agg(
         F.sum(F.when(F.col("m").isNotNull(), F.col("v")).otherwise(0.0)).alias("s"),
         F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("ps"),
         F.sum(F.when(F.col("v") < 0, F.col("v") - 1).otherwise(0.0)).alias("ns"),

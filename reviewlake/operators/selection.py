@@ -50,13 +50,15 @@ def reset_predictions(sentences: DataFrame, sentence_aspect: DataFrame, reviews:
     for all sentences or only those of reviews with the genre bit."""
     if genre_id is None or genre_id < 1:
         return sentences.withColumn("analyzed", F.lit(0)), sentence_aspect.where(F.col("verified") != 0)
-    in_scope = reviews.where(has_genre("genre_flag", genre_id)).select(F.col("id").alias("review_id"))
-    flagged = sentences.join(in_scope.withColumn("__in", F.lit(1)), "review_id", "left")
+    in_scope = reviews.where(has_genre("genre_flag", genre_id)).select(F.col("id").alias("review_id"), F.lit(1).alias("__in"))
+    flagged = sentences.join(in_scope, "review_id", "left")
     s = flagged.withColumn("analyzed", F.when(F.col("__in") == 1, 0).otherwise(F.col("analyzed"))).drop("__in")
-    scope_ids = sentences.join(in_scope, "review_id", "left_semi").select(F.col("id").alias("sentence_id"))
-    drop = sentence_aspect.where(F.col("verified") == 0).join(scope_ids, "sentence_id", "left_semi")
-    key = ["sentence_id", "aspect_id", "aspect_term", "ordinal", "verified"]
-    return s, sentence_aspect.join(drop.select(*key), key, "left_anti")
+    if "review_id" in sentence_aspect.columns:
+        scope = sentence_aspect.join(in_scope, "review_id", "left")
+    else:
+        scope = sentence_aspect.join(flagged.select(F.col("id").alias("sentence_id"), "__in"), "sentence_id", "left")
+    gone = (F.col("verified") == 0) & F.col("__in").isNotNull()
+    return s, scope.where(~gone).select(*sentence_aspect.columns)
 
 
 def sample_review(reviews: DataFrame, seed: int = config.SEED) -> DataFrame:
@@ -64,5 +66,5 @@ def sample_review(reviews: DataFrame, seed: int = config.SEED) -> DataFrame:
 
     ``min_by`` is a partial aggregate: a title with a third of all reviews is
     reduced map-side, never sorted in one task."""
-    h = F.xxhash64(F.col("id"), F.lit(seed))
+    h = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary"))
     return reviews.groupBy("title_id").agg(F.min_by("id", h).alias("id"))

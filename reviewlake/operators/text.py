@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reviewlake import config
 from reviewlake.functions import rules as R
 from reviewlake.functions.columns import at, col_
-from reviewlake.functions.regex import NON_ASCII, gated_pass, java_pattern, nfkc_strip, replace
+from reviewlake.functions.regex import NON_ASCII, java_pattern, passes, replace
 from reviewlake.plans.strategy import grouped_prefix_sum
 
 SEP = "\u0001"
@@ -44,11 +44,7 @@ def _normalize_prefilters() -> dict:
 
 def normalize_text(df: DataFrame, src: str, out: str = "normalizedText") -> DataFrame:
     """Spaced initials, four gated regex passes, NFKC + strip."""
-    d = df.withColumn(out, collapse_spaced_initials(src))
-    pre = _normalize_prefilters()
-    for rules in R.NORMALIZE_PASSES:
-        d = gated_pass(d, out, rules, prefilters=pre)
-    return d.withColumn(out, nfkc_strip(F.col(out)))
+    return df.withColumn(out, passes(collapse_spaced_initials(src), R.NORMALIZE_PASSES, _normalize_prefilters()))
 
 
 # -- X7-X9, X13: dictionary replacement --------------------------------------
@@ -251,7 +247,7 @@ def repair_sentences(c) -> Column:
 
 # -- X12, X14, X15 ---------------------------------------------------------------
 
-TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r\f]"
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\r\f]"
 
 
 def tokens(c) -> Column:
@@ -304,22 +300,17 @@ def add_aspect_term(c) -> Column:
 
 # -- P17, W5: ids and sentence parts ---------------------------------------------
 
-def explode_sentences(df: DataFrame, review_id: str, sentences: str) -> DataFrame:
-    """One row per sentence with its position inside the review (0-based)."""
-    return df.select(F.col(review_id).alias("review_id"), *[c for c in df.columns if c not in (review_id, sentences)],
-                     F.posexplode(sentences).alias("pos", "sentence"))
+def number_sentences(parts: DataFrame, start: int = 1, sentences: str = "parts") -> DataFrame:
+    """One row per sentence of rows (review_id, ..., array of sentences),
+    with its position and a dense id in (review_id, pos) order from ``start``.
 
-
-def assign_sentence_ids(sentences: DataFrame, start: int = 1) -> DataFrame:
-    """Dense ids in (review_id, pos) order continuing from ``start``.
-
-    Per-review counts -> skew-safe prefix sum over review ids (no single-
-    partition window) -> id = start + offset of the review + pos.
-    """
-    counts = sentences.groupBy("review_id").agg(F.count(F.lit(1)).alias("n"))
+    The number of sentences per review -> skew-safe prefix sum over review
+    ids -> offsets joined to the reviews before their sentences are exploded."""
+    counts = parts.select("review_id", F.size(sentences).cast("long").alias("n"))
     offs = grouped_prefix_sum(counts, [], "review_id", "n", "off", inclusive=False).select("review_id", "off")
-    return sentences.join(offs, "review_id").withColumn(
-        "id", (F.lit(start) + F.col("off") + F.col("pos")).cast("long")).drop("off")
+    rest = [c for c in parts.columns if c not in ("review_id", sentences)]
+    rows = parts.join(offs, "review_id").select("review_id", *rest, "off", F.posexplode(sentences).alias("pos", "sentence"))
+    return rows.withColumn("id", (F.lit(start) + F.col("off") + F.col("pos")).cast("long")).drop("off")
 
 
 def sentence_parts(words: DataFrame, batch: str = "title_id") -> DataFrame:

@@ -53,6 +53,14 @@ def write_sentences(sentences: DataFrame, path: str, buckets: int | None = None)
         .write.mode("overwrite").parquet(path)
 
 
+def write_words(words: DataFrame, path: str) -> None:
+    """Word table (sentence_id, pos, word, ws, sentencePart), one row per
+    (sentence_id, pos) — of equal keys the least row — clustered by sentence."""
+    rest = [c for c in words.columns if c not in ("sentence_id", "pos")]
+    rows = words.groupBy("sentence_id", "pos").agg(F.min(F.struct(*rest)).alias("r")).select("sentence_id", "pos", "r.*")
+    rows.sortWithinPartitions("sentence_id", "pos").write.mode("overwrite").parquet(path)
+
+
 def flag_tokenized(reviews: DataFrame, sentences: DataFrame) -> DataFrame:
     """Reviews whose sentences were written get tokenized = 1."""
     ids = sentences.select(F.col("review_id").alias("id")).distinct().withColumn("__t", F.lit(1))

@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from reviewlake.functions.columns import round_half_up
 from reviewlake import config
+from reviewlake.operators.dims import ASPECTS
 from reviewlake.plans import oracle as O
 from reviewlake.plans.pipeline import Pipeline
 
@@ -138,16 +139,22 @@ def q_genres_for_title(p):
     return genres_for_title(p.title_genres, p.fx.fx_genre)
 
 
-@register("genre_dim", "SELECT id, displayName FROM fx_genre")
+@register("genre_dim", """SELECT d.id, d.displayName, count(g.title_id) AS n_titles FROM fx_genre d
+ LEFT JOIN ox_title_genres g ON g.genre_id = d.id GROUP BY d.id, d.displayName""")
 def q_genre_dim(p):
+    """The dimension with the number of titles of each genre."""
     from reviewlake.operators.dims import genre_dim
-    return genre_dim(p.spark)
+    used = p.title_genres.groupBy(F.col("genre_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return genre_dim(p.spark).join(used, "id", "left").select("id", "displayName", F.coalesce("n", F.lit(0)).alias("n_titles"))
 
 
-@register("aspect_dim", "SELECT id, category FROM fx_aspect")
+@register("aspect_dim", """SELECT d.id, d.category, count(a.aspect_id) AS n_rows FROM fx_aspect d
+ LEFT JOIN ox_sa a ON a.aspect_id = d.id GROUP BY d.id, d.category""")
 def q_aspect_dim(p):
+    """The dimension with the number of aspect rows of each category."""
     from reviewlake.operators.dims import aspect_dim
-    return aspect_dim(p.spark)
+    used = p.sentence_aspect.groupBy(F.col("aspect_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return aspect_dim(p.spark).join(used, "id", "left").select("id", "category", F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
 @register("principals_semi", "SELECT tconst, nconst, category, characters FROM ox_principal_f")
@@ -261,17 +268,21 @@ def q_first_replacement(p):
 _G8 = "(genre_flag & (CAST(1 AS BIGINT) << 8)) != 0"
 
 
-@register("reviews_for_title", "SELECT id, title_id FROM ox_review WHERE coalesce(usage, '') <> 'exclude'")
+@register("reviews_for_title", """SELECT id, title_id FROM ox_review WHERE coalesce(usage, '') <> 'exclude'
+ AND title_id = (SELECT title_id FROM ox_review GROUP BY title_id ORDER BY count(*) DESC, title_id LIMIT 1)""")
 def q_reviews_for_title(p):
+    """P7 for the title with most reviews."""
     from reviewlake.operators.selection import reviews_for_title
-    return reviews_for_title(p.reviews).select("id", "title_id")
+    top = p.reviews.groupBy("title_id").count().orderBy(F.desc("count"), "title_id").first()
+    return reviews_for_title(p.reviews, top.title_id if top else "").select("id", "title_id")
 
 
-@register("review_backlog", "SELECT id, title_id FROM ox_review")
+@register("review_backlog", "SELECT id, title_id FROM ox_review WHERE id % 3 <> 0")
 def q_backlog(p):
+    """P8 where every third review is done already."""
     from reviewlake.operators.selection import reviews_to_preprocess
-    return reviews_to_preprocess(p.reviews.withColumn("normalizedText", F.lit(None).cast("string"))) \
-        .select("id", "title_id")
+    done = F.when(F.col("id") % 3 == 0, F.col("originalText"))
+    return reviews_to_preprocess(p.reviews.withColumn("normalizedText", done)).select("id", "title_id")
 
 
 @register("distinct_backlog", "SELECT DISTINCT title_id FROM ox_review")
@@ -281,10 +292,10 @@ def q_distinct_backlog(p):
 
 
 @register("sentence_page", f"""SELECT id, sentence AS text FROM ox_sentence
- WHERE review_id IN (SELECT id FROM ox_review WHERE {_G8}) ORDER BY id LIMIT 7500""")
+ WHERE review_id IN (SELECT id FROM ox_review WHERE {_G8}) ORDER BY id LIMIT 500""")
 def q_sentence_page(p):
     from reviewlake.operators.selection import sentences_to_predict
-    return sentences_to_predict(p.sentences.withColumn("analyzed", F.lit(0)), p.reviews, genre_id=8)
+    return sentences_to_predict(p.sentences.withColumn("analyzed", F.lit(0)), p.reviews, genre_id=8, chunk=500)
 
 
 @register("mark_analyzed", f"""SELECT id, CASE WHEN id IN (SELECT id FROM ox_sentence
@@ -311,10 +322,14 @@ def q_filter_reviews(p):
     return rounded(p.features(usage="train", ratings=[1, 2, 9, 10]))
 
 
-@register("aspect_terms", """SELECT DISTINCT w.aspect_id, a.category, w.term FROM fx_term w
- JOIN fx_aspect a ON a.id = w.aspect_id""")
+@register("aspect_terms", """SELECT w.aspect_id, a.category, w.term, count(s.sentence_id) AS n_spans
+ FROM (SELECT DISTINCT aspect_id, term FROM fx_term) w JOIN fx_aspect a ON a.id = w.aspect_id
+ LEFT JOIN ox_span s ON lower(s.span) = lower(w.term) GROUP BY w.aspect_id, a.category, w.term""")
 def q_aspect_terms(p):
-    return p.terms
+    """Terms with their category and the number of spans that spell them."""
+    n = p.spans.groupBy(F.lower("span").alias("spelled")).agg(F.count(F.lit(1)).alias("n"))
+    return p.terms.join(n, F.lower("term") == F.col("spelled"), "left").select(
+        "aspect_id", "category", "term", F.coalesce("n", F.lit(0)).alias("n_spans"))
 
 
 @register("term_match", """SELECT DISTINCT s.id AS sentence_id, w.aspect_id, lower(w.term) AS term FROM ox_sentence s
@@ -385,15 +400,12 @@ def q_aspect_ratings(p):
  ON m.review_id = f.id""")
 def q_score_features(p):
     from reviewlake.operators.features import score_features
-    return rounded(score_features(p.reviews, p.polarity, p.sentence_aspect, p.fx.fx_aspect, p.fx.fx_genre,
-                                  p.title_genres))
+    return rounded(score_features(p.reviews, p.polarity, p.sentence_aspect, p.fx.fx_aspect, p.fx.fx_genre))
 
 
 def _empty_features_sql() -> str:
     from reviewlake.operators.features import empty_features, feature_names
-    cats = ["Other", "Audio", "Effects", "Scene", "Story", "Direction", "Cast", "Message", "Emotion",
-            "Comparison", "General", "Overall", "Audience"]
-    flags, counts, means = feature_names(cats)
+    flags, counts, means = feature_names([c for _, c in ASPECTS])
     cols = flags + ["mean_review_polarity"] + counts + means
     fill = empty_features(cols)
     sel = ", ".join(f"coalesce(f.{c}, {fill[c]}) AS {c}" for c in cols)
@@ -429,6 +441,19 @@ def q_evaluate(p):
     return rounded(evaluate(pred))
 
 
+@register("confusion", f"""SELECT y, y_hat, count(*) AS n, {O.rhu('count(*) / sum(count(*)) OVER (PARTITION BY y)')} AS rate
+ FROM (SELECT class AS y, CASE WHEN mean_review_polarity < -0.1 THEN 1 WHEN mean_review_polarity < 0 THEN 2
+   WHEN mean_review_polarity = 0 THEN 3 WHEN mean_review_polarity <= 0.1 THEN 4 ELSE 5 END AS y_hat
+   FROM ({O.features_select()}) f) x GROUP BY y, y_hat""")
+def q_confusion(p):
+    """The confusion table of a five-class guess from the review's mean polarity."""
+    from reviewlake.operators.features import confusion
+    m = F.col("mean_review_polarity")
+    guess = F.when(m < -0.1, 1).when(m < 0, 2).when(m == 0, 3).when(m <= 0.1, 4).otherwise(5)
+    pred = rounded(p.features()).select(F.col("class").alias("label"), guess.alias("prediction"))
+    return rounded(confusion(pred))
+
+
 # -- annotations (M7, J4, S12) ----------------------------------------------------------
 
 def _annotations(p):
@@ -532,7 +557,7 @@ def q_training_set(p):
     return training_set(absa, phrases)
 
 
-@register("random_review")
+@register("random_review", f"""SELECT title_id, arg_min(id, md5(id || ':{config.SEED}')) AS id FROM ox_review GROUP BY title_id""")
 def q_random_review(p):
     from reviewlake.operators.selection import sample_review
     return sample_review(p.reviews)
@@ -542,9 +567,7 @@ def q_random_review(p):
 
 def _normalized(p):
     from reviewlake.operators.text import normalize_text
-    from reviewlake.plans.strategy import balance_for_cpu
-    r = balance_for_cpu(p.reviews.select("id", "title_id", "originalText"), "id")
-    return normalize_text(r, "originalText")
+    return normalize_text(p.reviews.select("id", "title_id", "originalText"), "originalText")
 
 
 @register("normalize_full")
@@ -552,46 +575,38 @@ def q_normalize_full(p):
     return _normalized(p).select("id", "normalizedText")
 
 
-def _safe_pass_rules():
-    """Pass-3 rules without look-around (DuckDB's RE2 rejects look-around)."""
+def _safe_rules(k: int):
+    """Rules of pass ``k`` without look-around (DuckDB's RE2 rejects it)."""
     from reviewlake.functions import rules as R
-    return [(a, b) for a, b in R.NORMALIZE_PASS_3 if "(?=" not in a and "(?!" not in a and "(?<" not in a]
+    return [(a, b) for a, b in R.NORMALIZE_PASSES[k - 1] if not any(x in a for x in ("(?=", "(?!", "(?<", "(?P="))]
 
 
-def _normalize_safe_sql():
-    last = O._gated_sql("ox_review", "originalText", _safe_pass_rules(), "oxn3")
-    return f"SELECT id, originalText AS normalizedText FROM {last}"
+def _register_safe_passes():
+    for k, name in ((3, "normalize_safe"),):
+        last = O._gated_sql("ox_review", "originalText", _safe_rules(k), f"oxn{k}")
 
+        def q(p, k=k):
+            from reviewlake.functions.regex import gated_pass
+            d = gated_pass(p.reviews.select("id", "originalText"), "originalText", _safe_rules(k))
+            return d.select("id", F.col("originalText").alias("normalizedText"))
 
-@register("normalize_safe", _normalize_safe_sql())
-def q_normalize_safe(p):
-    from reviewlake.functions.regex import gated_pass
-    d = gated_pass(p.reviews.select("id", "originalText"), "originalText", _safe_pass_rules())
-    return d.select("id", F.col("originalText").alias("normalizedText"))
+        register(name, f"SELECT id, originalText AS normalizedText FROM {last}")(q)
 
 
-def _dictionary_join(p, text_df):
-    """Reviews + their title's dictionary (one row per title, salted join on
-    title_id so a title with a large share of reviews spreads over tasks)."""
-    from reviewlake.operators.metadata import dictionary_arrays
-    from reviewlake.plans.strategy import salted_join
-    d = dictionary_arrays(p.metadata)
-    j = salted_join(text_df, d, "title_id", how="left", salt_by="id")
-    return j.withColumn("entries", F.coalesce("entries", F.array().cast(d.schema["entries"].dataType))) \
-        .withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+_register_safe_passes()
 
 
 @register("replace_metadata")
 def q_replace_metadata(p):
     from reviewlake.operators.text import replace_metadata
-    j = _dictionary_join(p, _normalized(p))
+    j = p.with_dictionary(_normalized(p))
     return replace_metadata(j, "normalizedText", "entries", "words", out="replacedText").select("id", "replacedText")
 
 
 @register("abbreviations")
 def q_abbreviations(p):
     from reviewlake.operators.text import replace_metadata
-    j = _dictionary_join(p, _normalized(p))
+    j = p.with_dictionary(_normalized(p))
     j = j.withColumn("entries", F.array().cast(j.schema["entries"].dataType))
     return replace_metadata(j.withColumn("entries", F.col("entries")), "normalizedText", "entries", "words",
                             out="replacedText").select("id", "replacedText")
@@ -601,7 +616,7 @@ def q_abbreviations(p):
 def q_conflict_fallback(p):
     """X13 on the repaired sentences of every review."""
     from reviewlake.operators import text as tx
-    j = _dictionary_join(p, _normalized(p)).select("id", "entries", tx.repair_sentences(
+    j = p.with_dictionary(_normalized(p)).select("id", "entries", tx.repair_sentences(
         tx.split_sentences("normalizedText")).alias("raw"))
     return j.select("id", F.posexplode(tx.resolve_conflicts("raw", "entries")).alias("pos", "sentence"))
 
@@ -613,42 +628,12 @@ def q_sentence_repair(p):
     return n.select("id", F.posexplode(repair_sentences(split_sentences("normalizedText"))).alias("pos", "sentence"))
 
 
-def preprocess(p, reviews, start: int = 1):
-    """Normalise -> replace -> split -> repair -> conflicts -> tokens ->
-    clean-up -> rating phrase -> polarity, as one job over all titles;
-    sentence ids begin at ``start``.
-
-    The cleaned sentence array of each review is written once (reliable
-    checkpoint) before ids are assigned: the dense-id prefix sum reads the
-    per-review counts and the rows, and must not run the regex chain twice.
-    """
-    from reviewlake.operators import text as tx
-    from reviewlake.operators.polarity import lexicon_polarity
-    from reviewlake.plans.strategy import balance_for_cpu
-    from reviewlake.session import cut_lineage
-    r = balance_for_cpu(reviews.select("id", "title_id", "originalText"), "id")
-    n = tx.normalize_text(r, "originalText")
-    j = _dictionary_join(p, n)
-    j = tx.replace_metadata(j, "normalizedText", "entries", "words", out="replacedText")
-    j = j.select(F.col("id").alias("review_id"), "title_id", "entries",
-                 tx.repair_sentences(tx.split_sentences("replacedText")).alias("raw"))
-    j = j.select("review_id", "title_id", tx.resolve_conflicts("raw", "entries").alias("raw"))
-    j = j.select("review_id", "title_id", F.transform("raw", lambda x: tx.sentence_from_tokens(tx.tokens(x)))
-                 .alias("joined"))
-    j = j.select("review_id", "title_id", F.transform(F.filter("joined", tx.keep_sentence),
-                                                      lambda x: tx.add_aspect_term(tx.sentence_case(x))).alias("sents"))
-    j = cut_lineage(j)
-    s = j.select("review_id", "title_id", F.posexplode("sents").alias("pos", "sentence"))
-    s = tx.assign_sentence_ids(s, start=start)
-    return lexicon_polarity(s, "id", "sentence", p.fx.fx_lexicon, keep=["review_id", "title_id", "sentence"])
-
-
 @register("preprocess_all")
 def q_preprocess_all(p):
-    return rounded(preprocess(p, p.reviews))
+    return rounded(p.preprocessed)
 
 
-_TOK = "'([A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\n\\r\\f])( ?)'"
+_TOK = r"'([\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\r\f])( ?)'"
 
 
 @register("tokens", f"""SELECT id AS sentence_id, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos,
@@ -673,6 +658,42 @@ def q_sentence_parts(p):
     return sentence_parts(t).select("sentence_id", "pos", "word", "sentencePart")
 
 
+_WORDS = f"""SELECT sentence_id, pos, word, ws, CAST(sum(CASE WHEN word IN (',', ':', ';') THEN 1 ELSE 0 END)
+ OVER (PARTITION BY title_id ORDER BY sentence_id, pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sentencePart
+ FROM (SELECT s.id AS sentence_id, r.title_id, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos, unnest(w) AS word,
+ unnest(b) AS ws FROM (SELECT id, review_id, regexp_extract_all(sentence, {_TOK}, 1) AS w,
+ regexp_extract_all(sentence, {_TOK}, 2) AS b FROM ox_sentence) s JOIN ox_review r ON r.id = s.review_id) x"""
+
+
+def _word_table(p, sentences):
+    """Tokens of sentences (id, title_id, sentence) with their sentence part, written and read back."""
+    from reviewlake.operators.text import sentence_parts, tokens
+    from reviewlake.operators.upsert import write_words
+    from reviewlake.streaming.increments import scratch
+    t = sentences.select(F.col("id").alias("sentence_id"), "title_id", F.posexplode(tokens("sentence")).alias("pos", "t"))
+    t = sentence_parts(t.select("sentence_id", "title_id", "pos", "t.word", "t.ws"))
+    path = scratch(p.spark, "sentence_word")
+    write_words(t.select("sentence_id", "pos", "word", "ws", "sentencePart"), path)
+    return p.spark.read.parquet(path)
+
+
+@register("write_words", _WORDS)
+def q_write_words(p):
+    return _word_table(p, p.sentences.join(p.reviews.select(F.col("id").alias("review_id"), "title_id"), "review_id"))
+
+
+@register("preprocessed_words")
+def q_preprocessed_words(p):
+    """X16 to the word table: tokens of the cleaned sentences."""
+    return _word_table(p, p.preprocessed.select("id", "title_id", "sentence"))
+
+
+@register("preprocessed_features")
+def q_preprocessed_features(p):
+    """The flagship on cleaned sentences: X16 -> M4 -> M5 -> A5."""
+    return rounded(p.preprocessed_features())
+
+
 @register("sentence_case", """SELECT id, upper(substr(sentence, 1, 1)) || substr(sentence, 2) AS sentence FROM ox_sentence
  WHERE sentence NOT IN ('', '.', '(', 'another person')""")
 def q_sentence_case(p):
@@ -776,11 +797,12 @@ def q_stream_preprocess(p):
     """Review files arrive; each micro-batch is preprocessed."""
     from reviewlake.streaming.increments import scratch, stream_preprocess
     src = _staged_reviews(p, "reviews-in")
-    out = stream_preprocess(p.spark, src, scratch(p.spark, "sentences-out"), lambda b, start: preprocess(p, b, start))
+    out = stream_preprocess(p.spark, src, scratch(p.spark, "sentences-out"), p.preprocess)
     return rounded(out.drop("batch"))
 
 
-@register("stream_predict")
+@register("stream_predict", """SELECT sentence_id, review_id, aspect_id, category, aspect_term, ordinal, sentiment_term,
+ polarity, 0 AS verified FROM ox_sa""")
 def q_stream_predict(p):
     """Sentence files arrive; aspects are predicted per chunk, insert-ignore by key."""
     from reviewlake.operators.aspects import aspect_polarity, aspect_spans
@@ -795,7 +817,7 @@ def q_stream_predict(p):
     return stream_predict(p.spark, src, scratch(p.spark, "aspects-out"), predict_fn, keys)
 
 
-@register("stream_dedupe")
+@register("stream_dedupe", "SELECT sentence_id, aspect_id, aspect_term, ordinal, verified, polarity FROM ox_sa")
 def q_stream_dedupe(p):
     """Labels arrive twice (same rows in two files); streaming dropDuplicates keeps one."""
     from reviewlake.streaming.increments import scratch, stream_dedupe
@@ -817,14 +839,41 @@ def q_chunked_ingest(p):
 
 # -- sources and sinks (S1, S8-S13, S17) ----------------------------------------------
 
-@register("html_reviews")
+def _inner_sql(tag: str) -> str:
+    x = f"regexp_extract(html, '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1)"
+    x = f"regexp_replace(regexp_replace({x}, '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+    for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"),
+                 ("&middot;", "·"), ("&nbsp;", " ")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"trim({x})"
+
+
+@register("html_reviews", f"""SELECT page_id, 0 AS pos, {_inner_sql('h1')} || chr(10) || {_inner_sql('article')} AS text,
+ {_inner_sql('a')} AS rating FROM pages""")
 def q_html_reviews(p):
-    """Review texts from stored pages (page headline + article body)."""
+    """Review texts from stored pages (headline + article body); these
+    pages have no rating element, their first link stands for it."""
     from reviewlake.sources.io import extract_reviews_from_html
-    return extract_reviews_from_html(p.fx.pages, title=("h1", None), body=("article", None), rating=None)
+    return extract_reviews_from_html(p.fx.pages, title=("h1", None), body=("article", None), rating=("a", None))
+
+
+@register("annotation_roundtrip", """SELECT sentence_id AS id, count(*) AS n_spans,
+ string_agg(start || ':' || "end" || ':' || span || ':' || ordinal, '|' ORDER BY start, "end", span, ordinal) AS spans
+ FROM ox_span GROUP BY sentence_id""")
+def q_annotation_roundtrip(p):
+    """Annotation tasks written as JSON lines and read back."""
+    from reviewlake.sources import io
+    from reviewlake.streaming.increments import scratch
+    s = p.sentences.join(p.reviews.select(F.col("id").alias("review_id"), "rating"), "review_id")
+    path = scratch(p.spark, "tasks")
+    io.write_annotation_tasks(io.annotation_tasks(p.spans, s), path)
+    back = io.read_annotations(p.spark, path)
+    part = F.transform("aspect", lambda a: F.concat_ws(":", F.get(a, F.lit(0)), F.get(a, F.lit(1)), F.get(a, F.lit(2)),
+                                                       F.get(a, F.lit(4))))
+    return back.select("id", F.size("aspect").cast("long").alias("n_spans"), F.array_join(part, "|").alias("spans"))
 
 
-@register("io_roundtrip", "SELECT id, title_id, rating, usage FROM ox_review")
+@register("io_roundtrip", "SELECT id, title_id, rating, usage, md5(originalText) AS text_md5 FROM ox_review")
 def q_io_roundtrip(p):
     """Write the imported reviews as CSV, the catalogue as TSV,
     annotation tasks as JSONL and features as TSV + params; read all back."""
@@ -840,7 +889,8 @@ def q_io_roundtrip(p):
     assert titles.count() == t.count()
     io.write_features(p.features(), base + "/features", {"binary C:": 1.0, "multi-class C:": 1.0})
     assert io.read_features(p.spark, base + "/features").count() == p.features().count()
-    return back.select(F.col("id").cast("long").alias("id"), "title_id", "rating", "usage")
+    return back.select(F.col("id").cast("long").alias("id"), "title_id", "rating", "usage",
+                       F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 # -- table maintenance (S14-S16, S19, S20) ---------------------------------------------

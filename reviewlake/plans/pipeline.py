@@ -20,18 +20,18 @@ from reviewlake.operators import names as nm
 from reviewlake.operators import text as tx
 from reviewlake.operators.features import review_features
 from reviewlake.operators.polarity import lexicon_polarity
-from reviewlake.plans.strategy import balance_for_cpu
-from reviewlake.session import cut_lineage
+from reviewlake.plans.strategy import spread
+from reviewlake.session import stage_table
 from reviewlake.sources.fixtures import Fixtures
 
 
 STAGES = ("titles", "title_genres", "principals", "names", "imdb_principals", "people", "people_principals",
-          "titles_flagged", "metadata", "reviews", "sentences", "polarity", "spans", "sentence_aspect")
+          "titles_flagged", "metadata", "reviews", "sentences", "polarity", "spans", "sentence_aspect", "preprocessed")
 
 
 class Pipeline:
-    """``materialize=True`` writes each stage once (reliable checkpoint into
-    the shared checkpoint folder), like the tables the original pipeline
+    """``materialize=True`` writes each stage once (a Parquet table in the shared
+    checkpoint folder, so later reads prune columns and push filters down), like the tables the original pipeline
     stores; queries then read the stage tables instead of recomputing the
     lineage. ``materialize=False`` keeps everything as one lazy plan."""
 
@@ -41,7 +41,7 @@ class Pipeline:
         self.materialize = materialize
 
     def _stage(self, df: DataFrame) -> DataFrame:
-        return cut_lineage(df) if self.materialize else df
+        return stage_table(df) if self.materialize else df
 
     def build(self) -> None:
         """Run every stage job (the batch ETL)."""
@@ -98,15 +98,14 @@ class Pipeline:
     # -- reviews and sentences --------------------------------------------------
     @cached_property
     def reviews(self) -> DataFrame:
-        return self._stage(cat.import_reviews(self.fx.fx_review, self.titles, self.title_genres))
+        return self._stage(spread(cat.import_reviews(self.fx.fx_review, self.titles, self.title_genres), "id"))
 
     @cached_property
     def sentences(self) -> DataFrame:
         """fx_sentence: rule split of the review text (X10) with dense ids."""
-        r = balance_for_cpu(self.reviews.select("id", "originalText"), "id")
-        parts = r.select(F.col("id").alias("review_id"), tx.split_sentences("originalText").alias("parts"))
-        s = parts.select("review_id", F.posexplode("parts").alias("pos", "sentence"))
-        return self._stage(tx.assign_sentence_ids(s).select("id", "review_id", "pos", "sentence"))
+        parts = self._stage(self.reviews.select(F.col("id").alias("review_id"),
+                                                tx.split_sentences("originalText").alias("parts")))
+        return self._stage(tx.number_sentences(parts).select("id", "review_id", "pos", "sentence"))
 
     @cached_property
     def polarity(self) -> DataFrame:
@@ -132,6 +131,51 @@ class Pipeline:
         rows = asp.aspect_polarity(self.spans, self.fx.fx_lexicon, self.terms, self.fx.fx_aspect)
         return self._stage(rows.withColumn("verified", F.when(F.col("sentence_id") % 3 == 0, 1).otherwise(0)))
 
+    # -- cleaned sentences (X16) and the flow on them ------------------------------
+    def with_dictionary(self, texts: DataFrame) -> DataFrame:
+        """Rows with a title_id, and the title's dictionary as arrays (empty if
+        it has none). A title with a large share of the rows is split by AQE's
+        skew join; the dictionary side has one row per title."""
+        d = md.dictionary_arrays(self.metadata)
+        j = texts.join(d, "title_id", "left")
+        return j.withColumn("entries", F.coalesce("entries", F.array().cast(d.schema["entries"].dataType))) \
+            .withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+
+    def preprocess(self, reviews: DataFrame, start: int = 1) -> DataFrame:
+        """Normalise -> replace -> split -> repair -> conflicts -> tokens ->
+        clean-up -> rating phrase -> polarity, as one job over all titles;
+        sentence ids begin at ``start``.
+
+        The cleaned sentence array of each review is written once (a Parquet
+        table) before ids are assigned: the dense-id prefix sum reads the
+        per-review counts and the rows, and must not run the regex chain twice.
+        """
+        n = tx.normalize_text(reviews.select("id", "title_id", "originalText"), "originalText")
+        j = tx.replace_metadata(self.with_dictionary(n), "normalizedText", "entries", "words", out="replacedText")
+        j = j.select(F.col("id").alias("review_id"), "title_id", "entries",
+                     tx.repair_sentences(tx.split_sentences("replacedText")).alias("raw"))
+        j = j.select("review_id", "title_id", tx.resolve_conflicts("raw", "entries").alias("raw"))
+        j = j.select("review_id", "title_id",
+                     F.transform("raw", lambda x: tx.sentence_from_tokens(tx.tokens(x))).alias("joined"))
+        j = j.select("review_id", "title_id",
+                     F.transform(F.filter("joined", tx.keep_sentence),
+                                 lambda x: tx.add_aspect_term(tx.sentence_case(x))).alias("sents"))
+        s = tx.number_sentences(stage_table(j), start, "sents")
+        return lexicon_polarity(s, "id", "sentence", self.fx.fx_lexicon, keep=["review_id", "title_id", "sentence"])
+
+    @cached_property
+    def preprocessed(self) -> DataFrame:
+        """The cleaned sentences of all reviews, with their polarity."""
+        return self._stage(self.preprocess(self.reviews))
+
+    def preprocessed_features(self) -> DataFrame:
+        """M4, M5 and A5 on the cleaned sentences."""
+        s = self.preprocessed
+        spans = asp.aspect_spans(s, self.fx.fx_term, keep=["review_id"])
+        rows = asp.aspect_polarity(spans, self.fx.fx_lexicon, self.terms, self.fx.fx_aspect)
+        return review_features(self.reviews, s.select("id", "review_id", F.col("compound").alias("polComp")),
+                               rows.withColumn("verified", F.lit(0)), self.fx.fx_aspect, self.fx.fx_genre)
+
     def features(self, **filters) -> DataFrame:
         return review_features(self.reviews, self.polarity, self.sentence_aspect, self.fx.fx_aspect,
                                self.fx.fx_genre, **filters)

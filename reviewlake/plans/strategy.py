@@ -1,4 +1,4 @@
-"""Physical-plan helpers: partition balance, checked broadcasts, salting.
+"""Physical-plan helpers: partition balance, prefix sums.
 
 These only *declare* partitioning and hints; Catalyst and AQE still pick the
 join algorithms and coalesce partitions at runtime.
@@ -6,40 +6,18 @@ join algorithms and coalesce partitions at runtime.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.config import LIMITS
 
 
-def parallelism(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
-
-
-def balance_for_cpu(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
-    """Spread CPU-heavy row work (regex chains) over the cluster.
-
-    A scan yields one task per file split / row group; a few large splits
-    leave most cores idle while 80+ regexes run per review. When the input
-    has fewer partitions than ``factor`` × default parallelism, hash-partition
-    on ``key`` (deterministic placement). Large inputs already arrive in many
-    splits and are left as they are — no shuffle of the whole corpus.
-    """
-    want = parallelism(df) * factor
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, key) if key else df.repartition(want)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its row count is checked to be under the bound.
-
-    Beyond the bound the plain DataFrame is returned and Spark plans a
-    shuffle join (AQE may still switch to broadcast from runtime sizes).
-    """
-    limit = max_rows or LIMITS.broadcast_rows
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition the rows that CPU-heavy stages read, into as many
+    partitions as the session's shuffles have (two per core at least)."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
 
 
 def literal_bound(df: DataFrame, max_rows: int | None = None) -> list:
@@ -55,31 +33,6 @@ def literal_bound(df: DataFrame, max_rows: int | None = None) -> list:
     return rows
 
 
-def salt(df: DataFrame, buckets: int, by: Column | str) -> DataFrame:
-    """Add a deterministic salt in [0, buckets) derived from ``by`` (big side)."""
-    c = F.col(by) if isinstance(by, str) else by
-    return df.withColumn("__salt", F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int"))
-
-
-def replicate_salt(df: DataFrame, buckets: int) -> DataFrame:
-    """Copy each row of the small side once per salt bucket."""
-    return df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-
-
-def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
-                buckets: int | None = None, salt_by: str | None = None) -> DataFrame:
-    """Equi-join on ``key`` where a few keys may hold a large share of ``big``.
-
-    ``big`` rows are spread over ``buckets`` salts (by ``salt_by``, e.g. the
-    review id); ``small`` rows are replicated per salt, so one hot key is
-    processed by ``buckets`` tasks instead of one.
-    """
-    n = buckets or LIMITS.title_salt
-    b = salt(big, n, salt_by or key)
-    s = replicate_salt(small, n)
-    return b.join(s, on=[key, "__salt"], how=how).drop("__salt")
-
-
 def grouped_prefix_sum(df: DataFrame, group: list[str], key: str, value: str, out: str,
                        tie: list[str] | None = None, inclusive: bool = True,
                        block_bits: tuple[int, int] = (12, 24)) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewlake.operators.dims import ASPECTS, GENRES
+
 BASE_TABLES = ("part", "lineitem", "documents", "pages", "embeddings", "labels")
 
 _TT = "concat('tt', lpad(CAST({k} AS STRING), 7, '0'))"
@@ -55,7 +57,7 @@ FROM (SELECT p_partkey, substring(p_name, 1, instr(p_name, ' ') - 1) AS a,
 
 FX_SQL["fx_principal"] = f"""
 SELECT DISTINCT {_TT.format(k='l_partkey')} AS tconst,
-       {_NM.format(k='(l_suppkey * 7 + l_linenumber) % 200')} AS nconst,
+       {_NM.format(k='(1 + (l_suppkey * 7 + l_linenumber + l_partkey) % (SELECT max(p_partkey) FROM part))')} AS nconst,
        CASE l_linenumber WHEN 1 THEN 'actor' WHEN 2 THEN 'actress' WHEN 3 THEN 'director'
                          WHEN 4 THEN 'writer' WHEN 5 THEN 'composer' WHEN 6 THEN 'self'
                          ELSE 'archive_footage' END AS category,
@@ -66,23 +68,13 @@ FROM lineitem"""
 
 FX_SQL["fx_review"] = f"""
 SELECT doc_id AS id, text AS originalText,
-       {_TT.format(k='doc_id % 190')} AS title_id,
+       {_TT.format(k='(1 + doc_id % (SELECT max(p_partkey) FROM part))')} AS title_id,
        CAST(1 + (doc_id * 7) % 10 AS INT) AS rating,
        CASE WHEN doc_id % 11 = 0 THEN 'exclude' WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS usage
-FROM documents WHERE lang = 'en'"""
-
-# Fixed values that must equal the original pipeline's: the genre dimension (id, name).
-FX_SQL["fx_genre"] = """
-SELECT * FROM (VALUES (1, 'Action'), (2, 'Adventure'), (3, 'Animation'), (4, 'Biography'),
-  (5, 'Comedy'), (6, 'Crime'), (7, 'Documentary'), (8, 'Drama'), (9, 'Family'), (10, 'Fantasy'),
-  (11, 'History'), (12, 'Horror'), (13, 'Musical'), (14, 'Mystery'), (15, 'Romance'),
-  (16, 'Sci-Fi'), (17, 'Sport'), (18, 'Thriller'), (19, 'War'), (20, 'Western')) AS g(id, displayName)"""
+FROM documents"""
 
-# Fixed values that must equal the original pipeline's: the aspect dimension (id, category).
-FX_SQL["fx_aspect"] = """
-SELECT * FROM (VALUES (0, 'Other'), (1, 'Audio'), (2, 'Effects'), (3, 'Scene'), (4, 'Story'),
-  (5, 'Direction'), (6, 'Cast'), (7, 'Message'), (8, 'Emotion'), (9, 'Comparison'),
-  (10, 'General'), (11, 'Overall'), (12, 'Audience')) AS a(id, category)"""
+FX_SQL["fx_genre"] = f"SELECT * FROM (VALUES {', '.join(map(str, GENRES))}) AS g(id, displayName)"
+FX_SQL["fx_aspect"] = f"SELECT * FROM (VALUES {', '.join(map(str, ASPECTS))}) AS a(id, category)"
 
 # Test dictionary: tokens that occur in the invented prose, nested terms
 # ("the" inside "and the" / "of the"), one id absent from the aspect
@@ -137,9 +129,3 @@ class Fixtures:
         if name.startswith("fx_") or name in BASE_TABLES:
             return self.table(name)
         raise AttributeError(name)
-
-
-def oracle_with(*names: str) -> str:
-    """WITH-clause prefix defining the requested fixture views for DuckDB."""
-    wanted = [n for n in FX_ORDER if n in names]
-    return "WITH " + ",\n".join(f"{n} AS ({FX_SQL[n]})" for n in wanted)

@@ -48,6 +48,9 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """Review CSV (multi-line quoted text); requires title_id, text, rating;
     usage defaults to ''."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    named = [c for c in df.columns if "text" in c.lower()]
+    if named:  # the first column that holds "text" in its name is the text
+        df = df.withColumnRenamed(named[0], "text")
     missing = {"title_id", "text", "rating"} - set(df.columns)
     if missing:
         raise ValueError(f"{path} lacks required columns {sorted(missing)}")
@@ -90,6 +93,11 @@ def read_rating_phrases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(RATING_PHRASE_SCHEMA).csv(path)
 
 
+def read_ambiguous(spark: SparkSession, path: str) -> DataFrame:
+    """Ambiguous names, CSV with a header and one column."""
+    return spark.read.option("header", True).schema("name string").csv(path)
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Annotation JSONL; mixed-type arrays are read as strings."""
     return spark.read.schema(ANNOTATION_SCHEMA).json(path)
@@ -125,8 +133,9 @@ def write_features(df: DataFrame, path: str, params: dict) -> None:
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """Read a feature TSV, skipping '#' comment lines (also the 3-line
     header of files written by the original)."""
-    return spark.read.option("sep", "\t").option("header", True).option("comment", "#") \
-        .option("inferSchema", True).csv(path)
+    raw = spark.read.option("sep", "\t").option("header", True).option("comment", "#").csv(path)
+    kind = lambda c: "double" if "mean" in c else "long" if c == "id" or c[0].isupper() else "int"
+    return raw.select(*[F.col(c).cast(kind(c)).alias(c) for c in raw.columns])
 
 
 # -- S17: reviews from stored HTML pages ------------------------------------------

@@ -58,3 +58,27 @@ def test_polarity_scores_in_range(pipeline):
         assert -1 <= r.polComp <= 1
         s = r.polNeg + r.polNeu + r.polPos
         assert s == 0 or math.isclose(s, 1.0, abs_tol=0.0021)
+
+
+def test_preprocessed_features_equal_sql(spark, pipeline, tmp_path, monkeypatch):
+    """X16 -> polarity -> spans -> aspect rows -> features, against SQL over the stored sentence table."""
+    import duckdb
+
+    from reviewlake.plans import oracle as O
+    from reviewlake.plans.catalog import QUERIES
+
+    path = str(tmp_path / "sentences")
+    pipeline.preprocessed.selectExpr("id", "review_id", "0 AS pos", "sentence").write.parquet(path)
+    monkeypatch.setitem(O.CTE, "ox_sentence", f"SELECT id, review_id, pos, sentence FROM read_parquet('{path}/*.parquet')")
+    monkeypatch.setitem(O.CTE, "ox_sa", O.CTE["ox_sa"].replace("CASE WHEN s.sentence_id % 3 = 0 THEN 1 ELSE 0 END", "0"))
+    con = duckdb.connect()
+    for t in ("part", "lineitem", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{pipeline.fx.sf_dir}/{t}.parquet')")
+    res = con.execute(O.build(O.features_select()))
+    names = [d[0] for d in res.description]
+    want = {r[names.index("id")]: dict(zip(names, r, strict=True)) for r in res.fetchall()}
+    got = {r.id: r.asDict() for r in QUERIES["preprocessed_features"](pipeline).collect()}
+    assert set(got) == set(want) and len(got) > 10
+    for i, row in got.items():
+        for c, v in row.items():
+            assert abs(v - want[i][c]) < 2e-6, (i, c, v, want[i][c])
