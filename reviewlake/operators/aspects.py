@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from reviewlake.functions.columns import at
 
 from reviewlake.operators.polarity import lexicon_polarity, with_polarity_bin
-from reviewlake.plans.strategy import literal_bound
 
 CONTEXT_WORDS = 3
 
@@ -92,35 +91,41 @@ def aspect_spans(sentences: DataFrame, terms: DataFrame, id_col: str = "id",
     return d.select("sentence_id", *keep, "start", "end", "span", "context", "ordinal")
 
 
-def sorted_terms_literal(terms_with_category: DataFrame) -> Column:
-    """Terms as a literal array<struct<term, category>>, longest first
-    (ties: aspect id, then term — trap H17)."""
-    rows = literal_bound(terms_with_category.select("aspect_id", "category", "term").distinct())
-    rows = sorted(rows, key=lambda r: (-len(r.term), r.aspect_id, r.term))
-    return F.array(*[F.struct(F.lit(r.term).alias("term"), F.lit(r.category).alias("category")) for r in rows])
+def context_categories(contexts: DataFrame, terms_with_category: DataFrame, context: str = "context") -> DataFrame:
+    """M3 (J7): categories of every distinct context, as (context, categories).
 
+    The terms found (substrings) in a context are taken longest first (ties:
+    aspect id, then term — trap H17), skipping a term contained in an already
+    accepted one; 'Overall' is dropped when other categories exist; none ->
+    ['Other']. Found means: a piece of the context of some term's length
+    equals the term, so a dictionary of any size is a join, not a literal."""
+    t = terms_with_category.select("aspect_id", "category", "term", F.length("term").alias("n")).distinct()
+    lengths = sorted(r.n for r in t.select("n").distinct().collect())  # the longest term bounds them
+    c = contexts.select(F.col(context).alias("context")).distinct()
+    ctx = F.col("context")
+    none = F.array().cast("array<string>")
 
-def aspect_categories(context, sorted_terms: Column) -> Column:
-    """M3: categories of the terms found (substring) in ``context``, longest
-    first, skipping a term contained in an already accepted term; 'Overall'
-    is dropped when other categories exist; none -> ['Other']. Sorted array."""
-    ctx = F.col(context) if isinstance(context, str) else context
-    init = F.struct(F.array().cast("array<string>").alias("terms"), F.array().cast("array<string>").alias("cats"))
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(ctx) - n + 1)
+        return F.when(F.length(ctx) >= n, F.transform(starts, lambda i: F.substring(ctx, i, F.lit(n)))).otherwise(none)
 
-    def step(acc, t):
-        take = ctx.contains(t["term"]) & ~F.exists(acc["terms"], lambda a: a.contains(t["term"]))
-        return F.when(take, F.struct(F.concat(acc["terms"], F.array(t["term"])).alias("terms"),
-                                     F.array_union(acc["cats"], F.array(t["category"])).alias("cats"))).otherwise(acc)
+    pieces = [runs(n) for n in lengths] or [none]
+    found = c.select("context", F.explode(F.array_distinct(F.concat(*pieces))).alias("term")).join(t, "term")
+    entry = F.struct((-F.col("n")).alias("k"), "aspect_id", "term", "category")
+    found = found.groupBy("context").agg(F.sort_array(F.collect_list(entry)).alias("found"))
 
-    cats = F.aggregate(sorted_terms, init, step, lambda a: a["cats"])
-    cats = F.when(F.size(cats) > 1, F.array_remove(cats, "Overall")).otherwise(cats)
-    return F.array_sort(F.when(F.size(cats) == 0, F.array(F.lit("Other"))).otherwise(cats))
+    init = F.struct(F.array().cast("array<string>").alias("terms"), F.array().cast("array<string>").alias("cats"))
 
+    def step(acc, e):
+        take = ~F.exists(acc["terms"], lambda a: a.contains(e["term"]))
+        return F.when(take, F.struct(F.concat(acc["terms"], F.array(e["term"])).alias("terms"),
+                                     F.array_union(acc["cats"], F.array(e["category"])).alias("cats"))).otherwise(acc)
 
-def context_categories_distinct(spans: DataFrame, sorted_terms: Column, context: str = "context") -> DataFrame:
-    """Categories computed once per distinct context, joined back."""
-    ctx = spans.select(context).distinct().withColumn("categories", aspect_categories(F.col(context), sorted_terms))
-    return spans.join(ctx, context)
+    cats = F.aggregate("found", init, step, lambda a: a["cats"])
+    cats = F.when(F.size(cats) > 1, F.array_remove(cats, "Overall")).otherwise(cats)
+    kept = found.select("context", F.array_sort(cats).alias("categories"))
+    return c.join(kept, "context", "left").select(
+        F.col("context").alias(context), F.coalesce("categories", F.array(F.lit("Other"))).alias("categories"))
 
 
 def aspect_polarity(spans: DataFrame, lexicon: DataFrame, terms_with_category: DataFrame,
@@ -130,8 +135,7 @@ def aspect_polarity(spans: DataFrame, lexicon: DataFrame, terms_with_category: D
     keyed = spans.withColumn("__sid", F.concat_ws(":", "sentence_id", "start", "end"))
     keep = [c for c in spans.columns]
     pol = with_polarity_bin(lexicon_polarity(keyed, "__sid", "context", lexicon, keep=keep))
-    st = sorted_terms_literal(terms_with_category)
-    d = pol.withColumn("category", F.explode(aspect_categories(F.col("context"), st)))
+    d = pol.join(context_categories(spans, terms_with_category), "context").withColumn("category", F.explode("categories"))
     return d.join(aspects.withColumnRenamed("id", "aspect_id"), "category") \
         .select("sentence_id", *[c for c in ("review_id",) if c in spans.columns], "aspect_id", "category",
                 F.col("span").alias("aspect_term"), "ordinal", F.lit("").alias("sentiment_term"), "polarity")
@@ -153,8 +157,7 @@ def import_annotations(annotations: DataFrame, terms_with_category: DataFrame, a
         at("z.aspect", 3).alias("aspect_term"),
         at("z.aspect", 4).alias("context"),
         at("z.aspect", 5).cast("int").alias("ordinal"))
-    st = sorted_terms_literal(terms_with_category)
-    z = z.withColumn("category", F.explode(aspect_categories(F.col("context"), st)))
+    z = z.join(context_categories(z, terms_with_category), "context").withColumn("category", F.explode("categories"))
     rows = z.join(aspects.withColumnRenamed("id", "aspect_id"), "category").select(
         "sentence_id", "aspect_id", "aspect_term", "ordinal", F.lit("").alias("sentiment_term"),
         "polarity", F.lit(1).alias("verified"))

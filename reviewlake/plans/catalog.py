@@ -341,9 +341,8 @@ def q_term_match(p):
 
 @register("aspect_categories", "SELECT context, category FROM ox_cat")
 def q_aspect_categories(p):
-    from reviewlake.operators.aspects import aspect_categories, sorted_terms_literal
-    ctx = p.spans.select("context").distinct()
-    return ctx.select("context", F.explode(aspect_categories("context", sorted_terms_literal(p.terms))).alias("category"))
+    from reviewlake.operators.aspects import context_categories
+    return context_categories(p.spans, p.terms).select("context", F.explode("categories").alias("category"))
 
 
 @register("polarity_bin", f"""SELECT id, {O._BIN.format(c='polComp')} AS polarity_bin,
@@ -955,6 +954,6 @@ def q_sentence_ids(p):
  JOIN ox_cat c ON c.context = s.context""")
 def q_span_categories(p):
     """Categories computed once per distinct context window, joined back to the spans."""
-    from reviewlake.operators.aspects import context_categories_distinct, sorted_terms_literal
-    j = context_categories_distinct(p.spans, sorted_terms_literal(p.terms))
+    from reviewlake.operators.aspects import context_categories
+    j = p.spans.join(context_categories(p.spans, p.terms), "context")
     return j.select("sentence_id", "start", "end", F.explode("categories").alias("category"))

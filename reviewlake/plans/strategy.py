@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from reviewlake.config import LIMITS
+from reviewlake.session import stage_table
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -34,46 +36,25 @@ def literal_bound(df: DataFrame, max_rows: int | None = None) -> list:
 
 
 def grouped_prefix_sum(df: DataFrame, group: list[str], key: str, value: str, out: str,
-                       tie: list[str] | None = None, inclusive: bool = True,
-                       block_bits: tuple[int, int] = (12, 24)) -> DataFrame:
+                       tie: list[str] | None = None, inclusive: bool = True) -> DataFrame:
     """Running sum of ``value`` within ``group`` ordered by (``key``, ``tie``).
 
     A window over a whole group would put a hot group (one title with a third
     of all reviews, or the global order when ``group`` is empty) into one
-    task. Instead the non-negative integer ``key`` is cut into fine blocks
-    (``key >> b1``) and coarse blocks (``key >> b2``):
-
-    * fine rows: window per (group, fine block) — at most 2^b1 keys each;
-    * fine-block totals: window per (group, coarse block) — at most 2^(b2-b1) rows;
-    * coarse-block totals: window per group over one row per coarse block.
-
-    Totals are partial aggregates (map-side combined), so only small tables
-    move; the offsets are joined back on the block keys.
+    task. Instead the rows are range-partitioned in that order, whatever the
+    keys look like, and written once with their partition number; each
+    partition has its own running sum, and adds the sums of the partitions
+    before it (a table with a row per partition and group in it).
     """
-    tie = tie or []
-    b1, b2 = block_bits
-    g = [F.col(c) for c in group]
-    d = df.withColumn("__b1", F.shiftright(F.col(key), b1)).withColumn("__b2", F.shiftright(F.col(key), b2))
-
-    from pyspark.sql.window import Window as W
-
-    w_fine = W.partitionBy(*(g + [F.col("__b1")])).orderBy(*([F.col(key)] + [F.col(t) for t in tie])) \
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = F.sum(value).over(w_fine)
+    order = [*group, key, *(tie or [])]
+    d = stage_table(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    w = W.partitionBy("__part", *group).orderBy(key, *(tie or [])).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = F.sum(value).over(w)
     if not inclusive:
         local = local - F.col(value)
-    d = d.withColumn("__local", local)
-
-    t1 = df.withColumn("__b1", F.shiftright(F.col(key), b1)).withColumn("__b2", F.shiftright(F.col(key), b2)) \
-        .groupBy(*(group + ["__b2", "__b1"])).agg(F.sum(value).alias("__s1"))
-    w1 = W.partitionBy(*(g + [F.col("__b2")])).orderBy("__b1").rowsBetween(W.unboundedPreceding, W.currentRow)
-    t1 = t1.withColumn("__o1", F.sum("__s1").over(w1) - F.col("__s1")).drop("__s1")
-
-    t2 = df.withColumn("__b2", F.shiftright(F.col(key), b2)).groupBy(*(group + ["__b2"])) \
-        .agg(F.sum(value).alias("__s2"))
-    w2 = (W.partitionBy(*g) if g else W.partitionBy()).orderBy("__b2").rowsBetween(W.unboundedPreceding, W.currentRow)
-    t2 = t2.withColumn("__o2", F.sum("__s2").over(w2) - F.col("__s2")).drop("__s2")
-
-    res = d.join(t1, on=group + ["__b2", "__b1"], how="left").join(t2, on=group + ["__b2"], how="left")
-    return res.withColumn(out, (F.col("__local") + F.col("__o1") + F.col("__o2")).cast("long")) \
-        .drop("__b1", "__b2", "__local", "__o1", "__o2")
+    before = (W.partitionBy(*group) if group else W.partitionBy()).orderBy("__part") \
+        .rowsBetween(W.unboundedPreceding, -1)
+    totals = d.groupBy(*group, "__part").agg(F.sum(value).alias("__sum")).select(
+        *group, "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    return d.withColumn("__local", local).join(totals, [*group, "__part"]).select(
+        *df.columns, (F.col("__local") + F.col("__before")).cast("long").alias(out))

@@ -1,23 +1,18 @@
 """M3 golden cases, J6 against brute-force LIKE, polarity bins."""
-from pyspark.sql import functions as F
-
 from reviewlake.functions.columns import polarity_bin, star_bucket
-from reviewlake.operators.aspects import aspect_categories, term_matches
-
-
-def _terms(spark):
-    rows = [(2, "Effects", "special effects"), (2, "Effects", "effects"), (4, "Story", "plot"),
-            (11, "Overall", "overall"), (6, "Cast", "cast")]
-    return F.array(*[F.struct(F.lit(t).alias("term"), F.lit(c).alias("category"))
-                     for _, c, t in sorted(rows, key=lambda r: (-len(r[2]), r[0], r[2]))])
+from reviewlake.operators.aspects import context_categories, term_matches
 
 
-def test_aspect_categories(spark):
-    cases = {"the special effects were great": ["Effects"], "overall the plot": ["Story"],
+def test_context_categories(spark):
+    terms = spark.createDataFrame([(2, "Effects", "special effects"), (2, "Effects", "effects"), (4, "Story", "plot"),
+                                   (11, "Overall", "overall"), (6, "Cast", "cast")],
+                                  "aspect_id int, category string, term string")
+    cases = {"the special effects were great": ["Effects"], "overall the plot": ["Story"], "": ["Other"],
              "overall good": ["Overall"], "nothing here": ["Other"], "cast and plot": ["Cast", "Story"]}
-    df = spark.createDataFrame([(k,) for k in cases], "c string")
-    got = {r.c: r.o for r in df.select("c", aspect_categories("c", _terms(spark)).alias("o")).collect()}
+    df = spark.createDataFrame([(k,) for k in [*cases, "overall good"]], "c string")
+    got = {r.c: r.categories for r in context_categories(df, terms, "c").collect()}
     assert got == cases
+    assert context_categories(df, terms.limit(0), "c").where("categories != array('Other')").count() == 0
 
 
 def test_term_match_equals_like(spark):
