@@ -11,15 +11,17 @@ from .common import written
 def components(edges: DataFrame, what: str = "components", most: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges`` (columns a, b): root is the
     least node of its component.  Each step only takes minima per node (summed
-    up before the shuffle) and joins them back, so a node with very many edges
-    is no task of its own; steps end when the edges no longer change."""
+    up before the shuffle, and written) and joins them back, so a node with
+    very many edges can be split among tasks by the skew join; steps end when
+    the edges no longer change."""
     e = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), what)
     last = None
     for _ in range(most):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), what)
         large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        large = written(large, what)
+        low = written(large.groupBy("b").agg(F.min("a").alias("m")), what)
         small = large.join(low, "b")
         e = written(small.select(F.col("m").alias("x"), F.col("a").alias("y"))
                     .unionByName(small.select(F.col("m").alias("x"), F.col("b").alias("y")))

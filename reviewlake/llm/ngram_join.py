@@ -272,27 +272,40 @@ def exact_counts(key: tuple, members: list[tuple], j: Join) -> list[tuple]:
         [(members[x][0], 0, members[y][0]) for x, y in forest(linked)]
 
 
+def with_set_id(docs: DataFrame, name: str = "sid") -> DataFrame:
+    """``docs``, all columns, and the digest of each text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for b in batches:
+            ids = [set_id(shingler.hashes(t.as_py() or "")) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (doc_id, sid, ...) with the shingle sets read from the texts."""
-    extra = [f for f in wanted.schema.fields if f.name != "doc_id"]
-    at = [f.name for f in extra]
+    """``wanted`` (doc_id, sid, ...; doc_id may be null) with the shingle sets
+    read from the texts of those rows, one row per sid."""
+    names = [c for c in wanted.columns if c != "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in batches:
-            sets = [shingler.hashes(t.as_py()) for t in b.column("text")]
-            ok = [set_id(s) == i.as_py() for s, i in zip(sets, b.column("sid"), strict=True)]  # ids may repeat
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(n) for n in at), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
-                [*at, "shingles"]).filter(pa.array(ok, pa.bool_()))
+            sets = [shingler.hashes(t.as_py()).astype("<u8").tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sets, pa.binary())],
+                                             [*names, "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in extra) + ", shingles binary"
-    return rows.join(wanted, "doc_id").select(*at, "text").mapInArrow(run, schema)
+    rows = with_set_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
+    same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["sid"] == wanted["sid"])
+    found = rows.join(wanted, same).select(*(wanted[n] for n in names), "text")
+    schema = StructType([*(wanted.schema[n] for n in names), StructField("shingles", BinaryType())])
+    return found.mapInArrow(run, schema).dropDuplicates(["sid"])
 
 
 def link(docs: DataFrame, j: Join = Join()) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies, sid) for every row of ``docs``."""
+    """(doc_id, class_id, n_links, n_copies, sid, root) for every row of
+    ``docs``; sid and root (of the class) are digests, null for empty sets."""
     sketched = written(sketches(docs, j), "sketches")
     filled = sketched.where("sid IS NOT NULL")
     sets = written(filled.groupBy("sid").agg(F.first("sketch").alias("sketch")), "sets")
@@ -303,7 +316,7 @@ def link(docs: DataFrame, j: Join = Join()) -> DataFrame:
     members = groups.join(sizes, "root").select(
         F.col("node").alias("sid"), "root", blocks.alias("blocks"),
         F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")).join(counts, "sid")
-    found = shingle_sets(docs, members.where("doc_id IS NOT NULL")).dropDuplicates(["sid"]).select(
+    found = shingle_sets(docs, members).select(
         "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", "sid", "copies", "shingles")
     pairs = found.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "sid",
                          "own", "copies", "shingles")
@@ -317,11 +330,11 @@ def link(docs: DataFrame, j: Join = Join()) -> DataFrame:
         "sid", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sid").alias("root"))
     info = written(info, "set-info")
     least = info.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    info = info.join(least, "root").select("sid", "class_id", "copies", "links")
+    info = info.join(least, "root").select("sid", "class_id", "copies", "links", "root")
     return sketched.select("doc_id", "sid").join(info, "sid", "left").select(
         "doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
-        F.coalesce("copies", F.lit(1)).alias("n_copies"), "sid")
+        F.coalesce("copies", F.lit(1)).alias("n_copies"), "sid", "root")
 
 
 def one_of_each(docs: DataFrame, j: Join = Join()) -> DataFrame:
@@ -332,16 +345,10 @@ def one_of_each(docs: DataFrame, j: Join = Join()) -> DataFrame:
     while sid in docs.columns:
         sid += "_"
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for b in batches:
-            ids = [set_id(shingler.hashes(t.as_py() or "")) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], [*b.schema.names, sid])
-
-    marked = docs.mapInArrow(digest, StructType([*docs.schema.fields, StructField(sid, BinaryType())]))
+    marked = with_set_id(docs, sid)
     classes = link(docs, j).where("sid IS NOT NULL")
-    keep = (classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id")
-            .agg(F.min("sid").alias(sid)).withColumnRenamed("class_id", "__keep__"))
+    keep = (classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root", "class_id")
+            .agg(F.min("sid").alias(sid)).select(F.col("class_id").alias("__keep__"), sid))
     same = marked["doc_id"].eqNullSafe(keep["__keep__"]) & (marked[sid] == keep[sid])
     kept = marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", sid])
     return kept.unionByName(marked.where(F.col(sid).isNull())).drop(sid)

@@ -56,8 +56,8 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 class Sizes:
     """Bytes of text per sorted run, per bucket of suffixes, and per group of documents at the end."""
 
-    run_bytes: int = 12_000_000
-    hash_bytes: int = 3_000_000
+    run_bytes: int = 8_000_000
+    hash_bytes: int = 1_500_000
     bucket_bytes: int = 3_000_000
     group_bytes: int = 8_000_000
 
@@ -310,7 +310,7 @@ def covered(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def group_number(doc_id, groups: int):
-    """The group of a document; for columns and for arrays alike."""
+    """The group of a document (doc_id ^ part); for columns and for arrays alike."""
     if isinstance(doc_id, Column):
         return F.pmod(doc_id.bitwiseXOR(F.shiftright(doc_id, 7)).bitwiseXOR(F.shiftright(doc_id, 19)), F.lit(groups).cast("long"))
     return (doc_id ^ (doc_id >> 7) ^ (doc_id >> 19)) % groups
@@ -401,7 +401,7 @@ def ranges(runs: DataFrame, groups: int) -> DataFrame:
 
     def flush(held) -> Iterator[pa.RecordBatch]:
         cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-        group = group_number(cols[0], groups)
+        group = group_number(cols[0] ^ cols[1], groups)
         order = np.argsort(group, kind="stable")
         group, cols = group[order], [c[order] for c in cols]
         cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
@@ -463,7 +463,9 @@ def dedup(docs: DataFrame, s: Sizes = Sizes()) -> DataFrame:
     runs = sorted_runs(rows, max(1, -(-total // s.bucket_bytes)), s)
     found = written(ranges(runs, groups), "ranges")
     null = F.lit(None)
-    texts = rows.select(F.coalesce(group_number(F.col("doc_id"), groups), F.lit(0)).alias("grp"), F.lit(1).alias("kind"),
+    own = group_number(F.col("doc_id").bitwiseXOR(F.col("part")), groups)
+    own = F.coalesce(own, F.pmod(F.xxhash64("text"), F.lit(groups)))  # rows without an id go anywhere
+    texts = rows.select(own.alias("grp"), F.lit(1).alias("kind"),
                         null.cast("binary").alias("blob"), "doc_id", "part", F.col("text").cast("binary").alias("data"))
     blobs = found.select("grp", F.lit(0).alias("kind"), "blob", null.cast("long").alias("doc_id"),
                          null.cast("long").alias("part"), null.cast("binary").alias("data"))

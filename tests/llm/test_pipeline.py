@@ -23,7 +23,7 @@ def test_stages(spark, tokenizer):
         elif n == 1:
             from test_search import brute_links
             rows = [(i, r.text) for i, r in before.items()]
-            assert set(after) == {c for _, c, _ in brute_links(rows)}
+            assert set(after) == {c for _, c, _, _ in brute_links(rows)}
             assert all(after[i] == before[i] for i in after)
         elif n == 2:
             items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
