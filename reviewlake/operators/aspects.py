@@ -70,11 +70,13 @@ def aspect_spans(sentences: DataFrame, terms: DataFrame, id_col: str = "id",
     t = terms.select(F.lower("term").alias("term")).distinct()
     k = _max_words(terms)
     keep = keep or []
-    d = sentences.select(F.col(id_col).alias("sentence_id"), F.split(F.col(text_col), " ").alias("__p"), *keep)
+    d = sentences.select(F.col(id_col).alias("sentence_id"), F.col(text_col).alias("__s"),
+                         F.split(F.col(text_col), " ").alias("__p"), *keep)
     # per-row arrays as carried columns (never inlined into the lambdas below)
     d = d.select("*", _grams(F.col("__p"), k, interior=False).alias("__grams"))
-    d = d.select("sentence_id", "__p", *keep, F.explode("__grams").alias("__g")).join(
+    d = d.select("sentence_id", "__s", *keep, F.explode("__grams").alias("__g")).join(
         t, F.lower(F.col("__g.text")) == F.col("term"), "left_semi")
+    d = d.select("sentence_id", "__g", *keep, F.split("__s", " ").alias("__p"))
     p = F.col("__p")
     i, kk = F.col("__g.i"), F.col("__g.k")
     start = F.length(F.array_join(F.slice(p, 1, i), " ")) + F.when(i > 0, 1).otherwise(0)

@@ -728,7 +728,7 @@ def q_train_binary(p):
     from reviewlake.operators.learn import predict, train_review_classifier
     from reviewlake.session import cut_lineage
     f = cut_lineage(p.features())
-    m = train_review_classifier(f, "binary_class", C=1.0, max_iter=20)
+    m = train_review_classifier(f, "binary_class", C=1.0)
     return predict(m, f, "binary_class").select("id", "binary_class", F.col("prediction").cast("int").alias("prediction"))
 
 
@@ -737,7 +737,7 @@ def q_train_multi(p):
     from reviewlake.operators.learn import predict, train_review_classifier
     from reviewlake.session import cut_lineage
     f = cut_lineage(p.features())
-    m = train_review_classifier(f, "class", C=1.0, max_iter=10)
+    m = train_review_classifier(f, "class", C=1.0)
     return predict(m, f, "class").select("id", "class", F.col("prediction").cast("int").alias("prediction"))
 
 
@@ -745,7 +745,7 @@ def q_train_multi(p):
 def q_tune(p):
     from reviewlake.operators.learn import tune
     from reviewlake.session import cut_lineage
-    best, scores = tune(cut_lineage(p.features()), "binary_class", folds=2, max_iter=10)
+    best, scores = tune(cut_lineage(p.features()), "binary_class")
     from reviewlake import config
     rows = [(float(c), float(s), float(c) == float(best)) for c, s in zip(config.C_GRID, scores)]
     return p.spark.createDataFrame(rows, "C double, mean_score double, best boolean")
@@ -755,7 +755,7 @@ def q_tune(p):
 def q_label_head(p):
     from reviewlake.operators.features import evaluate
     from reviewlake.operators.learn import train_label_head
-    _, pred = train_label_head(p.fx.embeddings, max_iter=30)
+    _, pred = train_label_head(p.fx.embeddings)
     return evaluate(pred.select("label", "prediction"))
 
 
@@ -767,7 +767,7 @@ def q_predict(p):
     from reviewlake.session import cut_lineage
     f = cut_lineage(p.features())
     path = scratch(p.spark, "model")
-    train_review_classifier(f, "binary_class", max_iter=10).write().overwrite().save(path)
+    train_review_classifier(f, "binary_class").write().overwrite().save(path)
     return predict(PipelineModel.load(path), f).select("id", F.col("prediction").cast("int").alias("prediction"))
 
 
@@ -777,7 +777,7 @@ def q_overall(p):
     from reviewlake.operators.learn import predict, train_review_classifier
     from reviewlake.session import cut_lineage
     f = cut_lineage(p.features())
-    pred = predict(train_review_classifier(f, "class", max_iter=10), f, "class").select(F.col("id").alias("review_id"),
+    pred = predict(train_review_classifier(f, "class"), f, "class").select(F.col("id").alias("review_id"),
                                                                               "prediction")
     ar = aspect_ratings(p.polarity, p.sentence_aspect.where(F.col("verified") == 0))
     return overall_rating(ar, pred).select("review_id", "overall")

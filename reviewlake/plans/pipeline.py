@@ -105,7 +105,8 @@ class Pipeline:
         """fx_sentence: rule split of the review text (X10) with dense ids."""
         parts = self._stage(self.reviews.select(F.col("id").alias("review_id"),
                                                 tx.split_sentences("originalText").alias("parts")))
-        return self._stage(tx.number_sentences(parts).select("id", "review_id", "pos", "sentence"))
+        rows = tx.number_sentences(parts).select("id", "review_id", "pos", "sentence")
+        return self._stage(spread(rows, "review_id"))
 
     @cached_property
     def polarity(self) -> DataFrame:
@@ -166,7 +167,7 @@ class Pipeline:
     @cached_property
     def preprocessed(self) -> DataFrame:
         """The cleaned sentences of all reviews, with their polarity."""
-        return self._stage(self.preprocess(self.reviews))
+        return self._stage(spread(self.preprocess(self.reviews), "review_id"))
 
     def preprocessed_features(self) -> DataFrame:
         """M4, M5 and A5 on the cleaned sentences."""
