@@ -46,7 +46,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

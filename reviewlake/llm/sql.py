@@ -76,4 +76,43 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
 FROM f
 """
 
-ORACLE: dict[str, str] = {"op8_quality_rules": OP8, "op9_chat_format": OP9, "op10_warc": OP10}
+OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0) x),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS whole FROM g GROUP BY doc_id),
+c AS (SELECT doc_id, n, count(*) OVER (PARTITION BY whole) AS copies FROM n),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT p.x, p.y FROM p JOIN n a ON a.doc_id = p.x JOIN n b ON b.doc_id = p.y
+      WHERE 5 * p.both >= 4 * (a.n + b.n - p.both)),
+r(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other),
+k AS (SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id)
+SELECT k.doc_id, k.class_id, (SELECT count(*) FROM l WHERE l.x = k.doc_id) AS n_links, coalesce(c.copies, 1) AS n_copies
+FROM k LEFT JOIN c ON c.doc_id = k.doc_id
+"""
+
+OP7 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, j, CASE WHEN j + 50 <= n THEN hash(substr(h, 2 * j + 1, 100)) END AS s
+      FROM (SELECT doc_id, h, n, unnest(range(n)) AS j FROM d) b),
+f AS (SELECT doc_id, j, s IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY s) AS again FROM s),
+g AS (SELECT doc_id, j, bool_or(again) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+      FROM f),
+t AS (SELECT doc_id, j, gone FROM (SELECT *, lag(gone) OVER (PARTITION BY doc_id ORDER BY j) AS before FROM g) x
+      WHERE gone IS DISTINCT FROM before),
+r AS (SELECT t.doc_id, t.j, t.gone, coalesce(lead(t.j) OVER (PARTITION BY t.doc_id ORDER BY t.j), d.n) - t.j AS len, d.h
+      FROM t JOIN d ON d.doc_id = t.doc_id),
+a AS (SELECT doc_id, sum(len) FILTER (gone) AS n_removed, count(*) FILTER (gone) AS n_spans,
+             string_agg(substr(h, 2 * j + 1, 2 * len), '' ORDER BY j) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(a.n_removed, 0)::BIGINT AS n_removed, coalesce(a.n_spans, 0) AS n_spans,
+       sha256(from_hex(coalesce(a.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op6_ngram_join": OP6, "op7_suffix_dedup": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9, "op10_warc": OP10,
+}
