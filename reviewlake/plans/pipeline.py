@@ -161,18 +161,18 @@ class Pipeline:
         j = j.select("review_id", "title_id",
                      F.transform(F.filter("joined", tx.keep_sentence),
                                  lambda x: tx.add_aspect_term(tx.sentence_case(x))).alias("sents"))
-        s = tx.number_sentences(stage_table(j), start, "sents")
+        s = spread(tx.number_sentences(stage_table(j), start, "sents"), "review_id")
         return lexicon_polarity(s, "id", "sentence", self.fx.fx_lexicon, keep=["review_id", "title_id", "sentence"])
 
     @cached_property
     def preprocessed(self) -> DataFrame:
         """The cleaned sentences of all reviews, with their polarity."""
-        return self._stage(spread(self.preprocess(self.reviews), "review_id"))
+        return self._stage(self.preprocess(self.reviews))
 
     def preprocessed_features(self) -> DataFrame:
         """M4, M5 and A5 on the cleaned sentences."""
         s = self.preprocessed
-        spans = asp.aspect_spans(s, self.fx.fx_term, keep=["review_id"])
+        spans = self._stage(asp.aspect_spans(spread(s, "review_id"), self.fx.fx_term, keep=["review_id"]))
         rows = asp.aspect_polarity(spans, self.fx.fx_lexicon, self.terms, self.fx.fx_aspect)
         return review_features(self.reviews, s.select("id", "review_id", F.col("compound").alias("polComp")),
                                rows.withColumn("verified", F.lit(0)), self.fx.fx_aspect, self.fx.fx_genre)
