@@ -78,6 +78,12 @@ def tune(features: DataFrame, label: str = "class", Cs=config.C_GRID, folds: int
     return Cs[best], scores
 
 
+def search_and_fit(features: DataFrame, label: str = "class", **search) -> tuple[PipelineModel, float]:
+    """M9 then M8: the search's best C, and the model fitted with it on all training rows."""
+    best, _ = tune(features, label, **search)
+    return train_review_classifier(features, label, C=best), best
+
+
 def predict(model: PipelineModel, features: DataFrame, label: str = "binary_class") -> DataFrame:
     """Apply a fitted (or loaded) pipeline; prediction in the label's own scale."""
     return model.transform(features).withColumn("prediction", F.col("prediction") + float(label_offset(label)))

@@ -751,6 +751,18 @@ def q_tune(p):
     return p.spark.createDataFrame(rows, "C double, mean_score double, best boolean")
 
 
+@register("tuned_binary")
+def q_tuned_binary(p):
+    """M9 -> M8 -> A12: C searched and refitted on the reviews tagged 'train', measured on those tagged 'test'."""
+    from reviewlake.operators.features import evaluate
+    from reviewlake.operators.learn import predict, search_and_fit
+    from reviewlake.session import stage_table
+    train, test = (stage_table(p.features(usage=u)) for u in ("train", "test"))
+    model, best = search_and_fit(train, "binary_class")
+    found = predict(model, test).select(F.col("binary_class").alias("label"), "prediction")
+    return evaluate(found).withColumn("C", F.lit(float(best)))
+
+
 @register("label_head")
 def q_label_head(p):
     from reviewlake.operators.features import evaluate
