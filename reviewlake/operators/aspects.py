@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions.columns import at
 
+from reviewlake.plans.strategy import least_rows
 from reviewlake.operators.polarity import lexicon_polarity, with_polarity_bin
 
 CONTEXT_WORDS = 3
@@ -15,7 +16,7 @@ CONTEXT_WORDS = 3
 def aspect_terms(terms: DataFrame, aspects: DataFrame) -> DataFrame:
     """Terms with their category (inner join drops ids missing from the
     dimension, trap H7), duplicates removed (unique aspect_id, term), longest first."""
-    t = terms.dropDuplicates(["aspect_id", "term"])
+    t = terms.select("aspect_id", "term").distinct()
     return t.join(aspects.withColumnRenamed("id", "aspect_id"), "aspect_id") \
         .select("aspect_id", "category", "term") \
         .orderBy(F.length("term").desc(), "aspect_id", "term")
@@ -164,7 +165,7 @@ def import_annotations(annotations: DataFrame, terms_with_category: DataFrame, a
         "sentence_id", "aspect_id", "aspect_term", "ordinal", F.lit("").alias("sentiment_term"),
         "polarity", F.lit(1).alias("verified"))
     key = ["sentence_id", "aspect_id", "aspect_term", "ordinal", "verified"]
-    rows = rows.dropDuplicates(key)
+    rows = least_rows(rows, key)
     if existing is not None:
         rows = rows.join(existing.select(*key), key, "left_anti")
     return rows

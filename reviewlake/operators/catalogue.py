@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.config import TitleFilter
+from reviewlake.plans.strategy import least_rows
 from reviewlake.functions.columns import bit, clean_characters, clean_person_name, short_or_symbolic, trim_chars
 
 
@@ -61,11 +62,11 @@ def with_subtitle(titles: DataFrame) -> DataFrame:
 
 def import_titles(titles_raw: DataFrame, ratings_raw: DataFrame, genres: DataFrame,
                   f: TitleFilter = TitleFilter()) -> tuple[DataFrame, DataFrame]:
-    """(imdb_title, imdb_title_genres).
+    """(titles, title_genres).
 
     Titles without any known genre are dropped (P4, a semi-join)."""
     t = split_genres(filter_titles(titles_raw, f))
-    joined = titles_join_ratings(t, filter_ratings(ratings_raw, f.votes_min)).dropDuplicates(["id"])
+    joined = least_rows(titles_join_ratings(t, filter_ratings(ratings_raw, f.votes_min)), ["id"])
     tg = title_genres(t, genres, joined)
     titles = with_subtitle(joined.join(tg.select(F.col("title_id").alias("id")).distinct(), "id", "left_semi"))
     return titles, tg
@@ -111,15 +112,14 @@ def filter_names(names: DataFrame, principals: DataFrame) -> DataFrame:
 
 
 def import_people(principals: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(imdb_name, imdb_principals); principals only for imported
+    """(person_rows, title_people); principals only for imported
     names, empty character text becomes null."""
-    imdb_name = names.select(F.col("nconst").alias("id"), "primaryName", "birthYear", "deathYear") \
-        .dropDuplicates(["id"])
-    p = principals.join(imdb_name.select(F.col("id").alias("nconst")), "nconst", "left_semi")
-    imdb_principals = p.select(F.col("tconst").alias("title_id"), F.col("nconst").alias("name_id"), "category",
+    person_rows = least_rows(names.select(F.col("nconst").alias("id"), "primaryName", "birthYear", "deathYear"), ["id"])
+    p = principals.join(person_rows.select(F.col("id").alias("nconst")), "nconst", "left_semi")
+    title_people = p.select(F.col("tconst").alias("title_id"), F.col("nconst").alias("name_id"), "category",
                                "job", F.when(F.col("characters") == "", None).otherwise(F.col("characters"))
                                .alias("character"))
-    return imdb_name, imdb_principals
+    return person_rows, title_people
 
 
 def titles_projection(titles: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from reviewlake.plans.strategy import least_rows
+
 
 def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
     """INSERT OR IGNORE — incoming rows whose key is new are appended;
@@ -20,14 +22,14 @@ def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], order
         w = W.partitionBy(*keys).orderBy(*order_by)
         inc = inc.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r")
     else:
-        inc = inc.dropDuplicates(keys)
+        inc = least_rows(inc, keys)
     new = inc.join(target.select(*keys), keys, "left_anti")
     return target.unionByName(new.select(*target.columns))
 
 
 def update_from(target: DataFrame, updates: DataFrame, on: list[str], set_cols: list[str]) -> DataFrame:
     """UPDATE … FROM — matched rows take the update's values (one match per key)."""
-    u = updates.select(*on, *[F.col(c).alias(f"__u_{c}") for c in set_cols]).dropDuplicates(on)
+    u = least_rows(updates.select(*on, *[F.col(c).alias(f"__u_{c}") for c in set_cols]), on)
     j = target.join(u.withColumn("__m", F.lit(True)), on, "left")
     for c in set_cols:
         j = j.withColumn(c, F.when(F.col("__m"), F.col(f"__u_{c}")).otherwise(F.col(c)))
@@ -56,9 +58,7 @@ def write_sentences(sentences: DataFrame, path: str, buckets: int | None = None)
 def write_words(words: DataFrame, path: str) -> None:
     """Word table (sentence_id, pos, word, ws, sentencePart), one row per
     (sentence_id, pos) — of equal keys the least row — clustered by sentence."""
-    rest = [c for c in words.columns if c not in ("sentence_id", "pos")]
-    rows = words.groupBy("sentence_id", "pos").agg(F.min(F.struct(*rest)).alias("r")).select("sentence_id", "pos", "r.*")
-    rows.sortWithinPartitions("sentence_id", "pos").write.mode("overwrite").parquet(path)
+    least_rows(words, ["sentence_id", "pos"]).sortWithinPartitions("sentence_id", "pos").write.mode("overwrite").parquet(path)
 
 
 def flag_tokenized(reviews: DataFrame, sentences: DataFrame) -> DataFrame:

@@ -830,7 +830,7 @@ def q_stream_predict(p):
 
 @register("stream_dedupe", "SELECT sentence_id, aspect_id, aspect_term, ordinal, verified, polarity FROM ox_sa")
 def q_stream_dedupe(p):
-    """Labels arrive twice (same rows in two files); streaming dropDuplicates keeps one."""
+    """Labels arrive twice (same rows in two files); each key is stored once."""
     from reviewlake.streaming.increments import scratch, stream_dedupe
     keys = ["sentence_id", "aspect_id", "aspect_term", "ordinal", "verified"]
     rows = p.sentence_aspect.select(*keys, "polarity")

@@ -25,7 +25,7 @@ from reviewlake.session import stage_table
 from reviewlake.sources.fixtures import Fixtures
 
 
-STAGES = ("titles", "title_genres", "principals", "names", "imdb_principals", "people", "people_principals",
+STAGES = ("titles", "title_genres", "principals", "names", "title_people", "people", "people_principals",
           "titles_flagged", "metadata", "reviews", "sentences", "polarity", "spans", "sentence_aspect", "preprocessed")
 
 
@@ -75,17 +75,17 @@ class Pipeline:
         return self._stage(self._people[0])
 
     @cached_property
-    def imdb_principals(self) -> DataFrame:
+    def title_people(self) -> DataFrame:
         return self._stage(self._people[1])
 
     @cached_property
     def people(self) -> DataFrame:
-        """imdb_name after parsing (N1-N7), capitalisation (P15) and ambiguity."""
+        """person_rows after parsing (N1-N7), capitalisation (P15) and ambiguity."""
         return self._stage(cat.flag_names_ambiguous(nm.preprocess_names(self.names), self.fx.fx_ambiguous))
 
     @cached_property
     def people_principals(self) -> DataFrame:
-        return self._stage(cat.flag_principals_ambiguous(self.imdb_principals, self.fx.fx_ambiguous))
+        return self._stage(cat.flag_principals_ambiguous(self.title_people, self.fx.fx_ambiguous))
 
     @cached_property
     def titles_flagged(self) -> DataFrame:

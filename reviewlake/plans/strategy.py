@@ -22,6 +22,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def least_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: of rows with equal keys the least by the other columns
+    (an ordered winner, summed up before the shuffle)."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__least")).select(*keys, "__least.*").select(*df.columns)
+
+
 def literal_bound(df: DataFrame, max_rows: int | None = None) -> list:
     """Collect a dictionary-sized table to the driver after checking its size.
 

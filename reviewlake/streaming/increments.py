@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlake.plans.strategy import least_rows
 from reviewlake.session import ensure_checkpoint_dir
 
 
@@ -73,9 +74,7 @@ def predict_batch(spark: SparkSession, out: str, predict, keys: list[str]):
     """T2 for one batch: rows whose key an earlier batch has written are
     skipped; among equal keys of the batch the least row wins."""
     def process(batch: DataFrame, batch_id: int) -> DataFrame:
-        rows = predict(batch)
-        rest = [c for c in rows.columns if c not in keys]
-        rows = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(*rows.columns)
+        rows = least_rows(predict(batch), keys)
         types = dict(rows.dtypes)
         done = earlier(spark, out, batch_id, ", ".join(f"{k} {types[k]}" for k in keys))
         return rows.join(done, keys, "left_anti")
