@@ -221,7 +221,9 @@ def candidates(sets: DataFrame, j: Join) -> DataFrame:
     short = F.unhex(F.regexp_replace(F.hex("sketch"), "(..)......", "$1"))
     edges = None
     for level in range(1, j.depth + 1):
-        sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("least")).where("n > 1")
+        # written, so that the join can split a path that very many sets take
+        sizes = written(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("least"))
+                        .where("n > 1"), "sizes")
         alive = nodes.join(sizes, "path")
         leaves = alive.where(F.col("n") <= j.small).select("path", "sid").join(sets, "sid") \
             .select("path", "sid", short.alias("short"))
