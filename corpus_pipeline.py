@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.llm import decontaminate, ngram_join, packing, pii, quality
-from reviewlake.llm.common import table, written
+from reviewlake.llm.common import small_batches, table, written
 from reviewlake.llm.queries import tokenizer_path
 
 
@@ -24,26 +24,31 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines."""
+    small_batches(spark)
     return _counted(quality.assess(docs, keep_columns=True))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
+    small_batches(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data masked by its kind."""
+    small_batches(spark)
     return _counted(pii.redact(docs, pii.train(docs)))
 
 
 def packing_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences with their length bucket, batch and slot."""
+    small_batches(spark)
     return packing.pack(written(packing.token_counts(docs, tokenizer_path()), "token-counts"))
 
 

@@ -10,8 +10,17 @@ from pyspark.sql import functions as F
 from reviewlake.session import ensure_checkpoint_dir
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: ``rows`` rows an Arrow batch where the session leaves
+    the number at its default, so that a worker holds little at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark (any store Spark can open)."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
