@@ -8,7 +8,9 @@ positions, the pooled states and inputs give the window's score, and a text's
 score is that of its highest window.  All windows of all texts are scored.
 
 The network is trained in numpy on a bounded number of labelled texts
-(``Training.docs``, a documented bound; the smallest hashes of doc_id).  Only
+(``Training.docs``, a documented bound; the smallest hashes of doc_id among the
+labelled ids that have a text of at most ``Training.chars`` characters; an id
+with several such texts gives its least one).  Only
 texts carry labels, so each round trains on the window of a text that scores
 highest so far; the first coordinate of the embeddings starts as the log odds
 of the word or n-gram between toxic and other training texts.
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +43,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_windows
 
 @dataclass(frozen=True)
 class Training:
-    docs: int = 4000
+    docs: int = 6000
     chars: int = 20_000
     hidden: int = 12
     attention: int = 12
@@ -205,7 +207,7 @@ class Network:
             seen = c.sum(0)
             self.p[k][:, 0] = 0.4 * np.clip(odds, -3, 3) * seen / (seen + 5)
 
-    def fit(self, docs: list[list[bytes]], labels: np.ndarray) -> None:
+    def fit(self, docs: Iterable[list[bytes]], labels: np.ndarray) -> None:
         t, rng = self.t, np.random.default_rng(self.t.seed)
         vocabulary = Vocabulary()
         ids = [vocabulary.ids(d) for d in docs]
@@ -366,14 +368,16 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> dict
     labels of both kinds."""
     known = (labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(t.docs)
-    rows = (docs.where(F.length("text") <= t.chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-            .select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]))
+    short = docs.where(F.length("text") <= t.chars).select("doc_id", "text")
+    chosen = (known.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
+              .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(t.docs))
+    rows = (short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+            .toArrow().sort_by("doc_id"))
     y = np.array(rows["toxic"], float)
     if len(set(y.tolist())) < 2:
         return None
     net = Network(t)
-    net.fit([words_of(x.as_py()) for x in rows["text"]], y)
+    net.fit((words_of(x.as_py()) for x in rows["text"]), y)
     return net.frozen()
 
 

@@ -118,3 +118,18 @@ def test_toxicity_cases(spark, documents):
     assert toxicity.train(documents(rows), labels.limit(0)) is None
     assert toxicity.score(documents(rows), None).where("predicted = 0").count() == len(rows)
     assert toxicity.score(documents([]), w).count() == 0
+
+
+def test_toxicity_training_rows(spark, documents, monkeypatch):
+    got = []
+    monkeypatch.setattr(toxicity.Network, "fit", lambda self, docs, labels: got.append((sorted(b" ".join(d) for d in docs), len(labels))))
+    t = toxicity.Training(docs=20, chars=50)
+    assert toxicity.Training().docs == 6000
+    ids = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5]
+    labels = spark.createDataFrame([(k, k % 2) for k in ids] + [(k, 1) for k in range(1000, 1300)], "doc_id long, toxic int")
+    rows = [(k, "long " * 40 if j % 4 else f"short text{k}") for j, k in enumerate(ids)]
+    short = [(k, x) for k, x in rows if len(x) <= 50]
+    assert len(short) > t.docs
+    toxicity.train(documents(rows + [(k, f"a second{k}") for k, _ in short] * 3), labels, t)
+    found, n = got[0]
+    assert n == len(found) == t.docs and all(x.startswith(b"a second") for x in found)
