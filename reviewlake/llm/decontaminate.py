@@ -15,23 +15,30 @@ holds at least ``min_overlap`` of the word triples of the item's question and
 of its answer: the item's last sentence is its answer, the rest its question
 (of a single sentence, the last third is the answer).
 
-The index is built on the driver and sent to the executors, for as many items
-at a time as hold ``index_chars`` characters together; more items are taken in
-further passes.  Words are lower case, split at blanks and ASCII punctuation.
+An item is a distinct text; an item_id may have several texts and a text
+several item_ids, null among them.  Each text is searched and verified on its
+own; ``find_leaks`` gives the best leaking text of each item_id (by score, then
+overlaps, then passages).
+
+The index is built on the driver and sent to the executors, for about as many
+texts at a time as hold ``index_chars`` characters together (cut by the text's
+hash); more texts are taken in further passes.  Words are lower case, split at blanks and ASCII punctuation.
 
 Defined results: null and empty texts leak nothing and items of fewer than
-``MIN_ITEM_WORDS`` words are too short to show a leak; repeated rows are judged
+``MIN_ITEM_WORDS`` words are too short to show a leak; items without an id are
+searched like others and reported under a null item_id, as one id; repeated rows are judged
 alike; an empty benchmark leaves all documents, an empty table gives no rows;
 further columns are kept by ``drop_leaks`` and ignored by ``find_leaks``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -101,20 +108,25 @@ class Postings:
 class Index:
     """The inverted index of a set of items."""
 
-    def __init__(self, items: list[tuple[int, str]], s: Search):
+    def __init__(self, items: Iterable[tuple[int | None, str]], s: Search):
         self.search, self.vocabulary = s, {}
-        self.parts, self.owner, unit_pairs = {}, [], []
+        self.parts, self.ids, self.owner, unit_pairs = [], [], [], []
+        by_text: dict[str, list[int | None]] = {}
         for item_id, text in items:
+            by_text.setdefault(text, []).append(item_id)
+        for text, item_ids in by_text.items():
             words = words_of(text)
             if len(words) < MIN_ITEM_WORDS:
                 continue
-            self.parts[item_id] = tuple(triples(p) for p in question_answer(text))
+            number = len(self.parts)
+            self.ids.append(item_ids)
+            self.parts.append(tuple(triples(p) for p in question_answer(text)))
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
             n_units = -(-len(ids) // s.unit_words)
             for k in range(n_units):
                 own = ids[k * len(ids) // n_units:(k + 1) * len(ids) // n_units]
                 unit_pairs.append(Counter(zip(own, own[1:], strict=False)))
-                self.owner.append(item_id)
+                self.owner.append(number)
         self.size = len(self.vocabulary)
         held = Counter(p for c in unit_pairs for p in c)
         lens = [sum(c.values()) for c in unit_pairs]
@@ -187,8 +199,9 @@ class Index:
             if score >= need:
                 out.append((unit, score))
 
-    def leaks(self, text: str) -> list[tuple[int, float, float, float, int]]:
-        """(item_id, best score, question overlap, answer overlap, passages) of a document."""
+    def leaks(self, text: str) -> list[tuple[int | None, float, float, float, int]]:
+        """(item_id, best score, question overlap, answer overlap, passages) of a
+        document: per item_id those of its best leaking text."""
         s = self.search
         words = words_of(text)
         terms = self.terms(words)
@@ -210,49 +223,57 @@ class Index:
                     f[0], f[1] = max(f[0], score), f[1] + 1
         if not found:
             return []
-        have, out = triples(words), []
+        have, out = triples(words), {}
         if len(words) > 3:
             short = {t for p in (self.parts[i] for i in found) for part in p for t in part if len(t) < 3}
             have |= {t for n in {len(t) for t in short} for t in zip(*(words[j:] for j in range(n)))}
-        for item, (score, n) in sorted(found.items()):
+        for item, (score, n) in found.items():
             q, a = (len(part & have) / len(part) if part else 1.0 for part in self.parts[item])
             if q >= s.min_overlap and a >= s.min_overlap:
-                out.append((item, score, q, a, n))
-        return out
+                for item_id in self.ids[item]:
+                    out[item_id] = max((score, q, a, n), out.get(item_id, (0.0, 0.0, 0.0, 0)))
+        return [(i, *out[i]) for i in sorted(out, key=lambda i: (i is not None, i or 0))]
 
 
 def indexes(items: DataFrame, s: Search) -> Iterator:
-    """Broadcast indexes, each of items with ``index_chars`` characters or about so."""
-    rows = items.where(F.col("item_id").isNotNull()).select(
-        F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).distinct()
+    """Broadcast indexes, each of texts with ``index_chars`` characters or about so."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // s.index_chars)
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text")
-        # an id with several texts is one item with all of them
-        texts: dict[int, str] = {}
-        for r in part.collect():
-            texts[r["item_id"]] = f"{texts[r['item_id']]}\n{r['text']}" if r["item_id"] in texts else r["text"]
-        yield items.sparkSession.sparkContext.broadcast(Index(list(texts.items()), s))
+        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text")
+        yield items.sparkSession.sparkContext.broadcast(Index(((r["item_id"], r["text"]) for r in part.collect()), s))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, search: Search = Search()) -> DataFrame:
-    """One row per document and item that it leaks."""
+    """One row per document and item_id that it leaks."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    found = [rows.mapInArrow(_finder(shared), f"{SCHEMA}, text_sha string") for shared in indexes(items, search)]
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    if not found:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    if len(found) == 1:
+        return found[0].select(*names)
+    # an item_id's texts may lie in several passes: each pass gives a row for every repeat of a document
+    best, key = F.struct(*names[2:]), ["doc_id", "text_sha", "item_id"]
     out = None
-    for shared in indexes(items, search):
-        found = rows.mapInArrow(_finder(shared), SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+    for f in found:
+        own = f.groupBy(*key, best.alias("best")).agg(F.count(F.lit(1)).alias("n"))
+        out = own if out is None else out.unionByName(own)
+    return (out.groupBy(*key).agg(F.max("best").alias("best"), F.max("n").alias("n"))
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+            .select("doc_id", "item_id", "best.*"))
 
 
 def _finder(shared):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     kinds = [pa.float64() if c.endswith("double") else pa.int64() for c in SCHEMA.split(", ")]
+    names, kinds = [*names, "text_sha"], [*kinds, pa.string()]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i.as_py(), *x) for i, t in zip(b.column("doc_id"), b.column("text"), strict=True)
+            rows = [(i.as_py(), *x, hashlib.sha256(t.as_py().encode()).hexdigest())
+                    for i, t in zip(b.column("doc_id"), b.column("text"), strict=True)
                     for x in shared.value.leaks(t.as_py())]
             if rows:
                 yield pa.RecordBatch.from_arrays(

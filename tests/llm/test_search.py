@@ -56,6 +56,28 @@ def test_leaks(spark, documents):
     assert dc.find_leaks(documents([]), bench).count() == 0
 
 
+def test_leaks_of_ids_with_several_texts(spark, documents):
+    rnd = random.Random(7)
+    text = [prose(rnd, 30, 3000) + ". " + prose(rnd, 8, 3000) + "." for _ in range(12)]
+    items = [(1, text[0]), (1, text[1]), (1, text[0]), (None, text[2]), (None, text[3]), (2, text[4]), (3, text[4]), (None, text[4])]
+    items += [(9, t) for t in text[5:]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    wrap = lambda *t: " ".join([prose(rnd, 200), *t, prose(rnd, 200)])
+    both = wrap(text[0], text[1])
+    rows = [(0, prose(rnd, 300)), (1, wrap(text[0])), (2, wrap(text[1])), (3, wrap(text[2])), (4, wrap(text[3], text[2])),
+            (5, wrap(text[4])), (6, both), (6, both), (6, wrap(text[1])), (None, wrap(text[3])), (7, wrap(text[7], text[10]))]
+    want = [(1, 1), (2, 1), (3, None), (4, None), (5, 2), (5, 3), (5, None), (6, 1), (6, 1), (6, 1), (None, None), (7, 9)]
+    seen = []
+    for search in (dc.Search(), dc.Search(index_chars=400)):
+        got = dc.find_leaks(documents(rows), bench, search).collect()
+        assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == sorted(want, key=str)
+        seen.append(sorted(((r.doc_id, r.item_id, r.question_overlap, r.answer_overlap) for r in got), key=str))
+        assert [r.doc_id for r in dc.drop_leaks(documents(rows), bench, search).collect()] == [0]
+    assert seen[0] == seen[1]
+    hot = [x.value for x in dc.indexes(bench.where("item_id = 9"), dc.Search(index_chars=400))]
+    assert len(hot) > 1 and max(len(x.parts) for x in hot) < 7 and sum(len(x.parts) for x in hot) == 7
+
+
 def shingles(text):
     words = (text or "").encode().split()
     n = min(5, len(words))
