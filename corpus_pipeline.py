@@ -47,9 +47,9 @@ def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences with their length bucket, batch and slot."""
+    """Token sequences (their ids) with their length bucket, batch and slot."""
     small_batches(spark)
-    return packing.pack(written(packing.token_counts(docs, tokenizer_path()), "token-counts"))
+    return packing.pack_documents(docs, tokenizer_path())
 
 
 STAGES = [
@@ -65,8 +65,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, in order, over the whole ``documents`` table."""
+    """All stages, in order, over the whole ``documents`` table; a digest of the last one's rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.split()[0].lower()}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return packing.digests(STAGES[-1][1](spark, docs, sf_dir))

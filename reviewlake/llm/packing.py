@@ -5,6 +5,9 @@ A document's tokens (with the end id) are cut into sequences of at most
 ``max_len`` rows; on it dynamic programming finds the ``n_buckets`` bucket
 lengths with the least padding in total.  In each bucket sequences, in
 (doc_id, seq_no) order, fill batches of ``token_budget // bucket length`` rows.
+``token_sequences`` gives the sequences with their ids, ``place`` carries the ids
+along to bucket, batch and slot, ``padded_batches`` has a row per batch with the
+ids of its slots padded to the bucket's length.
 
 A sequence's place in its bucket is its rank inside its range partition plus
 the counts of the partitions before: no task sorts or numbers a whole bucket.
@@ -24,11 +27,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import text_of, written
-from .tokens import word_encoder
+from .tokens import END_ID, word_encoder
 
 MAX_LEN, N_BUCKETS, TOKEN_BUDGET = 2048, 8, 65_536
+BATCH_IDS = 1 << 20  # ids of an Arrow batch, about
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -52,6 +57,42 @@ def sequences(counts: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
         F.least(F.lit(max_len).cast("long"), F.col("n_tokens") - F.col("seq_no") * max_len).alias("n_tokens"))
 
 
+def token_sequences(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN) -> DataFrame:
+    """(doc_id, seq_no, n_tokens, ids): the ids of whole texts, the end id
+    included, cut at multiples of ``max_len``."""
+    names = ["doc_id", "seq_no", "n_tokens", "ids"]
+
+    def batch(doc_ids: list, numbers: list[np.ndarray], sizes: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.concatenate(sizes)
+        ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc_ids, pa.int64()), pa.array(np.concatenate(numbers)), pa.array(sizes),
+             pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))], names)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, step = word_encoder(tokenizer_path), max(1, BATCH_IDS // max_len) * max_len
+        for b in batches:
+            held, n = ([], [], [], []), 0
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                own = np.append(encoder.encode(text.as_py()), np.uint32(END_ID))
+                for k in range(0, len(own), step):
+                    part = own[k:k + step]
+                    rows = -(-len(part) // max_len)
+                    sizes = np.full(rows, max_len, np.int64)
+                    sizes[-1] = len(part) - (rows - 1) * max_len
+                    for to, x in zip(held, ([doc_id] * rows, k // max_len + np.arange(rows), sizes, part), strict=True):
+                        to.extend(x) if to is held[0] else to.append(x)
+                    n += len(part)
+                    if n >= BATCH_IDS:
+                        yield batch(*held)
+                        held, n = ([], [], [], []), 0
+            if n:
+                yield batch(*held)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")) \
+        .mapInArrow(encode, "doc_id long, seq_no long, n_tokens long, ids array<int>")
+
+
 def best_buckets(histogram: dict[int, int], n_buckets: int) -> list[int]:
     """The bucket lengths (ascending, the longest length last) that minimise
     the sum over lengths of count * (bucket length - length)."""
@@ -81,7 +122,36 @@ def best_buckets(histogram: dict[int, int], n_buckets: int) -> list[int]:
 def pack(counts: DataFrame, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS,
          token_budget: int = TOKEN_BUDGET) -> DataFrame:
     """(doc_id, seq_no, n_tokens, bucket_len, batch_no, slot) of documents' token counts."""
-    seqs = sequences(counts, max_len)
+    return place(sequences(counts, max_len), max_len, n_buckets, token_budget)
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS,
+                   token_budget: int = TOKEN_BUDGET) -> DataFrame:
+    """(doc_id, seq_no, n_tokens, ids, bucket_len, batch_no, slot): the documents' packed sequences."""
+    seqs = written(token_sequences(docs, tokenizer_path, max_len), "token-sequences")
+    return place(seqs, max_len, n_buckets, token_budget)
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """Packed sequences with the number and the hash of their ids in place of the ids."""
+    return packed.select("doc_id", "seq_no", F.size("ids").cast("long").alias("n_tokens"), "bucket_len", "batch_no",
+                         "slot", F.xxhash64("ids").alias("ids_hash"))
+
+
+def padded_batches(packed: DataFrame, pad_id: int = 0) -> DataFrame:
+    """(bucket_len, batch_no, lengths, ids): a row per batch, its slots' ids in
+    order, each padded to ``bucket_len``; no batch holds over the token budget."""
+    pad = F.array_repeat(F.lit(pad_id), (F.col("bucket_len") - F.size("ids")).cast("int"))
+    row = F.struct("slot", F.size("ids").cast("long").alias("length"), F.concat("ids", pad).alias("ids"))
+    return (packed.groupBy("bucket_len", "batch_no").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+            .select("bucket_len", "batch_no", F.col("rows.length").alias("lengths"), F.col("rows.ids").alias("ids")))
+
+
+def place(seqs: DataFrame, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS,
+          token_budget: int = TOKEN_BUDGET) -> DataFrame:
+    """Sequences (doc_id, seq_no, n_tokens and further columns, as ``ids``) with
+    their bucket_len, batch_no and slot."""
+    keys = ["doc_id", "seq_no", "n_tokens", *([F.xxhash64("ids")] if "ids" in seqs.columns else [])]
     histogram = {r["n_tokens"]: r["n"] for r in
                  seqs.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # max_len rows at most
     bounds = best_buckets(histogram, n_buckets)
@@ -102,16 +172,17 @@ def pack(counts: DataFrame, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS,
                 [*b.columns, pa.array(np.full(len(got), part, np.int64)), pa.array(place)],
                 [*b.schema.names, "part", "place"])
 
+    dealt = seqs.withColumn("bucket_len", bucket)
     ranked = written(
-        seqs.withColumn("bucket_len", bucket).repartitionByRange("doc_id", "seq_no", "n_tokens")
-        .sortWithinPartitions("doc_id", "seq_no", "n_tokens")
-        .mapInArrow(rank, "doc_id long, seq_no long, n_tokens long, bucket_len long, part long, place long"),
+        dealt.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .mapInArrow(rank, StructType(dealt.schema.fields + [StructField("part", LongType()), StructField("place", LongType())])),
         "packing")
     before = Window.partitionBy("bucket_len").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranked.groupBy("bucket_len", "part").agg(F.count(F.lit(1)).alias("n")).select(
         "bucket_len", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rows = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(token_budget) / F.col("bucket_len")))
-    place = F.col("place") + F.col("offset")
-    return ranked.join(offsets, ["bucket_len", "part"]).select(
-        "doc_id", "seq_no", "n_tokens", "bucket_len", F.floor(place / rows).alias("batch_no"),
-        (place % rows).alias("slot"))
+    at = F.col("place") + F.col("offset")
+    # a row per bucket and task: the join moves no sequence
+    return ranked.join(F.broadcast(offsets), ["bucket_len", "part"]).select(
+        *seqs.columns, "bucket_len", F.floor(at / rows).alias("batch_no"),
+        (at % rows).alias("slot"))

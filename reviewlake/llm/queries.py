@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, ngram_join, packing, pii, quality, suffix_dedup, tokens, toxicity, warc
-from .common import table, written
+from .common import table
 
 
 def tokenizer_path() -> str:
@@ -28,8 +28,7 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = written(packing.token_counts(table(spark, sf_dir, "documents"), tokenizer_path()), "token-counts")
-    return packing.pack(counts)
+    return packing.digests(packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,3 +167,28 @@ def test_packing(spark, documents, tokenizer):
         sizes = [len(batches[(length, k)]) for k in range(sum(b == length for b, _ in batches))]
         assert all(s == max(1, 1000 // length) for s in sizes[:-1])
     assert packing.pack(counts.limit(0)).count() == 0
+
+
+def test_packed_ids(documents, tokenizer):
+    rows = [(k, f"word number{k} " * k) for k in range(40)] + [(5, "other text"), (5, "other text"), (None, None), (70, "a b " * 3000)]
+    encoder = tokens.WordEncoder(tokenizer)
+    want = Counter((i, tuple(np.append(encoder.encode(t or ""), tokens.END_ID).tolist())) for i, t in rows)
+    packed = packing.pack_documents(documents(rows), tokenizer, max_len=500, n_buckets=4, token_budget=1000)
+    got, by_doc = packed.collect(), defaultdict(list)
+    for r in sorted(got, key=lambda r: r.seq_no):
+        assert len(r.ids) == r.n_tokens <= r.bucket_len
+        by_doc[r.doc_id].append(r.ids)
+    for i in {i for i, _ in rows} - {5}:
+        assert (i, tuple(x for ids in by_doc[i] for x in ids)) in want
+    assert Counter(map(tuple, by_doc[5])) == Counter({ids: c for (i, ids), c in want.items() if i == 5})
+    slots = {(r.bucket_len, r.batch_no, r.slot): r.ids for r in got}
+    assert len(slots) == len(got)
+    batches = packing.padded_batches(packed, pad_id=7).collect()
+    assert sum(len(b.ids) for b in batches) == len(got)
+    for b in batches:
+        for k, (n, ids) in enumerate(zip(b.lengths, b.ids, strict=True)):
+            own = slots[(b.bucket_len, b.batch_no, k)]
+            assert n == len(own) and ids == own + [7] * (b.bucket_len - n)
+    digest = packing.digests(packed)
+    assert "ids" not in digest.columns and digest.agg({"n_tokens": "sum"}).first()[0] == sum(len(r.ids) for r in got)
+    assert packing.pack_documents(documents([]), tokenizer).count() == 0
