@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, ngram_join, packing, pii, quality, suffix_dedup, tokens, toxicity, warc
+from . import chat_format, decontaminate, ngram_join, packing, pii, quality, repair, suffix_dedup, tokens, toxicity, warc
 from .common import table
 
 
@@ -65,6 +65,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_token_ids, op3_packing, op4_toxicity, op5_decontaminate, op6_ngram_join, op7_suffix_dedup, op8_quality_rules, op9_chat_format, op10_warc)
+    f.__name__: f for f in (op1_pii, op2_token_ids, op3_packing, op4_toxicity, op5_decontaminate, op6_ngram_join, op7_suffix_dedup, op8_quality_rules, op9_chat_format, op10_warc,
+                             op13_conversation_repair)
 }

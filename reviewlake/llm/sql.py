@@ -113,6 +113,73 @@ SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(a.n_removed, 0)::BIGINT AS n_r
 FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 """
 
+OP13 = r"""
+WITH RECURSIVE
+t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b:
+        CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, crc,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations, t),
+h AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+        lambda a, b: xor(a >> 8, crc[xor(a & 255, b) + 1]))) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE kind <> 0),
+o AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS later,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+             lag(role[1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before FROM d),
+r AS (SELECT *, role[1] AS initial, CASE WHEN trimmed = '' THEN 'b' WHEN later THEN 'd'
+             WHEN trimmed[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault FROM o),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+         count(*) AS n FROM r GROUP BY conv_id),
+ins(s, i, s2) AS (VALUES ('0', 0, '0'), ('0', 1, 'u'), ('0', 2, 'a'), ('s', 0, 's'), ('s', 1, 'u'), ('s', 2, 'a'),
+                         ('u', 0, 'u'), ('u', 1, 'a'), ('u', 2, 'u'), ('a', 0, 'a'), ('a', 1, 'u'), ('a', 2, 'a')),
+paths AS (
+  SELECT conv_id, 0::BIGINT AS pos, '0' AS s, 0::BIGINT AS cost, '' AS audit FROM counts
+  UNION ALL
+  SELECT conv_id, pos, s, b.cost, b.audit FROM (
+    SELECT conv_id, pos, s, min({cost: cost, audit: audit}) AS b FROM (
+      SELECT p.conv_id, p.pos + 1 AS pos, e.s, p.cost + 5 * ins.i + e.cost AS cost,
+             p.audit || repeat('I', ins.i) || e.edit AS audit
+      FROM paths p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.pos = p.pos + 1
+      JOIN ins ON ins.s = p.s,
+      LATERAL (SELECT unnest([
+        {edit: 'D', cost: 2, s: ins.s, ok: true},
+        {edit: 'K', cost: CASE fault WHEN 't' THEN 5 ELSE 0 END, s: initial, ok: fault IN ('t', '.') AND (
+          initial = 'a' AND ins.s = 'u' OR initial = 'u' AND ins.s <> 'u' OR initial = 's' AND ins.s = '0')},
+        {edit: 'R', cost: CASE fault WHEN 't' THEN 6 ELSE 1 END, s: CASE ins.s WHEN 'u' THEN 'a' ELSE 'u' END,
+         ok: fault IN ('t', '.')}], recursive := true)) e(edit, cost, s, ok)
+      WHERE e.ok) GROUP BY conv_id, pos, s)),
+best AS (
+  SELECT p.conv_id, min({cost: p.cost + 5 * ins.i, audit: p.audit || repeat('I', ins.i)}) AS b
+  FROM paths p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.pos
+  JOIN ins ON ins.s = p.s AND ins.s2 IN ('0', 'a') GROUP BY p.conv_id),
+edits AS (SELECT conv_id, unnest(string_split(b.audit, '')) AS edit,
+                 unnest(range(length(b.audit))) AS j FROM best WHERE b.audit <> ''),
+placed AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS pos, count(*) FILTER (edit <> 'D') OVER w AS nth,
+                  count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id) % 2 AS system FROM edits
+           WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+lines AS (SELECT p.conv_id, j, CASE edit WHEN 'K' THEN r.role ELSE
+                 CASE (nth - system) % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END || ':' ||
+                 CASE edit WHEN 'I' THEN '' ELSE r.text END AS line
+          FROM placed p LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.pos = p.pos WHERE edit <> 'D'),
+texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY j) AS repaired FROM lines GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit,
+       sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN texts ON texts.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 ORACLE: dict[str, str] = {
     "op6_ngram_join": OP6, "op7_suffix_dedup": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9, "op10_warc": OP10,
+    "op13_conversation_repair": OP13,
 }
