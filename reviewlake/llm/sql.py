@@ -179,7 +179,29 @@ LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id
 LEFT JOIN texts ON texts.conv_id IS NOT DISTINCT FROM a.conv_id
 """
 
+OP11 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+      FROM w, (VALUES (1), (2), (3)) v(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws, k AS width, unnest(range(1, k)) AS k FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, c.width, min({score: (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f), k: c.k, l: x.f, r: y.f}) AS cut
+      FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.k], ' ')
+      JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1:], ' ') GROUP BY ALL),
+inside AS (SELECT lang, a AS f, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase
+           FROM c WHERE width = 3 AND k = 1),
+kept AS (SELECT * FROM s WHERE NOT EXISTS (
+           SELECT 1 FROM inside i WHERE i.lang = s.lang AND i.phrase = s.phrase AND 100 * i.f >= 50 * s.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, cut.l AS l, cut.r AS r, n, cut.score::BIGINT AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op6_ngram_join": OP6, "op7_suffix_dedup": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9, "op10_warc": OP10,
-    "op13_conversation_repair": OP13,
+    "op11_collocations": OP11, "op13_conversation_repair": OP13,
 }
