@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, collocation, decontaminate, ngram_join, packing, pii, quality, repair, suffix_dedup, tokens, toxicity, warc
+from . import chat_format, collocation, decontaminate, ngram_join, packing, pii, quality, repair, rule_ensemble, suffix_dedup, tokens, toxicity, warc
 from .common import table
 
 
@@ -69,11 +69,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rule_ensemble.score(docs, rule_ensemble.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_token_ids, op3_packing, op4_toxicity, op5_decontaminate, op6_ngram_join, op7_suffix_dedup, op8_quality_rules, op9_chat_format, op10_warc,
-                             op11_collocations, op13_conversation_repair)
+                             op11_collocations, op12_quality_classifier, op13_conversation_repair)
 }

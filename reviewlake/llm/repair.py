@@ -84,26 +84,22 @@ def damage(rows: DataFrame) -> DataFrame:
 
 def faults(rows: DataFrame) -> DataFrame:
     """Rows with their code: the role's initial (``-`` if no s, u, a) and the
-    first fault (b, d, t, or ``.``).  Equal rows are counted first and the
-    first turn of a (role, text) is found by an aggregate, so that neither
-    needs a group in one task."""
-    keys = ["conv_id", "role", "text"]
-    counted = rows.groupBy(*keys, "turn").agg(F.count("*").alias("copies"))
+    first fault (b, d, t, or ``.``), but for equal rows of one turn, which
+    :func:`cut` sees as neighbours.  What a conversation says more than once is
+    found by an aggregate over digests, which needs no group in one task; only
+    those few digests are joined back."""
+    digest = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)
+    rows = rows.withColumn("digest", digest)
     place = F.struct(F.col("turn").isNotNull().alias("known"), "turn")
-    firsts = counted.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.min(place).alias("first"))
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    said = (rows.groupBy(F.col("conv_id").alias("conv_id_"), F.col("digest").alias("digest_"))
+            .agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
     trimmed = F.rtrim("text", F.lit(BLANKS))
     initial = F.substring("role", 1, 1)
-    return (counted.join(firsts, same)
-            .select("conv_id", "turn", "role", "text", (~F.col("first").eqNullSafe(place)).alias("later"),
-                    F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return (rows.join(said, F.col("conv_id").eqNullSafe(F.col("conv_id_")) & (F.col("digest") == F.col("digest_")), "left")
             .select("conv_id", "turn", "role", "text", F.concat(
                 F.when(initial.isin("s", "u", "a"), initial).otherwise("-"),
-                F.when(trimmed == "", "b").when(F.col("later") | (F.col("copy") > 1), "d")
-                .when(~F.right(trimmed, F.lit(1)).isin(".", "!", "?"), "t").otherwise(".")).alias("code"),
-                (F.col("copy") > 1).alias("again")))
+                F.when(trimmed == "", "b").when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(place), "d")
+                .when(~F.right(trimmed, F.lit(1)).isin(".", "!", "?"), "t").otherwise(".")).alias("code")))
 
 
 def steps(code: str, state: int) -> list[tuple[str, float, int]]:
@@ -183,10 +179,11 @@ def matrix(codes: list[str]) -> list[float]:
 
 
 def cut(rows: DataFrame, segment_rows: int, segment_chars: int) -> DataFrame:
-    """Sorted rows as segments, columns of SEGMENT."""
+    """Sorted rows as segments, columns of SEGMENT.  Equal rows fall into one
+    range, so the later ones are known by the row before."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        own, k, chars, conv = [], 0, 0, None
+        own, k, chars, conv, before = [], 0, 0, None, None
 
         def flush() -> pa.RecordBatch:
             turns = [t for t, *_ in own if t is not None]
@@ -203,6 +200,9 @@ def cut(rows: DataFrame, segment_rows: int, segment_chars: int) -> DataFrame:
                     yield flush()
                     k, own, chars = k + 1, [], 0
                 conv = c
+                if before == (c, turn, role, text) and code[1] != "b":
+                    code = code[0] + "d"
+                before = (c, turn, role, text)
                 own.append((turn, role, text, code))
                 chars += len(text)
         if own:
@@ -213,7 +213,7 @@ def cut(rows: DataFrame, segment_rows: int, segment_chars: int) -> DataFrame:
                         ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())),
                         ("first_turn", pa.int64()), ("last_turn", pa.int64()), ("n_turns", pa.int64()),
                         ("matrix", pa.list_(pa.float64()))])
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text", "again"]
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
     return (rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*names).mapInArrow(run, SEGMENT))
 
 
