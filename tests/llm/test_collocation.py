@@ -55,7 +55,7 @@ def made_up(seed, n):
     return out + out[:9]
 
 
-@pytest.mark.parametrize("m", [Mining(support=4), Mining(support=10, shards=7, bits=12, block_chars=300, known_words=3),
+@pytest.mark.parametrize("m", [Mining(support=4), Mining(support=10, shards=7, bits=12, block_bytes=300),
                                Mining(support=2, shards=1, bits=6, top=5), Mining(support=3, shards=40, bits=16)])
 def test_against_all_windows(spark, m):
     rows = made_up(m.support, 150)
@@ -78,19 +78,25 @@ def test_local_support_loses_nothing(spark):
     rows = made_up(3, 200) + [(1000 + k, f"rare{k} pair{k}", "en") for k in range(50)]
     m = Mining(support=12, shards=3)
     texts = collocation.texts_of(documents(spark, rows), m)
-    keys = {r.key for r in collocation.locally_frequent(texts, collocation.shard_totals(texts), m, 2).collect()}
-    every = {r.key for r in collocation.locally_frequent(texts, collocation.shard_totals(texts), Mining(support=0, shards=3), 2).collect()}
+    keys = {r.key for r in collocation.locally_frequent(texts, collocation.shard_totals(texts, m), m, 2).collect()}
+    low = Mining(support=1, shards=3)
+    every = {r.key for r in collocation.locally_frequent(texts, collocation.shard_totals(texts, low), low, 2).collect()}
     assert keys < every and len(keys) < len(every) / 2
-
-    def key(lang, phrase):
-        words = collocation.Words(10)
-        ids = words.ids(phrase.encode())
-        salt = collocation.xxhash.xxh64_intdigest(lang.encode())
-        return int(collocation.hashes(words, ids, np.array([0]), 2, salt).view(np.int64)[0])
-
+    langs = {r.lang: r.grp >> 8 for r in texts.select("lang", "grp").distinct().collect()}
     for lang, _, phrase, *_ in brute(rows, 12, containment=1000):
         if len(phrase.split(" ")) == 2:
-            assert key(lang, phrase) in keys
+            words = collocation.Scan(phrase.encode()).hashes(langs[lang])
+            assert int(collocation.phrase_hashes(words, np.array([0]), 2).view(np.int64)[0]) in keys
+
+
+def test_scan():
+    text = b"a bb.  ccc\td" + b"x" * 100 + b" bb bb..e"
+    scan = collocation.Scan(text.translate(collocation.FOLDED))
+    assert [scan.word(i) for i in range(len(scan))] == [b"a", b"bb", b"ccc", b"d" + b"x" * 100, b"bb", b"bb", b"e"]
+    h = scan.hashes(5)
+    assert h[1] == h[4] == h[5] and len(set(h.tolist())) == 5
+    assert scan.windows(2).tolist() == [0, 2, 3, 4] and scan.windows(3).tolist() == [2, 3] and scan.windows(9).tolist() == []
+    assert len(collocation.Scan(b"")) == 0 and len(collocation.Scan(b"..  .")) == 0
 
 
 def test_products_beyond_64_bits(spark):
