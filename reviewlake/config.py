@@ -35,6 +35,7 @@ FEATURE_GENRES = ("Adventure", "Comedy", "Drama", "Fantasy", "Sci-Fi")
 C_GRID = (0.024, 0.05, 0.12, 0.3, 0.5, 1.0, 1.8, 3.0, 5.0, 9.0, 21.0)
 SPLIT_TRAIN = 0.7
 SPLIT_TEST = 0.2
+N_SPLITS = 128
 SEED = 42
 
 

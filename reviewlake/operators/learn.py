@@ -1,25 +1,24 @@
-"""Classifiers and the few-shot label head with Spark ML.
+"""Review classifiers and the few-shot label head.
 
-Deviation (documented): the original fits L1-penalised squared-hinge linear
-SVMs (liblinear). Spark's ``LinearSVC`` minimises hinge loss with an L2
-penalty; ``C`` maps to ``regParam = 1 / (C · n)``. Use
-``LogisticRegression(elasticNetParam=1)`` where L1 sparsity matters.
+The review classifiers are L1-penalised squared-hinge linear models
+(``operators/linear.py``): all models of the regularisation search are fitted
+together, one pass over the rows per step.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from dataclasses import dataclass
+
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake import config
+from reviewlake.operators.linear import LinearModel, fit_linear, search, splits_column
 from reviewlake.operators.sampling import downsample
-from reviewlake.session import cut_lineage
+from reviewlake.session import stage_table
+from reviewlake.sources.io import read_features
 
 META = ("id", "class", "binary_class")
 
@@ -29,64 +28,63 @@ def feature_columns(features: DataFrame) -> list[str]:
     return [c for c in features.columns if c not in META]
 
 
-def _estimator(label: str, reg: float, max_iter: int):
-    svc = LinearSVC(featuresCol="features", labelCol="label", regParam=reg, maxIter=max_iter, standardization=False)
-    return svc if label == "binary_class" else OneVsRest(classifier=svc, featuresCol="features", labelCol="label")
+CLASSES = {"class": (1, 2, 3, 4, 5), "binary_class": (0, 1)}
 
 
-def training_frame(features: DataFrame, label: str) -> DataFrame:
-    """W4 down-sampling by the label, label as a 0-based double (classes
-    1..5 become 0..4 for one-vs-rest), materialised once: the optimiser
-    passes over it many times and must not recompute the feature pipeline."""
+def training_frame(features: DataFrame, label: str, splits: int = 0) -> DataFrame:
+    """W4 down-sampling by the label, with the random splits' roles of a row
+    when asked for; written once, as the fit passes over it many times."""
     d = downsample(features, label, order="id")
-    offset = 0 if label == "binary_class" else 1
-    return cut_lineage(d.withColumn("label", (F.col(label) - offset).cast("double")))
-
-
-def label_offset(label: str) -> int:
-    return 0 if label == "binary_class" else 1
-
-
-def train_review_classifier(features: DataFrame, label: str = "class", C: float = 1.0,
-                            max_iter: int = 50) -> PipelineModel:
-    """M8: VectorAssembler + linear SVM (one-vs-rest for the 5 classes)."""
-    d = training_frame(features, label)
-    n = max(d.count(), 1)
-    asm = VectorAssembler(inputCols=feature_columns(features), outputCol="features")
-    return Pipeline(stages=[asm, _estimator(label, 1.0 / (C * n), max_iter)]).fit(d)
-
-
-def tune(features: DataFrame, label: str = "class", Cs=config.C_GRID, folds: int = 3, parallelism: int = 4,
-         max_iter: int = 30) -> tuple[float, list[float]]:
-    """M9 + O5: regularisation search (fewer random splits than the original's
-    128: k-fold cross-validation, models fitted in parallel); best C by mean
-    score, first on ties."""
-    d = training_frame(features, label)
-    n = max(d.count(), 1)
-    asm = VectorAssembler(inputCols=feature_columns(features), outputCol="features")
-    est = _estimator(label, 1.0, max_iter)
-    svc = est if isinstance(est, LinearSVC) else est.getClassifier()
-    grid = ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * n) for c in Cs]).build()
-    if not isinstance(est, LinearSVC):
-        grid = [{est.classifier: svc.copy(m)} for m in grid]
-    cv = CrossValidator(estimator=Pipeline(stages=[asm, est]), estimatorParamMaps=grid,
-                        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-                        numFolds=folds, parallelism=parallelism, seed=config.SEED)
-    model = cv.fit(d)
-    scores = list(model.avgMetrics)
-    best = max(range(len(scores)), key=lambda i: (scores[i], -i))
-    return Cs[best], scores
-
-
-def search_and_fit(features: DataFrame, label: str = "class", **search) -> tuple[PipelineModel, float]:
+    if splits:
+        d = d.withColumn("splits", splits_column(F.col("id"), splits))
+    return stage_table(d)
+
+
+def train_review_classifier(features: DataFrame, label: str = "class", C: float = 1.0) -> LinearModel:
+    """M8: a linear model on the down-sampled rows (one against the rest for the 5 classes)."""
+    return fit_linear(training_frame(features, label), feature_columns(features), label, list(CLASSES[label]), C)
+
+
+@dataclass(frozen=True)
+class Search:
+    """The best C and mean accuracies per C."""
+
+    Cs: tuple[float, ...]
+    train: tuple[float, ...]
+    test: tuple[float, ...]
+
+    @property
+    def best(self) -> float:
+        """The first C with the greatest mean test score."""
+        return self.Cs[max(range(len(self.Cs)), key=lambda i: (self.test[i], -i))]
+
+
+def tune(features: DataFrame, label: str = "class", Cs=config.C_GRID, splits: int = config.N_SPLITS, steps: int = 120,
+         tolerance: float = 1e-3) -> Search:
+    """M9: every C on every random split (70 % train, 20 % test)."""
+    got = search(training_frame(features, label, splits), feature_columns(features), label, list(CLASSES[label]),
+                 list(Cs), splits, steps=steps, tolerance=tolerance)
+    mean = got.mean(axis=0).round(12)
+    return Search(tuple(map(float, Cs)), tuple(map(float, mean[:, 0])), tuple(map(float, mean[:, 1])))
+
+
+def search_and_fit(features: DataFrame, label: str = "class", **options) -> tuple[LinearModel, float]:
     """M9 then M8: the search's best C, and the model fitted with it on all training rows."""
-    best, _ = tune(features, label, **search)
-    return train_review_classifier(features, label, C=best), best
+    best = tune(features, label, **options).best
+    return train_review_classifier(features, label, best), best
+
+
+def recreate(spark: SparkSession, path: str) -> dict[str, LinearModel]:
+    """M8 from a model file (S13): both models fitted again with the file's C on
+    all of its rows (no down-sampling, as when models are recreated elsewhere)."""
+    rows, Cs = read_features(spark, path)
+    rows = stage_table(rows)
+    return {label: fit_linear(rows, feature_columns(rows), label, list(CLASSES[label]), C) for label, C in Cs.items()}
 
 
-def predict(model: PipelineModel, features: DataFrame, label: str = "binary_class") -> DataFrame:
-    """Apply a fitted (or loaded) pipeline; prediction in the label's own scale."""
-    return model.transform(features).withColumn("prediction", F.col("prediction") + float(label_offset(label)))
+def predict(model: LinearModel, features: DataFrame) -> DataFrame:
+    """A fitted (or loaded) model on feature rows, as column expressions."""
+    return features.withColumn("prediction", model.prediction())
 
 
 def train_label_head(embeddings: DataFrame, label: str = "label", vector: str = "embedding",

@@ -723,44 +723,58 @@ def q_rating_phrase(p):
 
 # -- learning (M6, M8-M10, A10, O5) ---------------------------------------------------
 
+def _classify(p, label: str, C: float = 1.0):
+    """M8 on the reviews tagged 'train', M10 on those tagged 'test' (features on cleaned sentences)."""
+    from reviewlake.operators.learn import predict, train_review_classifier
+    model = train_review_classifier(p.model_features(usage="train"), label, C)
+    return predict(model, p.model_features(usage="test"))
+
+
 @register("train_binary")
 def q_train_binary(p):
-    from reviewlake.operators.learn import predict, train_review_classifier
-    from reviewlake.session import cut_lineage
-    f = cut_lineage(p.features())
-    m = train_review_classifier(f, "binary_class", C=1.0)
-    return predict(m, f, "binary_class").select("id", "binary_class", F.col("prediction").cast("int").alias("prediction"))
+    return _classify(p, "binary_class").select("id", "binary_class", "prediction")
 
 
 @register("train_multi")
 def q_train_multi(p):
-    from reviewlake.operators.learn import predict, train_review_classifier
-    from reviewlake.session import cut_lineage
-    f = cut_lineage(p.features())
-    m = train_review_classifier(f, "class", C=1.0)
-    return predict(m, f, "class").select("id", "class", F.col("prediction").cast("int").alias("prediction"))
+    return _classify(p, "class").select("id", "class", "prediction")
+
+
+def _search(p, label: str):
+    """M9: every C on 128 random splits, with O5's best C; scores of both parts of the splits."""
+    from reviewlake.operators.learn import tune
+    found = tune(p.model_features(usage="train"), label)
+    rows = [(c, a, b, c == found.best) for c, a, b in zip(found.Cs, found.train, found.test, strict=True)]
+    return p.spark.createDataFrame(rows, "C double, mean_train double, mean_score double, best boolean")
 
 
 @register("tune")
 def q_tune(p):
-    from reviewlake.operators.learn import tune
-    from reviewlake.session import cut_lineage
-    best, scores = tune(cut_lineage(p.features()), "binary_class")
-    from reviewlake import config
-    rows = [(float(c), float(s), float(c) == float(best)) for c, s in zip(config.C_GRID, scores)]
-    return p.spark.createDataFrame(rows, "C double, mean_score double, best boolean")
+    return _search(p, "binary_class")
 
 
-@register("tuned_binary")
-def q_tuned_binary(p):
+@register("tune_multi")
+def q_tune_multi(p):
+    return _search(p, "class")
+
+
+def _tuned(p, label: str):
     """M9 -> M8 -> A12: C searched and refitted on the reviews tagged 'train', measured on those tagged 'test'."""
     from reviewlake.operators.features import evaluate
     from reviewlake.operators.learn import predict, search_and_fit
-    from reviewlake.session import stage_table
-    train, test = (stage_table(p.features(usage=u)) for u in ("train", "test"))
-    model, best = search_and_fit(train, "binary_class")
-    found = predict(model, test).select(F.col("binary_class").alias("label"), "prediction")
-    return evaluate(found).withColumn("C", F.lit(float(best)))
+    model, best = search_and_fit(p.model_features(usage="train"), label)
+    found = predict(model, p.model_features(usage="test"))
+    return evaluate(found.select(F.col(label).alias("label"), "prediction")).withColumn("C", F.lit(float(best)))
+
+
+@register("tuned_binary")
+def q_tuned_binary(p):
+    return _tuned(p, "binary_class")
+
+
+@register("tuned_multi")
+def q_tuned_multi(p):
+    return _tuned(p, "class")
 
 
 @register("label_head")
@@ -773,26 +787,40 @@ def q_label_head(p):
 
 @register("predict")
 def q_predict(p):
-    from pyspark.ml import PipelineModel
+    """M10 with a model that was saved and loaded."""
     from reviewlake.operators.learn import predict, train_review_classifier
+    from reviewlake.operators.linear import LinearModel
     from reviewlake.streaming.increments import scratch
-    from reviewlake.session import cut_lineage
-    f = cut_lineage(p.features())
     path = scratch(p.spark, "model")
-    train_review_classifier(f, "binary_class").write().overwrite().save(path)
-    return predict(PipelineModel.load(path), f).select("id", F.col("prediction").cast("int").alias("prediction"))
+    train_review_classifier(p.model_features(usage="train"), "binary_class").save(p.spark, path)
+    return predict(LinearModel.load(p.spark, path), p.model_features(usage="test")).select("id", "prediction")
+
+
+@register("model_file")
+def q_model_file(p):
+    """S13 -> M8 -> M10: features and both models' C written as one file with three header lines, read back,
+    the models fitted again from the file alone and applied to the test reviews."""
+    from reviewlake.operators.learn import predict, recreate
+    from reviewlake.sources import io
+    from reviewlake.streaming.increments import scratch
+    path = scratch(p.spark, "inputs")
+    io.write_features(p.model_features(usage="train"), path, {"class": 1.0, "binary_class": 0.5})
+    models = recreate(p.spark, path)
+    test = p.model_features(usage="test")
+    out = test.select("id")
+    for label, model in models.items():
+        out = out.join(predict(model, test).select("id", F.col("prediction").alias(f"{label}_prediction")), "id")
+    return out
 
 
 @register("overall_rating")
 def q_overall(p):
+    """A10 over the predictions of the 5-class model; aspects of the cleaned sentences."""
     from reviewlake.operators.features import aspect_ratings, overall_rating
-    from reviewlake.operators.learn import predict, train_review_classifier
-    from reviewlake.session import cut_lineage
-    f = cut_lineage(p.features())
-    pred = predict(train_review_classifier(f, "class"), f, "class").select(F.col("id").alias("review_id"),
-                                                                              "prediction")
-    ar = aspect_ratings(p.polarity, p.sentence_aspect.where(F.col("verified") == 0))
-    return overall_rating(ar, pred).select("review_id", "overall")
+    predicted = _classify(p, "class").select(F.col("id").alias("review_id"), "prediction")
+    sentences = p.preprocessed.select("id", "review_id", F.col("compound").alias("polComp")) \
+        .join(predicted.select("review_id"), "review_id", "left_semi")
+    return overall_rating(aspect_ratings(sentences, p.clean_sentence_aspect), predicted).select("review_id", "overall")
 
 
 # -- streaming (T1-T4) ---------------------------------------------------------------
@@ -886,24 +914,67 @@ def q_annotation_roundtrip(p):
 
 @register("io_roundtrip", "SELECT id, title_id, rating, usage, md5(originalText) AS text_md5 FROM ox_review")
 def q_io_roundtrip(p):
-    """Write the imported reviews as CSV, the catalogue as TSV,
-    annotation tasks as JSONL and features as TSV + params; read all back."""
+    """The imported reviews as multi-line CSV, read back."""
     from reviewlake.sources import io
     from reviewlake.streaming.increments import scratch
     base = scratch(p.spark, "io")
     r = p.reviews.select("title_id", F.col("originalText").alias("text"), "rating", "usage", "id")
     r.write.mode("overwrite").option("header", True).option("multiLine", True).option("escape", '"').csv(base + "/reviews")
     back = io.read_reviews(p.spark, base + "/reviews")
-    t = p.fx.fx_title
-    t.write.mode("overwrite").option("sep", "\t").option("header", True).option("nullValue", "\\N").csv(base + "/titles")
-    titles = io.read_titles(p.spark, base + "/titles")
-    assert titles.count() == t.count()
-    io.write_features(p.features(), base + "/features", {"binary C:": 1.0, "multi-class C:": 1.0})
-    assert io.read_features(p.spark, base + "/features").count() == p.features().count()
     return back.select(F.col("id").cast("long").alias("id"), "title_id", "rating", "usage",
                        F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def _dump(p, name: str, quoting: bool = True):
+    """A catalogue table as a tab-separated dump with ``\\N`` nulls, read back with its schema."""
+    from reviewlake.sources import io
+    from reviewlake.streaming.increments import scratch
+    path, reader = scratch(p.spark, f"{name}-dump"), getattr(io, f"read_{name}s")
+    columns = {"title": "genres", "rating": "numVotes", "principal": "characters", "name": "knownForTitles"}
+    t = p.fx.table(f"fx_{name}")
+    if name == "principal":
+        t = t.withColumn("ordering", F.lit(None).cast("int")).select("tconst", "ordering", "nconst", "category", "job", "characters")
+    if name == "name":
+        t = t.withColumns({"primaryProfession": F.lit(None).cast("string"), "knownForTitles": F.lit(None).cast("string")})
+    assert t.columns[-1] == columns[name]
+    w = t.write.mode("overwrite").option("sep", "\t").option("header", True).option("nullValue", "\\N")
+    (w if quoting else w.option("quote", "")).csv(path)
+    return reader(p.spark, path)
+
+
+@register("dump_titles", "SELECT * FROM fx_title")
+def q_dump_titles(p):
+    return _dump(p, "title", quoting=False)
+
+
+@register("dump_ratings", "SELECT * FROM fx_rating")
+def q_dump_ratings(p):
+    return _dump(p, "rating")
+
+
+@register("dump_principals", "SELECT tconst, CAST(NULL AS INTEGER) AS ordering, nconst, category, job, characters FROM fx_principal")
+def q_dump_principals(p):
+    return _dump(p, "principal")
+
+
+@register("dump_names", """SELECT *, CAST(NULL AS VARCHAR) AS primaryProfession, CAST(NULL AS VARCHAR) AS knownForTitles
+ FROM fx_name""")
+def q_dump_names(p):
+    return _dump(p, "name")
+
+
+@register("features_file", O.features_select())
+def q_features_file(p):
+    """The feature rows as model files with their header lines, read back."""
+    from reviewlake.sources import io
+    from reviewlake.streaming.increments import scratch
+    path = scratch(p.spark, "features")
+    io.write_features(p.features(), path, {"class": 0.3, "binary_class": 9.0})
+    rows, Cs = io.read_features(p.spark, path)
+    assert Cs == {"class": 0.3, "binary_class": 9.0}
+    return rounded(rows)
+
+
 # -- table maintenance (S14-S16, S19, S20) ---------------------------------------------
 
 @register("insert_ignore", """SELECT sentence_id, aspect_id, aspect_term, ordinal, verified FROM ox_sa WHERE verified = 1

@@ -18,7 +18,7 @@ from reviewlake.operators import catalogue as cat
 from reviewlake.operators import metadata as md
 from reviewlake.operators import names as nm
 from reviewlake.operators import text as tx
-from reviewlake.operators.features import review_features
+from reviewlake.operators.features import filter_reviews, review_features
 from reviewlake.operators.polarity import lexicon_polarity
 from reviewlake.plans.strategy import spread
 from reviewlake.session import stage_table
@@ -169,13 +169,27 @@ class Pipeline:
         """The cleaned sentences of all reviews, with their polarity."""
         return self._stage(self.preprocess(self.reviews))
 
-    def preprocessed_features(self) -> DataFrame:
-        """M4, M5 and A5 on the cleaned sentences."""
-        s = self.preprocessed
-        spans = self._stage(asp.aspect_spans(spread(s, "review_id"), self.fx.fx_term, keep=["review_id"]))
+    @cached_property
+    def clean_sentence_aspect(self) -> DataFrame:
+        """M4, W6 and M5 on the cleaned sentences: predicted aspect rows."""
+        spans = self._stage(asp.aspect_spans(spread(self.preprocessed, "review_id"), self.fx.fx_term, keep=["review_id"]))
         rows = asp.aspect_polarity(spans, self.fx.fx_lexicon, self.terms, self.fx.fx_aspect)
-        return review_features(self.reviews, s.select("id", "review_id", F.col("compound").alias("polComp")),
-                               rows.withColumn("verified", F.lit(0)), self.fx.fx_aspect, self.fx.fx_genre)
+        return self._stage(rows.withColumn("verified", F.lit(0)))
+
+    def preprocessed_features(self, **filters) -> DataFrame:
+        """A5 on the cleaned sentences."""
+        s = self.preprocessed.select("id", "review_id", F.col("compound").alias("polComp"))
+        return review_features(self.reviews, s, self.clean_sentence_aspect, self.fx.fx_aspect, self.fx.fx_genre, **filters)
+
+    @cached_property
+    def _clean_features(self) -> DataFrame:
+        return self._stage(self.preprocessed_features())
+
+    def model_features(self, **filters) -> DataFrame:
+        """What the classifiers read: the features on cleaned sentences, of the
+        reviews that the filters (P12) leave."""
+        chosen = filter_reviews(self.reviews, **filters).select("id")
+        return self._clean_features.join(chosen, "id", "left_semi")
 
     def features(self, **filters) -> DataFrame:
         return review_features(self.reviews, self.polarity, self.sentence_aspect, self.fx.fx_aspect,

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,21 +120,47 @@ def write_annotation_tasks(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_features(df: DataFrame, path: str, params: dict) -> None:
-    """Feature matrix as TSV with a header row; model parameters go to a
-    side file of '#'-comment lines (the TSV reader skips comments)."""
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
-    lines = "".join(f"#{k} {v}\n" for k, v in params.items())
-    df.sparkSession.createDataFrame([(lines,)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(os.path.join(path + "_params"))
-
-
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Read a feature TSV, skipping '#' comment lines (also the 3-line
-    header of files written by the original)."""
-    raw = spark.read.option("sep", "\t").option("header", True).option("comment", "#").csv(path)
+#: Fixed text: the first header line of a model file, and how the C of each label is named in it.
+MODEL_FILE_TITLE = "#SVC model inputs"
+MODEL_FILE_LABELS = {"class": "multi-class", "binary_class": "binary"}
+
+
+def write_features(df: DataFrame, path: str, Cs: dict[str, float]) -> None:
+    """Feature rows as tab-separated text; every part file starts with the
+    three header lines (title, C of both models) and the column names, so that
+    each is a whole model file of its own and rows need no single writer."""
+    head = [MODEL_FILE_TITLE, *(f"#{MODEL_FILE_LABELS[k]} C:{Cs[k]}" for k in MODEL_FILE_LABELS), "\t".join(df.columns)]
+    lines = df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
+
+    def with_head(batches):
+        first = True
+        for b in batches:
+            if b.num_rows:
+                rows = b.column("value").to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([*head, *rows] if first else rows, pa.string())], ["value"])
+                first = False
+
+    lines.mapInArrow(with_head, "value string").write.mode("overwrite").text(path)
+
+
+def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float]]:
+    """The rows of a model file (one file or a folder of them) and each label's C."""
+    text = spark.read.text(path)
+    top = text.where(F.col("value").startswith("#") | F.col("value").startswith("id\t")).distinct().collect()
+    found = {r.value for r in top}
+    names = [v.split("\t") for v in found if not v.startswith("#")]
+    if len(names) != 1:
+        raise ValueError(f"{path}: one line of column names is needed, found {len(names)}")
+    Cs = {}
+    for label, name in MODEL_FILE_LABELS.items():
+        own = {v.split(":")[1].strip() for v in found if v.startswith(f"#{name} C:")}
+        if len(own) != 1:
+            raise ValueError(f"{path}: one C for {name} is needed, found {sorted(own)}")
+        Cs[label] = float(own.pop())
+    rows = text.where(~F.col("value").startswith("#") & ~F.col("value").startswith("id\t"))
+    parts = F.split("value", "\t", -1)
     kind = lambda c: "double" if "mean" in c else "long" if c == "id" or c[0].isupper() else "int"
-    return raw.select(*[F.col(c).cast(kind(c)).alias(c) for c in raw.columns])
+    return rows.select(*[F.nullif(F.get(parts, k), F.lit("")).cast(kind(c)).alias(c) for k, c in enumerate(names[0])]), Cs
 
 
 # -- S17: reviews from stored HTML pages ------------------------------------------

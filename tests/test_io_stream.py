@@ -2,6 +2,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from reviewlake.sources import io
@@ -36,8 +37,25 @@ def test_annotations_roundtrip(spark, tmp_path):
 def test_features_tsv_with_comment_header(spark, tmp_path):
     p = tmp_path / "inputs.tsv"
     p.write_text("#SVC model inputs\n#multi-class C:0.5\n#binary C:1.0\nid\tclass\tx\n1\t3\t0.5\n")
-    df = io.read_features(spark, str(p))
+    df, Cs = io.read_features(spark, str(p))
     assert df.columns == ["id", "class", "x"] and df.count() == 1
+    assert Cs == {"class": 0.5, "binary_class": 1.0}
+
+
+def test_model_file_of_many_parts(spark, tmp_path):
+    rows = [(k, k % 5 + 1, k % 2, k / 3, 7 * k, None if k == 4 else 0.1) for k in range(50)]
+    df = spark.createDataFrame(rows, "id long, class int, binary_class int, x_mean double, Story_negative long, None_mean double")
+    path = str(tmp_path / "inputs")
+    io.write_features(df.repartition(4), path, {"class": 0.12, "binary_class": 21.0})
+    back, Cs = io.read_features(spark, path)
+    assert Cs == {"class": 0.12, "binary_class": 21.0} and back.dtypes == df.dtypes
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    part = next(x for x in (tmp_path / "inputs").glob("part-*"))
+    lines = part.read_text().splitlines()
+    assert lines[:3] == ["#SVC model inputs", "#multi-class C:0.12", "#binary C:21.0"]
+    io.write_features(df, str(tmp_path / "other"), {"class": 5.0, "binary_class": 21.0})
+    with pytest.raises(ValueError):
+        io.read_features(spark, str(tmp_path / "{inputs,other}"))
 
 
 def test_html_extraction(spark):
