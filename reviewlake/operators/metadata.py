@@ -136,20 +136,47 @@ def metadata_dictionary(titles: DataFrame, principals: DataFrame, names: DataFra
         .withColumn("lenSearch", F.length("strSearch"))
 
 
-def dictionary_arrays(md: DataFrame) -> DataFrame:
-    """O1: per title the entries sorted longest first, category descending,
-    then search, replacement and type (trap H17); plus the upper-cased words
-    of all search strings (X9)."""
+def _ordered_entry() -> Column:
+    """O1: an entry as a struct that sorts longest first, category descending,
+    then by search, replacement and type (trap H17)."""
     cat_rank = F.when(F.col("category") == "WORK_OF_ART", 0).otherwise(1)
-    e = F.struct((-F.col("lenSearch")).alias("k1"), cat_rank.alias("k2"), F.col("strSearch"),
-                 F.col("strReplace"), F.col("mdType"), F.col("category"), F.col("ambiguous"),
-                 F.col("conflicts"), F.col("strSearchEscaped"))
-    g = md.groupBy("title_id").agg(F.sort_array(F.collect_list(e)).alias("entries"),
+    return F.struct((-F.col("lenSearch")).alias("k1"), cat_rank.alias("k2"), F.col("strSearch"),
+                    F.col("strReplace"), F.col("mdType"), F.col("category"), F.col("ambiguous"),
+                    F.col("conflicts"), F.col("strSearchEscaped"))
+
+
+def dictionary_arrays(md: DataFrame) -> DataFrame:
+    """O1: per title its sorted entries, plus the upper-cased words of all search strings."""
+    g = md.groupBy("title_id").agg(F.sort_array(F.collect_list(_ordered_entry())).alias("entries"),
                                    F.collect_set(F.upper("strSearch")).alias("__u"))
     words = F.array_distinct(F.flatten(F.transform("__u", lambda s: F.split(F.trim(s), "\\s+"))))
     return g.withColumn("words", words).drop("__u")
 
 
+def usable_entries(md: DataFrame) -> DataFrame:
+    """(title_id, entry) of the entries that X7 applies."""
+    return md.where(~(F.col("conflicts") | F.col("ambiguous"))).select("title_id", _ordered_entry().alias("entry"))
+
+
+def wanted_entries(md: DataFrame) -> DataFrame:
+    """(title_id, entry) of X13: per search string the first entry that conflicts
+    or is ambiguous, unless that one is ambiguous."""
+    doubtful = md.where(F.col("conflicts") | F.col("ambiguous"))
+    first = doubtful.groupBy("title_id", "strSearch").agg(F.min(_ordered_entry()).alias("entry"))
+    return first.where(~F.col("entry.ambiguous")).select("title_id", "entry")
+
+
+def title_facts(md: DataFrame) -> DataFrame:
+    """Per title: whether it has a usable entry, the first of them, and the
+    abbreviations (X9) that are words of its search strings."""
+    usable = ~(F.col("conflicts") | F.col("ambiguous"))
+    words = F.split(F.trim(F.upper("strSearch")), "\\s+")
+    own = F.array_intersect(words, F.array(*[F.lit(a) for a, _ in R.ABBREVIATIONS]))
+    return md.groupBy("title_id").agg(
+        F.max(usable).alias("usable"), F.min(F.when(usable, _ordered_entry())).alias("first"),
+        F.array_distinct(F.flatten(F.collect_set(own))).alias("known"))
+
+
 def first_replacement(md: DataFrame) -> DataFrame:
     """First entry (sort order of O1) per (title, search string)."""
     cat_rank = F.when(F.col("category") == "WORK_OF_ART", 0).otherwise(1)

@@ -80,19 +80,93 @@ def _apply_entry(acc: Column, e: Column) -> Column:
     return _collapse(bounded)
 
 
-def replace_with_dictionary(text: Column, entries: Column) -> Column:
+def _step(acc: Column, e: Column) -> Column:
+    """One entry; a search string that does not occur (in any case) cannot match its patterns."""
+    return F.when(F.lower(acc).contains(F.lower(e["strSearch"])), _apply_entry(acc, e)).otherwise(acc)
+
+
+def replace_with_dictionary(text: Column, entries: Column, lead: Column | None = None) -> Column:
     """Fold the title's dictionary (longest first) over the review text.
 
-    Entries flagged ``conflicts`` or ``ambiguous`` are skipped. An entry whose
-    search string does not occur in the current text (ignoring case) cannot
-    match any of its three patterns, so only the blank collapse runs for it;
-    this keeps per-row pattern compilation to the entries that occur.
+    Entries flagged ``conflicts`` or ``ambiguous`` are skipped. Blanks are
+    collapsed after every entry, also one that does not occur, so all but the
+    title's first usable entry see a collapsed text; ``lead`` says whether the
+    first one here is that entry (default: yes).
     """
     usable = F.filter(entries, lambda e: ~(e["conflicts"] | e["ambiguous"]))
-    return F.aggregate(
-        usable, text,
-        lambda acc, e: F.when(F.lower(acc).contains(F.lower(e["strSearch"])), _apply_entry(acc, e))
-        .otherwise(_collapse(acc)))
+    lead = (F.lit(True) if lead is None else lead) & (F.size(usable) > 0)
+    start = _collapse(F.when(lead, _step(text, F.get(usable, F.lit(0)))).otherwise(text))
+    rest = F.when(lead, F.slice(usable, F.lit(2), F.greatest(F.size(usable), F.lit(1)))).otherwise(usable)
+    return F.aggregate(rest, start, _step)
+
+
+#: Characters that may stand before or after a search string in a text: the
+#: entries' words and a text's words are what lies between them.
+_BOUNDS = r""" \t\n\r\f\x0B('"/.,;!?)"""
+_WORD_RUN = f"[^{_BOUNDS}]+"
+#: Taking out bracketed names here joins the words on both sides to a new one.
+_JOINING = rf"[^{_BOUNDS}](?:\([^()]*\))+[^{_BOUNDS}]"
+#: Keys that are no words: entries that any text may hold, all entries of a
+#: title, and what is known of a title.
+_FREE, _ALL, _FACTS = "", "\u0002", "\u0001"
+
+
+def word_runs(c) -> Column:
+    """The distinct lower-case words between possible bounds of a search string."""
+    folded = F.replace(F.lower(col_(c)), F.lit("\u03c2"), F.lit("\u03c3"))  # a final sigma depends on its neighbours
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit(_WORD_RUN), 0))
+
+
+def keyed_entries(entries: DataFrame) -> DataFrame:
+    """Dictionary rows (title_id, entry) with the word a text must hold for the
+    entry to be able to match (``token``).
+
+    A search string stands between bounds, so each of its words is a word of
+    the text at that time: one of the review's, or one that an earlier
+    replacement has brought. So the key is the longest word that no
+    replacement of the title can bring; words that begin or end with a word of
+    a replacement are no keys either, as a quoted name inside a word leaves its
+    replacement glued to the rest. Entries without such a word get the key of
+    all texts, and every entry is there again for texts in which a bracket
+    that is taken out joins two words.
+    """
+    brought = entries.select("title_id", F.explode(word_runs("entry.strReplace")).alias("w")) \
+        .groupBy("title_id").agg(F.collect_set("w").alias("brought"))
+    own = entries.join(brought, "title_id", "left").withColumn("brought", F.coalesce("brought", F.array().cast("array<string>")))
+    own = own.withColumn("runs", F.filter(word_runs("entry.strSearch"), lambda t: ~F.exists(
+        "brought", lambda w: t.startswith(w) | t.endswith(w))))
+    longest = F.array_max(F.transform("runs", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    return own.select("title_id", "entry", F.explode(F.array(F.coalesce(longest, F.lit(_FREE)), F.lit(_ALL))).alias("token"))
+
+
+def occurring_entries(texts: DataFrame, keyed: DataFrame, text: str, facts: DataFrame | None = None,
+                      out: str = "entries") -> DataFrame:
+    """Texts (id, title_id, ...) with the entries of their title that can occur in
+    them, in the dictionary's order, and the title's ``facts`` (columns beside
+    title_id).  The join is on (title, word): a hot title's texts are spread
+    over their words, and a text only ever carries what it holds."""
+    names = [] if facts is None else [c for c in facts.columns if c != "title_id"]
+    rows = keyed
+    if facts is not None:
+        rows = rows.unionByName(facts.withColumn("token", F.lit(_FACTS)), allowMissingColumns=True)
+    usual = F.concat(word_runs(text), F.array(F.lit(_FREE), F.lit(_FACTS)))
+    keys = F.when(col_(text).rlike(_JOINING), F.array(F.lit(_ALL), F.lit(_FACTS))).otherwise(usual)
+    words = texts.where(F.col("title_id").isNotNull()).select("id", "title_id", F.explode(keys).alias("token"))
+    found = words.join(rows, ["title_id", "token"]).groupBy("id").agg(
+        F.sort_array(F.collect_list("entry")).alias(out), *[F.max(c).alias(c) for c in names])
+    empty = F.array().cast(found.schema[out].dataType)
+    return texts.join(found, "id", "left").withColumn(out, F.coalesce(out, empty))
+
+
+def replace_occurring(df: DataFrame, text: str, out: str) -> DataFrame:
+    """X7-X9 on texts with the entries that occur in them and their title's
+    facts: ``usable`` (any entry that is not skipped), ``first`` (the first of
+    them) and ``known`` (abbreviations that are words of its search strings)."""
+    lead = F.coalesce(F.get("entries", F.lit(0)).eqNullSafe(F.col("first")), F.lit(False))
+    d = df.withColumn("lead", lead)
+    d = d.withColumn(out, F.when(F.coalesce("usable", F.lit(False)),
+                                 replace_with_dictionary(F.col(text), F.col("entries"), F.col("lead"))).otherwise(F.col(text)))
+    return _repetitions_and_abbreviations(d, out, "known", F.col("title_id").isNotNull())
 
 
 def replace_metadata(df: DataFrame, text: str, entries: str, words: str, out: str | None = None,
@@ -111,9 +185,12 @@ def replace_metadata(df: DataFrame, text: str, entries: str, words: str, out: st
     d = df.withColumn(out, F.when(F.size(F.col(entries)) > 0,
                                   replace_with_dictionary(F.col(text), F.col(entries)))
                       .otherwise(F.col(text)))
+    return _repetitions_and_abbreviations(d, out, words, titled)
+
+
+def _repetitions_and_abbreviations(d: DataFrame, out: str, words: str, has_dict: Column) -> DataFrame:
     # Repetitions, ungated, case-insensitive, inside the word bounds; blanks collapsed after each.
     c = F.col(out)
-    has_dict = titled
     rep = c
     for p, r in R.REPETITIONS_1:
         rep = _collapse(replace(rep, _bounded(p), r, ignore_case=True))
@@ -139,11 +216,16 @@ def conflict_entries(entries) -> Column:
 
 
 def resolve_conflicts(sentences, entries) -> Column:
+    """X13 on a title's whole dictionary: :func:`resolve_wanted` with its :func:`conflict_entries`."""
+    return resolve_wanted(sentences, conflict_entries(entries))
+
+
+def resolve_wanted(sentences, wanted) -> Column:
     """X13 per sentence, as the fallback without entity types: a search string
     that occurs (in any case if it holds a blank) is replaced by its phrase; a
     sentence that changed loses the quotes around the title phrase and gets
-    the X8 rules."""
-    wanted = conflict_entries(entries)
+    the X8 rules. ``wanted`` are the entries to be tried, in order."""
+    wanted = col_(wanted)
 
     def step(acc: Column, e: Column) -> Column:
         blank = e["strSearch"].contains(" ")

@@ -597,9 +597,11 @@ _register_safe_passes()
 
 @register("replace_metadata")
 def q_replace_metadata(p):
-    from reviewlake.operators.text import replace_metadata
-    j = p.with_dictionary(_normalized(p))
-    return replace_metadata(j, "normalizedText", "entries", "words", out="replacedText").select("id", "replacedText")
+    from reviewlake.operators import metadata as md
+    from reviewlake.operators import text as tx
+    n = _normalized(p).select("id", "title_id", "normalizedText")
+    j = tx.occurring_entries(n, tx.keyed_entries(md.usable_entries(p.metadata)), "normalizedText", md.title_facts(p.metadata))
+    return tx.replace_occurring(j, "normalizedText", out="replacedText").select("id", "replacedText")
 
 
 @register("abbreviations")
@@ -615,9 +617,11 @@ def q_abbreviations(p):
 def q_conflict_fallback(p):
     """X13 on the repaired sentences of every review."""
     from reviewlake.operators import text as tx
-    j = p.with_dictionary(_normalized(p)).select("id", "entries", tx.repair_sentences(
-        tx.split_sentences("normalizedText")).alias("raw"))
-    return j.select("id", F.posexplode(tx.resolve_conflicts("raw", "entries")).alias("pos", "sentence"))
+    from reviewlake.operators import metadata as md
+    raw = _normalized(p).select("id", "title_id", tx.repair_sentences(tx.split_sentences("normalizedText")).alias("raw"))
+    j = tx.occurring_entries(raw.withColumn("text", F.array_join("raw", " ")),
+                             tx.keyed_entries(md.wanted_entries(p.metadata)), "text", out="wanted")
+    return j.select("id", F.posexplode(tx.resolve_wanted("raw", "wanted")).alias("pos", "sentence"))
 
 
 @register("sentence_repair")
