@@ -46,13 +46,3 @@ class TitleFilter:
     year_min: int = YEAR_MIN
     runtime_min: int = RUNTIME_MIN
     votes_min: int = VOTES_MIN
-
-
-@dataclass(frozen=True)
-class ScaleLimits:
-    """Bound of the closed word lists that become literals."""
-    # Dictionaries folded into a per-row expression (aspect terms, boosters).
-    literal_terms: int = 20_000
-
-
-LIMITS = ScaleLimits()

@@ -94,26 +94,48 @@ def aspect_spans(sentences: DataFrame, terms: DataFrame, id_col: str = "id",
     return d.select("sentence_id", *keep, "start", "end", "span", "context", "ordinal")
 
 
+GRAM = 3
+
+
+def _overlapping(text: Column, n: int) -> Column:
+    """The distinct runs of ``n`` characters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
+
+
+def contained_terms(contexts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(context, term) for every term that is a substring of a context.
+
+    A context holds a term only if it holds each run of ``GRAM`` characters of
+    it. Every term waits at its rarest one (the term itself, if shorter), the
+    contexts' runs are joined with those, and the few pairs that meet are
+    verified. So the work is linear in a context's length, whatever the number
+    of terms and of their lengths. Contexts travel as hashes of theirs; a
+    collision only makes a pair that the verification drops.
+    """
+    size = F.length("term")
+    runs = F.when(size < GRAM, F.array("term")).otherwise(_overlapping(F.col("term"), GRAM))
+    waiting = terms.where(size > 0).select("term", F.explode(runs).alias("gram"))
+    ctx = contexts.select("context", F.xxhash64("context").alias("cid"))
+    every = F.concat(*[_overlapping(F.col("context"), n) for n in range(1, GRAM + 1)])
+    grams = ctx.select("cid", F.explode(every).alias("gram")).join(waiting.select("gram").distinct(), "gram", "left_semi")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = waiting.join(counts, "gram", "left").groupBy("term").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("term", F.col("r.gram").alias("gram"))
+    pairs = grams.join(rarest, "gram").select("cid", "term")
+    return pairs.join(ctx, "cid").where(F.col("context").contains(F.col("term"))).select("context", "term")
+
+
 def context_categories(contexts: DataFrame, terms_with_category: DataFrame, context: str = "context") -> DataFrame:
     """M3 (J7): categories of every distinct context, as (context, categories).
 
     The terms found (substrings) in a context are taken longest first (ties:
     aspect id, then term — trap H17), skipping a term contained in an already
     accepted one; 'Overall' is dropped when other categories exist; none ->
-    ['Other']. Found means: a piece of the context of some term's length
-    equals the term, so a dictionary of any size is a join, not a literal."""
+    ['Other']."""
     t = terms_with_category.select("aspect_id", "category", "term", F.length("term").alias("n")).distinct()
-    lengths = sorted(r.n for r in t.select("n").distinct().collect())  # the longest term bounds them
     c = contexts.select(F.col(context).alias("context")).distinct()
-    ctx = F.col("context")
     none = F.array().cast("array<string>")
-
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(ctx) - n + 1)
-        return F.when(F.length(ctx) >= n, F.transform(starts, lambda i: F.substring(ctx, i, F.lit(n)))).otherwise(none)
-
-    pieces = [runs(n) for n in lengths] or [none]
-    found = c.select("context", F.explode(F.array_distinct(F.concat(*pieces))).alias("term")).join(t, "term")
+    found = contained_terms(c, t.select("term").distinct()).join(t, "term")
     entry = F.struct((-F.col("n")).alias("k"), "aspect_id", "term", "category")
     found = found.groupBy("context").agg(F.sort_array(F.collect_list(entry)).alias("found"))
 

@@ -14,10 +14,8 @@ Sentence score ``s`` = Σv, plus '!' (≤4 × 0.292) and '?' (2-3 × 0.18, more:
 (4 decimals); ``pos``/``neg``/``neu`` are the shares of (v+1), (v-1) and
 neutral tokens (3 decimals).
 
-Plan: modifiers are computed per sentence with array functions (the
-booster/negation/contrast lists are closed word lists), tokens are exploded,
-valences come from a join, and the sums are partial hash aggregates keyed by
-the sentence — only one row per sentence is shuffled.
+Plan: (id, position, word) rows meet the lexicon in one join; no text is
+exploded or part of a key, and the lexicon may have any size.
 """
 
 from __future__ import annotations
@@ -25,8 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.functions.columns import at, polarity_bin, polarity_label, round_half_up
-from reviewlake.plans.strategy import literal_bound
+from reviewlake.functions.columns import polarity_bin, polarity_label, round_half_up
 
 BOOST_FACTORS = (1.0, 0.95, 0.9)
 N_SCALAR = -0.74
@@ -37,88 +34,82 @@ QM_MAX = 0.96
 ALPHA = 15.0
 
 
-def _word_list(lexicon: DataFrame, kind: str) -> list[str]:
-    return [r.word for r in literal_bound(lexicon.where(F.col("kind") == kind).select("word").distinct())]
+def _lexicon_rows(lexicon: DataFrame) -> DataFrame:
+    """One row per word: its valence, booster weight, and whether it negates or contrasts."""
+    kind = F.col("kind")
+    return lexicon.groupBy("word").agg(
+        F.max(F.when(kind == "valence", F.col("valence"))).alias("v0"),
+        F.max(F.when(kind == "booster", F.col("valence"))).alias("boost"),
+        F.coalesce(F.max(kind == "negation"), F.lit(False)).alias("negates"),
+        F.coalesce(F.max(kind == "contrast"), F.lit(False)).alias("contrasts"))
 
 
 def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
                      keep: list[str] | None = None) -> DataFrame:
-    """Return ``(id_col, *keep, neg, neu, pos, compound)`` for every row of ``df``.
+    """Return ``(id_col, *keep, neg, neu, pos, compound)`` for every row of ``df``
+    (ids are unique).
 
-    ``keep`` columns must be functionally dependent on ``id_col``; they ride
-    along the aggregation instead of being joined back.
+    Texts stay where they are: (id, position, word) rows meet the lexicon,
+    which can be of any size, and only words in it (and those with ``n't``) go on.
+    Boosters and negations send what they do to the next three positions; the
+    sums of a text are joined back to it by its id.
     """
     keep = [c for c in (keep or []) if c != id_col]
-    boosters = {r.word: float(r.valence) for r in literal_bound(
-        lexicon.where(F.col("kind") == "booster").groupBy("word").agg(F.max("valence").alias("valence")))}
-    negations = _word_list(lexicon, "negation")
-    contrasts = _word_list(lexicon, "contrast")
-    valences = lexicon.where(F.col("kind") == "valence") \
-        .groupBy("word").agg(F.max("valence").alias("v0"))
-
-    bmap = F.create_map(*[a for k, v in sorted(boosters.items()) for a in (F.lit(k), F.lit(v))]) \
-        if boosters else F.create_map().cast("map<string,double>")
-    negs = F.array(*[F.lit(w) for w in sorted(negations)]).cast("array<string>")
-    cons = F.array(*[F.lit(w) for w in sorted(contrasts)]).cast("array<string>")
-
     text = F.col(text_col)
     toks = F.regexp_extract_all(text, F.lit(r"\p{L}+(?:'\p{L}+)*"), 0)
-    d = df.select(F.col(id_col).alias("__id"), text.alias("__t"), toks.alias("__tok"), *keep)
-    low = F.transform("__tok", lambda t: F.lower(t))
-    n = F.size("__tok")
+    d = df.select(F.col(id_col).alias("__id"), toks.alias("__tok"))
     n_caps = F.size(F.filter("__tok", lambda t: t == F.upper(t)))
-    d = d.withColumn("__low", low).withColumn(
-        "__capdiff", (n_caps > 0) & (n_caps < n)).withColumn(
-        "__but", F.coalesce(F.array_min(F.filter(
-            F.transform("__low", lambda w, i: F.when(F.array_contains(cons, w), i + 1)),
-            lambda x: x.isNotNull())), F.lit(0)))
-
-    def prev(i, j):
-        return F.when(i - j >= 0, at(F.col("__low"), i - j + 1))
-
-    def boost(i):
-        total = F.lit(0.0)
-        for j, f in enumerate(BOOST_FACTORS, start=1):
-            total = total + F.coalesce(at(bmap, F.coalesce(prev(i, j), F.lit(""))), F.lit(0.0)) * f
-        return total
-
-    def negcount(i):
-        total = F.lit(0)
-        for j in range(1, 4):
-            total = total + F.coalesce(F.array_contains(negs, prev(i, j)) | prev(i, j).contains("n't"), F.lit(False)).cast("int")
-        return total
-
-    mods = F.transform("__tok", lambda t, i: F.struct(
-        F.lower(t).alias("w"),
-        boost(i).alias("b"),
-        negcount(i).alias("neg"),
-        (F.col("__capdiff") & (t == F.upper(t))).alias("caps"),
-        F.when(F.col("__but") == 0, 1.0).when(i + 1 < F.col("__but"), 0.5)
-        .when(i + 1 > F.col("__but"), 1.5).otherwise(1.0).alias("cw")))
-
-    t_ = F.col("__t")
-    ex = F.least(F.length(t_) - F.length(F.replace(t_, F.lit("!"), F.lit(""))), F.lit(4)) * EXCL_INCR
-    qm = F.length(t_) - F.length(F.replace(t_, F.lit("?"), F.lit("")))
+    d = d.withColumn("__capdiff", (n_caps > 0) & (n_caps < F.size("__tok")))
+    tokens = d.select("__id", F.posexplode("__tok").alias("__i", "__t"), "__capdiff")
+    tokens = tokens.select("__id", "__i", F.lower("__t").alias("word"),
+                           (F.col("__capdiff") & (F.col("__t") == F.upper("__t"))).alias("caps"))
+    known = tokens.join(_lexicon_rows(lexicon), "word", "left").withColumn("n_t", F.col("word").contains("n't")) \
+        .where(F.col("v0").isNotNull() | F.col("boost").isNotNull() | F.col("negates") | F.col("contrasts") | F.col("n_t"))
+    off, negates = F.lit(0.0), (F.coalesce("negates", F.lit(False)) | F.col("n_t")).cast("int")
+
+    def effect(at=None, v0=None, caps=None, b=None, neg=None, but=None) -> Column:
+        """What a word does at one position of its text; ``but``: where the text has a contrast word."""
+        parts = (("at", at, "int"), ("v0", v0, "double"), ("caps", caps, "boolean"), ("b", b, "double"),
+                 ("neg", neg, "int"), ("but", but, "int"))
+        return F.struct(*[(F.lit(None) if c is None else c).cast(t).alias(n) for n, c, t in parts])
+
+    i, weight = F.col("__i"), F.coalesce("boost", off)
+    effects = F.array(
+        F.when(F.coalesce("v0", off) != 0, effect(i, F.col("v0"), F.col("caps"), off, F.lit(0))),
+        F.when(F.coalesce("contrasts", F.lit(False)), effect(but=i)),
+        *[F.when(F.col("boost").isNotNull() | (negates > 0), effect(i + j, b=weight * f, neg=negates))
+          for j, f in enumerate(BOOST_FACTORS, start=1)])
+    placed = known.select("__id", F.explode(F.filter(effects, lambda e: e.isNotNull())).alias("e")).select("__id", "e.*") \
+        .groupBy("__id", "at").agg(F.max("v0").alias("v0"), F.max("caps").alias("caps"), F.sum("b").alias("b"),
+                                   F.sum("neg").alias("neg"), F.min("but").alias("but"))
+    hits = placed.where(F.col("v0").isNotNull() | F.col("at").isNull())
+    own_sums = hits.groupBy("__id").agg(
+        F.min("but").alias("but"),
+        F.collect_list(F.when(F.col("v0").isNotNull(), F.struct("at", "v0", "caps", "b", "neg"))).alias("hits"))
+
+    def value(h: Column, but: Column) -> Column:
+        weight = F.when(but.isNull(), 1.0).when(h["at"] < but, 0.5).when(h["at"] > but, 1.5).otherwise(1.0)
+        return ((h["v0"] + F.signum(h["v0"]) * (h["b"] + F.when(h["caps"], CAPS_INCR).otherwise(0.0)))
+                * F.pow(F.lit(N_SCALAR), h["neg"]) * weight)
+
+    vs = F.transform(F.array_sort("hits"), lambda h: value(h, F.col("but")))
+    sums = own_sums.select("__id", vs.alias("vs"))
+
+    def total(f) -> Column:
+        return F.aggregate("vs", F.lit(0.0), lambda acc, v: acc + f(v))
+
+    sums = sums.select("__id", total(lambda v: v).alias("s"), total(lambda v: F.when(v > 0, v + 1).otherwise(0.0)).alias("ps"),
+                       total(lambda v: F.when(v < 0, v - 1).otherwise(0.0)).alias("ns"),
+                       F.size(F.filter("vs", lambda v: v != 0)).alias("__scored"))
+    ex = F.least(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))), F.lit(4)) * EXCL_INCR
+    qm = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
     qamp = F.when(qm > 1, F.when(qm <= 3, qm * QM_INCR).otherwise(QM_MAX)).otherwise(0.0)
-    # helper arrays are carried through the explode so they are computed once per sentence
-    d = d.select("__id", (ex + qamp).alias("__punct"), "__low", "__capdiff", "__but",
-                 F.explode_outer(mods).alias("m"), *keep).drop("__low", "__capdiff", "__but")
-
-    d = d.join(valences, F.col("m.w") == F.col("word"), "left")
-    v0 = F.coalesce(F.col("v0"), F.lit(0.0))
-    sgn = F.signum(v0)
-    v = F.when(v0 == 0, 0.0).otherwise(
-        (v0 + sgn * (F.col("m.b") + F.when(F.col("m.caps"), CAPS_INCR).otherwise(0.0)))
-        * F.pow(F.lit(N_SCALAR), F.col("m.neg")) * F.col("m.cw"))
-    d = d.withColumn("v", v)
-    # what rides along is part of the key: hash aggregation, summed up before the shuffle
-    agg = d.groupBy("__id", "__punct", *keep).agg(
-        F.sum(F.when(F.col("m").isNotNull(), F.col("v")).otherwise(0.0)).alias("s"),
-        F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("ps"),
-        F.sum(F.when(F.col("v") < 0, F.col("v") - 1).otherwise(0.0)).alias("ns"),
-        F.sum(F.when(F.col("m").isNotNull() & (F.col("v") == 0), 1).otherwise(0)).alias("nu"))
-    return agg.select(F.col("__id").alias(id_col), *keep, *_scores(F.col("s"), F.col("ps"), F.col("ns"),
-                                                               F.col("nu"), F.col("__punct")))
+    whole = df.select(F.col(id_col).alias("__id"), *keep, (ex + qamp).alias("__punct"),
+                      F.coalesce(F.size(toks), F.lit(0)).alias("__n"))
+    j = whole.join(sums, "__id", "left")
+    s, ps, ns = (F.coalesce(c, off) for c in ("s", "ps", "ns"))
+    nu = F.col("__n") - F.coalesce("__scored", F.lit(0))
+    return j.select(F.col("__id").alias(id_col), *keep, *_scores(s, ps, ns, nu, F.coalesce("__punct", off)))
 
 
 def _scores(s: Column, ps: Column, ns: Column, nu: Column, punct: Column) -> list[Column]:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from reviewlake.config import LIMITS
 from reviewlake.session import stage_table
 
 
@@ -31,19 +30,6 @@ def least_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__least")).select(*keys, "__least.*").select(*df.columns)
 
 
-def literal_bound(df: DataFrame, max_rows: int | None = None) -> list:
-    """Collect a dictionary-sized table to the driver after checking its size.
-
-    Used for term lists that become literal arrays inside expressions
-    (aspect terms, booster words). Raises instead of pulling an unbounded table.
-    """
-    limit = max_rows or LIMITS.literal_terms
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"dictionary has more than {limit} rows; use the join form instead")
-    return rows
-
-
 def grouped_prefix_sum(df: DataFrame, group: list[str], key: str, value: str, out: str,
                        tie: list[str] | None = None, inclusive: bool = True) -> DataFrame:
     """Running sum of ``value`` within ``group`` ordered by (``key``, ``tie``).

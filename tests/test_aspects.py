@@ -30,3 +30,18 @@ def test_bins_at_edges(spark):
     got = [(r.b, r.s) for r in df.select(polarity_bin("x").alias("b"), star_bucket("x").alias("s")).collect()]
     assert [g[0] for g in got] == [5, 4, 4, 3, 2, 1, 1]            # SQL CASE ladder (H6)
     assert [g[1] for g in got] == [5, 4, 3, 2, 1, 1, None]         # right-closed bins (H6)
+
+
+def test_contained_terms_equal_brute_force(spark):
+    import random
+
+    from reviewlake.operators.aspects import contained_terms
+    rnd = random.Random(2)
+    alphabet = ["a", "b", "c", " ", "é", "ß", "\U0001f600", "\n", "."]
+    make = lambda n: "".join(rnd.choice(alphabet) for _ in range(n))
+    contexts = {make(rnd.randrange(0, 60)) for _ in range(200)} | {make(30_000), "aaaa", ""}
+    terms = {make(rnd.randrange(1, 7)) for _ in range(150)} | {"a", "ab", "aaa", "never there"}
+    c = spark.createDataFrame([(x,) for x in contexts] + [(None,)], "context string")
+    t = spark.createDataFrame([(x,) for x in terms] + [("",)], "term string")
+    got = sorted((r.context, r.term) for r in contained_terms(c, t).collect())
+    assert got == sorted((x, y) for x in contexts for y in terms if y in x)
