@@ -14,7 +14,7 @@ from reviewlake import config
 from reviewlake.functions import rules as R
 from reviewlake.functions.columns import at, col_
 from reviewlake.functions.regex import NON_ASCII, java_pattern, passes, replace
-from reviewlake.plans.strategy import grouped_prefix_sum
+from reviewlake.plans.strategy import grouped_prefix_sum, spread
 
 SEP = "\u0001"
 
@@ -106,9 +106,8 @@ _BOUNDS = r""" \t\n\r\f\x0B('"/.,;!?)"""
 _WORD_RUN = f"[^{_BOUNDS}]+"
 #: Taking out bracketed names here joins the words on both sides to a new one.
 _JOINING = rf"[^{_BOUNDS}](?:\([^()]*\))+[^{_BOUNDS}]"
-#: Keys that are no words: entries that any text may hold, all entries of a
-#: title, and what is known of a title.
-_FREE, _ALL, _FACTS = "", "\u0002", "\u0001"
+#: Keys that are no words: entries that any text may hold, and what is known of a title.
+_FREE, _FACTS = "", "\u0001"
 
 
 def word_runs(c) -> Column:
@@ -127,8 +126,7 @@ def keyed_entries(entries: DataFrame) -> DataFrame:
     replacement of the title can bring; words that begin or end with a word of
     a replacement are no keys either, as a quoted name inside a word leaves its
     replacement glued to the rest. Entries without such a word get the key of
-    all texts, and every entry is there again for texts in which a bracket
-    that is taken out joins two words.
+    all texts.
     """
     brought = entries.select("title_id", F.explode(word_runs("entry.strReplace")).alias("w")) \
         .groupBy("title_id").agg(F.collect_set("w").alias("brought"))
@@ -136,26 +134,36 @@ def keyed_entries(entries: DataFrame) -> DataFrame:
     own = own.withColumn("runs", F.filter(word_runs("entry.strSearch"), lambda t: ~F.exists(
         "brought", lambda w: t.startswith(w) | t.endswith(w))))
     longest = F.array_max(F.transform("runs", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    return own.select("title_id", "entry", F.explode(F.array(F.coalesce(longest, F.lit(_FREE)), F.lit(_ALL))).alias("token"))
+    return own.select("title_id", "entry", F.coalesce(longest, F.lit(_FREE)).alias("token"))
 
 
-def occurring_entries(texts: DataFrame, keyed: DataFrame, text: str, facts: DataFrame | None = None,
+def occurring_entries(texts: DataFrame, entries: DataFrame, text: str, facts: DataFrame | None = None,
                       out: str = "entries") -> DataFrame:
-    """Texts (id, title_id, ...) with the entries of their title that can occur in
-    them, in the dictionary's order, and the title's ``facts`` (columns beside
-    title_id).  The join is on (title, word): a hot title's texts are spread
-    over their words, and a text only ever carries what it holds."""
+    """Texts (id, title_id, ...) with the ``entries`` (title_id, entry) of their
+    title that can occur in them, in the dictionary's order, and the title's
+    ``facts`` (columns beside title_id).  The join is on (title, word): a hot
+    title's texts are spread over their words, and a text only ever carries
+    what it holds.  The few texts in which a bracket that is taken out joins two
+    words get all entries of their title.  Titles without texts take no part."""
+    titled = texts.where(F.col("title_id").isNotNull())
+    titles = titled.select("title_id").distinct()
+    entries = entries.join(titles, "title_id", "left_semi")
     names = [] if facts is None else [c for c in facts.columns if c != "title_id"]
-    rows = keyed
+    rows = keyed_entries(entries)
     if facts is not None:
-        rows = rows.unionByName(facts.withColumn("token", F.lit(_FACTS)), allowMissingColumns=True)
+        rows = rows.unionByName(facts.join(titles, "title_id", "left_semi").withColumn("token", F.lit(_FACTS)),
+                                allowMissingColumns=True)
+    joining = col_(text).rlike(_JOINING)
     usual = F.concat(word_runs(text), F.array(F.lit(_FREE), F.lit(_FACTS)))
-    keys = F.when(col_(text).rlike(_JOINING), F.array(F.lit(_ALL), F.lit(_FACTS))).otherwise(usual)
-    words = texts.where(F.col("title_id").isNotNull()).select("id", "title_id", F.explode(keys).alias("token"))
-    found = words.join(rows, ["title_id", "token"]).groupBy("id").agg(
+    keys = F.when(joining, F.array(F.lit(_FACTS))).otherwise(usual)
+    words = titled.select("id", "title_id", F.explode(keys).alias("token"))
+    met = words.join(rows, ["title_id", "token"]).select("id", "entry", *names)
+    every = titled.where(joining).select("id", "title_id").join(entries, "title_id").select("id", "entry")
+    found = met.unionByName(every, allowMissingColumns=True).groupBy("id").agg(
         F.sort_array(F.collect_list("entry")).alias(out), *[F.max(c).alias(c) for c in names])
     empty = F.array().cast(found.schema[out].dataType)
-    return texts.join(found, "id", "left").withColumn(out, F.coalesce(out, empty))
+    # the stages after this are heavy on the CPU: texts are dealt out by the key of the join
+    return spread(texts, "id").join(found, "id", "left").withColumn(out, F.coalesce(out, empty))
 
 
 def replace_occurring(df: DataFrame, text: str, out: str) -> DataFrame:

@@ -18,6 +18,7 @@ from reviewlake import config
 from reviewlake.operators.dims import ASPECTS
 from reviewlake.plans import oracle as O
 from reviewlake.plans.pipeline import Pipeline
+from reviewlake.session import stage_table
 
 QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -599,8 +600,8 @@ _register_safe_passes()
 def q_replace_metadata(p):
     from reviewlake.operators import metadata as md
     from reviewlake.operators import text as tx
-    n = _normalized(p).select("id", "title_id", "normalizedText")
-    j = tx.occurring_entries(n, tx.keyed_entries(md.usable_entries(p.metadata)), "normalizedText", md.title_facts(p.metadata))
+    n = stage_table(_normalized(p).select("id", "title_id", "normalizedText"))
+    j = tx.occurring_entries(n, md.usable_entries(p.metadata), "normalizedText", md.title_facts(p.metadata))
     return tx.replace_occurring(j, "normalizedText", out="replacedText").select("id", "replacedText")
 
 
@@ -618,9 +619,9 @@ def q_conflict_fallback(p):
     """X13 on the repaired sentences of every review."""
     from reviewlake.operators import text as tx
     from reviewlake.operators import metadata as md
-    raw = _normalized(p).select("id", "title_id", tx.repair_sentences(tx.split_sentences("normalizedText")).alias("raw"))
+    raw = stage_table(_normalized(p).select("id", "title_id", tx.repair_sentences(tx.split_sentences("normalizedText")).alias("raw")))
     j = tx.occurring_entries(raw.withColumn("text", F.array_join("raw", " ")),
-                             tx.keyed_entries(md.wanted_entries(p.metadata)), "text", out="wanted")
+                             md.wanted_entries(p.metadata), "text", out="wanted")
     return j.select("id", F.posexplode(tx.resolve_wanted("raw", "wanted")).alias("pos", "sentence"))
 
 

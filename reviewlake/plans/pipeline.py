@@ -154,11 +154,11 @@ class Pipeline:
         md_ = self.metadata
         n = self._stage(tx.normalize_text(reviews.select("id", "title_id", "originalText"), "originalText")
                         .select("id", "title_id", "normalizedText"))
-        j = tx.occurring_entries(n, tx.keyed_entries(md.usable_entries(md_)), "normalizedText", md.title_facts(md_))
+        j = tx.occurring_entries(n, md.usable_entries(md_), "normalizedText", md.title_facts(md_))
         j = tx.replace_occurring(j, "normalizedText", out="replacedText")
         j = self._stage(j.select("id", "title_id", tx.repair_sentences(tx.split_sentences("replacedText")).alias("raw")))
         j = tx.occurring_entries(j.withColumn("text", F.array_join("raw", " ")),
-                                 tx.keyed_entries(md.wanted_entries(md_)), "text", out="wanted")
+                                 md.wanted_entries(md_), "text", out="wanted")
         j = j.select(F.col("id").alias("review_id"), "title_id", tx.resolve_wanted("raw", "wanted").alias("raw"))
         j = j.select("review_id", "title_id",
                      F.transform("raw", lambda x: tx.sentence_from_tokens(tx.tokens(x))).alias("joined"))

@@ -45,10 +45,10 @@ def test_occurring_entries_equal_whole_dictionary(spark):
     want = {r.id: (r.o, r.s) for r in tx.replace_metadata(j, "t", "entries", "words", out="o").select(
         "id", "o", tx.resolve_conflicts(F.array("t"), "entries").alias("s")).collect()}
 
-    a = tx.occurring_entries(texts, tx.keyed_entries(md.usable_entries(d)), "t", md.title_facts(d))
+    a = tx.occurring_entries(texts, md.usable_entries(d), "t", md.title_facts(d))
     carried = a.select(F.sum(F.size("entries"))).first()[0]
     got_o = {r.id: r.o for r in tx.replace_occurring(a, "t", "o").collect()}
-    b = tx.occurring_entries(texts, tx.keyed_entries(md.wanted_entries(d)), "t", out="wanted")
+    b = tx.occurring_entries(texts, md.wanted_entries(d), "t", out="wanted")
     got_s = {r.id: r.s for r in b.select("id", tx.resolve_wanted(F.array("t"), "wanted").alias("s")).collect()}
     assert set(got_o) == set(want) == set(got_s)
     for k, (o, s) in want.items():
