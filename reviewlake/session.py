@@ -22,6 +22,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # joins on (review_id, sentence_id) may reuse hash partitioning on review_id
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # keys that streams have seen: on disk, with changes written per batch, not on the heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

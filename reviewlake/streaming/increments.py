@@ -70,31 +70,39 @@ def stream_preprocess(spark: SparkSession, src: str, out: str, preprocess) -> Da
     return spark.read.parquet(out)
 
 
-def predict_batch(spark: SparkSession, out: str, predict, keys: list[str]):
-    """T2 for one batch: rows whose key an earlier batch has written are
-    skipped; among equal keys of the batch the least row wins."""
-    def process(batch: DataFrame, batch_id: int) -> DataFrame:
+def first_rows(spark: SparkSession, src: str, schema, out: str, keys: list[str]) -> None:
+    """Rows of the new files of ``src`` whose key no earlier row had, appended to
+    ``out``.  The keys seen are the query's state, kept per key by the state
+    store: a run reads the new files and looks their keys up, never the history."""
+    stream = spark.readStream.schema(schema).parquet(src).dropDuplicates(keys)
+    _run(stream.writeStream.format("parquet").option("path", out).outputMode("append"), out + "_state")
+
+
+def keyed_batch(spark: SparkSession, out: str, predict, keys: list[str]):
+    """T2 and T3 for one batch, as insert-or-ignore: among equal keys of the
+    batch the least row wins, and a key that an earlier batch has stored is
+    skipped.  The batch's rows replace those of an earlier attempt; what that
+    attempt had passed on is in the state, so nothing is inserted twice."""
+    staged = out + "_staged"
+
+    def process(batch: DataFrame, batch_id: int) -> None:
         rows = least_rows(predict(batch), keys)
-        types = dict(rows.dtypes)
-        done = earlier(spark, out, batch_id, ", ".join(f"{k} {types[k]}" for k in keys))
-        return rows.join(done, keys, "left_anti")
+        rows.write.mode("overwrite").parquet(os.path.join(staged, f"batch={batch_id}"))
+        first_rows(spark, staged + "/*", rows.schema, out, keys)
     return process
 
 
-def stream_predict(spark: SparkSession, src: str, out: str, predict, keys: list[str]) -> DataFrame:
-    """Predict aspect rows chunk by chunk; rows already written (same
-    key) are skipped, so a re-run after a failure inserts nothing twice."""
-    schema = spark.read.parquet(src).schema
-    stream_batches(spark, src, schema, out, predict_batch(spark, out, predict, keys))
-    return spark.read.parquet(out).drop("batch")
+def stream_predict(spark: SparkSession, src: str, out: str, predict, keys: list[str], max_files: int = 1) -> DataFrame:
+    """Predict aspect rows chunk by chunk; a row whose key is stored is
+    skipped, so a re-run after a failure inserts nothing twice."""
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", max_files).parquet(src)
+    _run(stream.writeStream.foreachBatch(keyed_batch(spark, out, predict, keys)), out + "_ckpt")
+    return spark.read.parquet(out)
 
 
-def stream_dedupe(spark: SparkSession, src: str, out: str, keys: list[str]) -> DataFrame:
-    """Insert-or-ignore — a key that an earlier batch has stored is
-    skipped. What was stored is the state: none grows in memory."""
-    schema = spark.read.parquet(src).schema
-    stream_batches(spark, src, schema, out, predict_batch(spark, out, lambda batch: batch, keys))
-    return spark.read.parquet(out).drop("batch")
+def stream_dedupe(spark: SparkSession, src: str, out: str, keys: list[str], max_files: int = 1) -> DataFrame:
+    """Insert-or-ignore of arriving rows by their key."""
+    return stream_predict(spark, src, out, lambda batch: batch, keys, max_files)
 
 
 def stage_files(df: DataFrame, path: str, files: int = 4, key: str = "id") -> str:

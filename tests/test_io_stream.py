@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlake.sources import io
-from reviewlake.streaming.increments import predict_batch, preprocess_batch, scratch, stream_dedupe, write_batch
+from reviewlake.streaming.increments import keyed_batch, preprocess_batch, scratch, stream_dedupe, write_batch
 
 
 def test_labeled_dirs(spark, tmp_path):
@@ -90,11 +90,13 @@ def test_retried_batch_changes_nothing(spark):
     out = scratch(spark, "retry")
     keys = ["k"]
     frames = [spark.createDataFrame(r, "k int, v string") for r in ([(1, "a"), (2, "b"), (2, "a")], [(2, "x"), (3, "c")])]
-    step = predict_batch(spark, out, lambda b: b, keys)
-    want = {0: [(1, "a"), (2, "a")], 1: [(3, "c")]}
+    step = keyed_batch(spark, out, lambda b: b, keys)
+    want = {0: [(1, "a"), (2, "a")], 1: [(1, "a"), (2, "a"), (3, "c")]}
+    newest = -1
     for batch_id in (0, 1, 1, 0, 1):
-        write_batch(frames[batch_id], batch_id, out, step)
-        assert sorted(map(tuple, spark.read.parquet(f"{out}/batch={batch_id}").collect())) == want[batch_id]
+        step(frames[batch_id], batch_id)
+        newest = max(newest, batch_id)
+        assert sorted(map(tuple, spark.read.parquet(out).collect())) == want[newest]
     ids = scratch(spark, "retry-ids")
     number = preprocess_batch(spark, ids, lambda b, start: b.selectExpr(f"k + {start} - 1 AS id"))
     one = spark.createDataFrame([(1,), (2,)], "k int")
@@ -103,6 +105,21 @@ def test_retried_batch_changes_nothing(spark):
     assert sorted(r.id for r in spark.read.parquet(ids).collect()) == [1, 2, 3, 4]
 
 
+def test_a_batch_reads_only_its_own_rows(spark):
+    """Keys that are stored are looked up in the state: the dedupe reads the new files, not the history."""
+    import json as js
+    out = scratch(spark, "growth")
+    step = keyed_batch(spark, out, lambda b: b, ["k"])
+    for batch_id in range(4):
+        step(spark.range(100 * batch_id - 20 * (batch_id > 0), 100 * batch_id + 100).selectExpr("id AS k"), batch_id)
+    assert spark.read.parquet(out).count() == spark.read.parquet(out).distinct().count() == 400
+    sizes = []
+    for batch_id in range(4):
+        seen = [js.loads(x) for x in open(f"{out}_state/sources/0/{batch_id}".replace("file:", "")) if x.startswith("{")]
+        sizes.append({os.path.basename(os.path.dirname(f["path"])) for f in seen})
+    assert sizes == [{f"batch%3D{k}"} for k in range(4)] or sizes == [{f"batch={k}"} for k in range(4)]
+
+
 def test_terms_csv_with_bom(spark, tmp_path):
     p = tmp_path / "terms.csv"
     p.write_bytes("\ufeffaspect_id,POS,term\r\n1,n,audio\r\n6,n,actor\r\n6,n,actor\r\n".encode("utf-8"))
