@@ -3,14 +3,17 @@
 A document's tokens (with the end id) are cut into sequences of at most
 ``max_len``.  The histogram of sequence lengths over all documents has at most
 ``max_len`` rows; on it dynamic programming finds the ``n_buckets`` bucket
-lengths with the least padding in total.  In each bucket sequences, in
-(doc_id, seq_no) order, fill batches of ``token_budget // bucket length`` rows.
-``token_sequences`` gives the sequences with their ids, ``place`` carries the ids
-along to bucket, batch and slot, ``padded_batches`` has a row per batch with the
-ids of its slots padded to the bucket's length.
-
-A sequence's place in its bucket is its rank inside its range partition plus
-the counts of the partitions before: no task sorts or numbers a whole bucket.
+lengths with the least padding in total.  In each bucket sequences fill batches
+of ``token_budget // bucket length`` rows: token counts alone in (doc_id, seq_no)
+order, sequences with their ids in the order in which they were written, so
+that no id is shuffled.  ``token_sequences`` gives the sequences with their ids
+as bytes (16 bits an id where that holds them, else 32), ``place`` carries them
+along to bucket, batch and slot, ``unpacked`` makes arrays of them,
+``padded_batches`` has a row per batch with the ids of its slots padded to the
+bucket's length.
+
+A sequence's place in its bucket is its rank inside its partition plus the
+counts of the partitions before: no task sorts or numbers a whole bucket.
 
 Defined results: null and empty texts are one sequence of one token (the end
 id); rows that repeat are packed as often as they come; null doc_id comes
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .common import text_of, written
 from .tokens import END_ID, word_encoder
@@ -58,39 +61,50 @@ def sequences(counts: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
 
 
 def token_sequences(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN) -> DataFrame:
-    """(doc_id, seq_no, n_tokens, ids): the ids of whole texts, the end id
-    included, cut at multiples of ``max_len``."""
-    names = ["doc_id", "seq_no", "n_tokens", "ids"]
+    """(doc_id, seq_no, n_tokens, packed): the ids of whole texts, the end id
+    included, cut at multiples of ``max_len``, as little-endian unsigned bytes."""
+    names = ["doc_id", "seq_no", "n_tokens", "packed"]
 
-    def batch(doc_ids: list, numbers: list[np.ndarray], sizes: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-        sizes = np.concatenate(sizes)
-        ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc_ids, pa.int64()), pa.array(np.concatenate(numbers)), pa.array(sizes),
-             pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))], names)
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        doc_ids, numbers, sizes, ids = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(numbers, pa.int64()),
+                                           pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, step = word_encoder(tokenizer_path), max(1, BATCH_IDS // max_len) * max_len
+        encoder, held, n = word_encoder(tokenizer_path), [], 0
         for b in batches:
-            held, n = ([], [], [], []), 0
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 own = np.append(encoder.encode(text.as_py()), np.uint32(END_ID))
-                for k in range(0, len(own), step):
-                    part = own[k:k + step]
-                    rows = -(-len(part) // max_len)
-                    sizes = np.full(rows, max_len, np.int64)
-                    sizes[-1] = len(part) - (rows - 1) * max_len
-                    for to, x in zip(held, ([doc_id] * rows, k // max_len + np.arange(rows), sizes, part), strict=True):
-                        to.extend(x) if to is held[0] else to.append(x)
+                for no, k in enumerate(range(0, len(own), max_len)):
+                    part = own[k:k + max_len]
+                    held.append((doc_id, no, len(part), part.astype("<u2" if part.max() < 1 << 16 else "<u4").tobytes()))
                     n += len(part)
                     if n >= BATCH_IDS:
-                        yield batch(*held)
-                        held, n = ([], [], [], []), 0
-            if n:
-                yield batch(*held)
+                        yield batch(held)
+                        held, n = [], 0
+        if held:
+            yield batch(held)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")) \
-        .mapInArrow(encode, "doc_id long, seq_no long, n_tokens long, ids array<int>")
+        .mapInArrow(encode, "doc_id long, seq_no long, n_tokens long, packed binary")
+
+
+def unpacked(seqs: DataFrame) -> DataFrame:
+    """Sequences with ``ids`` as array<int> in place of ``packed``."""
+    names = [("ids" if c == "packed" else c) for c in seqs.columns]
+    at = seqs.columns.index("packed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, own = b.column("n_tokens").to_pylist(), []
+            for n, x in zip(sizes, b.column("packed").to_pylist(), strict=True):
+                own.append(np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype(np.int32))
+            ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*own, np.zeros(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([ids if k == at else c for k, c in enumerate(b.columns)], names)
+
+    fields = [StructField("ids", ArrayType(IntegerType())) if f.name == "packed" else f for f in seqs.schema.fields]
+    return seqs.mapInArrow(run, StructType(fields))
 
 
 def best_buckets(histogram: dict[int, int], n_buckets: int) -> list[int]:
@@ -128,14 +142,21 @@ def pack(counts: DataFrame, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS,
 def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS,
                    token_budget: int = TOKEN_BUDGET) -> DataFrame:
     """(doc_id, seq_no, n_tokens, ids, bucket_len, batch_no, slot): the documents' packed sequences."""
+    return unpacked(pack_bytes(docs, tokenizer_path, max_len, n_buckets, token_budget))
+
+
+def pack_bytes(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS,
+               token_budget: int = TOKEN_BUDGET) -> DataFrame:
+    """:func:`pack_documents` with the ids as bytes (``packed``)."""
     seqs = written(token_sequences(docs, tokenizer_path, max_len), "token-sequences")
     return place(seqs, max_len, n_buckets, token_budget)
 
 
 def digests(packed: DataFrame) -> DataFrame:
     """Packed sequences with the number and the hash of their ids in place of the ids."""
-    return packed.select("doc_id", "seq_no", F.size("ids").cast("long").alias("n_tokens"), "bucket_len", "batch_no",
-                         "slot", F.xxhash64("ids").alias("ids_hash"))
+    ids, n = ("packed", F.col("n_tokens")) if "packed" in packed.columns else ("ids", F.size("ids").cast("long"))
+    return packed.select("doc_id", "seq_no", n.alias("n_tokens"), "bucket_len", "batch_no", "slot",
+                         F.xxhash64(ids).alias("ids_hash"))
 
 
 def padded_batches(packed: DataFrame, pad_id: int = 0) -> DataFrame:
@@ -149,9 +170,10 @@ def padded_batches(packed: DataFrame, pad_id: int = 0) -> DataFrame:
 
 def place(seqs: DataFrame, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS,
           token_budget: int = TOKEN_BUDGET) -> DataFrame:
-    """Sequences (doc_id, seq_no, n_tokens and further columns, as ``ids``) with
-    their bucket_len, batch_no and slot."""
-    keys = ["doc_id", "seq_no", "n_tokens", *([F.xxhash64("ids")] if "ids" in seqs.columns else [])]
+    """Sequences (doc_id, seq_no, n_tokens and perhaps ``packed``) with their
+    bucket_len, batch_no and slot.  Those with ids stay in the partitions in
+    which they are read; counts alone are dealt out in their order first."""
+    keys = ["doc_id", "seq_no", "n_tokens"]
     histogram = {r["n_tokens"]: r["n"] for r in
                  seqs.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # max_len rows at most
     bounds = best_buckets(histogram, n_buckets)
@@ -173,9 +195,10 @@ def place(seqs: DataFrame, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS,
                 [*b.schema.names, "part", "place"])
 
     dealt = seqs.withColumn("bucket_len", bucket)
+    if "packed" not in seqs.columns:
+        dealt = dealt.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ranked = written(
-        dealt.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        .mapInArrow(rank, StructType(dealt.schema.fields + [StructField("part", LongType()), StructField("place", LongType())])),
+        dealt.mapInArrow(rank, StructType(dealt.schema.fields + [StructField("part", LongType()), StructField("place", LongType())])),
         "packing")
     before = Window.partitionBy("bucket_len").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranked.groupBy("bucket_len", "part").agg(F.count(F.lit(1)).alias("n")).select(

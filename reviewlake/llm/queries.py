@@ -28,7 +28,7 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return packing.digests(packing.pack_bytes(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
