@@ -47,9 +47,9 @@ def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences (their ids) with their length bucket, batch and slot."""
+    """Token sequences (their ids, as bytes) with their length bucket, batch and slot."""
     small_batches(spark)
-    return packing.pack_documents(docs, tokenizer_path())
+    return packing.pack_bytes(docs, tokenizer_path())
 
 
 STAGES = [
