@@ -726,6 +726,47 @@ def q_rating_phrase(p):
     return s.select("id", add_aspect_term("t").alias("sentence"))
 
 
+# -- learnt sentence boundaries (X10) --------------------------------------------------
+
+_WORD_TYPES = """SELECT CASE WHEN regexp_matches(b, '^-?[.,]?[0-9]+([.,][0-9]+)*$') THEN '##number##' ELSE b END AS type, period
+ FROM (SELECT lower(regexp_replace(w, '\\.$', '')) AS b, w LIKE '%.' AS period FROM (
+  SELECT regexp_replace(x, '^["''\\(\\[\\{`]+|["''\\)\\]\\}`,;:!?]+$', '', 'g') AS w FROM (
+   SELECT unnest(string_split(trim(regexp_replace(originalText, '\\s+', ' ', 'g')), ' ')) AS x FROM ox_review) t) u
+  WHERE regexp_matches(w, '[\\p{L}\\p{N}]')) v"""
+_TYPE_COUNTS = f"SELECT type, count(*) AS n, CAST(sum(CAST(period AS INT)) AS BIGINT) AS n_period FROM ({_WORD_TYPES}) k GROUP BY type"
+
+
+def _learned(p):
+    from reviewlake.operators.boundaries import learn
+    return learn(p.reviews, "originalText", stage_table)
+
+
+@register("word_types", _TYPE_COUNTS)
+def q_word_types(p):
+    from reviewlake.operators.boundaries import type_counts, word_pairs
+    return type_counts(word_pairs(p.reviews, "originalText"))
+
+
+@register("abbreviation_scores", f"""SELECT type, round(score, 6) AS score FROM (
+ SELECT type, -2 * (np * ln(ends / words) + (n - np) * ln(1 - ends / words) - np * ln(0.99) - (n - np) * ln(0.01))
+  * exp(-size) * (dots + 1) * CASE WHEN n = np THEN 1.0 ELSE pow(size, -(n - np)) END AS score
+ FROM (SELECT type, CAST(n AS DOUBLE) AS n, CAST(n_period AS DOUBLE) AS np, CAST(length(replace(type, '.', '')) AS DOUBLE) AS size,
+   length(type) - length(replace(type, '.', '')) AS dots, CAST(sum(n) OVER () AS DOUBLE) AS words,
+   CAST(sum(n_period) OVER () AS DOUBLE) AS ends FROM ({_TYPE_COUNTS}) c) d
+ WHERE np > 0 AND type <> '##number##' AND regexp_matches(type, '\\p{{L}}')) f WHERE score >= 0.3""")
+def q_abbreviation_scores(p):
+    return rounded(_learned(p)[1])
+
+
+@register("split_learned")
+def q_split_learned(p):
+    """X10 with the lists learnt from all reviews."""
+    from reviewlake.operators.boundaries import split_learned
+    _, abbrevs, start, pairs = _learned(p)
+    d = split_learned(p.reviews, "originalText", abbrevs, start, pairs)
+    return d.select("id", F.posexplode("sentences").alias("pos", "sentence"))
+
+
 # -- learning (M6, M8-M10, A10, O5) ---------------------------------------------------
 
 def _classify(p, label: str, C: float = 1.0):
