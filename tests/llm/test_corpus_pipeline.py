@@ -38,3 +38,34 @@ def test_stages(spark, tokenizer):
     total = sum(r.n_tokens for r in docs.collect())
     assert cp.run(spark, SF).agg({"n_tokens": "sum"}).first()[0] == total
     assert ngram_join.Join().threshold == 0.8
+
+
+def test_edge_rows_through_all_stages(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns and an empty table."""
+    import random
+    rnd = random.Random(6)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(n)) + "."
+    first, second, long = prose(80), prose(90), "\n".join(prose(40) for _ in range(800))
+    rows = [(1, first, "en"), (1, first, "en"), (2, first, None), (3, second, "fr"), (4, None, "en"), (5, "", "en"),
+            (6, " \n\t", "en"), (7, long, "en"), (None, prose(70), None), (8, f"{prose(60)} Mail a.b@example.com now.", "en")]
+    schema = "doc_id long, text string, lang string"
+    extra = ("class_id long", "root string", "packed binary", "n_tokens long", "part long", "part_ string")
+    columns = [f"CAST(NULL AS {c.split()[1]}) AS {c.split()[0]}" for c in extra]
+    sf = str(tmp_path)
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{sf}/benchmark.parquet")
+    for name, data in (("some", rows), ("none", [])):
+        folder = f"{sf}/{name}"
+        docs = spark.createDataFrame(data, schema).selectExpr("*", "'s' AS source", "length(text) AS n_chars", *columns)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    at = table(spark, f"{sf}/some", "documents")
+    names = at.columns
+    for name, stage in cp.STAGES[:-1]:
+        at = written(stage(spark, at, f"{sf}/some"), "edge-stage")
+        assert at.columns == names, name
+    kept = {r.doc_id: r.text for r in at.collect()}
+    assert at.count() == len(kept) and set(kept) == {1, 3, 7, None, 8}
+    assert kept[7] == long and "example.com" not in kept[8]
+    out = cp.run(spark, f"{sf}/some")
+    assert {r.doc_id for r in out.collect()} == set(kept)
+    assert cp.run(spark, f"{sf}/none").count() == 0
