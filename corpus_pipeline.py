@@ -3,6 +3,12 @@
 Every stage takes what the one before kept and returns a DataFrame; all but
 the last return the columns of ``documents``.  ``run`` writes each stage's
 rows as Parquet in the shared folder and reads them again for the next.
+
+Defined results: null and empty texts fail the quality rules, so they never
+reach the later stages; a null doc_id is a document like others; of rows that
+repeat one stays (they are copies); of equal texts the least doc_id stays; very
+long texts are judged, masked and packed whole; further columns, whatever their
+names, are carried to the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
