@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.plans.strategy import grouped_prefix_sum
+from reviewlake.session import stage_table
 
 TITLE_SCHEMA = ("tconst string, titleType string, primaryTitle string, originalTitle string, isAdult int, "
                 "startYear int, endYear int, runtimeMinutes int, genres string")
@@ -43,10 +46,41 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return _tsv(spark, path, NAME_SCHEMA)
 
 
+def read_quoted_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header, quoted fields that hold line ends, and doubled quotes
+    (all columns strings), read in parallel also from one large file.
+
+    Spark's multi-line reader gives a file to one task. Here lines are read by
+    splits; a line begins a record iff the number of quotes before it in its
+    file is even (doubled quotes do not matter), which is a prefix sum over the
+    blocks of the file; lines of a record are put together and parsed. Only
+    places and counts go through the prefix sums, texts are moved once."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("idx"))
+    lines = stage_table(lines)
+    at = ["file", "block", "idx"]
+    quotes = lines.select(*at, (F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))).cast("long").alias("q"))
+    begins = grouped_prefix_sum(quotes, ["file"], "block", "q", "before", tie=["idx"], inclusive=False) \
+        .select(*at, (F.col("before") % 2 == 0).cast("long").alias("begins"))
+    numbered = grouped_prefix_sum(begins, ["file"], "block", "begins", "record", tie=["idx"]).select(*at, "record")
+    own = F.sort_array(F.collect_list(F.struct("block", "idx", "line")))
+    records = lines.join(numbered, at).groupBy("file", "record").agg(own.alias("own")).select(
+        "record", F.rtrim(F.array_join(F.transform("own", lambda x: x["line"]), "\n"), F.lit("\r")).alias("text"))
+    head = records.where("record = 1").select("text").first()
+    if head is None:
+        raise ValueError(f"{path} has no header")
+    names = next(csv.reader([head.text.removeprefix("\ufeff")]))
+    options = {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
+    schema = ", ".join(f"`{n}` string" for n in names)
+    rows = records.where((F.col("record") > 1) & (F.col("text") != ""))
+    return rows.select(F.from_csv("text", schema, options).alias("r")).select("r.*")
+
+
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """Review CSV (multi-line quoted text); requires title_id, text, rating;
     usage defaults to ''."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    df = read_quoted_csv(spark, path)
     named = [c for c in df.columns if "text" in c.lower()]
     if named:  # the first column that holds "text" in its name is the text
         df = df.withColumnRenamed(named[0], "text")

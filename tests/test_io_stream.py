@@ -120,6 +120,33 @@ def test_a_batch_reads_only_its_own_rows(spark):
     assert sizes == [{f"batch%3D{k}"} for k in range(4)] or sizes == [{f"batch={k}"} for k in range(4)]
 
 
+def test_quoted_csv_in_many_splits(spark, tmp_path):
+    """One file in many splits, which fall into quoted texts, against Python's csv module."""
+    import csv
+    import random
+    rnd = random.Random(8)
+    bits = ["word", 'a "quoted" bit', "line\nend", "\r\n", ",", "", '""', "é😀", "\n\n", "tail "]
+    rows = [[f"tt{k}", "".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 40))) + "x", str(k % 10 + 1)] for k in range(3000)]
+    folder = tmp_path / "reviews"
+    folder.mkdir()
+    for name, part in (("a", rows[:2500]), ("b", rows[2500:])):
+        with open(folder / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            csv.writer(f, lineterminator="\r\n" if name == "b" else "\n").writerows([["title_id", "reviewText", "rating"], *part])
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16k")
+    try:
+        assert spark.read.text(str(folder / "a.csv")).rdd.getNumPartitions() > 8
+        got = io.read_reviews(spark, str(folder))
+        assert sorted((r.title_id, r.text, r.rating, r.usage) for r in got.collect()) == sorted(
+            (a, b, int(c), "") for a, b, c in rows)
+    finally:
+        spark.conf.set(key, before)
+    (tmp_path / "bare.csv").write_text("title_id,rating\ntt1,4\n")
+    with pytest.raises(ValueError):
+        io.read_reviews(spark, str(tmp_path / "bare.csv"))
+
+
 def test_terms_csv_with_bom(spark, tmp_path):
     p = tmp_path / "terms.csv"
     p.write_bytes("\ufeffaspect_id,POS,term\r\n1,n,audio\r\n6,n,actor\r\n6,n,actor\r\n".encode("utf-8"))
