@@ -1023,6 +1023,26 @@ def q_features_file(p):
 
 # -- table maintenance (S14-S16, S19, S20) ---------------------------------------------
 
+def bucketed_stages(p, buckets: int = 8):
+    """Reviews, sentences with polarity and aspect rows as versioned tables, bucketed by the review."""
+    from reviewlake.sources.tables import VersionedTable
+    from reviewlake.streaming.increments import scratch
+    out = []
+    for name, df, key, order in (("review", p.reviews, "id", ()), ("sentence", p.polarity, "review_id", ("id",)),
+                                 ("sentence_aspect", p.sentence_aspect, "review_id", ("sentence_id",))):
+        t = VersionedTable(p.spark, scratch(p.spark, f"table-{name}"), key, buckets, order)
+        t.replace(df)
+        out.append(t.read())
+    return out
+
+
+@register("bucketed_features", O.features_select())
+def q_bucketed_features(p):
+    """A5 over tables that are bucketed by the review: no shuffle of reviews, sentences or aspect rows."""
+    from reviewlake.operators.features import review_features
+    return rounded(review_features(*bucketed_stages(p), p.fx.fx_aspect, p.fx.fx_genre))
+
+
 @register("insert_ignore", """SELECT sentence_id, aspect_id, aspect_term, ordinal, verified FROM ox_sa WHERE verified = 1
  UNION ALL SELECT sentence_id, aspect_id, aspect_term, ordinal, verified FROM ox_sa i WHERE NOT EXISTS
  (SELECT 1 FROM ox_sa t WHERE t.verified = 1 AND t.sentence_id = i.sentence_id AND t.aspect_id = i.aspect_id
