@@ -831,6 +831,23 @@ def q_label_head(p):
     return evaluate(pred.select("label", "prediction"))
 
 
+@register("few_shot")
+def q_few_shot(p):
+    """M6, both stages: a metric from contrastive pairs of the training rows, then the head; beside the head alone."""
+    from reviewlake import config
+    from reviewlake.operators.features import evaluate
+    from reviewlake.operators.fewshot import apply_metric, contrastive_pairs, learn_metric
+    from reviewlake.operators.learn import train_label_head
+    rows = p.fx.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    train = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(config.SEED)), F.lit(5)) != 0)  # as the head splits
+    metric = learn_metric(train, contrastive_pairs(train, 8, "oversampling", key="vec_id"), key="vec_id", vector="embedding")
+    out = []
+    for name, frame in (("head", rows), ("metric and head", apply_metric(rows, metric, "embedding"))):
+        _, pred = train_label_head(frame)
+        out.append(evaluate(pred.select("label", "prediction")).withColumn("model", F.lit(name)))
+    return out[0].unionByName(out[1])
+
+
 @register("predict")
 def q_predict(p):
     """M10 with a model that was saved and loaded."""
