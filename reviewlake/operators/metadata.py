@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from reviewlake.functions import rules as R
 from reviewlake.functions.regex import escape_for_regex, gated_pass
+from reviewlake.session import stage_table
 
 ENTRY_COLS = ("title_id", "category", "mdType", "strSearch", "strReplace", "ambiguous")
 
@@ -124,11 +125,12 @@ def metadata_dictionary(titles: DataFrame, principals: DataFrame, names: DataFra
     Columns: title_id, category, mdType, strSearch, strReplace, ambiguous,
     conflicts, strSearchEscaped, lenSearch. Linear plan: U3 union, one gated
     regex pass (N10), two row-local explodes (N11, N12), joins and aggregates
-    on (title_id, strSearch) for the per-title set logic (N13, N14).
+    on (title_id, strSearch) for the per-title set logic (N13, N14). These read
+    the entries six times, so they are written once before them.
     """
     md = title_spellings(titles).unionByName(name_branches(principals, names))          # U3
     md = gated_pass(md, "strSearch", R.METADATA_REWRITES)                                # N10
-    md = _with_without_the(_with_paren_split(md))                                         # N11, N12
+    md = stage_table(_with_without_the(_with_paren_split(md)))                            # N11, N12
     md = _with_conflicts(_with_character_words(md))                                       # N13, N14
     if not include_first_names:
         md = md.where(F.col("mdType") != "firstName")

@@ -57,3 +57,10 @@ def test_occurring_entries_equal_whole_dictionary(spark):
     texts_by = {k: t for k, _, t in rows}
     assert sum(o != texts_by[k] for k, (o, _) in want.items()) > 300  # the dictionary is at work
     assert carried < 0.75 * j.select(F.sum(F.size("entries"))).first()[0]
+
+
+def test_dictionary_rewrites_each_entry_once(spark, pipeline):
+    """The set logic of N13 and N14 reads stored entries: no rewriting rule is left in its plan."""
+    from reviewlake.operators.metadata import metadata_dictionary
+    d = metadata_dictionary(pipeline.titles_flagged, pipeline.people_principals, pipeline.people)
+    assert "RLIKE" not in d._jdf.queryExecution().optimizedPlan().toString()
