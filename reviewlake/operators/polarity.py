@@ -32,6 +32,7 @@ EXCL_INCR = 0.292
 QM_INCR = 0.18
 QM_MAX = 0.96
 ALPHA = 15.0
+WORD = r"\p{L}+(?:'\p{L}+)*"
 
 
 def _lexicon_rows(lexicon: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
     """
     keep = [c for c in (keep or []) if c != id_col]
     text = F.col(text_col)
-    toks = F.regexp_extract_all(text, F.lit(r"\p{L}+(?:'\p{L}+)*"), 0)
+    toks = F.regexp_extract_all(text, F.lit(WORD), 0)
     d = df.select(F.col(id_col).alias("__id"), toks.alias("__tok"))
     n_caps = F.size(F.filter("__tok", lambda t: t == F.upper(t)))
     d = d.withColumn("__capdiff", (n_caps > 0) & (n_caps < F.size("__tok")))
@@ -65,6 +66,8 @@ def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
                            (F.col("__capdiff") & (F.col("__t") == F.upper("__t"))).alias("caps"))
     known = tokens.join(_lexicon_rows(lexicon), "word", "left").withColumn("n_t", F.col("word").contains("n't")) \
         .where(F.col("v0").isNotNull() | F.col("boost").isNotNull() | F.col("negates") | F.col("contrasts") | F.col("n_t"))
+    # all that follows is per text: dealt out by it once, before a word becomes up to four rows
+    known = known.repartition("__id")
     off, negates = F.lit(0.0), (F.coalesce("negates", F.lit(False)) | F.col("n_t")).cast("int")
 
     def effect(at=None, v0=None, caps=None, b=None, neg=None, but=None) -> Column:
@@ -105,7 +108,7 @@ def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
     qm = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
     qamp = F.when(qm > 1, F.when(qm <= 3, qm * QM_INCR).otherwise(QM_MAX)).otherwise(0.0)
     whole = df.select(F.col(id_col).alias("__id"), *keep, (ex + qamp).alias("__punct"),
-                      F.coalesce(F.size(toks), F.lit(0)).alias("__n"))
+                      F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).alias("__n"))
     j = whole.join(sums, "__id", "left")
     s, ps, ns = (F.coalesce(c, off) for c in ("s", "ps", "ns"))
     nu = F.col("__n") - F.coalesce("__scored", F.lit(0))

@@ -45,3 +45,53 @@ def test_contained_terms_equal_brute_force(spark):
     t = spark.createDataFrame([(x,) for x in terms] + [("",)], "term string")
     got = sorted((r.context, r.term) for r in contained_terms(c, t).collect())
     assert got == sorted((x, y) for x in contexts for y in terms if y in x)
+
+
+def test_spans_of_long_sentences_equal_brute_force(spark):
+    import random
+
+    from reviewlake.operators.aspects import CHUNK, aspect_spans
+    rnd = random.Random(5)
+    words = ["of", "Of", "the", "and", "x", "", "é", "\U0001f600y", "of\n"]
+    texts = [" ".join(rnd.choice(words) for _ in range(n)) for n in [0, 1, 2, 3, CHUNK - 1, CHUNK, CHUNK + 1, CHUNK + 4,
+                                                                     3 * CHUNK, CHUNK * CHUNK + 40, 2500]] + [None]
+    terms = spark.createDataFrame([(1, "n", "of"), (2, "n", "OF the"), (3, "n", "of the and"), (4, "n", ""), (5, "n", " ")],
+                                  "aspect_id int, POS string, term string")
+    rows = [(j, 7 * j, s) for j, s in enumerate(texts)] + [(1, 99, texts[1]), (4, 28, texts[4]), (None, 1, "of x of")]
+    df = spark.createDataFrame(rows, "id long, review_id long, sentence string")
+    found = {"of", "of the", "of the and", "", " "}
+    want = []
+    for j, r, s in rows:
+        if s is None:
+            continue
+        p, seen = s.split(" "), {}
+        for i in range(len(p)):
+            for k in (1, 2, 3):
+                t = " ".join(p[i:i + k])
+                if i + k <= len(p) and t.lower() in found:
+                    start = len(" ".join(p[:i])) + (i > 0)
+                    ctx = " ".join(p[max(i - 3, 0):i + k + 3]).lower()
+                    want.append((j, r, start, start + len(t), t, ctx, seen.get(t, 0)))
+                    seen[t] = seen.get(t, 0) + 1
+    got = [tuple(x) for x in aspect_spans(df, terms, keep=["review_id"])
+           .select("sentence_id", "review_id", "start", "end", "span", "context", "ordinal").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_spans_carry_no_sentence(spark):
+    """What a run of pieces takes along is bounded: a sentence of 60,000 words is no square of work."""
+    from reviewlake.operators.aspects import aspect_spans
+    terms = spark.createDataFrame([(1, "n", "the")], "aspect_id int, POS string, term string")
+    df = spark.range(1).selectExpr("id", "array_join(array_repeat('the cat', 30000), ' ') AS sentence")
+    r = aspect_spans(df, terms).selectExpr("count(*) AS n", "max(ordinal) AS o", "max(start) AS s").first()
+    assert (r.n, r.o, r.s) == (30_000, 29_999, 29_999 * 8)
+
+
+def test_categories_by_words(spark):
+    from reviewlake.operators.aspects import context_categories
+    terms = spark.createDataFrame([(1, "A", "of the"), (2, "B", "f t"), (3, "C", " "), (4, "D", "ab"), (4, "D", "abc")],
+                                  "aspect_id int, category string, term string")
+    cases = {"xof the": ["A"], "of they": ["A"], "of  the": ["C"], "f t": ["B"], "fit": ["Other"], "zabcz": ["D"],
+             "leaf tab": ["B", "D"], None: ["Other"]}
+    df = spark.createDataFrame([(x,) for x in cases], "context string")
+    assert {r.context: r.categories for r in context_categories(df, terms).collect()} == cases
