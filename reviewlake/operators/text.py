@@ -7,6 +7,9 @@ for rows that contain a non-ASCII character.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,13 @@ from reviewlake.plans.strategy import grouped_prefix_sum, spread
 
 SEP = "\u0001"
 
+
+def _once(c: Column, f) -> Column:
+    """``f`` of the value of ``c``: inside lambdas Spark shares no expressions, so one
+    that ``f`` names several times would be computed as often per element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 # A blank between two initials that belongs to a run of three or more
 # initials "A. B. C." (the same blanks the callback of the original removes).
 _SPACED_INITIAL_BLANK = (r"(?<=[A-Z]\.)(?= [A-Z]\.)(?:(?<=[A-Z]\. [A-Z]\.)|(?= [A-Z]\. [A-Z]\.)) ")
@@ -196,22 +206,43 @@ def replace_metadata(df: DataFrame, text: str, entries: str, words: str, out: st
     return _repetitions_and_abbreviations(d, out, words, titled)
 
 
-def _repetitions_and_abbreviations(d: DataFrame, out: str, words: str, has_dict: Column) -> DataFrame:
+#: Characters that match an ASCII letter in any case without having it as their lower case.
+_ODD_CASE = "[\u017f\u212a\u0130\u0131]"
+#: Per rule of REPETITIONS_1 what every match holds in lower case, one of them at least.
+REPETITION_1_WORDS = (
+    ("this movie",), (" movie ",), ("director ",), ("composer ",), ("editor ",), ("character ",), ("actress ",),
+    ("writer ",), ("actor ",), ("(played by the actress)",), ("(played by the actor)",),
+    tuple(f"{t} the " for t in ("captain", "doctor", "dr", "mister", "mr", "lady", "ms")),
+    ("this this",), ("this the",), ("the this",), ("the the",))
+
+
+def _repetitions_and_abbreviations(d: DataFrame, out: str, known: str, has_dict: Column) -> DataFrame:
     # Repetitions, ungated, case-insensitive, inside the word bounds; blanks collapsed after each.
-    c = F.col(out)
-    rep = c
-    for p, r in R.REPETITIONS_1:
-        rep = _collapse(replace(rep, _bounded(p), r, ignore_case=True))
-    d = d.withColumn(out, F.when(has_dict, rep).otherwise(c))
+    # A rule is skipped on texts without a literal that all its matches hold.
+    d = d.withColumn("__odd", F.col(out).rlike(_ODD_CASE)).withColumn("__raw", F.col(out))
+
+    def holds(words) -> Column:
+        folded = F.lower(F.col(out))
+        return reduce(or_, [folded.contains(w) for w in words], F.col("__odd"))
+
+    for i, ((p, r), words) in enumerate(zip(R.REPETITIONS_1, REPETITION_1_WORDS, strict=True)):
+        c = F.col(out)
+        step = F.when(holds(words), replace(c, _bounded(p), r, ignore_case=True)).otherwise(c)
+        if i == 0:  # the texts are collapsed from here on
+            step = _collapse(step)
+        else:
+            step = F.when(holds(words), _collapse(replace(c, _bounded(p), r, ignore_case=True))).otherwise(c)
+        d = d.withColumn(out, step)
+    d = d.withColumn(out, F.when(has_dict, F.col(out)).otherwise(F.col("__raw")))
     # Abbreviations unless part of a title or name; one projection each.
     for abb, r in R.ABBREVIATIONS:
         cur = F.col(out)
         step = replace(cur, f"['\"]{abb}['\"]", r, ignore_case=True)
         step = replace(step, f"\\( ?{abb} ?\\)", "", ignore_case=True)
         step = _collapse(replace(step, _bounded(abb), r, ignore_case=True))
-        cond = has_dict & ~F.coalesce(F.array_contains(F.col(words), abb), F.lit(False))
-        d = d.withColumn(out, F.when(cond, step).otherwise(cur))
-    return d
+        cond = has_dict & ~F.coalesce(F.array_contains(F.col(known), abb), F.lit(False))
+        d = d.withColumn(out, F.when(cond & holds([abb.lower()]), step).otherwise(cur))
+    return d.drop("__odd", "__raw")
 
 
 def conflict_entries(entries) -> Column:
@@ -298,20 +329,25 @@ def repair_sentences(c) -> Column:
     init = F.struct(empty.alias("out"), F.lit(False).alias("open"))
     maxlen = config.SENTENCE_MAXLENGTH
 
-    def step(st, raw):
+    def branches(st, s):
+        """What decides on a piece, each looked at once."""
         out, op = st["out"], st["open"]
-        s = F.regexp_replace(raw, r"^(\d){1,2}[\.\)]+ ", "")
-        skip = F.array_contains(_none_sentences(), raw) | raw.rlike(r"^#?(\d){1,2}[\.\)]+$")
-        numbered = s.rlike(java_pattern(_LIST_NUMBER))
+        return F.struct(
+            s.rlike(java_pattern(_LIST_NUMBER)).alias("numbered"),
+            ((~op) & s.rlike(r" \d\) ") & ~s.rlike(r"\(.* \d\) ")).alias("paren_list"),
+            ((F.size(out) > 0) & (s.startswith("'s ") | s.rlike(r"^['\"]?[\.,:;!\?\)]"))).alias("punct"),
+            ((~s.contains(" ")) & s.rlike(r"\p{L}")).alias("one_word"),
+            (F.length(s) > maxlen).alias("too_long"))
+
+    def add(st, s, f):
+        out, op = st["out"], st["open"]
+        numbered, paren_list, punct, one_word, too_long = (
+            f[n] for n in ("numbered", "paren_list", "punct", "one_word", "too_long"))
         num_parts = F.split(F.regexp_replace(s, java_pattern(_LIST_NUMBER), f"{SEP}$1{SEP}"), SEP)
-        paren_list = (~op) & s.rlike(r" \d\) ") & ~s.rlike(r"\(.* \d\) ")
         paren_parts = F.split(s, r" \d\) ")
         has = F.size(out) > 0
         last = at(out, -1)
         init_out = F.slice(out, 1, F.size(out) - 1)
-        punct = has & (s.startswith("'s ") | s.rlike(r"^['\"]?[\.,:;!\?\)]"))
-        one_word = (~s.contains(" ")) & s.rlike(r"\p{L}")
-        too_long = F.length(s) > maxlen
         long_parts = F.transform(F.split(s, r"[\.;](?=[ a-dfh-zA-Z])"), lambda p: F.concat(F.trim(p), F.lit(".")))
         # sentence text used by the trailing parenthesis test (the last list piece for list branches)
         tail = (F.when(numbered, at(num_parts, -1))
@@ -330,7 +366,12 @@ def repair_sentences(c) -> Column:
         # one-word review start skips the parenthesis test
         paren_open = tail.contains("(") & ~tail.contains(")") & ~(one_word & ~has & ~numbered & ~paren_list & ~punct)
         new_open = new_open | paren_open
-        return F.when(skip, st).otherwise(F.struct(new_out.alias("out"), new_open.alias("open")))
+        return F.struct(new_out.alias("out"), new_open.alias("open"))
+
+    def step(st, raw):
+        skip = F.array_contains(_none_sentences(), raw) | raw.rlike(r"^#?(\d){1,2}[\.\)]+$")
+        s = F.regexp_replace(raw, r"^(\d){1,2}[\.\)]+ ", "")
+        return F.when(skip, st).otherwise(_once(s, lambda s: _once(branches(st, s), lambda f: add(st, s, f))))
 
     return F.aggregate(col_(c), init, step, lambda st: st["out"])
 
@@ -357,16 +398,17 @@ def sentence_from_tokens(toks) -> Column:
     repetition clean-up (REPETITIONS_2, case-insensitive, bounded)."""
     joined = F.array_join(F.transform(F.filter(col_(toks), lambda t: t["word"] != ""),
                                       lambda t: F.concat(t["word"], t["ws"])), "")
-    s = _collapse(joined)
-    chain = s
-    for p, r in R.REPETITIONS_2:
-        chain = _collapse(replace(chain, _bounded(p), r, ignore_case=True))
-    # every rule needs one of these words (any case); other sentences only get the blank collapse
-    folded = F.translate(F.lower(s), "\u017f\u212a", "sk")
-    gate = F.lit(False)
-    for w in REPETITION_2_WORDS:
-        gate = gate | folded.contains(w)
-    return _collapse(F.when(gate, chain).otherwise(s))
+
+    def cleaned(s: Column) -> Column:
+        chain = s
+        for p, r in R.REPETITIONS_2:
+            chain = _collapse(replace(chain, _bounded(p), r, ignore_case=True))
+        # every rule needs one of these words (any case); other sentences only get the blank collapse
+        gate = _once(F.translate(F.lower(s), "\u017f\u212a", "sk"),
+                     lambda folded: reduce(or_, [folded.contains(w) for w in REPETITION_2_WORDS]))
+        return F.when(gate, chain).otherwise(s)
+
+    return _once(_collapse(joined), cleaned)
 
 
 def keep_sentence(c) -> Column:
