@@ -36,10 +36,14 @@ def _grams(pieces: Column, max_words: int, first: Column, last: Column | None =
     def runs(k):
         hi = n - k - 1 if last is None else F.least(last, n - k)
         starts = F.when(hi >= first, F.sequence(first, hi)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(
-            i.alias("i"), k.alias("k"), F.array_join(F.slice(pieces, i + 1, k), " ").alias("text")))
+        return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(k).alias("k"), text(i, k).alias("text")))
 
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), runs))
+    def text(i, k):
+        if k == 1:  # most runs: no array is cut and joined for one piece
+            return F.get(pieces, i)
+        return F.array_join(F.slice(pieces, i + 1, k), " ")
+
+    return F.concat(*[runs(k) for k in range(1, max_words + 1)])
 
 
 def _max_words(terms: DataFrame) -> int:

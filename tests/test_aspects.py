@@ -95,3 +95,14 @@ def test_categories_by_words(spark):
              "leaf tab": ["B", "D"], None: ["Other"]}
     df = spark.createDataFrame([(x,) for x in cases], "context string")
     assert {r.context: r.categories for r in context_categories(df, terms).collect()} == cases
+
+
+def test_single_pieces_are_not_cut_and_joined(spark):
+    from pyspark.sql import functions as F
+    from reviewlake.operators.aspects import _grams
+    d = spark.createDataFrame([(["a", "", "b", "c"],), ([],)], "p array<string>")
+    for most, joins in ((1, 0), (2, 1)):
+        g = d.select(_grams(F.col("p"), most, F.lit(0), F.size("p") - 1).alias("g"))
+        assert g._jdf.queryExecution().analyzed().toString().count("array_join") == joins
+    a, b = ([(x.i, x.k, x.text) for x in r.g] for r in g.collect())
+    assert a == [(0, 1, "a"), (1, 1, ""), (2, 1, "b"), (3, 1, "c"), (0, 2, "a "), (1, 2, " b"), (2, 2, "b c")] and b == []

@@ -63,3 +63,10 @@ def test_features_without_shuffle_on_review(spark, pipeline):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     a, b = (sorted(map(tuple, QUERIES[q](pipeline).collect())) for q in ("bucketed_features", "review_features"))
     assert a == b and a
+
+
+def test_buckets_grow_with_the_cores():
+    from types import SimpleNamespace
+    from reviewlake.plans.catalog import bucket_count
+    cores = [SimpleNamespace(sparkContext=SimpleNamespace(defaultParallelism=n)) for n in (1, 12)]
+    assert [bucket_count(s) for s in cores] == [8, 24]
