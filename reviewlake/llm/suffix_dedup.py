@@ -146,7 +146,7 @@ def encode_run(buf: np.ndarray, records: tuple, doc_id: np.ndarray, part: np.nda
     where = at[place] - base[doc[place]]
     ids, parts = doc_id[doc[place]], part[doc[place]]
     post_end = np.cumsum(counts)
-    packer = zstandard.ZstdCompressor(level=1)
+    packer = zstandard.ZstdCompressor(level=3)  # a few per cent less on disk than level 1
     cols = np.arange(RIGHT)
     for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(entry)], strict=True):
         lo, hi = int(post_end[a] - counts[a]), int(post_end[z - 1])
@@ -454,6 +454,18 @@ def cut(data: bytes, found: tuple | None) -> tuple:
             np.stack([start, end], 1).ravel().tolist())
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """(grp, doc_id, part, text) with each text's bytes compressed (``data``): they are only moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            data = pa.array([packer.compress(t.as_buffer()) for t in b.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("grp", "doc_id", "part")), data], ["grp", "doc_id", "part", "data"])
+
+    return rows.mapInArrow(run, "grp long, doc_id long, part long, data binary")
+
+
 def dedup(docs: DataFrame, s: Sizes = Sizes()) -> DataFrame:
     """The columns of SCHEMA for every row; ``spans`` are the removed byte
     ranges: start, end, start, end, ..."""
@@ -465,8 +477,8 @@ def dedup(docs: DataFrame, s: Sizes = Sizes()) -> DataFrame:
     null = F.lit(None)
     own = group_number(F.col("doc_id").bitwiseXOR(F.col("part")), groups)
     own = F.coalesce(own, F.pmod(F.xxhash64("text"), F.lit(groups)))  # rows without an id go anywhere
-    texts = rows.select(own.alias("grp"), F.lit(1).alias("kind"),
-                        null.cast("binary").alias("blob"), "doc_id", "part", F.col("text").cast("binary").alias("data"))
+    texts = packed(rows.select(own.alias("grp"), "doc_id", "part", "text")).select(
+        "grp", F.lit(1).alias("kind"), null.cast("binary").alias("blob"), "doc_id", "part", "data")
     blobs = found.select("grp", F.lit(0).alias("kind"), "blob", null.cast("long").alias("doc_id"),
                          null.cast("long").alias("part"), null.cast("binary").alias("data"))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -474,6 +486,7 @@ def dedup(docs: DataFrame, s: Sizes = Sizes()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, known = None, [], {}
+        packer = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
             for grp, kind, blob, doc_id, part, data in by_key([b]):
@@ -484,7 +497,7 @@ def dedup(docs: DataFrame, s: Sizes = Sizes()) -> DataFrame:
                     continue
                 if known is None:
                     known, held = unpack_ranges(held), []
-                out.append((doc_id, *cut(data, known.get((doc_id, part)))))
+                out.append((doc_id, *cut(packer.decompress(data), known.get((doc_id, part)))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 

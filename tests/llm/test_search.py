@@ -208,3 +208,12 @@ def shared(a, b):
     while n < min(len(a), len(b)) and a[n] == b[n]:
         n += 1
     return n
+
+
+def test_texts_are_moved_compressed(spark):
+    import zstandard
+    texts = ["", "ü", "the same words " * 200]
+    rows = spark.createDataFrame([(k, k, 0, t) for k, t in enumerate(texts)], "grp long, doc_id long, part long, text string")
+    got = {r.doc_id: bytes(r.data) for r in sd.packed(rows).collect()}
+    assert [zstandard.ZstdDecompressor().decompress(got[k]).decode() for k in range(3)] == texts
+    assert len(got[2]) < 100
