@@ -9,6 +9,9 @@ equal to a title, conflicts) become joins / windows keyed by title_id.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -114,8 +117,15 @@ def _with_character_words(md: DataFrame) -> DataFrame:
 def _with_conflicts(md: DataFrame) -> DataFrame:
     """An entry conflicts when its string is both a title string and another string of its title."""
     is_title = F.col("category") == "WORK_OF_ART"
-    both = md.groupBy("title_id", "strSearch").agg((F.max(is_title) & F.max(~is_title)).alias("conflicts"))
-    return md.join(both, ["title_id", "strSearch"])
+    same = W.partitionBy("title_id", "strSearch")
+    return md.where(F.col("title_id").isNotNull() & F.col("strSearch").isNotNull()) \
+        .withColumn("conflicts", F.max(is_title).over(same) & F.max(~is_title).over(same))
+
+
+#: Per rewriting rule literals of which every match holds one at least.
+_REWRITE_NEEDS = {p: needs for (p, _), needs in zip(R.METADATA_REWRITES, (
+    (".",), ("ake-u", "ake-U"), ("pt.",), ("Dr.",), ("Mr.",), ("Mrs.", "Ms."), ("ol.",),
+    (" vs", " vS", " Vs", " VS", " v/s", " v/S", " V/s", " V/S"), ("o.", "O.", "r."), ("(",), ("(",), ("(",)), strict=True)}
 
 
 def metadata_dictionary(titles: DataFrame, principals: DataFrame, names: DataFrame,
@@ -129,7 +139,7 @@ def metadata_dictionary(titles: DataFrame, principals: DataFrame, names: DataFra
     the entries six times, so they are written once before them.
     """
     md = title_spellings(titles).unionByName(name_branches(principals, names))          # U3
-    md = gated_pass(md, "strSearch", R.METADATA_REWRITES)                                # N10
+    md = gated_pass(md, "strSearch", R.METADATA_REWRITES, prefilters=_REWRITE_NEEDS)     # N10
     md = stage_table(_with_without_the(_with_paren_split(md)))                            # N11, N12
     md = _with_conflicts(_with_character_words(md))                                       # N13, N14
     if not include_first_names:
@@ -172,8 +182,9 @@ def title_facts(md: DataFrame) -> DataFrame:
     """Per title: whether it has a usable entry, the first of them, and the
     abbreviations (X9) that are words of its search strings."""
     usable = ~(F.col("conflicts") | F.col("ambiguous"))
-    words = F.split(F.trim(F.upper("strSearch")), "\\s+")
-    own = F.array_intersect(words, F.array(*[F.lit(a) for a, _ in R.ABBREVIATIONS]))
+    upper = F.upper("strSearch")
+    words = F.array_intersect(F.split(F.trim(upper), "\\s+"), F.array(*[F.lit(a) for a, _ in R.ABBREVIATIONS]))
+    own = F.when(reduce(or_, [upper.contains(a) for a, _ in R.ABBREVIATIONS]), words)  # few entries hold one
     return md.groupBy("title_id").agg(
         F.max(usable).alias("usable"), F.min(F.when(usable, _ordered_entry())).alias("first"),
         F.array_distinct(F.flatten(F.collect_set(own))).alias("known"))

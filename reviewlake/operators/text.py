@@ -7,17 +7,21 @@ for rows that contain a non-ASCII character.
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from reviewlake import config
 from reviewlake.functions import rules as R
 from reviewlake.functions.columns import at, col_
 from reviewlake.functions.regex import NON_ASCII, java_pattern, passes, replace
 from reviewlake.plans.strategy import grouped_prefix_sum, spread
+from reviewlake.session import stage_table
 
 SEP = "\u0001"
 
@@ -38,18 +42,31 @@ def collapse_spaced_initials(c) -> Column:
     return F.regexp_replace(col_(c), java_pattern(_SPACED_INITIAL_BLANK), "")
 
 
+_LINE = tuple(re.compile(p) for p in (r"\n ?[A-Z]", r"\n ?[>-]", r"\n ?[>-]", r"\n ?\d", r"\n ?\d"))
+#: Per normalisation rule, in the order of its pass, what every match holds: literals, a
+#: cheaper pattern or a multi-byte character, one of them at least; empty: the rule is always tried.
+_NORMALIZE_NEEDS = (
+    (("://", "www."), (".com", ".net", ".htm"), ("#", "@"), *((p,) for p in _LINE), ("...",), ("\\",), ("==",), ("----",),
+     ("++++",), ("******",), ("??", "?."), ("!!", "!."), (",,",), ("..", ". ."), (NON_ASCII,),
+     (":)", ";)", ":|", ";|", ": )", "; )", ": |", "; |"), (":(",), (" ^",), ("=)",), ("<)", "<3"),
+     ("*sigh*", "*cough*", "*yawn*", "*rolls eyes*"), (), ("r@", "R@"), ("b@", "B@"), ("h@", "H@"), (NON_ASCII,),
+     ("''", "`", NON_ASCII), (NON_ASCII,), (" @ ",), ("(=",)),
+    (("_", "~", "{", "}", ">", "<", NON_ASCII), ("\nwebsite", "\n(website"), ("@",), ("*", "'"), (), ("(",), ("(R.I.P.)",),
+     ("tl", "tL", "Tl", "TL"), ("(",), ("(",), ("(",)),
+    (("website website",), (",",), (re.compile(r"\.[A-Z]"),), ("...",), (";",), ("!", "?"), ("(",), (")",),
+     (re.compile(":[^ ]"),), (".g.", ".e."), ("etc. ",), ("--",), (" Im ",), (" isnt ",), (" arnt ",), (" didnt ",),
+     (" back ground ",), ("ake-u", "ake-U"), ("low-m", "low-M"), ("riter",), ("master piece",), (" alround ",), ("pt.",),
+     ("Dr.",), ("Mr.",), ("Mrs.", "Ms."), (".g.", ".G."), ("ol.",), ("R.I.P.",), ("b/c ",), ("w/ ",), ("w/o ",),
+     (" vs", " vS", " Vs", " VS", " v/s", " v/S", " V/s", " V/S"), ("ontd.",), (" no. ", " nr. ", " No. ", " Nr. "),
+     ("appr.",), ("pp.",)),
+    ((" -",), ("-",), (".. ",), (". . ",), (" , ",), ("  ",)))
+
+
 def _normalize_prefilters() -> dict:
-    """Literals every match of the costliest normalisation rules must contain
-    (derived from the patterns; each is a necessary condition)."""
-    p1, p2 = R.NORMALIZE_PASS_1, R.NORMALIZE_PASS_2
-    nl = ("\n",)
-    out = {p1[0][0]: ("://", "www."), p1[1][0]: (".com", ".net", ".htm"), p1[2][0]: ("#", "@"),
-           p1[18][0]: (NON_ASCII,), p1[29][0]: (NON_ASCII,), p1[30][0]: ("''", "`", NON_ASCII),
-           p1[31][0]: (NON_ASCII,), p2[0][0]: ("_", "~", "{", "}", ">", "<", NON_ASCII), p2[1][0]: nl,
-           p2[2][0]: ("@",)}
-    for i in range(3, 8):
-        out[p1[i][0]] = nl
-    return out
+    """What every match of a normalisation rule must contain (derived from the
+    patterns; each is a necessary condition)."""
+    return {p: needs for rules, own in zip(R.NORMALIZE_PASSES, _NORMALIZE_NEEDS, strict=True)
+            for (p, _), needs in zip(rules, own, strict=True) if needs}
 
 
 def normalize_text(df: DataFrame, src: str, out: str = "normalizedText") -> DataFrame:
@@ -138,39 +155,67 @@ def keyed_entries(entries: DataFrame) -> DataFrame:
     replacement glued to the rest. Entries without such a word get the key of
     all texts.
     """
-    brought = entries.select("title_id", F.explode(word_runs("entry.strReplace")).alias("w")) \
-        .groupBy("title_id").agg(F.collect_set("w").alias("brought"))
-    own = entries.join(brought, "title_id", "left").withColumn("brought", F.coalesce("brought", F.array().cast("array<string>")))
+    own = entries.withColumn("says", F.collect_set("entry.strReplace").over(W.partitionBy("title_id")))
+    own = own.withColumn("brought", F.array_distinct(F.flatten(F.transform("says", word_runs))))
     own = own.withColumn("runs", F.filter(word_runs("entry.strSearch"), lambda t: ~F.exists(
         "brought", lambda w: t.startswith(w) | t.endswith(w))))
     longest = F.array_max(F.transform("runs", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     return own.select("title_id", "entry", F.coalesce(longest, F.lit(_FREE)).alias("token"))
 
 
-def occurring_entries(texts: DataFrame, entries: DataFrame, text: str, facts: DataFrame | None = None,
-                      out: str = "entries") -> DataFrame:
-    """Texts (id, title_id, ...) with the ``entries`` (title_id, entry) of their
-    title that can occur in them, in the dictionary's order, and the title's
-    ``facts`` (columns beside title_id).  The join is on (title, word): a hot
-    title's texts are spread over their words, and a text only ever carries
-    what it holds.  The few texts in which a bracket that is taken out joins two
-    words get all entries of their title.  Titles without texts take no part."""
-    titled = texts.where(F.col("title_id").isNotNull())
-    titles = titled.select("title_id").distinct()
-    entries = entries.join(titles, "title_id", "left_semi")
-    names = [] if facts is None else [c for c in facts.columns if c != "title_id"]
-    rows = keyed_entries(entries)
+@dataclass(frozen=True)
+class KeyedDictionary:
+    """Stored tables: the entries of some titles by (title_id, token), with their
+    titles' facts under a token of their own, and the distinct tokens."""
+
+    rows: DataFrame
+    tokens: DataFrame
+
+    @property
+    def facts(self) -> list[str]:
+        return [c for c in self.rows.columns if c not in ("title_id", "entry", "token")]
+
+
+def keyed_dictionary(entries: DataFrame, titles: DataFrame, facts: DataFrame | None = None) -> KeyedDictionary:
+    """The ``entries`` (title_id, entry) and ``facts`` (columns beside title_id) of
+    ``titles`` (title_id, distinct), keyed and written once for all texts that meet them."""
+    rows = keyed_entries(entries.join(titles, "title_id", "left_semi"))
     if facts is not None:
         rows = rows.unionByName(facts.join(titles, "title_id", "left_semi").withColumn("token", F.lit(_FACTS)),
                                 allowMissingColumns=True)
+    rows = stage_table(rows)
+    return KeyedDictionary(rows, stage_table(rows.select("token").distinct()))
+
+
+def titles_of(texts: DataFrame) -> DataFrame:
+    return texts.where(F.col("title_id").isNotNull()).select("title_id").distinct()
+
+
+def occurring_entries(texts: DataFrame, entries: DataFrame, text: str, facts: DataFrame | None = None,
+                      out: str = "entries") -> DataFrame:
+    """:func:`meet_dictionary` with the ``entries`` and ``facts`` of the texts' titles.
+    Titles without texts take no part."""
+    return meet_dictionary(texts, keyed_dictionary(entries, titles_of(texts), facts), text, out)
+
+
+def meet_dictionary(texts: DataFrame, dictionary: KeyedDictionary, text: str, out: str = "entries") -> DataFrame:
+    """Texts (id, title_id, ...) with the entries of their title that can occur in
+    them, in the dictionary's order, and the title's facts.  The join is on
+    (title, word): a hot title's texts are spread over their words, and a text
+    only ever carries what it holds; words that are no entry's key are dropped
+    before it, where they were read.  The few texts in which a bracket that is
+    taken out joins two words get all entries of their title."""
+    titled = texts.where(F.col("title_id").isNotNull())
     joining = col_(text).rlike(_JOINING)
-    usual = F.concat(word_runs(text), F.array(F.lit(_FREE), F.lit(_FACTS)))
-    keys = F.when(joining, F.array(F.lit(_FACTS))).otherwise(usual)
-    words = titled.select("id", "title_id", F.explode(keys).alias("token"))
-    met = words.join(rows, ["title_id", "token"]).select("id", "entry", *names)
-    every = titled.where(joining).select("id", "title_id").join(entries, "title_id").select("id", "entry")
+    words = titled.where(~joining).select("id", "title_id", F.explode(word_runs(text)).alias("token")) \
+        .join(dictionary.tokens, "token", "left_semi").select("id", "title_id", "token")
+    always = F.when(joining, F.array(F.lit(_FACTS))).when(~joining, F.array(F.lit(_FREE), F.lit(_FACTS)))
+    words = words.unionByName(titled.select("id", "title_id", F.explode(always).alias("token")))
+    met = words.join(dictionary.rows, ["title_id", "token"]).select("id", "entry", *dictionary.facts)
+    every = titled.where(joining).select("id", "title_id") \
+        .join(dictionary.rows.where(F.col("token") != _FACTS).select("title_id", "entry"), "title_id").select("id", "entry")
     found = met.unionByName(every, allowMissingColumns=True).groupBy("id").agg(
-        F.sort_array(F.collect_list("entry")).alias(out), *[F.max(c).alias(c) for c in names])
+        F.sort_array(F.collect_list("entry")).alias(out), *[F.max(c).alias(c) for c in dictionary.facts])
     empty = F.array().cast(found.schema[out].dataType)
     # the stages after this are heavy on the CPU: texts are dealt out by the key of the join
     return spread(texts, "id").join(found, "id", "left").withColumn(out, F.coalesce(out, empty))

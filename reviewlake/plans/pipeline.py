@@ -142,23 +142,29 @@ class Pipeline:
         return j.withColumn("entries", F.coalesce("entries", F.array().cast(d.schema["entries"].dataType))) \
             .withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
-    def preprocess(self, reviews: DataFrame, start: int = 1) -> DataFrame:
+    def dictionaries(self, reviews: DataFrame) -> tuple[tx.KeyedDictionary, tx.KeyedDictionary]:
+        """What X7 and X13 look up for the titles of ``reviews``, keyed and written once."""
+        titles = self._stage(tx.titles_of(reviews))
+        return (tx.keyed_dictionary(md.usable_entries(self.metadata), titles, md.title_facts(self.metadata)),
+                tx.keyed_dictionary(md.wanted_entries(self.metadata), titles))
+
+    def preprocess(self, reviews: DataFrame, start: int = 1, dictionaries=None) -> DataFrame:
         """Normalise -> replace -> split -> repair -> conflicts -> tokens ->
         clean-up -> rating phrase -> polarity, as one job over all titles;
-        sentence ids begin at ``start``.
+        sentence ids begin at ``start``. ``dictionaries``: those of the reviews'
+        titles, if more reviews than these share them.
 
         The cleaned sentence array of each review is written once (a Parquet
         table) before ids are assigned: the dense-id prefix sum reads the
         per-review counts and the rows, and must not run the regex chain twice.
         """
-        md_ = self.metadata
+        usable, wanted = dictionaries or self.dictionaries(reviews)
         n = self._stage(tx.normalize_text(reviews.select("id", "title_id", "originalText"), "originalText")
                         .select("id", "title_id", "normalizedText"))
-        j = tx.occurring_entries(n, md.usable_entries(md_), "normalizedText", md.title_facts(md_))
+        j = tx.meet_dictionary(n, usable, "normalizedText")
         j = tx.replace_occurring(j, "normalizedText", out="replacedText")
         j = self._stage(j.select("id", "title_id", tx.repair_sentences(tx.split_sentences("replacedText")).alias("raw")))
-        j = tx.occurring_entries(j.withColumn("text", F.array_join("raw", " ")),
-                                 md.wanted_entries(md_), "text", out="wanted")
+        j = tx.meet_dictionary(j.withColumn("text", F.array_join("raw", " ")), wanted, "text", out="wanted")
         j = j.select(F.col("id").alias("review_id"), "title_id", tx.resolve_wanted("raw", "wanted").alias("raw"))
         j = j.select("review_id", "title_id",
                      F.transform("raw", lambda x: tx.sentence_from_tokens(tx.tokens(x))).alias("joined"))

@@ -45,3 +45,40 @@ def test_skipped_repetitions_equal_all_rules(spark):
     found = {r.id: r.t for r in d.collect()}
     assert got == found
     assert sum(got[k] != t for k, t in rows) > 700
+
+
+def test_normalisation_rules_are_tried_where_they_can_match():
+    """Most rules wait for a literal of theirs; skipping them changes no text."""
+    import re
+
+    from reviewlake.functions import regex
+
+    class Counted:
+        tried = 0
+
+        def __init__(self, p):
+            self.p, self.sub = re.compile(p), re.compile(p).sub
+
+        def search(self, t):
+            Counted.tried += 1
+            return self.p.search(t)
+
+    needs = tx._normalize_prefilters()
+
+    def table(needs):
+        return [[(Counted(p), r, tuple(x for x in needs.get(p, ()) if isinstance(x, str)),
+                  tuple(x for x in needs.get(p, ()) if isinstance(x, re.Pattern)), regex.NON_ASCII in needs.get(p, ()))
+                 for p, r in rules] for rules in R.NORMALIZE_PASSES]
+
+    regex._through("Words of a line.\nThey go on, and end.", table(needs))
+    assert Counted.tried <= 12
+    rnd = random.Random(9)
+    parts = ["https://x.y", "a.com", "#tag", "@me", "\n", "\n-", "\n1)", "...", "\\", "==", "----", "++++", "******", "??", "!!",
+             ",,", " . . .", "☆", ": )", ";|", ":(", " ^_^ ", ":=)", "<3", "*sigh*", "f*ck", "Fu@k", "cR@p", "B@lls", "sh@t", "”", "´",
+             "''", " @ ", "(=", "_", "~", "website", "me@you", "'so'", "\t", "(1999)", "(R.I.P.)", "TL;dr: ", "a(b)", "(s)he", "(un)do",
+             ",a", "a.B", ";x", "!x", "x(", ")x", "x:y", "e.g. ", "I.E.:", "etc. a", "--", " Im ", " isnt ", "Make-Up", "slow-motion",
+             "Screen-Writer", "script writer", "capt.", "Dr.", "Mrs.", "Ms.", "C.G.I.", " Vol. 2", "R.I.P.D.", ", b/c ", " w/o ", " V/S. ",
+             "Contd.", " No. 7", "appr.", "(pp.", " -x", "- ", "... A", ". . ", " , ", "é", "word", "The"]
+    for _ in range(3000):
+        t = "".join(rnd.choice(parts) + rnd.choice(["", " ", "a"]) for _ in range(rnd.randrange(0, 12)))
+        assert regex._through(t, table(needs)) == regex._through(t, table({})), t
