@@ -122,9 +122,17 @@ def aspect_spans(sentences: DataFrame, terms: DataFrame, id_col: str = "id",
     d = _chunk_offsets(d.select("sentence_id", "__h", *keep, _chunks(F.col("__p"), k).alias("__c")))
     d = d.select("sentence_id", "__h", *keep, F.explode(F.arrays_zip("__c", "off")).alias("__z"))
     d = d.select("sentence_id", "__h", *keep, "__z.__c.*", "__z.off")
-    d = d.withColumn("__grams", _grams(F.col("pieces"), k, F.col("lead"), F.col("lead") + F.col("core") - 1))
-    d = d.select("sentence_id", "__h", *keep, "pieces", "lead", "at", "off", F.explode("__grams").alias("__g")).join(
-        t, F.lower(F.col("__g.text")) == F.col("term"), "left_semi")
+    # only pieces that begin a term start runs: the runs of all others are never built
+    begins = t.select(F.get(F.split("term", " "), F.lit(0)).alias("__first")).distinct()
+    d = d.select("sentence_id", "__h", *keep, "pieces", "lead", "core", "at", "off", F.posexplode("pieces").alias("__i", "__piece"))
+    d = d.where((F.col("__i") >= F.col("lead")) & (F.col("__i") < F.col("lead") + F.col("core"))) \
+        .join(begins, F.lower("__piece") == F.col("__first"), "left_semi")
+    runs = F.array(*[F.when(F.col("__i") + n <= F.size("pieces"), F.struct(
+        F.col("__i").alias("i"), F.lit(n).alias("k"),
+        (F.col("__piece") if n == 1 else F.array_join(F.slice("pieces", F.col("__i") + 1, n), " ")).alias("text")))
+        for n in range(1, k + 1)])
+    d = d.select("sentence_id", "__h", *keep, "pieces", "lead", "at", "off", F.explode(runs).alias("__g")) \
+        .join(t, F.lower(F.col("__g.text")) == F.col("term"), "left_semi")
     p, i, kk, lead = F.col("pieces"), F.col("__g.i"), F.col("__g.k"), F.col("lead")
     inside = F.array_join(F.slice(p, lead + 1, i - lead), " ")
     start = F.col("off") + F.length(inside) + F.when(i > lead, 1).otherwise(0)

@@ -441,15 +441,14 @@ REPETITION_2_WORDS = ("another", "director", "writer", "act", "10 ", "the charac
 def sentence_from_tokens(toks) -> Column:
     """Join tokens (word + blank, empty words dropped), collapse blanks,
     repetition clean-up (REPETITIONS_2, case-insensitive, bounded)."""
-    joined = F.array_join(F.transform(F.filter(col_(toks), lambda t: t["word"] != ""),
-                                      lambda t: F.concat(t["word"], t["ws"])), "")
+    joined = F.array_join(F.transform(col_(toks), lambda t: F.when(t["word"] != "", F.concat(t["word"], t["ws"]))), "")
 
     def cleaned(s: Column) -> Column:
         chain = s
         for p, r in R.REPETITIONS_2:
             chain = _collapse(replace(chain, _bounded(p), r, ignore_case=True))
         # every rule needs one of these words (any case); other sentences only get the blank collapse
-        gate = _once(F.translate(F.lower(s), "\u017f\u212a", "sk"),
+        gate = _once(F.replace(F.replace(F.lower(s), F.lit("\u017f"), F.lit("s")), F.lit("\u212a"), F.lit("k")),
                      lambda folded: reduce(or_, [folded.contains(w) for w in REPETITION_2_WORDS]))
         return F.when(gate, chain).otherwise(s)
 
@@ -493,5 +492,26 @@ def number_sentences(parts: DataFrame, start: int = 1, sentences: str = "parts")
 def sentence_parts(words: DataFrame, batch: str = "title_id") -> DataFrame:
     """Running count of ',' ':' ';' words over the batch ordered by
     (sentence_id, pos) — never reset per sentence (trap H16)."""
-    w = words.withColumn("__sep", F.col("word").isin(*R.PART_SEPARATORS).cast("long"))
+    w = words.withColumn("__sep", _separator())
     return grouped_prefix_sum(w, [batch], "sentence_id", "__sep", "sentencePart", tie=["pos"]).drop("__sep")
+
+
+def _separator() -> Column:
+    return F.col("word").isin(*R.PART_SEPARATORS).cast("long")
+
+
+def sentence_words(sentences: DataFrame, batch: str = "title_id") -> DataFrame:
+    """The tokens of sentences (sentence_id, ``batch``, sentence) with
+    their position, blank and part.  Each separator is a token of its own, so what
+    stands before a sentence in its batch is a prefix sum over sentences; words are
+    made once, where their sentence lies, and are never moved."""
+    separators = F.coalesce(F.regexp_count("sentence", F.lit(f"[{''.join(R.PART_SEPARATORS)}]")), F.lit(0)).cast("long")
+    counts = sentences.groupBy(batch, "sentence_id").agg(F.sum(separators).alias("__n"))
+    before = grouped_prefix_sum(counts, [batch], "sentence_id", "__n", "__before", inclusive=False) \
+        .select(batch, "sentence_id", "__before")
+    d = spread(sentences.select("sentence_id", batch, "sentence"), "sentence_id").join(before, [batch, "sentence_id"])
+    d = d.select("sentence_id", batch, "__before", F.posexplode(tokens("sentence")).alias("pos", "t"))
+    d = d.select("sentence_id", batch, "__before", "pos", "t.word", "t.ws")
+    own = F.sum(_separator()).over(W.partitionBy("sentence_id", batch).orderBy("pos")
+                                   .rowsBetween(W.unboundedPreceding, W.currentRow))
+    return d.withColumn("sentencePart", (F.col("__before") + own).cast("long")).drop("__before")

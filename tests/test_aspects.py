@@ -106,3 +106,15 @@ def test_single_pieces_are_not_cut_and_joined(spark):
         assert g._jdf.queryExecution().analyzed().toString().count("array_join") == joins
     a, b = ([(x.i, x.k, x.text) for x in r.g] for r in g.collect())
     assert a == [(0, 1, "a"), (1, 1, ""), (2, 1, "b"), (3, 1, "c"), (0, 2, "a "), (1, 2, " b"), (2, 2, "b c")] and b == []
+
+
+def test_runs_begin_where_a_term_begins(spark):
+    """Pieces that begin no term are dropped before runs are built of them."""
+    from reviewlake.operators.aspects import aspect_spans
+    terms = spark.createDataFrame([(1, "n", "of the"), (2, "n", "Of")], "aspect_id int, POS string, term string")
+    df = spark.createDataFrame([(1, "x of the y OF"), (2, "the of")], "id long, sentence string")
+    spans = aspect_spans(df, terms)
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and "posexplode" in plan
+    got = sorted((r.sentence_id, r.start, r.span) for r in spans.collect())
+    assert got == [(1, 2, "of"), (1, 2, "of the"), (1, 11, "OF"), (2, 4, "of")]
