@@ -20,8 +20,11 @@ exploded or part of a key, and the lexicon may have any size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from reviewlake.functions.columns import polarity_bin, polarity_label, round_half_up
 
@@ -52,58 +55,51 @@ def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
 
     Texts stay where they are: (id, position, word) rows meet the lexicon,
     which can be of any size, and only words in it (and those with ``n't``) go on.
-    Boosters and negations send what they do to the next three positions; the
+    A word looks at the three known words before it for boosters and negations; the
     sums of a text are joined back to it by its id.
     """
     keep = [c for c in (keep or []) if c != id_col]
     text = F.col(text_col)
     toks = F.regexp_extract_all(text, F.lit(WORD), 0)
     d = df.select(F.col(id_col).alias("__id"), toks.alias("__tok"))
-    n_caps = F.size(F.filter("__tok", lambda t: t == F.upper(t)))
-    d = d.withColumn("__capdiff", (n_caps > 0) & (n_caps < F.size("__tok")))
+    # all-caps tokens beside others; both tests stop at the first token that decides
+    d = d.withColumn("__capdiff", F.exists("__tok", lambda t: t != F.upper(t)) & F.exists("__tok", lambda t: t == F.upper(t)))
     tokens = d.select("__id", F.posexplode("__tok").alias("__i", "__t"), "__capdiff")
     tokens = tokens.select("__id", "__i", F.lower("__t").alias("word"),
                            (F.col("__capdiff") & (F.col("__t") == F.upper("__t"))).alias("caps"))
     known = tokens.join(_lexicon_rows(lexicon), "word", "left").withColumn("n_t", F.col("word").contains("n't")) \
         .where(F.col("v0").isNotNull() | F.col("boost").isNotNull() | F.col("negates") | F.col("contrasts") | F.col("n_t"))
-    # all that follows is per text: dealt out by it once, before a word becomes up to four rows
+    # all that follows is per text: dealt out by it once, one row per known position
     known = known.repartition("__id")
-    off, negates = F.lit(0.0), (F.coalesce("negates", F.lit(False)) | F.col("n_t")).cast("int")
-
-    def effect(at=None, v0=None, caps=None, b=None, neg=None, but=None) -> Column:
-        """What a word does at one position of its text; ``but``: where the text has a contrast word."""
-        parts = (("at", at, "int"), ("v0", v0, "double"), ("caps", caps, "boolean"), ("b", b, "double"),
-                 ("neg", neg, "int"), ("but", but, "int"))
-        return F.struct(*[(F.lit(None) if c is None else c).cast(t).alias(n) for n, c, t in parts])
-
-    i, weight = F.col("__i"), F.coalesce("boost", off)
-    effects = F.array(
-        F.when(F.coalesce("v0", off) != 0, effect(i, F.col("v0"), F.col("caps"), off, F.lit(0))),
-        F.when(F.coalesce("contrasts", F.lit(False)), effect(but=i)),
-        *[F.when(F.col("boost").isNotNull() | (negates > 0), effect(i + j, b=weight * f, neg=negates))
-          for j, f in enumerate(BOOST_FACTORS, start=1)])
-    placed = known.select("__id", F.explode(F.filter(effects, lambda e: e.isNotNull())).alias("e")).select("__id", "e.*") \
-        .groupBy("__id", "at").agg(F.max("v0").alias("v0"), F.max("caps").alias("caps"), F.sum("b").alias("b"),
-                                   F.sum("neg").alias("neg"), F.min("but").alias("but"))
-    hits = placed.where(F.col("v0").isNotNull() | F.col("at").isNull())
-    own_sums = hits.groupBy("__id").agg(
-        F.min("but").alias("but"),
-        F.collect_list(F.when(F.col("v0").isNotNull(), F.struct("at", "v0", "caps", "b", "neg"))).alias("hits"))
-
-    def value(h: Column, but: Column) -> Column:
-        weight = F.when(but.isNull(), 1.0).when(h["at"] < but, 0.5).when(h["at"] > but, 1.5).otherwise(1.0)
-        return ((h["v0"] + F.signum(h["v0"]) * (h["b"] + F.when(h["caps"], CAPS_INCR).otherwise(0.0)))
-                * F.pow(F.lit(N_SCALAR), h["neg"]) * weight)
-
-    vs = F.transform(F.array_sort("hits"), lambda h: value(h, F.col("but")))
-    sums = own_sums.select("__id", vs.alias("vs"))
-
-    def total(f) -> Column:
-        return F.aggregate("vs", F.lit(0.0), lambda acc, v: acc + f(v))
-
-    sums = sums.select("__id", total(lambda v: v).alias("s"), total(lambda v: F.when(v > 0, v + 1).otherwise(0.0)).alias("ps"),
-                       total(lambda v: F.when(v < 0, v - 1).otherwise(0.0)).alias("ns"),
-                       F.size(F.filter("vs", lambda v: v != 0)).alias("__scored"))
+    off, scored = F.lit(0.0), F.col("v0") != 0
+    placed = known.groupBy("__id", "__i").agg(
+        F.max(F.when(scored, F.col("v0"))).alias("v0"), F.max(F.when(scored, F.col("caps"))).alias("caps"),
+        F.sum(F.coalesce("boost", off)).alias("boost"),
+        F.sum((F.coalesce("negates", F.lit(False)) | F.col("n_t")).cast("int")).alias("neg"),
+        F.max("contrasts").alias("contrasts"))
+    # the three known words before a word hold all that stand among the three positions before it
+    order, whole_text = W.partitionBy("__id").orderBy("__i"), W.partitionBy("__id").orderBy("__i").rowsBetween(
+        W.unboundedPreceding, W.unboundedFollowing)
+    placed = placed.withColumns({f"__{c}{j}": F.lag(c, j).over(order) for j in (1, 2, 3) for c in ("__i", "boost", "neg")}
+                                | {"but": F.min(F.when(F.col("contrasts"), F.col("__i"))).over(whole_text)})
+
+    def before(c: str, weights) -> Column:
+        """What the words of the three positions before send: ``c`` by its distance."""
+        def one(j: int) -> Column:
+            gap = F.col("__i") - F.col(f"____i{j}")
+            return F.coalesce(reduce(lambda x, d: x.when(gap == d, F.col(f"__{c}{j}") * weights[d - 1]), (2, 3),
+                                     F.when(gap == 1, F.col(f"__{c}{j}") * weights[0])), F.lit(0))
+        return one(1) + one(2) + one(3)
+
+    i, v0, but = F.col("__i"), F.col("v0"), F.col("but")
+    weight = F.when(but.isNull(), 1.0).when(i < but, 0.5).when(i > but, 1.5).otherwise(1.0)
+    value = ((v0 + F.signum(v0) * (before("boost", BOOST_FACTORS) + F.when(F.col("caps"), CAPS_INCR).otherwise(0.0)))
+             * F.pow(F.lit(N_SCALAR), before("neg", (1, 1, 1))) * weight)
+    vs = placed.where(v0.isNotNull()).select("__id", value.alias("v"))
+    v = F.col("v")
+    sums = vs.groupBy("__id").agg(
+        F.sum(v).alias("s"), F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("ps"),
+        F.sum(F.when(v < 0, v - 1).otherwise(0.0)).alias("ns"), F.count(F.when(v != 0, v)).alias("__scored"))
     ex = F.least(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))), F.lit(4)) * EXCL_INCR
     qm = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
     qamp = F.when(qm > 1, F.when(qm <= 3, qm * QM_INCR).otherwise(QM_MAX)).otherwise(0.0)

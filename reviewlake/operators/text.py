@@ -42,7 +42,8 @@ def collapse_spaced_initials(c) -> Column:
     return F.regexp_replace(col_(c), java_pattern(_SPACED_INITIAL_BLANK), "")
 
 
-_LINE = tuple(re.compile(p) for p in (r"\n ?[A-Z]", r"\n ?[>-]", r"\n ?[>-]", r"\n ?\d", r"\n ?\d"))
+_NO_STOP = r"\n(?<=[^\.,:;!\?]\n)"  # a line that ends without a stop
+_LINE = tuple(re.compile(p) for p in (_NO_STOP + " ?[A-Z]", _NO_STOP + " ?[>-]", r"\n ?[>-]", _NO_STOP + r" ?\d", r"\n ?\d"))
 #: Per normalisation rule, in the order of its pass, what every match holds: literals, a
 #: cheaper pattern or a multi-byte character, one of them at least; empty: the rule is always tried.
 _NORMALIZE_NEEDS = (
@@ -80,8 +81,10 @@ _PREFIX = R.SEARCH_PREFIX
 _SUFFIX = R.SEARCH_SUFFIX
 
 
-def _bounded(p: str) -> str:
-    return f"{_PREFIX}{p}{_SUFFIX}"
+def _bounded(p: str, first: str = "") -> str:
+    """``first``: the characters with which ``p`` begins (any case if the pattern is
+    so), looked at before the bound: most places of a text fail at one comparison."""
+    return f"{f'(?=[{first}])' if first else ''}{_PREFIX}{p}{_SUFFIX}"
 
 
 def _collapse(c: Column) -> Column:
@@ -155,8 +158,8 @@ def keyed_entries(entries: DataFrame) -> DataFrame:
     replacement glued to the rest. Entries without such a word get the key of
     all texts.
     """
-    own = entries.withColumn("says", F.collect_set("entry.strReplace").over(W.partitionBy("title_id")))
-    own = own.withColumn("brought", F.array_distinct(F.flatten(F.transform("says", word_runs))))
+    says = F.collect_set("says").over(W.partitionBy("title_id"))
+    own = entries.withColumn("says", word_runs("entry.strReplace")).withColumn("brought", F.array_distinct(F.flatten(says)))
     own = own.withColumn("runs", F.filter(word_runs("entry.strSearch"), lambda t: ~F.exists(
         "brought", lambda w: t.startswith(w) | t.endswith(w))))
     longest = F.array_max(F.transform("runs", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
@@ -259,6 +262,8 @@ REPETITION_1_WORDS = (
     ("writer ",), ("actor ",), ("(played by the actress)",), ("(played by the actor)",),
     tuple(f"{t} the " for t in ("captain", "doctor", "dr", "mister", "mr", "lady", "ms")),
     ("this this",), ("this the",), ("the this",), ("the the",))
+#: The first characters of each rule of REPETITIONS_1.
+_REPETITION_1_FIRST = ("d", "ta", "d", "c", "e", "c", "a", "w", "a", "(", "(", "cdml", "t", "t", "t", "t")
 
 
 def _repetitions_and_abbreviations(d: DataFrame, out: str, known: str, has_dict: Column) -> DataFrame:
@@ -270,13 +275,13 @@ def _repetitions_and_abbreviations(d: DataFrame, out: str, known: str, has_dict:
         folded = F.lower(F.col(out))
         return reduce(or_, [folded.contains(w) for w in words], F.col("__odd"))
 
-    for i, ((p, r), words) in enumerate(zip(R.REPETITIONS_1, REPETITION_1_WORDS, strict=True)):
+    for i, ((p, r), words, first) in enumerate(zip(R.REPETITIONS_1, REPETITION_1_WORDS, _REPETITION_1_FIRST, strict=True)):
         c = F.col(out)
-        step = F.when(holds(words), replace(c, _bounded(p), r, ignore_case=True)).otherwise(c)
+        new = replace(c, _bounded(p, first), r, ignore_case=True)
         if i == 0:  # the texts are collapsed from here on
-            step = _collapse(step)
+            step = _collapse(F.when(holds(words), new).otherwise(c))
         else:
-            step = F.when(holds(words), _collapse(replace(c, _bounded(p), r, ignore_case=True))).otherwise(c)
+            step = F.when(holds(words), _collapse(new)).otherwise(c)
         d = d.withColumn(out, step)
     d = d.withColumn(out, F.when(has_dict, F.col(out)).otherwise(F.col("__raw")))
     # Abbreviations unless part of a title or name; one projection each.
@@ -448,9 +453,13 @@ def sentence_from_tokens(toks) -> Column:
         for p, r in R.REPETITIONS_2:
             chain = _collapse(replace(chain, _bounded(p), r, ignore_case=True))
         # every rule needs one of these words (any case); other sentences only get the blank collapse
+        # the last of them is the word of one rule alone, and what it leaves begins no other
+        *most, twice = REPETITION_2_WORDS
+        only = _collapse(replace(s, _bounded(twice, twice[0]), dict(R.REPETITIONS_2)[twice], ignore_case=True))
         gate = _once(F.replace(F.replace(F.lower(s), F.lit("\u017f"), F.lit("s")), F.lit("\u212a"), F.lit("k")),
-                     lambda folded: reduce(or_, [folded.contains(w) for w in REPETITION_2_WORDS]))
-        return F.when(gate, chain).otherwise(s)
+                     lambda folded: F.when(reduce(or_, [folded.contains(w) for w in most]), 2)
+                     .when(folded.contains(twice), F.when(s.rlike(_ODD_CASE), 2).otherwise(1)).otherwise(0))
+        return _once(gate, lambda g: F.when(g == 2, chain).when(g == 1, only).otherwise(s))
 
     return _once(_collapse(joined), cleaned)
 
