@@ -272,17 +272,18 @@ def _repetitions_and_abbreviations(d: DataFrame, out: str, known: str, has_dict:
     d = d.withColumn("__odd", F.col(out).rlike(_ODD_CASE)).withColumn("__raw", F.col(out))
 
     def holds(words) -> Column:
-        folded = F.lower(F.col(out))
-        return reduce(or_, [folded.contains(w) for w in words], F.col("__odd"))
+        return reduce(or_, [F.col("__low").contains(w) for w in words], F.col("__odd"))
 
+    # the text in lower case is taken again where a rule was applied, not once a rule
+    d = d.withColumn("__low", F.lower(F.col(out)))
     for i, ((p, r), words, first) in enumerate(zip(R.REPETITIONS_1, REPETITION_1_WORDS, _REPETITION_1_FIRST, strict=True)):
         c = F.col(out)
         new = replace(c, _bounded(p, first), r, ignore_case=True)
         if i == 0:  # the texts are collapsed from here on
-            step = _collapse(F.when(holds(words), new).otherwise(c))
+            d = d.withColumn(out, _collapse(F.when(holds(words), new).otherwise(c))).withColumn("__low", F.lower(F.col(out)))
         else:
-            step = F.when(holds(words), _collapse(new)).otherwise(c)
-        d = d.withColumn(out, step)
+            d = d.withColumn("__hit", holds(words)).withColumn(out, F.when(F.col("__hit"), _collapse(new)).otherwise(c)) \
+                .withColumn("__low", F.when(F.col("__hit"), F.lower(F.col(out))).otherwise(F.col("__low")))
     d = d.withColumn(out, F.when(has_dict, F.col(out)).otherwise(F.col("__raw")))
     # Abbreviations unless part of a title or name; one projection each.
     for abb, r in R.ABBREVIATIONS:
@@ -291,8 +292,9 @@ def _repetitions_and_abbreviations(d: DataFrame, out: str, known: str, has_dict:
         step = replace(step, f"\\( ?{abb} ?\\)", "", ignore_case=True)
         step = _collapse(replace(step, _bounded(abb), r, ignore_case=True))
         cond = has_dict & ~F.coalesce(F.array_contains(F.col(known), abb), F.lit(False))
-        d = d.withColumn(out, F.when(cond & holds([abb.lower()]), step).otherwise(cur))
-    return d.drop("__odd", "__raw")
+        d = d.withColumn("__hit", cond & holds([abb.lower()])).withColumn(out, F.when(F.col("__hit"), step).otherwise(cur)) \
+            .withColumn("__low", F.when(F.col("__hit"), F.lower(F.col(out))).otherwise(F.col("__low")))
+    return d.drop("__odd", "__raw", "__low", "__hit")
 
 
 def conflict_entries(entries) -> Column:
@@ -379,23 +381,25 @@ def repair_sentences(c) -> Column:
     init = F.struct(empty.alias("out"), F.lit(False).alias("open"))
     maxlen = config.SENTENCE_MAXLENGTH
 
-    def branches(st, s):
-        """What decides on a piece, each looked at once."""
-        out, op = st["out"], st["open"]
-        return F.struct(
-            s.rlike(java_pattern(_LIST_NUMBER)).alias("numbered"),
-            ((~op) & s.rlike(r" \d\) ") & ~s.rlike(r"\(.* \d\) ")).alias("paren_list"),
-            ((F.size(out) > 0) & (s.startswith("'s ") | s.rlike(r"^['\"]?[\.,:;!\?\)]"))).alias("punct"),
+    def looked_at(raw):
+        """What decides on a piece and does not depend on those before it, each looked at once."""
+        s = F.regexp_replace(raw, r"^(\d){1,2}[\.\)]+ ", "")
+        skip = F.array_contains(_none_sentences(), raw) | raw.rlike(r"^#?(\d){1,2}[\.\)]+$")
+        return _once(s, lambda s: F.struct(
+            s.alias("s"), skip.alias("skip"),
+            (s.contains(". ") & s.rlike(java_pattern(_LIST_NUMBER))).alias("numbered"),
+            (s.contains(") ") & s.rlike(r" \d\) ") & ~s.rlike(r"\(.* \d\) ")).alias("paren_list"),
+            (s.startswith("'s ") | s.rlike(r"^['\"]?[\.,:;!\?\)]")).alias("punct"),
             ((~s.contains(" ")) & s.rlike(r"\p{L}")).alias("one_word"),
-            (F.length(s) > maxlen).alias("too_long"))
+            (F.length(s) > maxlen).alias("too_long")))
 
-    def add(st, s, f):
-        out, op = st["out"], st["open"]
-        numbered, paren_list, punct, one_word, too_long = (
-            f[n] for n in ("numbered", "paren_list", "punct", "one_word", "too_long"))
+    def add(st, f):
+        out, op, s = st["out"], st["open"], f["s"]
+        has = F.size(out) > 0
+        numbered, one_word, too_long = f["numbered"], f["one_word"], f["too_long"]
+        paren_list, punct = (~op) & f["paren_list"], has & f["punct"]
         num_parts = F.split(F.regexp_replace(s, java_pattern(_LIST_NUMBER), f"{SEP}$1{SEP}"), SEP)
         paren_parts = F.split(s, r" \d\) ")
-        has = F.size(out) > 0
         last = at(out, -1)
         init_out = F.slice(out, 1, F.size(out) - 1)
         long_parts = F.transform(F.split(s, r"[\.;](?=[ a-dfh-zA-Z])"), lambda p: F.concat(F.trim(p), F.lit(".")))
@@ -418,12 +422,9 @@ def repair_sentences(c) -> Column:
         new_open = new_open | paren_open
         return F.struct(new_out.alias("out"), new_open.alias("open"))
 
-    def step(st, raw):
-        skip = F.array_contains(_none_sentences(), raw) | raw.rlike(r"^#?(\d){1,2}[\.\)]+$")
-        s = F.regexp_replace(raw, r"^(\d){1,2}[\.\)]+ ", "")
-        return F.when(skip, st).otherwise(_once(s, lambda s: _once(branches(st, s), lambda f: add(st, s, f))))
-
-    return F.aggregate(col_(c), init, step, lambda st: st["out"])
+    # the pieces are looked at before the fold: its state, all sentences so far, is never copied
+    pieces = F.transform(col_(c), looked_at)
+    return F.aggregate(pieces, init, lambda st, f: F.when(f["skip"], st).otherwise(add(st, f)), lambda st: st["out"])
 
 
 # -- X12, X14, X15 ---------------------------------------------------------------
@@ -459,7 +460,7 @@ def sentence_from_tokens(toks) -> Column:
         gate = _once(F.replace(F.replace(F.lower(s), F.lit("\u017f"), F.lit("s")), F.lit("\u212a"), F.lit("k")),
                      lambda folded: F.when(reduce(or_, [folded.contains(w) for w in most]), 2)
                      .when(folded.contains(twice), F.when(s.rlike(_ODD_CASE), 2).otherwise(1)).otherwise(0))
-        return _once(gate, lambda g: F.when(g == 2, chain).when(g == 1, only).otherwise(s))
+        return _once(gate, lambda g: F.when(g == 0, s).when(g == 1, only).otherwise(chain))
 
     return _once(_collapse(joined), cleaned)
 
