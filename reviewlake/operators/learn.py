@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from reviewlake import config
 from reviewlake.operators.linear import LinearModel, fit_linear, search, splits_column
 from reviewlake.operators.sampling import downsample
+from reviewlake.plans.strategy import spread
 from reviewlake.session import stage_table
 from reviewlake.sources.io import read_features
 
@@ -33,11 +34,12 @@ CLASSES = {"class": (1, 2, 3, 4, 5), "binary_class": (0, 1)}
 
 def training_frame(features: DataFrame, label: str, splits: int = 0) -> DataFrame:
     """W4 down-sampling by the label, with the random splits' roles of a row
-    when asked for; written once, as the fit passes over it many times."""
+    when asked for; written once, as the fit passes over it many times, and dealt out
+    to all cores, as the files of narrow rows are far fewer than these."""
     d = downsample(features, label, order="id")
     if splits:
         d = d.withColumn("splits", splits_column(F.col("id"), splits))
-    return stage_table(d)
+    return stage_table(spread(d, "id"))
 
 
 def train_review_classifier(features: DataFrame, label: str = "class", C: float = 1.0) -> LinearModel:
@@ -78,7 +80,7 @@ def recreate(spark: SparkSession, path: str) -> dict[str, LinearModel]:
     """M8 from a model file (S13): both models fitted again with the file's C on
     all of its rows (no down-sampling, as when models are recreated elsewhere)."""
     rows, Cs = read_features(spark, path)
-    rows = stage_table(rows)
+    rows = stage_table(spread(rows, "id"))
     return {label: fit_linear(rows, feature_columns(rows), label, list(CLASSES[label]), C) for label, C in Cs.items()}
 
 

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from reviewlake import config
 
 TRAIN, TEST = 1, 2
+#: Models of a step that are looked at together.
+COLUMNS = 256
 
 
 def splits_column(key: Column, splits: int, train: float = config.SPLIT_TRAIN, test: float = config.SPLIT_TEST,
@@ -160,14 +162,25 @@ class Problem:
         """Gradient (features x models) and sum of squared hinges of the models
         ``active`` with weights ``w``, without C."""
         shared = self.rows.sparkSession.sparkContext.broadcast((w, active // (len(self.Cs) * self.k), active % self.k))
-        classes = self.classes
+        classes, k = self.classes, self.k
 
         def work(x: np.ndarray, y: np.ndarray, splits: np.ndarray) -> dict[str, np.ndarray]:
             w, split, own = shared.value
-            sign = signs(y, classes)[:, own]
-            slack = np.maximum(1.0 - sign * (x @ w), 0.0)
-            slack *= (splits == TRAIN)[:, split]
-            return {"g": -2.0 * (x.T @ (sign * slack)), "loss": (slack * slack).sum(0)[None, :]}
+            sign, train = signs(y, classes), splits == TRAIN
+            g, loss = np.empty_like(w), np.empty((1, w.shape[1]))
+            for a in range(0, w.shape[1], COLUMNS):  # in place, in pieces that stay in the processor's cache
+                part = slice(a, a + COLUMNS)
+                s = sign if k == 1 else sign[:, own[part]]
+                slack = x @ w[:, part]
+                slack *= s
+                np.subtract(1.0, slack, out=slack)
+                np.maximum(slack, 0.0, out=slack)
+                slack *= train[:, split[part]]
+                loss[0, part] = np.einsum("ij,ij->j", slack, slack)
+                slack *= s
+                g[:, part] = x.T @ slack
+            g *= -2.0
+            return {"g": g, "loss": loss}
 
         got = self._sums(work, {"g": w.shape, "loss": (1, w.shape[1])})
         shared.unpersist()

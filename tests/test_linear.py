@@ -117,3 +117,27 @@ def test_empty_and_one_class(spark, data):
     assert (none[0] == 0).all()
     m = fit_linear(df.where("binary_class = 1"), NAMES, "binary_class", [0, 1], 1.0)
     assert set(r.prediction for r in learn.predict(m, df.where("binary_class = 1")).collect()) == {1}
+
+
+def test_training_rows_are_dealt_out(spark, data):
+    """The fit's tasks are the files of its rows: few narrow rows still go to all cores."""
+    frame = learn.training_frame(data[0].drop("splits").coalesce(1), "binary_class", 3)
+    assert len(frame.inputFiles()) >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_gradients_of_pieces_equal_plain_sums(data, monkeypatch):
+    from reviewlake.operators import linear
+    monkeypatch.setattr(linear, "COLUMNS", 7)
+    df, x, five, _ = data
+    problem = Problem(df, NAMES, "class", [1, 2, 3, 4, 5], [0.5, 2.0], 6)
+    rnd = np.random.default_rng(3)
+    active = np.sort(rnd.choice(problem.models, 23, replace=False))
+    w = rnd.normal(0, 0.3, (x.shape[1], len(active)))
+    g, loss = problem.gradients(w, active)
+    fold = {r.id: r.splits for r in df.select("id", "splits").collect()}
+    train = np.array([fold[k] for k in range(240)]) == TRAIN
+    y = np.where(five[:, None] == np.arange(1, 6)[None, :], 1.0, -1.0)
+    for m, place in enumerate(active):
+        s, own = place // 10, place % 5
+        slack = np.maximum(1 - y[:, own] * (x @ w[:, m]), 0) * train[:, s]
+        assert loss[m] == pytest.approx((slack ** 2).sum()) and g[:, m] == pytest.approx(-2 * x.T @ (y[:, own] * slack))
