@@ -61,12 +61,13 @@ def with_subtitle(titles: DataFrame) -> DataFrame:
 
 
 def import_titles(titles_raw: DataFrame, ratings_raw: DataFrame, genres: DataFrame,
-                  f: TitleFilter = TitleFilter()) -> tuple[DataFrame, DataFrame]:
+                  f: TitleFilter = TitleFilter(), keep=lambda d: d) -> tuple[DataFrame, DataFrame]:
     """(titles, title_genres).
 
-    Titles without any known genre are dropped (P4, a semi-join)."""
+    Titles without any known genre are dropped (P4, a semi-join). ``keep`` may
+    store the titles with their ratings, which both results read."""
     t = split_genres(filter_titles(titles_raw, f))
-    joined = least_rows(titles_join_ratings(t, filter_ratings(ratings_raw, f.votes_min)), ["id"])
+    joined = keep(least_rows(titles_join_ratings(t, filter_ratings(ratings_raw, f.votes_min)), ["id"]))
     tg = title_genres(t, genres, joined)
     titles = with_subtitle(joined.join(tg.select(F.col("title_id").alias("id")).distinct(), "id", "left_semi"))
     return titles, tg

@@ -209,7 +209,7 @@ def meet_dictionary(texts: DataFrame, dictionary: KeyedDictionary, text: str, ou
     before it, where they were read.  The few texts in which a bracket that is
     taken out joins two words get all entries of their title."""
     titled = texts.where(F.col("title_id").isNotNull())
-    joining = col_(text).rlike(_JOINING)
+    joining = col_(text).contains("(") & col_(text).rlike(_JOINING)
     words = titled.where(~joining).select("id", "title_id", F.explode(word_runs(text)).alias("token")) \
         .join(dictionary.tokens, "token", "left_semi").select("id", "title_id", "token")
     always = F.when(joining, F.array(F.lit(_FACTS))).when(~joining, F.array(F.lit(_FREE), F.lit(_FACTS)))

@@ -51,7 +51,7 @@ class Pipeline:
     # -- catalogue -------------------------------------------------------------
     @cached_property
     def _titles(self):
-        return cat.import_titles(self.fx.fx_title, self.fx.fx_rating, self.fx.fx_genre)
+        return cat.import_titles(self.fx.fx_title, self.fx.fx_rating, self.fx.fx_genre, keep=self._stage)
 
     @cached_property
     def titles(self) -> DataFrame:
@@ -81,7 +81,8 @@ class Pipeline:
     @cached_property
     def people(self) -> DataFrame:
         """person_rows after parsing (N1-N7), capitalisation (P15) and ambiguity."""
-        return self._stage(cat.flag_names_ambiguous(nm.preprocess_names(self.names), self.fx.fx_ambiguous))
+        parsed = self._stage(nm.preprocess_names(self.names))  # N8 reads them twice
+        return self._stage(cat.flag_names_ambiguous(parsed, self.fx.fx_ambiguous))
 
     @cached_property
     def people_principals(self) -> DataFrame:
