@@ -8,6 +8,8 @@ Catalyst optimises every query that uses them end to end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,7 @@ class Pipeline:
         self.spark = spark
         self.fx = Fixtures(spark, sf_dir)
         self.materialize = materialize
+        self._shared = None
 
     def _stage(self, df: DataFrame) -> DataFrame:
         return stage_table(df) if self.materialize else df
@@ -149,17 +152,25 @@ class Pipeline:
         return (tx.keyed_dictionary(md.usable_entries(self.metadata), titles, md.title_facts(self.metadata)),
                 tx.keyed_dictionary(md.wanted_entries(self.metadata), titles))
 
-    def preprocess(self, reviews: DataFrame, start: int = 1, dictionaries=None) -> DataFrame:
+    @contextmanager
+    def sharing(self, dictionaries: tuple[tx.KeyedDictionary, tx.KeyedDictionary]) -> Iterator[None]:
+        """Inside, :meth:`preprocess` looks up these dictionaries (of more reviews than it is given)."""
+        self._shared = dictionaries
+        try:
+            yield
+        finally:
+            self._shared = None
+
+    def preprocess(self, reviews: DataFrame, start: int = 1) -> DataFrame:
         """Normalise -> replace -> split -> repair -> conflicts -> tokens ->
         clean-up -> rating phrase -> polarity, as one job over all titles;
-        sentence ids begin at ``start``. ``dictionaries``: those of the reviews'
-        titles, if more reviews than these share them.
+        sentence ids begin at ``start``.
 
         The cleaned sentence array of each review is written once (a Parquet
         table) before ids are assigned: the dense-id prefix sum reads the
         per-review counts and the rows, and must not run the regex chain twice.
         """
-        usable, wanted = dictionaries or self.dictionaries(reviews)
+        usable, wanted = self._shared or self.dictionaries(reviews)
         n = self._stage(tx.normalize_text(reviews.select("id", "title_id", "originalText"), "originalText")
                         .select("id", "title_id", "normalizedText"))
         j = tx.meet_dictionary(n, usable, "normalizedText")

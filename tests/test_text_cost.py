@@ -110,7 +110,8 @@ def test_dictionaries_are_shared_by_batches(spark, pipeline, monkeypatch):
     dictionaries = pipeline.dictionaries(pipeline.reviews)
     want = pipeline.preprocess(pipeline.reviews)
     monkeypatch.setattr(md, "usable_entries", None)
-    got = pipeline.preprocess(pipeline.reviews, 1, dictionaries)
+    with pipeline.sharing(dictionaries):
+        got = pipeline.preprocess(pipeline.reviews)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
